@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam
+from . import ann, bpe, chat, decontam, shards
 from .common import table
 
 
@@ -17,6 +17,24 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search_hundredths(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR
+        NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])),
+         lambda a, b: a + b)) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10
+"""
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_report(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -53,9 +71,43 @@ FROM words w LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items t USING (d
 """
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+OP9_SQL = """
+WITH rows AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
+places AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+  FROM rows),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns,
+         list({'r': role, 't': text} ORDER BY place) AS turns FROM places GROUP BY conv_id),
+first AS (SELECT min(conv_id) AS conv_id, n_turns, turns FROM whole GROUP BY n_turns, turns),
+kept AS (
+  SELECT f.* FROM first f WHERE NOT EXISTS (
+    SELECT 1 FROM whole w WHERE w.n_turns > f.n_turns AND w.turns[1] = f.turns[1]
+           AND list_slice(w.turns, 1, f.n_turns) = f.turns))
+SELECT k.conv_id, k.n_turns, CAST((p.place - 1) // 256 AS BIGINT) AS part,
+       string_agg('<|im_start|>' || p.role || chr(10) || p.text || '<|im_end|>' || chr(10), '' ORDER BY p.place) AS text
+FROM kept k JOIN places p USING (conv_id) GROUP BY ALL
+"""
+
+
+def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_bpe": op5_bpe, "op6_decontamination": op6_decontamination}
+    return {
+        "op3_rotated_codes": op3_rotated_codes,
+        "op5_bpe": op5_bpe,
+        "op6_decontamination": op6_decontamination,
+        "op9_chat": op9_chat,
+        "op10_best_fit": op10_best_fit,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6_SQL}
+    return {"op3_rotated_codes": OP3_SQL, "op6_decontamination": OP6_SQL, "op9_chat": OP9_SQL}
