@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, decontam, shards
+from . import ann, bpe, chat, decontam, pii, shards, toxicity
 from .common import table
 
 
@@ -17,6 +17,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search_hundredths(table(spark, sf_dir, "embeddings"))
 
@@ -101,6 +109,8 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii_tagger": op1_pii_tagger,
+        "op2_toxicity": op2_toxicity,
         "op3_rotated_codes": op3_rotated_codes,
         "op5_bpe": op5_bpe,
         "op6_decontamination": op6_decontamination,
