@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, decontam, pii, shards, toxicity
+from . import ann, bpe, chat, decontam, pii, shards, substring, toxicity
 from .common import table
 
 
@@ -43,6 +43,30 @@ FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)
 """
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_report(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (
+  SELECT doc_id, i, list_slice(w, i, i + 12) AS p FROM words, unnest(range(1, len(w) - 11)) AS u(i) WHERE len(w) >= 13),
+firsts AS (SELECT p, min(doc_id) AS first_doc FROM places GROUP BY p),
+gone AS (
+  SELECT DISTINCT doc_id, i + j AS k FROM places JOIN firsts USING (p), unnest(range(0, 13)) AS v(j)
+  WHERE first_doc < doc_id),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS kept
+  FROM (SELECT doc_id, k, w[k] AS x FROM words, unnest(range(1, len(w) + 1)) AS u(k)) AS every
+  ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k USING (doc_id) LEFT JOIN removed r USING (doc_id)
+"""
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_report(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -112,6 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii_tagger": op1_pii_tagger,
         "op2_toxicity": op2_toxicity,
         "op3_rotated_codes": op3_rotated_codes,
+        "op4_substrings": op4_substrings,
         "op5_bpe": op5_bpe,
         "op6_decontamination": op6_decontamination,
         "op9_chat": op9_chat,
@@ -120,4 +145,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rotated_codes": OP3_SQL, "op6_decontamination": OP6_SQL, "op9_chat": OP9_SQL}
+    return {"op3_rotated_codes": OP3_SQL, "op4_substrings": OP4_SQL, "op6_decontamination": OP6_SQL, "op9_chat": OP9_SQL}
