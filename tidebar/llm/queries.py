@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, decontam, pii, shards, substring, toxicity
+from . import ann, bpe, chat, decontam, lines, minhash, pii, shards, substring, toxicity
 from .common import table
 
 
@@ -103,6 +103,65 @@ FROM words w LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items t USING (d
 """
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, list_slice(w, i, i + 3) AS s
+  FROM words, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS u(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT a AS x, b AS y FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS id, doc_id AS seen FROM documents
+  UNION SELECT r.id, l.y FROM reach r JOIN both_ways l ON l.x = r.seen)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM documents d LEFT JOIN sizes s USING (doc_id)
+JOIN (SELECT id, min(seen) AS c FROM reach GROUP BY id) m ON m.id = d.doc_id
+"""
+
+
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i, x, list_transform(regexp_extract_all(x, '[^\x20\x09-\x0D]+'),
+         lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> '') AS d,
+       unnest(range(1, len(l) + 1)) AS u(i), LATERAL (SELECT l[i] AS x) AS v),
+halves AS (
+  SELECT doc_id, i, t, list_slice(t, 1, 2) AS lead, list_slice(t, 3, len(t), 2) AS even, list_slice(t, 4, len(t), 2) AS odd
+  FROM lines WHERE len(t) > 0),
+keyed AS (
+  SELECT doc_id, i, {'k': 'all', 'n': len(t), 'lead': lead, 'part': t} AS key FROM halves
+  UNION ALL SELECT doc_id, i, {'k': 'even', 'n': len(t), 'lead': lead, 'part': even} FROM halves
+  WHERE len(t) > 2 AND len(list_filter(even, lambda y: y <> '<*>')) >= 3
+  UNION ALL SELECT doc_id, i, {'k': 'odd', 'n': len(t), 'lead': lead, 'part': odd} FROM halves
+  WHERE len(t) > 2 AND len(list_filter(odd, lambda y: y <> '<*>')) >= 3),
+found AS (
+  SELECT key, min(doc_id) AS first_doc FROM keyed GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+gone AS (SELECT DISTINCT doc_id, i FROM keyed JOIN found USING (key) WHERE doc_id <> first_doc),
+counts AS (
+  SELECT doc_id, count(*) AS n_lines, count(g.i) AS n_dropped,
+         string_agg(x, chr(10) ORDER BY lines.i) FILTER (WHERE g.i IS NULL) AS kept
+  FROM lines LEFT JOIN (SELECT doc_id AS d, i AS i, i AS j FROM gone) AS g ON g.d = doc_id AND g.j = lines.i GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN counts c USING (doc_id)
+"""
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -139,10 +198,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substrings": op4_substrings,
         "op5_bpe": op5_bpe,
         "op6_decontamination": op6_decontamination,
+        "op7_minhash": op7_minhash,
+        "op8_line_templates": op8_line_templates,
         "op9_chat": op9_chat,
         "op10_best_fit": op10_best_fit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rotated_codes": OP3_SQL, "op4_substrings": OP4_SQL, "op6_decontamination": OP6_SQL, "op9_chat": OP9_SQL}
+    return {
+        "op3_rotated_codes": OP3_SQL,
+        "op4_substrings": OP4_SQL,
+        "op6_decontamination": OP6_SQL,
+        "op7_minhash": OP7_SQL,
+        "op8_line_templates": OP8_SQL,
+        "op9_chat": OP9_SQL,
+    }
