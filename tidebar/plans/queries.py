@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import market
+from . import market, trading
 
-_PARTS = (market,)
+_PARTS = (market, trading)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
