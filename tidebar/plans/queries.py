@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import market, trading
+from . import market, regimes, trading
 
-_PARTS = (market, trading)
+_PARTS = (market, trading, regimes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
