@@ -16,18 +16,17 @@ from .bars import by_time, indexed
 BLOCK_MS = 7 * 86_400_000
 
 
-def as_of_strict(left: DataFrame, points: DataFrame, at: str, value: str = "value", block_ms: int = BLOCK_MS) -> DataFrame:
-    """``left`` (series, ``at`` in ms, ..) with the newest of ``points`` (series, time_ms, value) before ``at``.
+def as_of_strict(left: DataFrame, points: DataFrame, at: str, values: tuple[str, ...] = ("value",), block_ms: int = BLOCK_MS) -> DataFrame:
+    """``left`` (series, ``at`` in ms, ..) with the newest of ``points`` (series, time_ms and ``values``) before ``at``.
 
-    Adds ``value`` and ``value_ms``, null where there is none. Of points with equal stamps the largest value counts.
+    Adds the values and point_ms, null where there is none. Of points with equal stamps the largest by values counts.
     """
     rest = [c for c in left.columns if c not in ("series", at)]
-    asked = left.select("series", F.col(at).alias("_ms"), F.lit(0).alias("_side"), F.struct(*(rest or [F.lit(1).alias("_")])).alias("_rest"), F.lit(None).cast("struct<ms:bigint,v:double>").alias("_point"))
-    given = points.select(
-        "series", F.col("time_ms").alias("_ms"), F.lit(1).alias("_side"), F.lit(None).cast(asked.schema["_rest"].dataType).alias("_rest"),
-        F.struct(F.col("time_ms").cast("long").alias("ms"), F.col(value).cast("double").alias("v")).alias("_point"),
-    )
-    both = asked.unionByName(given).withColumn("_block", F.floor(F.col("_ms") / block_ms))
+    point = F.struct(F.col("time_ms").cast("long").alias("ms"), *(F.col(v).cast("double").alias(v) for v in values))
+    given = points.select("series", F.col("time_ms").cast("long").alias("_ms"), F.lit(1).alias("_side"), point.alias("_point"))
+    kind = given.schema["_point"].dataType
+    asked = left.select("series", F.col(at).cast("long").alias("_ms"), F.lit(0).alias("_side"), F.lit(None).cast(kind).alias("_point"), F.struct(*(rest or [F.lit(1).alias("_")])).alias("_rest"))
+    both = asked.unionByName(given, allowMissingColumns=True).withColumn("_block", F.floor(F.col("_ms") / block_ms))
     inside = Window.partitionBy("series", "_block").orderBy("_ms", "_side", "_point").rowsBetween(Window.unboundedPreceding, 0)
     newest = given.groupBy("series", F.floor(F.col("_ms") / block_ms).alias("_block")).agg(F.max("_point").alias("_last"))
     earlier = Window.partitionBy("series").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -35,16 +34,17 @@ def as_of_strict(left: DataFrame, points: DataFrame, at: str, value: str = "valu
     carried = blocks.select("series", "_block", F.last("_last", True).over(earlier).alias("_carried"))
     found = both.withColumn("_own", F.last("_point", True).over(inside)).where("_side = 0").join(carried, ["series", "_block"])
     best = F.coalesce("_own", "_carried")
-    return found.select("series", F.col("_ms").alias(at), *(F.col(f"_rest.{c}").alias(c) for c in rest), best["v"].alias(value), best["ms"].alias(f"{value}_ms"))
+    kept = (F.col(f"_rest.{c}").alias(c) for c in rest)
+    return found.select("series", F.col("_ms").alias(at), *kept, *(best[v].alias(v) for v in values), best["ms"].alias("point_ms"))
 
 
-def align_step(bars: DataFrame, points: DataFrame, seconds: int, max_stale_ms: int) -> DataFrame:
+def align_step(bars: DataFrame, points: DataFrame, seconds: int, max_stale_ms: int, values: tuple[str, ...] = ("value",)) -> DataFrame:
     """For each bar the newest point stamped before its close, null where it is older than ``max_stale_ms``, and its age."""
     closes = bars.select("series", "time", ((F.col("time") + seconds) * 1000).alias("close_ms"))
-    found = as_of_strict(closes, points, "close_ms")
-    age = F.col("close_ms") - F.col("value_ms")
+    found = as_of_strict(closes, points, "close_ms", values)
+    age = F.col("close_ms") - F.col("point_ms")
     fresh = age <= max_stale_ms
-    return found.select("series", "time", F.when(fresh, F.col("value")).alias("value"), F.when(fresh, age).alias("age_ms"))
+    return found.select("series", "time", *(F.when(fresh, F.col(v)).alias(v) for v in values), F.when(fresh, age).alias("age_ms"))
 
 
 def completed_bar(base: DataFrame, higher: DataFrame, factor: int, values: list[str]) -> DataFrame:

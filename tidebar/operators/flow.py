@@ -61,13 +61,15 @@ TAPE_COLUMNS = ("trade_count_surge", "avg_trade_size_z")
 
 
 def flow_columns(bars: DataFrame, prints: DataFrame, seconds: int, window: int = 20, z_window: int = 168, carry_window: int = 24, stale_hours: int = 3) -> DataFrame:
-    """All flow columns at each bar, null where not known, and ``valid`` where all are."""
+    """All flow columns at each bar, null where not known, and ``valid`` where all are.
+
+    Scores are null only before their window has filled, so the newest print has them all or nothing has them: one as-of
+    join carries all of them.
+    """
     scores = print_scores(prints, z_window, carry_window)
     stale = stale_hours * 3_600_000 + seconds * 1000
-    out = bars.select("series", "time", count_surge(window).alias(TAPE_COLUMNS[0]), size_z(window).alias(TAPE_COLUMNS[1]))
-    for name in PRINT_COLUMNS:
-        points = scores.where(F.col(name).isNotNull()).select("series", "time_ms", F.col(name).alias("value"))
-        out = out.join(align_step(bars, points, seconds, stale).select("series", "time", F.col("value").alias(name)), ["series", "time"])
+    own = bars.select("series", "time", count_surge(window).alias(TAPE_COLUMNS[0]), size_z(window).alias(TAPE_COLUMNS[1]))
+    out = own.join(align_step(bars, scores, seconds, stale, PRINT_COLUMNS).drop("age_ms"), ["series", "time"])
     names = [*PRINT_COLUMNS, *TAPE_COLUMNS]
     return out.select("series", "time", *names, reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in names)).alias("valid"))
 
