@@ -31,6 +31,8 @@ SAMPLE_ROWS, SAMPLE_WINDOWS = 1000, 24
 #: Hash buckets of words and of n-grams, sizes of their vectors and of the states, n-gram lengths in bytes.
 BUCKETS, GRAM_BUCKETS, EMBED, STATE, GRAMS = 1 << 13, 1 << 14, 12, 8, (3, 4, 5)
 EPOCHS, BATCH, RATE, SEED = 6, 96, 0.01, 7
+#: Rows that a bucket's odds are drawn to the mean by, and how often a word is only known by its n-grams in training.
+SHRINK, UNKNOWN = 8.0, 0.5
 THRESHOLD = 0.7
 #: Windows scored at once.
 SCORED = 2048
@@ -92,9 +94,10 @@ class Words:
         self.bucket = word_buckets(words)
         self.grams, self.counts = gram_codes(words)
 
-    def inputs(self, p: dict) -> np.ndarray:
+    def inputs(self, p: dict, known: np.ndarray | None = None) -> np.ndarray:
+        """Vectors of the words; where ``known`` says so without that of the whole word."""
         mean = _sums(p["gram"][self.grams], self.counts) / np.maximum(self.counts, 1)[:, None]
-        x = p["word"][self.bucket] + mean
+        x = p["word"][self.bucket] * (1 if known is None else known[:, None]) + mean
         x[-1] = 0
         return x
 
@@ -148,9 +151,9 @@ class Net:
         logit = pooled @ self.p["out"] + self.p["bias"][0]
         return (logit, (fwd, every, kept0, kept1, h, weight, pooled)) if keep else (logit, None)
 
-    def gradients(self, words: Words, codes: np.ndarray, blank: int, labels: np.ndarray, weights: np.ndarray) -> dict:
+    def gradients(self, words: Words, codes: np.ndarray, blank: int, labels: np.ndarray, weights: np.ndarray, known: np.ndarray) -> dict:
         p = self.p
-        x = words.inputs(p)
+        x = words.inputs(p, known)
         tables = self.tables(x)
         logit, (fwd, every, kept0, kept1, h, weight, pooled) = self.logits(tables, codes, blank, True)
         d_logit = ((sigmoid(logit.astype(np.float32)) - labels) * weights / len(labels)).astype(np.float32)
@@ -171,7 +174,7 @@ class Net:
             d_input += d_table @ p["w" + k].T
         d_input[-1] = 0
         g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
-        np.add.at(g["word"], words.bucket, d_input)
+        np.add.at(g["word"], words.bucket, d_input * known[:, None])
         share = d_input / np.maximum(words.counts, 1)[:, None]
         np.add.at(g["gram"], words.grams, np.repeat(share, words.counts, axis=0))
         return g
@@ -197,7 +200,8 @@ def _log_odds(buckets: np.ndarray, rows: np.ndarray, labels: np.ndarray, size: i
     pos = np.bincount(pairs[0], weights=labels[pairs[1]], minlength=size)
     every = np.bincount(pairs[0], minlength=size)
     p, n = labels.sum(), (1 - labels).sum()
-    return (np.log((pos + 0.5) / (p + 1)) - np.log((every - pos + 0.5) / (n + 1))).astype(np.float32)
+    base = SHRINK * np.array([p, n]) / (p + n)
+    return (np.log((pos + base[0]) / (every - pos + base[1])) - np.log(p / n)).astype(np.float32)
 
 
 def train(texts: list[str], labels: list[int]) -> dict | None:
@@ -244,7 +248,7 @@ def train(texts: list[str], labels: list[int]) -> dict | None:
             codes_here = small.reshape(grid[at].shape)
             gone = len(local.bucket) - 1
             codes_here = np.where(grid[at] == blank, gone, codes_here)
-            adam.update(net.gradients(local, codes_here, gone, labels[text[at]], weight[own].astype(np.float32)))
+            adam.update(net.gradients(local, codes_here, gone, labels[text[at]], weight[own].astype(np.float32), (rng.random(len(local.bucket)) >= UNKNOWN).astype(np.float32)))
     return net.p
 
 
