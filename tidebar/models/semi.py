@@ -26,32 +26,40 @@ def prefix(log_b: np.ndarray) -> np.ndarray:
     return np.vstack([np.zeros(log_b.shape[1]), np.cumsum(log_b, 0)])
 
 
+def _lse(x: np.ndarray, axis: int) -> np.ndarray:
+    """As logsumexp, for loops that have silenced log(0) themselves."""
+    top = np.maximum(x.max(axis), -1e300)
+    return top + np.log(np.exp(x - (top if axis == 0 else top[:, None])).sum(axis))
+
+
+@np.errstate(divide="ignore")
 def forward(log_b: np.ndarray, log_pi, log_a, log_dur) -> tuple[np.ndarray, np.ndarray, float]:
     """alpha: a segment of the state ends at the row; entry: one starts at it; log likelihood."""
     n, k = log_b.shape
     p, most = prefix(log_b), log_dur.shape[1]
     alpha, entry = np.empty((n, k)), np.full((n + 1, k), -np.inf)
     entry[0] = log_pi
-    begun = np.empty((n, k))  # entry less the prefix at it
+    begun, lasting = np.empty((n, k)), np.ascontiguousarray(log_dur.T)  # entry less the prefix at it
     for t in range(n):
         begun[t] = entry[t] - p[t]
         d = min(t + 1, most)
-        alpha[t] = p[t + 1] + logsumexp(begun[t - d + 1 : t + 1][::-1] + log_dur[:, :d].T, 0)
-        entry[t + 1] = logsumexp(alpha[t][:, None] + log_a, 0)
+        alpha[t] = p[t + 1] + _lse(begun[t - d + 1 : t + 1][::-1] + lasting[:d], 0)
+        entry[t + 1] = _lse(alpha[t][:, None] + log_a, 0)
     return alpha, entry[:n], float(logsumexp(alpha[-1], 0))
 
 
+@np.errstate(divide="ignore")
 def backward(log_b: np.ndarray, log_a, log_dur) -> tuple[np.ndarray, np.ndarray]:
     """beta: all after the row, given that a segment ends at it; start: all from the row on, given that one starts at it."""
     n, k = log_b.shape
     p, most = prefix(log_b), log_dur.shape[1]
-    beta, start = np.zeros((n, k)), np.full((n + 1, k), -np.inf)
+    beta, start, lasting = np.zeros((n, k)), np.full((n + 1, k), -np.inf), np.ascontiguousarray(log_dur.T)
     for s in range(n - 1, -1, -1):
         d = min(n - s, most)
         ahead = p[s + 1 : s + d + 1] + beta[s : s + d]
-        start[s] = logsumexp(ahead + log_dur[:, :d].T, 0) - p[s]
+        start[s] = _lse(ahead + lasting[:d], 0) - p[s]
         if s:
-            beta[s - 1] = logsumexp(log_a + start[s], 1)
+            beta[s - 1] = _lse(log_a + start[s], 1)
     return beta, start
 
 
