@@ -5,10 +5,11 @@ bands of four minima generate candidates, and the two low bits of every minimum,
 similarity by bit counts, corrected for the bits that agree by chance. Candidates that the estimate leaves possible are
 confirmed on the full sets; equal sets are one class throughout, so copies are never expanded into pairs.
 
-In each bucket every class is compared with the least one, which is linear in the bucket. Buckets in which more than
-one component is left are then searched for links between components: each round, every member of such a bucket gives
-its likeliest partner in another component that it has not met yet, until there is none. So no link that could join
-two components is lost, however large the group, and no bucket is ever expanded into all its pairs.
+In each bucket every class is compared with the least one, which is linear in the bucket; most buckets are one component
+then. Those with more are searched for links between components, with the full sets at hand: members of the largest one
+are only compared with the others, pairs that have been joined meanwhile are passed over, and only links are given. Large
+buckets are compared in pairs of blocks. So no link that could join two components is lost, however large the group, and
+no bucket is expanded into all its pairs.
 
 Two sets of similarity 0.8 share none of the 32 bands with probability (1 - 0.8**4)**32 = 5e-8, and the estimate is
 six standard deviations wide.
@@ -32,6 +33,8 @@ from .components import components
 from .hashing import mix, rolling, word_hashes
 
 FUNCTIONS, ROWS, BITS = 128, 4, 2
+#: Members of a bucket that are compared in one group.
+BLOCK = 2048
 WIDTH, SIMILARITY = 5, 0.8
 #: Bytes of text hashed together.
 SLICE = 3 << 20
@@ -181,30 +184,44 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def _partners(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """For each member of a bucket its likeliest partner in another component that it has not met."""
+def _similar(own: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sorted sets have 100 * intersection >= percent * union with ``own``."""
+    sizes = np.array([len(y) for y in others])
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+    common = np.add.reduceat((own[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * common >= percent * (len(own) + sizes - common)
+
+
+def _links_between(rows: pd.DataFrame, similarity: float, percent: int) -> pd.DataFrame:
+    """Confirmed links that join components which meet in a bucket; pairs that are joined already are passed over.
+
+    ``side`` is the block of a member; a group of two blocks compares members of one with those of the other.
+    """
     rows = rows.drop_duplicates("id").reset_index(drop=True)
-    ids, comp, n = (rows[c].to_numpy() for c in ("id", "component", "n"))
+    ids, comp, n, side = (rows[c].to_numpy() for c in ("id", "component", "n", "side"))
     signatures = np.frombuffer(b"".join(rows.signature), np.uint8).reshape(len(rows), -1)
-    met = [set(m) if m is not None else set() for m in rows.met]
-    bound, out = least_estimate(similarity), []
-    block = max(1, (8 << 20) // signatures.size)
-    sizes = dict(zip(*np.unique(comp, return_counts=True)))
-    giant = max(sizes, key=sizes.get)
-    rest = np.flatnonzero(comp != giant)
+    sets = [np.frombuffer(x, np.uint64) for x in rows.shingles]
+    names, local = np.unique(comp, return_inverse=True)
+    two, out = side.min() != side.max(), []
     # pairs within the largest component need no look: one side is always outside it
-    for i in range(0, len(rest), block):
-        own = rest[i : i + block]
-        likely = estimate(signatures[own][:, None, :], signatures[None, :, :])
-        likely[comp[own][:, None] == comp[None, :]] = -1
-        small, large = np.minimum(n[own][:, None], n[None, :]), np.maximum(n[own][:, None], n[None, :])
-        likely[small < similarity * large - 1e-6] = -1
-        for k, x in enumerate(own):
-            order = np.flatnonzero(likely[k] >= bound)
-            for y in order[np.argsort(-likely[k][order], kind="stable")]:
-                if int(ids[y]) not in met[x] and int(ids[x]) not in met[y]:
-                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
-                    break
+    rest = np.flatnonzero(local != np.bincount(local).argmax())
+    for x in rest.tolist():
+        low, high = np.minimum(n[x], n), np.maximum(n[x], n)
+        open_ = (local != local[x]) & (low >= similarity * high - 1e-6)
+        if two:
+            open_ &= side != side[x]
+        near = np.flatnonzero(open_)
+        near = near[estimate(signatures[x][None, :], signatures[near]) >= least_estimate(similarity)]
+        for i in range(0, len(near), 256):
+            own = near[i : i + 256]
+            own = own[local[own] != local[x]]
+            if not len(own):
+                continue
+            for y in own[_similar(sets[x], [sets[k] for k in own], percent)]:
+                if local[y] != local[x]:
+                    out.append((ids[x], ids[y]))
+                    local[local == local[y]] = local[x]
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
@@ -212,28 +229,32 @@ def link_components(docs: DataFrame, classes: DataFrame, width: int, similarity:
     """id and component of the classes that are not their own component; ``classes``: id, n, bands, signature."""
     percent = round(100 * similarity)
     keys = classes.select("id", F.explode("bands").alias("key"))
-    least = keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(keys.join(least.select("key", "a"), "key"), "near-buckets")
+    buckets = keys.groupBy("key").agg(
+        F.min("id").alias("a"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")
+    )
+    # near copies meet in many bands: of buckets with the same members one is enough
+    buckets = buckets.where("size > 1").groupBy("a", "size", "x", "y").agg(F.min("key").alias("key")).select("key", "a", "size")
+    members = materialize(keys.join(buckets, "key"), "near-buckets")
     first = members.where("a <> id").select("a", F.col("id").alias("b")).distinct()
     sets = materialize(_full_sets(docs, members.select("id").distinct(), width), "near-sets")
     sketch = classes.select("id", "n", "signature")
     likely = materialize(_likely(first, sketch, similarity), "near-likely")
     links = materialize(_confirmed(likely, sets, percent), "near-links")
-    met = likely
-    while True:
-        labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        named = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        open_keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-        rows = named.join(open_keys.select("key"), "key", "left_semi").join(sketch, "id")
-        # by the larger id, which meets the least one of each of its buckets and one partner a round: a short list
-        seen = met.groupBy(F.col("b").alias("id")).agg(F.collect_set("a").alias("met"))
-        rows = rows.join(seen, "id", "left")
-        asked = rows.groupBy("key").applyInPandas(lambda r: _partners(r, similarity), "a long, b long")
-        asked = materialize(asked.distinct(), "near-asked")
-        if asked.isEmpty():
-            return labels
-        links = materialize(links.unionByName(_confirmed(asked, sets, percent)), "near-links")
-        met = materialize(met.unionByName(asked), "near-met")
+    # what is left to meet is no least member, in a bucket with two others at least
+    members = members.where("a <> id and size > 2").select("key", "id", "size")
+    labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    named = members.join(labels, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
+    open_keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    rows = named.join(open_keys.select("key"), "key", "left_semi")
+    # a large bucket is compared block by block, each pair of blocks a group of its own
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")}).drop("other", "size")
+    rows = rows.join(sketch, "id").join(sets, "id").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "low", "high")
+    found = rows.groupBy("key", "low", "high").applyInPandas(lambda r: _links_between(r, similarity, percent), "a long, b long")
+    links = materialize(links.unionByName(found.distinct()), "near-links")
+    return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
