@@ -29,10 +29,11 @@ KINDS = ("email", "ip", "card", "phone")
 #: Documents that are learnt from, at most, and characters of each that are looked at for windows.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 20_000
 #: Characters of a training window; of a decoded window, and from its start to the next one's.
-TRAIN_WINDOW, WINDOW, STRIDE = 80, 384, 336
+TRAIN_WINDOW, WINDOW, STRIDE = 80, 768, 720
 SYMBOLS, STATE, LABELS = 130, 8, 2 * len(KINDS) + 1
 EPOCHS, BATCH, RATE, SEED, PER_KIND = 12, 64, 0.02, 11, 250
-DECODED = 768
+#: Windows decoded at once, all padded to one length, a multiple of PAD.
+DECODED, PAD = 768, 128
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -224,37 +225,65 @@ class Tagger:
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Best label path of each window (batch, time).
 
-        Where label 0 leads everywhere by more than any transitions can make up for, the path is all 0: leaving it for m
-        characters changes m + 1 transitions, each worth at most ``gain``.
+        A run of m characters without label 0 loses that label's lead in each of them, and its m + 1 transitions win at
+        most ``enter``, m - 1 times ``stay`` and ``leave`` over those of label 0. Characters that no run can pay for are
+        label 0 whatever else happens, so only the stretches between them are searched for the best path.
         """
-        trans, p = self.p["trans"], self.p
+        trans, p = self.p["trans"] - self.p["trans"][0, 0], self.p
         fwd = np.ascontiguousarray(x.T)
+        steps, batch = fwd.shape
         there = lstm_run(p["t0"], fwd, p["u0"]).reshape(-1, STATE)
         back = np.ascontiguousarray(lstm_run(p["t1"], fwd[::-1], p["u1"])[::-1]).reshape(-1, STATE)
         e = p["out"][:STATE].T @ there.T
         e += p["out"][STATE:].T @ back.T
         e += p["bias"][:, None]
-        gain = max(0.0, float(trans.max() - trans[0, 0]))
-        start = max(0.0, float(p["begin"].max() - p["begin"][0]))
-        lead = (e[0] - e[1:].max(0)).reshape(fwd.shape).min(0)
+        stay = float(trans[1:, 1:].max())
+        enter = max(float(trans[0, 1:].max()), float(p["begin"][1:].max() - p["begin"][0]))
+        leave = max(float(trans[1:, 0].max()), 0.0)
+        gain = stay - (e[0] - e[1:].max(0)).reshape(fwd.shape)
+        total = np.zeros((steps + 1, batch))
+        np.cumsum(gain, axis=0, out=total[1:])
+        before = np.minimum.accumulate(total[:-1], axis=0)
+        after = np.maximum.accumulate(total[:0:-1], axis=0)[::-1]
+        open_ = (after - before + (enter + leave - stay) > -1e-3).T  # the best run through each character
         out = np.zeros(x.shape, np.int64)
-        unsure = np.flatnonzero(lead <= 2 * gain + start)
-        if len(unsure):
-            out[unsure] = self._viterbi(e.reshape(LABELS, *fwd.shape)[:, :, unsure].transpose(1, 2, 0))
+        if open_.any():
+            self._stretches(e, open_, out)
         return out
 
-    def _viterbi(self, e: np.ndarray) -> np.ndarray:
-        steps, batch, _ = e.shape
+    def _stretches(self, e: np.ndarray, open_: np.ndarray, out: np.ndarray) -> None:
+        """Best labels of the open stretches, each between characters that are label 0 or the edges of its window."""
+        batch, steps = open_.shape
+        edge = np.diff(np.pad(open_, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        row, first = np.nonzero(edge == 1)
+        last = np.nonzero(edge == -1)[1]
+        low, high = np.maximum(first - 1, 0), np.minimum(last + 1, steps)
+        size = high - low
+        order = np.argsort(size, kind="stable")
+        for i in range(0, len(order), 1024):
+            own = order[i : i + 1024]
+            at = low[own][:, None] + np.arange(size[own].max())
+            real = at < high[own][:, None]
+            where = np.minimum(at, steps - 1) * batch + row[own][:, None]
+            path = self._viterbi(e[:, where].transpose(2, 1, 0), real.T, first[own] > 0)
+            out[np.repeat(row[own], size[own]), at[real]] = path[real]
+
+    def _viterbi(self, e: np.ndarray, real: np.ndarray, closed: np.ndarray) -> np.ndarray:
+        """(stretch, place) for emissions (place, stretch, label); a ``closed`` stretch begins with label 0."""
+        steps, n, _ = e.shape
         score = self.p["begin"] + e[0]
-        back = np.empty((steps, batch, LABELS), np.int8)
+        score[closed, 1:] = -1e9
+        back = np.empty((steps, n, LABELS), np.int8)
+        same = np.arange(LABELS, dtype=np.int8)
         for t in range(1, steps):
             options = score[:, :, None] + self.p["trans"]
-            back[t] = options.argmax(1)
-            score = options.max(1) + e[t]
-        path = np.empty((batch, steps), np.int64)
+            there = real[t][:, None]
+            back[t] = np.where(there, options.argmax(1), same)
+            score = np.where(there, options.max(1) + e[t], score)
+        path = np.empty((n, steps), np.int64)
         path[:, -1] = score.argmax(1)
         for t in range(steps - 1, 0, -1):
-            path[:, t - 1] = back[t][np.arange(batch), path[:, t]]
+            path[:, t - 1] = back[t][np.arange(n), path[:, t]]
         return path
 
 
@@ -285,9 +314,12 @@ def label_texts(net: Tagger, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     text = np.repeat(np.arange(len(sizes)), count)
     first = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
     labels = np.zeros(len(flat), np.int64)
-    edge, places = (WINDOW - STRIDE) // 2, np.arange(WINDOW)
-    for i in range(0, len(text), DECODED):
-        of, at = text[i : i + DECODED], first[i : i + DECODED]
+    edge = (WINDOW - STRIDE) // 2
+    length = np.minimum(sizes[text] - first, WINDOW)
+    width = -(-length // PAD) * PAD
+    batches = [own[i : i + DECODED] for w in np.unique(width) for own in [np.flatnonzero(width == w)] for i in range(0, len(own), DECODED)]
+    for batch in batches:
+        of, at, places = text[batch], first[batch], np.arange(width[batch[0]])
         place = at[:, None] + places
         inside = place < sizes[of][:, None]
         where = np.where(inside, offsets[of][:, None] + place, 0)
@@ -372,7 +404,7 @@ def find_pii(docs: DataFrame, weights: bytes | None = None) -> DataFrame:
         net = Tagger(params) if params else None
         for batch in batches:
             batch = batch.select(names)
-            for start, stop in slices(batch.column("text"), 2 << 20):
+            for start, stop in slices(batch.column("text"), 4 << 20):
                 part = batch.slice(start, stop - start)
                 both = find_spans(net, [t or "" for t in part.column("text").to_pylist()])
                 columns = [
