@@ -35,6 +35,8 @@ from .hashing import mix, rolling, word_hashes
 FUNCTIONS, ROWS, BITS = 128, 4, 2
 #: Members of a bucket that are compared in one group.
 BLOCK = 2048
+#: Ids that are sent to every executor, at most (16 bytes each or so); more are joined by a shuffle of the texts.
+SENT_IDS = 4_000_000
 WIDTH, SIMILARITY = 5, 0.8
 #: Bytes of text hashed together.
 SLICE = 3 << 20
@@ -134,6 +136,11 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SKETCH)
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked to be broadcast where it is known to be small."""
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+
 def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """id and sorted shingle hashes of the documents in ``ids``."""
 
@@ -145,7 +152,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 sets = [hashed[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(_few(ids), "id", "left_semi")
     return texts.mapInArrow(run, "id long, shingles binary")
 
 
@@ -236,7 +243,8 @@ def link_components(docs: DataFrame, classes: DataFrame, width: int, similarity:
     buckets = buckets.where("size > 1").groupBy("a", "size", "x", "y").agg(F.min("key").alias("key")).select("key", "a", "size")
     members = materialize(keys.join(buckets, "key"), "near-buckets")
     first = members.where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    sets = materialize(_full_sets(docs, members.select("id").distinct(), width), "near-sets")
+    ids = materialize(members.select("id").distinct(), "near-ids")
+    sets = materialize(_full_sets(docs, ids, width), "near-sets")
     sketch = classes.select("id", "n", "signature")
     likely = materialize(_likely(first, sketch, similarity), "near-likely")
     links = materialize(_confirmed(likely, sets, percent), "near-links")
@@ -277,5 +285,6 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
 
 def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id, with all its columns."""
-    kept = near_duplicates(docs, width, similarity).where(F.col("kept")).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    found = near_duplicates(docs, width, similarity).where(~F.col("kept"))
+    gone = materialize(found.select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
+    return docs.join(_few(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
