@@ -212,6 +212,29 @@ _NAMES = [f.split()[0] for f in _SEGMENT.split(", ")]
 _KINDS = [pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
 
+#: A merge gives rows of a run (with a bucket) and repeated places (with a doc_id).
+_MERGED = f"{_SEGMENT}, doc_id long, at int, mask short"
+
+
+def _merge(keep: bool):
+    """Merge of one bucket: the batch's segments against each other and the runs; with ``keep`` also the batch's own run."""
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        mine = _entries_of(rows[~rows.old])
+        out = pd.DataFrame(columns=[f.split()[0] for f in _MERGED.split(", ")])
+        if mine is None:
+            return out
+        doc, at, mask = repeated_places(mine, _entries_of(rows[rows.old]))
+        out = out.astype(object).reindex(range(len(doc)))
+        out["doc_id"], out["at"], out["mask"] = doc, at, mask.astype(np.int16)
+        if keep:
+            run = pd.DataFrame([(rows.bucket.iloc[0], True, *merged_run([mine]).pack())], columns=_NAMES)
+            out = pd.concat([run.reindex(columns=out.columns).astype(object), out.astype(object)], ignore_index=True)
+        return out
+
+    return merge
+
+
 class FingerprintIndex:
     """Immutable runs of fingerprints in a folder that all executors share; ``buckets`` is fixed with the index."""
 
@@ -222,9 +245,9 @@ class FingerprintIndex:
         self.runs: list[tuple[int, str]] = []  # level and folder
 
     def _read(self, runs: list[tuple[int, str]]) -> DataFrame:
-        return self.spark.read.schema(_SEGMENT).parquet(*(p for _, p in runs))
+        return self.spark.read.schema(_SEGMENT).parquet(*(p for _, p in runs)).where("bucket is not null")
 
-    def _write(self, parts: DataFrame, level: int) -> None:
+    def _compact(self, parts: DataFrame, level: int) -> None:
         def merge(rows: pd.DataFrame) -> pd.DataFrame:
             own = merged_run([_entries_of(rows)])
             return pd.DataFrame([(rows.bucket.iloc[0], True, *own.pack())], columns=_NAMES)
@@ -235,25 +258,21 @@ class FingerprintIndex:
 
     def lookup(self, own: DataFrame) -> DataFrame:
         """doc_id, at and mask: the batch's places with repeated windows, bit j for the window that starts at at + j."""
-
-        def merge(rows: pd.DataFrame) -> pd.DataFrame:
-            mine = _entries_of(rows[~rows.old])
-            if mine is None:
-                return pd.DataFrame({"doc_id": [], "at": [], "mask": []})
-            doc, at, mask = repeated_places(mine, _entries_of(rows[rows.old]))
-            return pd.DataFrame({"doc_id": doc, "at": at, "mask": mask.astype(np.int16)})
-
         rows = own.unionByName(self._read(self.runs)) if self.runs else own
-        return rows.groupBy("bucket").applyInPandas(merge, "doc_id long, at int, mask short")
+        return rows.groupBy("bucket").applyInPandas(_merge(False), _MERGED).select("doc_id", "at", "mask")
 
-    def append(self, own: DataFrame) -> None:
-        """A batch's segments as a new run; ``FAN_IN`` runs of one level become one of the next."""
-        self._write(own, 0)
+    def ingest(self, own: DataFrame) -> DataFrame:
+        """:func:`lookup`, and the batch becomes a run in the same pass; ``FAN_IN`` runs of one level become one of the next."""
+        rows = own.unionByName(self._read(self.runs)) if self.runs else own
+        folder = f"{self.path}/run-{uuid.uuid4().hex}"
+        rows.groupBy("bucket").applyInPandas(_merge(True), _MERGED).write.option("compression", "none").parquet(folder)
+        self.runs.append((0, folder))
         level = 0
         while len(same := [r for r in self.runs if r[0] == level]) >= FAN_IN:
-            self._write(self._read(same), level + 1)
+            self._compact(self._read(same), level + 1)
             self.runs = [r for r in self.runs if r not in same]
             level += 1
+        return self.spark.read.schema("doc_id long, at int, mask short").parquet(folder).where("doc_id is not null")
 
     def save(self) -> str:
         """Names of the runs and the number of buckets, to open the index again."""
@@ -307,28 +326,32 @@ def _remove(docs: DataFrame, hits: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
+#: Part of the ids that :func:`dedupe` indexes as its first batch.
+HISTORY = 0.2
+
+
 def dedupe_batch(docs: DataFrame, index: FingerprintIndex, append: bool = True) -> DataFrame:
     """The batch without passages that the index or a smaller document of the batch has; then the batch joins the index.
 
     Ids of a batch must be larger than those of the batches before it for a window to go from the later document.
     """
     own = segments(docs, index.buckets)
-    if append:
-        folder = f"{index.path}/batch-{uuid.uuid4().hex}"
-        own.write.option("compression", "none").parquet(folder)
-        own = index.spark.read.schema(_SEGMENT).parquet(folder)
-        hits = index.lookup(own).select("*")
-        kept = f"{index.path}/hits-{uuid.uuid4().hex}"
-        hits.write.parquet(kept)
-        hits = index.spark.read.schema("doc_id long, at int, mask short").parquet(kept)
-        index.append(own)
-    else:
-        hits = index.lookup(own)
+    return _remove(docs, index.ingest(own) if append else index.lookup(own))
+
+
+def dedupe(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
+    """A whole table through an empty index: the first ids as its history, the others as a new batch; texts move once."""
+    bound = docs.select(F.col("doc_id").cast("double").alias("i")).approxQuantile("i", [HISTORY], 0.01)
+    if not bound:
+        return _remove(docs, index.lookup(segments(docs, index.buckets)))
+    first = F.col("doc_id") <= int(bound[0])
+    hits = index.ingest(segments(docs.where(first), index.buckets))
+    hits = hits.unionByName(index.lookup(segments(docs.where(~first), index.buckets)))
     return _remove(docs, hits)
 
 
 def substring_report(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """The contract's digest: the whole table as one batch against an index that is empty before."""
+    """The contract's digest of :func:`dedupe`."""
     docs = docs.select("doc_id", "text")
-    found = dedupe_batch(docs, FingerprintIndex(docs.sparkSession, buckets), append=False)
+    found = dedupe(docs, FingerprintIndex(docs.sparkSession, buckets))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
