@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import slices
+from .common import materialize, slices
 
 #: Documents in which a template recurs, at least.
 MIN_DOCS = 10
@@ -85,7 +85,7 @@ def recurring_templates(keys: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with n_lines, n_dropped and kept, the text without lines of templates that recur."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
-    keys = _keys(docs)
+    keys = materialize(_keys(docs), "line-keys")
     found = recurring_templates(keys, min_docs)
     # each document's own recurring templates, but for those it is the first document of
     own = keys.join(found, "key").where("doc_id is null or doc_id <> first_doc")
