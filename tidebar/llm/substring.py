@@ -1,9 +1,10 @@
 """Substring deduplication over a log-structured fingerprint index.
 
 Fingerprints are hashes of windows of 13 consecutive words. Each window belongs to its anchor, the least hash of the
-6-word runs in it, so neighbouring windows share one entry of the index: the anchor's 64-bit hash and 40 bits of each of
-its windows (at most eight). Equal windows have equal anchors, so an entry is found by its anchor and verified window by
-window by the other 40 bits, which come from a hash of its own.
+6-word runs in it, so neighbouring windows share one entry of the index: the anchor's 64-bit hash and a 64-bit hash of
+each of its windows (at most eight). Equal windows have equal anchors, so an entry is found by its anchor and verified
+window by window by its own hash, which is all that tells windows of one anchor apart: n of them make n * n / 2**65 false
+matches.
 
 Each slice of texts gives, for each bucket of anchors, one sorted immutable segment in which entries with the same
 windows are one, with the documents they start in. A batch's segments meet the runs of earlier batches in their bucket,
@@ -38,7 +39,6 @@ SPAN = WINDOW - GRAM + 1  # windows of an anchor, at most
 SEGMENT_BYTES = 4 << 20
 #: Runs of one level that are compacted together.
 FAN_IN = 4
-CHECK_BYTES = 5
 _SEGMENT = "bucket int, old boolean, entries int, places int, fingerprints binary, packed binary"
 
 
@@ -59,9 +59,8 @@ class Entries:
         self.anchor, self.count, self.times, self.check, self.doc, self.at = anchor, count, times, check, doc, at
 
     def pack(self) -> tuple[int, int, bytes, bytes]:
-        check = self.check.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CHECK_BYTES]
         packed = _planes(self.count) + _planes(self.times) + _planes(self.doc) + _planes(self.at)
-        plain = self.anchor.tobytes() + check.tobytes()
+        plain = self.anchor.tobytes() + self.check.tobytes()
         return len(self.anchor), len(self.doc), plain, pa.compress(packed, codec="zstd", asbytes=True)
 
     @staticmethod
@@ -71,10 +70,7 @@ class Entries:
         times = _from_planes(raw[n:], np.uint32, n)
         doc = _from_planes(raw[n * 5 :], np.int64, places)
         at = _from_planes(raw[n * 5 + places * 8 :], np.int32, places)
-        short = np.frombuffer(plain, np.uint8, offset=n * 8).reshape(-1, CHECK_BYTES)
-        check = np.zeros((len(short), 8), np.uint8)
-        check[:, :CHECK_BYTES] = short
-        return Entries(np.frombuffer(plain, np.uint64, n), count, times, check.view(np.uint64).reshape(-1), doc, at)
+        return Entries(np.frombuffer(plain, np.uint64, n), count, times, np.frombuffer(plain, np.uint64, offset=n * 8), doc, at)
 
     def take(self, chosen: np.ndarray) -> Entries:
         """These entries, in this order, with all their windows and places."""
@@ -121,7 +117,7 @@ def slice_entries(texts: pa.Array, ids: np.ndarray) -> Entries:
     new = np.concatenate([[True], same[order][1:] != same[order][:-1]])
     lead = order[new]
     times = np.diff(np.append(np.flatnonzero(new), len(order)))
-    all_windows = Entries(anchor[first], count.astype(np.uint8), np.ones(len(first), np.uint32), whole & np.uint64((1 << 40) - 1), ids[text[first]], (start[first] - offsets[:-1][text[first]]).astype(np.int32))
+    all_windows = Entries(anchor[first], count.astype(np.uint8), np.ones(len(first), np.uint32), whole, ids[text[first]], (start[first] - offsets[:-1][text[first]]).astype(np.int32))
     windows = _ranges(count, lead)
     return Entries(all_windows.anchor[lead], all_windows.count[lead], times.astype(np.uint32), all_windows.check[windows], all_windows.doc[order], all_windows.at[order])
 
