@@ -1,8 +1,11 @@
 """Whole jobs: nothing of a long text, a large group or a common anchor is cut off."""
 
+import random
+
 import numpy as np
+import pyarrow as pa
 
-from tidebar.llm import substring
+from tidebar.llm import substring, toxicity
 
 
 def entries(checks, docs):
@@ -16,3 +19,22 @@ def test_windows_of_one_anchor_are_told_apart_by_all_bits():
     packed = entries([5, 5 + (1 << 50), 5], [1, 2, 3]).pack()
     doc, _, mask = substring.repeated_places(substring.Entries.unpack(*packed), None)
     assert doc.tolist() == [3] and mask.tolist() == [1]
+
+
+def test_training_sees_the_ends_of_long_texts(monkeypatch):
+    """Toxic rows train with a passage after 1500 clean words; late words of clean rows are learnt from as well."""
+    rng = random.Random(5)
+    say = lambda n: [f"w{rng.randrange(300)}" for _ in range(n)]
+    toxic = [" ".join([*say(1500), *["vile", "filth"] * 8, *say(20)]) for _ in range(12)]
+    clean = [" ".join([*say(1500), *["lateword"] * 300]) for _ in range(12)]
+    seen, known = set(), toxicity.Net.gradients
+
+    def spy(self, words, *rest):
+        seen.update(words.bucket.tolist())
+        return known(self, words, *rest)
+
+    monkeypatch.setattr(toxicity.Net, "gradients", spy)
+    weights = toxicity.train(toxic + clean, [1] * 12 + [0] * 12)
+    assert set(toxicity.word_buckets(pa.array(["vile", "filth", "lateword"])).tolist()) <= seen
+    found = toxicity.score_texts(toxicity.Net(weights), pa.array(toxic + clean))
+    assert found[:12].min() > found[12:].max()

@@ -3,7 +3,8 @@
 A word's input is the vector of the word (hashed) plus the mean vector of its character n-grams (bytes of the word
 between markers, hashed). Overlapping windows of words run through the network in both directions, attention pools the
 states of a window, and a document's score is the largest score of its windows. All is trained in numpy, in one task,
-on a bounded sample of labelled rows; a toxic document trains with the window that looks most toxic so far.
+on a bounded sample of labelled rows; a toxic document trains with the window of its whole text that looks most toxic so
+far, and clean windows are drawn from whole texts too.
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod 3 is not 1. Labels, language, source and id are never
 inputs of a score. Defined results: null and empty texts are scored as a window without words; null labels are not
@@ -26,8 +27,8 @@ from .recurrent import Adam, gru, gru_back, gru_run, sigmoid
 
 #: Words of a window, and words from one window's start to the next one's.
 WINDOW, STRIDE = 64, 48
-#: Labelled rows of each class that are learnt from, at most; of a row at most so many windows.
-SAMPLE_ROWS, SAMPLE_WINDOWS = 1000, 24
+#: Labelled rows of each class that are learnt from, at most, each with all its windows.
+SAMPLE_ROWS = 1000
 #: Hash buckets of words and of n-grams, sizes of their vectors and of the states, n-gram lengths in bytes.
 BUCKETS, GRAM_BUCKETS, EMBED, STATE, GRAMS = 1 << 13, 1 << 14, 12, 8, (3, 4, 5)
 EPOCHS, BATCH, RATE, SEED = 6, 96, 0.01, 7
@@ -102,17 +103,26 @@ class Words:
         return x
 
 
-def windows_of(offsets: np.ndarray, codes: np.ndarray, blank: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word codes (window, place) and the text of each window; each text has one window at least."""
-    sizes = np.diff(offsets)
-    count = np.maximum(1, -(-(sizes - (WINDOW - STRIDE)) // STRIDE))
-    text = np.repeat(np.arange(len(sizes)), count)
+def window_starts(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and text of each window; each text has one window at least."""
+    count = np.maximum(1, -(-(np.diff(offsets) - (WINDOW - STRIDE)) // STRIDE))
+    text = np.repeat(np.arange(len(count)), count)
     k = np.arange(len(text)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-    place = (k * STRIDE)[:, None] + np.arange(WINDOW)
-    inside = place < sizes[text][:, None]
-    at = np.where(inside, offsets[:-1][text][:, None] + place, 0)
-    out = codes[at] if len(codes) else np.full(at.shape, blank)
-    return np.where(inside, out, blank), text
+    return offsets[:-1][text] + k * STRIDE, text
+
+
+def window_codes(start: np.ndarray, text: np.ndarray, offsets: np.ndarray, codes: np.ndarray, blank: int) -> np.ndarray:
+    """Word codes (window, place) of these windows."""
+    place = start[:, None] + np.arange(WINDOW)
+    inside = place < offsets[1:][text][:, None]
+    out = codes[np.where(inside, place, 0)] if len(codes) else np.full(place.shape, blank)
+    return np.where(inside, out, blank)
+
+
+def windows_of(offsets: np.ndarray, codes: np.ndarray, blank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word codes (window, place) and the text of each window."""
+    start, text = window_starts(offsets)
+    return window_codes(start, text, offsets, codes, blank), text
 
 
 class Net:
@@ -220,17 +230,17 @@ def train(texts: list[str], labels: list[int]) -> dict | None:
     grams = words.grams[np.repeat(starts[word_rows[0]], counts) + within]
     net.p["word"][:, 0] = _log_odds(words.bucket[word_rows[0]], word_rows[1], labels, BUCKETS) / 3
     net.p["gram"][:, 0] = _log_odds(grams, np.repeat(word_rows[1], counts), labels, GRAM_BUCKETS) / 3
-    grid, text = windows_of(offsets, codes, blank)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(text)) + 1])
-    within = np.arange(len(text)) - np.repeat(first, np.diff(np.append(first, len(text))))
-    grid, text = grid[within < SAMPLE_WINDOWS], text[within < SAMPLE_WINDOWS]
+    # all windows of all rows, of which only a block's codes are at hand
+    begin, text = window_starts(offsets)
+    windows = lambda at: window_codes(begin[at], text[at], offsets, codes, blank)
+    scored = lambda f: np.concatenate([f(windows(slice(i, i + SCORED))) for i in range(0, len(begin), SCORED)])
     rng, adam = np.random.default_rng(SEED), Adam(net.p, RATE)
     looks = words.inputs(net.p)[:, 0]
-    score = np.sort(looks[grid], axis=1)[:, -3:].sum(1)
+    score = scored(lambda grid: np.sort(looks[grid], axis=1)[:, -3:].sum(1))
     for epoch in range(EPOCHS):
         if epoch:
             tables = net.tables(words.inputs(net.p))
-            score = np.concatenate([net.logits(tables, grid[i : i + SCORED], blank)[0] for i in range(0, len(grid), SCORED)])
+            score = scored(lambda grid: net.logits(tables, grid, blank)[0])
         order = np.lexsort((-score, text))
         best = order[np.concatenate([[True], np.diff(text[order]) > 0])]
         toxic = best[labels[text[best]] == 1]
@@ -242,12 +252,12 @@ def train(texts: list[str], labels: list[int]) -> dict | None:
         for i in range(0, len(chosen), BATCH):
             own = shuffled[i : i + BATCH]
             at = chosen[own]
-            used, small = np.unique(grid[at], return_inverse=True)
+            grid = windows(at)
+            used, small = np.unique(grid, return_inverse=True)
             local = _subset(words, used, blank)
             adam.rate = RATE * (1 - 0.9 * epoch / EPOCHS)
-            codes_here = small.reshape(grid[at].shape)
             gone = len(local.bucket) - 1
-            codes_here = np.where(grid[at] == blank, gone, codes_here)
+            codes_here = np.where(grid == blank, gone, small.reshape(grid.shape))
             adam.update(net.gradients(local, codes_here, gone, labels[text[at]], weight[own].astype(np.float32), (rng.random(len(local.bucket)) >= UNKNOWN).astype(np.float32)))
     return net.p
 
