@@ -18,6 +18,8 @@ from .trading import QUOTED, quoted
 NAMES = list(X.PRICE_FEATURES)
 #: Walk-forward sizes and reach of durations that suit the length of the series here.
 TRAIN, TEST, MOST = 100, 40, 20
+#: Sweeps of a Gibbs chain, half of them burn-in: those of the operator.
+GIBBS = 2000
 PI, A = [0.5, 0.3, 0.2], [0.7, 0.2, 0.1, 0.3, 0.4, 0.3, 0.1, 0.3, 0.6]
 MU, VAR, PRICE = [-2.0, 0.0, 2.0], [4.0, 2.0, 4.0], 6.0
 
@@ -142,7 +144,7 @@ def vb_hsmm_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gibbs_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    draws = grouped.posterior_draws(features(spark, sf_dir).where("row < 150"), NAMES, "gibbs", chains=2, rounds=60)
+    draws = grouped.posterior_draws(features(spark, sf_dir), NAMES, "gibbs", chains=2, rounds=GIBBS)
     return grouped.state_intervals(draws, "means")
 
 
