@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go; documents stay, with what is left of their text."""
-    found = lines.drop_recurring_lines(docs)
+    """Lines of recurring templates and long lines said twice go; documents stay, with what is left of their text."""
+    found = lines.drop_recurring_lines(docs, exact_docs=2)
     own = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return found.select(*(own[c].alias(c) if c in own else F.col(c) for c in docs.columns))
 

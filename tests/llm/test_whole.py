@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
 from tidebar.llm import substring, toxicity
 
 
@@ -38,3 +39,14 @@ def test_training_sees_the_ends_of_long_texts(monkeypatch):
     assert set(toxicity.word_buckets(pa.array(["vile", "filth", "lateword"])).tolist()) <= seen
     found = toxicity.score_texts(toxicity.Net(weights), pa.array(toxic + clean))
     assert found[:12].min() > found[12:].max()
+
+
+def test_pipeline_drops_long_lines_of_two_documents(spark):
+    """A passage of two documents goes from the later one; short lines and lines of other numbers stay."""
+    passage = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    numbers = " ".join(["row", "of", *(str(i) for i in range(12))])
+    others = numbers.replace("11", "12")
+    texts = [f"one\n{passage}\nshort line here", f"{passage}\nshort line here\n{numbers}", f"three\n{others}"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = dict(sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_lines(spark, docs, "").collect()))
+    assert found == {0: texts[0], 1: f"short line here\n{numbers}", 2: texts[2]}

@@ -11,6 +11,9 @@ least. A leaf is thus a set of keys, and nothing ever gathers the lines of a lea
 A template recurs if it is in ``MIN_DOCS`` documents at least. Its lines are dropped from every document but the one
 with the smallest id, so what is said once stays somewhere. Documents stay, also those without lines left.
 
+With ``exact_docs`` (the pipeline's stage), lines of ``EXACT_TOKENS`` tokens and more, too long to be equal by chance, also
+recur if the line itself, digits included, is in that many documents.
+
 Defined results: a null text stays null, null and empty texts have no lines; blank lines are never dropped and count as lines; rows with a
 null id are compared, and lose recurring lines, but are nobody's first document; repeated rows of one id are one
 document; other columns are left alone, but for columns named n_lines, n_dropped or kept, which are replaced.
@@ -32,28 +35,36 @@ from .common import materialize, slices
 MIN_DOCS = 10
 #: Leading tokens on the way to a leaf, and fixed tokens that a generalised template needs beside them.
 LEADING, LEAST_FIXED = 2, 3
+#: Tokens of a line that is no coincidence.
+EXACT_TOKENS = 13
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _DIGIT = re.compile(r"[0-9]")
 
 
-def template_keys(line: str) -> tuple[int, ...]:
-    """Keys of a line's templates: all its fixed tokens, those at even places and those at odd ones."""
-    tokens = ["<*>" if _DIGIT.search(t) else t for t in _TOKEN.findall(line)]
+def template_keys(line: str, exact: bool = False) -> tuple[int, ...]:
+    """Keys of a line's templates: all its fixed tokens, those at even places and those at odd ones; these are even numbers.
+
+    With ``exact`` a long line has a key of its own tokens as well, which is odd.
+    """
+    words = _TOKEN.findall(line)
+    tokens = ["<*>" if _DIGIT.search(t) else t for t in words]
     if not tokens:
         return ()
     path = [str(len(tokens)), *tokens[:LEADING]]
     rest = tokens[LEADING:]
-    key = lambda kind, part: xxhash.xxh3_64_intdigest("\n".join([kind, *path, *part])) - (1 << 63)
+    key = lambda kind, part: xxhash.xxh3_64_intdigest("\n".join([kind, *path, *part])) - (1 << 63) & ~1
     if len(tokens) <= LEADING:
         return (key("all", rest),)
     keys = [key("all", rest)]
     for kind, part in (("even", rest[0::2]), ("odd", rest[1::2])):
         if sum(t != "<*>" for t in part) >= LEAST_FIXED:
             keys.append(key(kind, part))
+    if exact and len(words) >= EXACT_TOKENS:
+        keys.append(key("exact", words) | 1)
     return tuple(keys)
 
 
-def _keys(docs: DataFrame) -> DataFrame:
+def _keys(docs: DataFrame, exact: bool) -> DataFrame:
     """doc_id and key, once for each document of a slice."""
 
     def run(batches):
@@ -67,7 +78,7 @@ def _keys(docs: DataFrame) -> DataFrame:
                     for line in set((text or "").split("\n")):
                         keys = known.get(line)
                         if keys is None:
-                            keys = known[line] = template_keys(line)
+                            keys = known[line] = template_keys(line, exact)
                         own.update(keys)
                     doc += [i] * len(own)
                     key += own
@@ -76,17 +87,19 @@ def _keys(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key long")
 
 
-def recurring_templates(keys: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """key and first_doc (the smallest id) of the templates in ``min_docs`` documents at least."""
+def recurring_templates(keys: DataFrame, min_docs: int = MIN_DOCS, exact_docs: int | None = None) -> DataFrame:
+    """key and first_doc (the smallest id) of the templates in ``min_docs`` documents at least, exact lines in ``exact_docs``."""
+    least = F.lit(min_docs) if exact_docs is None else F.when(F.col("key") % 2 == 0, min_docs).otherwise(exact_docs)
     found = keys.groupBy("key").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
-    return found.where((F.col("docs") >= min_docs) & F.col("first_doc").isNotNull()).select("key", "first_doc")
+    return found.where((F.col("docs") >= least) & F.col("first_doc").isNotNull()).select("key", "first_doc")
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, exact_docs: int | None = None) -> DataFrame:
     """``docs`` with n_lines, n_dropped and kept, the text without lines of templates that recur."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
-    keys = materialize(_keys(docs), "line-keys")
-    found = recurring_templates(keys, min_docs)
+    exact = exact_docs is not None
+    keys = materialize(_keys(docs, exact), "line-keys")
+    found = recurring_templates(keys, min_docs, exact_docs)
     # each document's own recurring templates, but for those it is the first document of
     own = keys.join(found, "key").where("doc_id is null or doc_id <> first_doc")
     gone = own.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("key").alias("_gone"))
@@ -102,7 +115,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
                     n_lines.append(len(lines))
                     if gone.is_valid and lines:
                         keys = set(gone.as_py())
-                        left = [x for x in lines if keys.isdisjoint(template_keys(x))]
+                        left = [x for x in lines if keys.isdisjoint(template_keys(x, exact))]
                     else:
                         left = lines
                     n_dropped.append(len(lines) - len(left))
