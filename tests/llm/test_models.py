@@ -91,7 +91,9 @@ def test_toxicity_of_odd_rows(spark, docs, empty):
     assert toxicity.toxicity_report(empty, labels).collect() == []
     none = spark.createDataFrame([], labels.schema)
     assert {r.score for r in toxicity.toxicity_report(docs, none).collect()} == {0.0}
-    assert toxicity.drop_toxic(docs, none).columns == docs.columns
+    kept = toxicity.drop_toxic(docs, none)
+    assert kept.columns == docs.columns and {r.score for r in kept.collect()} == {1}
+    assert {r.held_out for r in got if r.doc_id is None} == {False}
 
 
 def test_nearest_neighbours(spark):
@@ -110,6 +112,10 @@ def test_nearest_neighbours(spark):
         assert all(r.score == pytest.approx(d[r.vec_id], abs=1e-12) for r in own)
         recall.append(len({r.vec_id for r in own} & set(best.tolist())) / 10)
     assert np.mean(recall) >= 0.9
+    again = [(100, x[5].tolist(), 0), (100, x[5].tolist(), 0), (100, x[6].tolist(), 0)]
+    twice = ann.search_hundredths(spark.createDataFrame(rows + again, "vec_id long, embedding array<float>, label int")).where("query_id = 100").collect()
+    by_rank = sorted(r.rank for r in twice)
+    assert by_rank == sorted([*range(1, 11)] * 3)  # three different vectors of one id, the repeated row asked once
     assert ann.search_hundredths(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
 

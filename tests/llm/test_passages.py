@@ -43,7 +43,8 @@ def test_substrings_batch_by_batch_are_the_same(spark, docs):
     got, bounds = [], [0, 6, 11, 13, 31, 34, 41, 100]
     for low, high in itertools.pairwise(bounds):
         batch = docs.where(F.col("doc_id").between(low, high - 1))
-        got += [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.dedupe_batch(batch, index).collect()]
+        earlier = docs.where(F.col("doc_id") < low)
+        got += [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.dedupe_batch(batch, index, earlier).collect()]
         index = substring.FingerprintIndex.load(spark, index.save())
     assert sorted(got, key=str) == [r for r in brute_substrings(corpus()) if r[0] is not None]
     assert len(index.runs) < len(bounds) - 1 and any(level for level, _ in index.runs)
@@ -121,6 +122,14 @@ def test_near_copies_in_blocks(spark, monkeypatch):
     test_chains_of_near_copies_are_one_component(spark)
 
 
+def test_an_id_with_several_texts_keeps_the_links_of_each(spark):
+    say = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(7, say("x", 60)), (7, say("y", 60)), (8, say("y", 59)), (9, say("x", 59)), (10, say("z", 60)), (7, say("x", 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, 4).collect()))
+    assert got == [(7, 7), (7, 7), (7, 7), (8, 7), (9, 7), (10, 10)]
+
+
 def test_components(spark):
     pairs = [(5, 4), (4, 3), (3, 9), (20, 21), (21, 22), (30, 30), (9, 100), (100, 5)]
     got = components.components(spark.createDataFrame(pairs, "u long, v long"))

@@ -9,17 +9,26 @@ import corpus_pipeline
 from tidebar.llm import substring, toxicity
 
 
-def entries(checks, docs):
-    n = len(docs)
-    return substring.Entries(
-        np.full(n, 7, np.uint64), np.ones(n, np.uint8), np.ones(n, np.uint32), np.array(checks, np.uint64), np.array(docs, np.int64), np.zeros(n, np.int32)
-    )
-
-
-def test_windows_of_one_anchor_are_told_apart_by_all_bits():
-    packed = entries([5, 5 + (1 << 50), 5], [1, 2, 3]).pack()
-    doc, _, mask = substring.repeated_places(substring.Entries.unpack(*packed), None)
-    assert doc.tolist() == [3] and mask.tolist() == [1]
+def test_windows_are_told_apart_by_all_bits():
+    """Windows that differ in one bit of either check are not one; the least document of a window is not repeated."""
+    check = np.array([5, 5 + (1 << 50), 5, 5], np.uint64)
+    second = np.array([1, 1, 1, 2], np.uint32)
+    doc, place = np.array([1, 2, 3, 4], np.int64), np.zeros(4, np.int32)
+    order = np.argsort(check, kind="stable")
+    packed = substring._pack(*(c[order] for c in (check, second, doc, place)))
+    found = substring._unpack_all([{"packed": packed, "n": 4}], np.uint64, np.uint32, np.int64, np.int32)
+    by, later = substring._least_first(*found)
+    assert found[2][by][later].tolist() == [3]
+
+
+def test_a_phrase_of_a_third_of_all_documents_is_no_repeat(spark):
+    """One hot six-word run in front of words that differ: nothing is removed; the same with one word more in common is."""
+    phrase = [f"hot{i}" for i in range(12)]
+    rows = [(i, " ".join([*phrase[:6], *(f"own{i}x{j}" for j in range(30))])) for i in range(300)]
+    rows += [(1000 + i, " ".join([*phrase, "more", *(f"own{i}y{j}" for j in range(30))])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.n_removed for r in substring.substring_report(docs, 4).collect()}
+    assert {i: n for i, n in found.items() if n} == {1001 + i: 13 for i in range(39)}
 
 
 def test_training_sees_the_ends_of_long_texts(monkeypatch):

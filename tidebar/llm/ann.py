@@ -8,13 +8,15 @@ k-th smallest greatest possible one are out, all others are ranked by their exac
 The index holds every vector, in blocks; queries are a stated set, in blocks too, and each pair of blocks gives at most
 k rows a query. Defined results: vectors that are null, zero or hold null or non-finite components take no part;
 vectors of different length have no distance; rows that repeat an id are candidates on their own, but never of their own
-id; ties go to the smaller id; other columns are left alone; an empty table gives no rows.
+id; a query row that repeats an id with the same vector is asked once, and one with another vector is a query of its own,
+with its own ranks; ties go to the smaller id; other columns are left alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ BLOCK, QUERY_BLOCK = 4096, 512
 BOUND = 3.9
 SEED = 20_24
 _BLOCK = "dim int, n int, ids binary, vectors binary, codes binary, lengths binary, inner binary"
+#: Originals are kept in single precision, as they come, or in double where that would change one.
+_WIDTHS = {4: np.float32, 8: np.float64}
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -33,14 +37,19 @@ def rotation(dim: int, seed: int = SEED) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng([seed, dim]).standard_normal((dim, dim)))[0]
 
 
-def _usable(lists: pa.Array) -> list[tuple[int, np.ndarray]]:
-    """Places and vectors of the rows that take part."""
+def _usable(lists: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length of vector the places of the rows that take part and their vectors as a matrix."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+    values = lists.flatten()
+    ends = np.cumsum(sizes)
+    x = np.asarray(values.cast(pa.float64()).fill_null(np.nan))
+    good = np.concatenate([[0], np.cumsum(np.isfinite(x))])
+    filled = np.concatenate([[0], np.cumsum(x != 0)])
+    ok = (sizes > 0) & (good[ends] - good[ends - sizes] == sizes) & (filled[ends] > filled[ends - sizes])
     out = []
-    for i, x in enumerate(lists.to_pylist()):
-        if x and None not in x:
-            v = np.array(x, np.float64)
-            if np.isfinite(v).all() and v.any():
-                out.append((i, v))
+    for dim in np.unique(sizes[ok]):
+        rows = np.flatnonzero(ok & (sizes == dim))
+        out.append((rows, x[(ends[rows] - dim)[:, None] + np.arange(dim)]))
     return out
 
 
@@ -68,10 +77,19 @@ def bounds(codes, length, inner, queries: np.ndarray, center: np.ndarray) -> tup
 
 
 def _center(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """Mean vector for each dimension: one row for each place of a vector, not of the table."""
-    ok = vectors.where("embedding is not null").select(F.size("embedding").alias("dim"), F.posexplode("embedding"))
-    ok = ok.where("col is not null and not isnan(col) and abs(col) < double('infinity')")
-    means = ok.groupBy("dim", "pos").agg(F.avg(F.col("col").cast("double")).alias("m")).collect()
+    """Mean vector for each dimension, summed up in each task first: one row for each task and length of vector."""
+
+    def run(batches):
+        sums: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            for rows, x in _usable(batch.column("embedding")):
+                n, s = sums.get(x.shape[1], (0, 0.0))
+                sums[x.shape[1]] = (n + len(rows), s + x.sum(0))
+        for dim, (n, s) in sums.items():
+            yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "n": pa.array([n], pa.int64()), "s": pa.array([s.tolist()], pa.list_(pa.float64()))})
+
+    found = vectors.select("embedding").mapInArrow(run, "dim int, n long, s array<double>")
+    means = found.select("dim", "n", F.posexplode("s")).groupBy("dim", "pos").agg((F.sum("col") / F.sum("n")).alias("m")).collect()
     out: dict[int, np.ndarray] = {}
     for r in means:
         out.setdefault(r["dim"], np.zeros(r["dim"]))[r["pos"]] = r["m"]
@@ -84,41 +102,50 @@ def build_blocks(vectors: DataFrame, centers: dict[int, np.ndarray], size: int)
     def run(batches):
         held: dict[int, tuple[list, list]] = {}
 
-        def block(dim):
-            ids, own = held.pop(dim)
-            x = np.stack(own)
+        def block(ids, x):
+            dim = x.shape[1]
             codes, length, inner = encode(x, centers.get(dim, np.zeros(dim)))
-            values = [dim, len(ids), np.array(ids, np.int64).tobytes(), x.tobytes(), codes.tobytes(), length.tobytes(), inner.tobytes()]
+            own = x.astype(np.float32)
+            own = own if (own == x).all() else x
+            values = [dim, len(ids), ids.tobytes(), own.tobytes(), codes.tobytes(), length.tobytes(), inner.tobytes()]
             names = [f.split()[0] for f in _BLOCK.split(", ")]
             kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 5
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=names)
 
         for batch in batches:
-            ids = batch.column("vec_id").to_pylist()
-            for i, v in _usable(batch.column("embedding")):
-                if ids[i] is None:
-                    continue
-                own = held.setdefault(len(v), ([], []))
-                own[0].append(ids[i])
-                own[1].append(v)
-                if len(own[0]) == size:
-                    yield block(len(v))
-        for dim in list(held):
-            yield block(dim)
+            known = np.asarray(batch.column("vec_id").is_valid())
+            every = np.asarray(pc.fill_null(batch.column("vec_id"), 0), dtype=np.int64)
+            for rows, x in _usable(batch.column("embedding")):
+                ids, x = every[rows][known[rows]], x[known[rows]]
+                before = held.pop(x.shape[1], None)
+                if before is not None:
+                    ids, x = np.concatenate([before[0], ids]), np.concatenate([before[1], x])
+                while len(ids) >= size:
+                    yield block(ids[:size], x[:size])
+                    ids, x = ids[size:], x[size:]
+                held[x.shape[1]] = ids, x
+        for ids, x in held.values():
+            if len(ids):
+                yield block(ids, x)
+
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, _BLOCK)
+
 
-    return vectors.select("vec_id", "embedding").mapInArrow(run, _BLOCK)
+def _originals(raw: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, _WIDTHS[len(raw) // (n * dim)]).reshape(n, dim)
 
 
 def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Euclidean distances, summed in the order of the dimensions."""
     total = np.zeros(len(x))
     for j in range(x.shape[1]):
-        total += (x[:, j] - q[j]) ** 2
+        total += (x[:, j].astype(np.float64) - q[j]) ** 2
     return np.sqrt(total)
 
 
 def search_block(ids, x, codes, length, inner, query_ids, queries, center, k: int):
-    """At most ``k`` nearest of one block for each query, all ties in: (query, vector, distance)."""
+    """At most ``k`` nearest of one block for each query, all ties in: (query, its place, vector, distance)."""
+    queries = queries.astype(np.float64)
     low, high = bounds(codes, length, inner, queries, center)
     for q in range(len(queries)):
         other = np.flatnonzero(ids != query_ids[q])
@@ -129,16 +156,16 @@ def search_block(ids, x, codes, length, inner, query_ids, queries, center, k: in
         chosen = other[lows <= limit]
         distance = _exact(x[chosen], queries[q])
         best = np.lexsort((ids[chosen], distance))[:k]
-        yield np.full(len(best), query_ids[q]), ids[chosen[best]], distance[best]
+        yield np.full(len(best), query_ids[q]), np.full(len(best), q), ids[chosen[best]], distance[best]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the ``k`` nearest of ``vectors`` to each query."""
     centers = _center(vectors)
     index = materialize(build_blocks(vectors, centers, BLOCK), "ann-index")
-    dealt = queries.repartition(-(-queries.count() // QUERY_BLOCK) or 1)
-    asked = materialize(build_blocks(dealt, centers, QUERY_BLOCK), "ann-queries")
-    asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("dim", "n", "ids", "vectors")))
+    asked = queries.select("vec_id", "embedding").distinct()
+    asked = materialize(build_blocks(asked.repartition(-(-queries.count() // QUERY_BLOCK) or 1), centers, QUERY_BLOCK), "ann-queries")
+    asked = asked.select(F.monotonically_increasing_id().alias("q_block"), *(F.col(c).alias(f"q_{c}") for c in ("dim", "n", "ids", "vectors")))
 
     def run(batches):
         for batch in batches:
@@ -149,23 +176,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 found = list(
                     search_block(
                         np.frombuffer(r["ids"], np.int64),
-                        np.frombuffer(r["vectors"]).reshape(n, dim),
+                        _originals(r["vectors"], n, dim),
                         np.frombuffer(r["codes"], np.uint8).reshape(n, -1),
                         np.frombuffer(r["lengths"]),
                         np.frombuffer(r["inner"]),
                         np.frombuffer(r["q_ids"], np.int64),
-                        np.frombuffer(r["q_vectors"]).reshape(m, dim),
+                        _originals(r["q_vectors"], m, dim),
                         centers[dim],
                         k,
                     )
                 )
                 if found:
                     columns = [pa.array(np.concatenate(c)) for c in zip(*found)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+                    names = ["query_id", "place", "vec_id", "score"]
+                    yield pa.RecordBatch.from_arrays([pa.array([r["q_block"]] * len(columns[0]), pa.int64()), *columns], names=["q_block", *names])
 
     # the stated query set against the whole index, block by block: a row for each pair of blocks
-    found = index.crossJoin(asked).mapInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = index.crossJoin(asked).mapInArrow(run, "q_block long, query_id long, place long, vec_id long, score double")
+    order = Window.partitionBy("q_block", "place").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

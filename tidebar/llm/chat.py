@@ -9,7 +9,8 @@ The rolling hash is a sum of hashes of (place, role, text), so prefixes are runn
 
 Defined results: turns go by (turn, role, text), nulls first, and exactly repeated rows of a conversation count once; a
 null role reads ``user``, a null text is empty; rows with a null conv_id are one conversation; an empty table gives no
-rows. Rendered text comes in parts of at most ``PART_TURNS`` turns, so that no row is unbounded.
+rows. Rendered text comes in parts of at most ``PART_TURNS`` turns, so that no row is unbounded. Turns of a conversation that
+share a turn number, or have none, are ordered in one task. Other columns take no part.
 """
 
 from __future__ import annotations
@@ -56,15 +57,17 @@ def _hash(seed: int) -> Column:
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
-    """For each turn the rolling hash of its conversation up to it: h1 and h2, sums modulo 2**62 of two hashes."""
+    """For each turn n_turns of its conversation and the rolling hash up to it: h1 and h2, sums modulo 2**62 of two hashes."""
     part = F.floor((F.col("place") - 1) / PART_TURNS)
     hashed = turns.select("conv_id", "place", part.alias("part"), _hash(1).alias("x1"), _hash(2).alias("x2"))
     running = Window.partitionBy("conv_id", "part").orderBy("place")
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = hashed.groupBy("conv_id", "part").agg(F.sum("x1").alias("t1"), F.sum("x2").alias("t2"))
+    whole = Window.partitionBy("conv_id")
+    sums = hashed.groupBy("conv_id", "part").agg(F.sum("x1").alias("t1"), F.sum("x2").alias("t2"), F.count(F.lit(1)).alias("n"))
     starts = sums.select(
         "conv_id",
         "part",
+        F.sum("n").over(whole).alias("n_turns"),
         F.coalesce(F.sum("t1").over(before), F.lit(0)).alias("s1"),
         F.coalesce(F.sum("t2").over(before), F.lit(0)).alias("s2"),
     )
@@ -77,6 +80,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
         .select(
             "a.conv_id",
             "place",
+            "n_turns",
             F.pmod(F.col("r1") + F.col("s1"), modulus).cast("long").alias("h1"),
             F.pmod(F.col("r2") + F.col("s2"), modulus).cast("long").alias("h2"),
         )
@@ -86,21 +90,10 @@ def prefixes(turns: DataFrame) -> DataFrame:
 def maximal_conversations(turns: DataFrame) -> DataFrame:
     """conv_id and n_turns of the conversations that are no proper prefix of another and the first of their equals."""
     rolling = materialize(prefixes(turns), "chat-prefixes")
-    sizes = rolling.groupBy("conv_id").agg(F.max("place").alias("n_turns"))
-    whole = (
-        rolling.alias("r")
-        .join(sizes.alias("z"), F.col("r.conv_id").eqNullSafe(F.col("z.conv_id")) & (F.col("place") == F.col("n_turns")))
-        .select("z.conv_id", "n_turns", "h1", "h2")
-    )
+    whole = rolling.where(F.col("place") == F.col("n_turns"))
     first = whole.groupBy("n_turns", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
     # a prefix that goes on: a proper prefix of some conversation
-    longer = (
-        rolling.alias("r")
-        .join(sizes.alias("z"), F.col("r.conv_id").eqNullSafe(F.col("z.conv_id")))
-        .where(F.col("place") < F.col("n_turns"))
-        .select(F.col("place").alias("n_turns"), "h1", "h2")
-        .distinct()
-    )
+    longer = rolling.where(F.col("place") < F.col("n_turns")).select(F.col("place").alias("n_turns"), "h1", "h2").distinct()
     return first.join(longer, ["n_turns", "h1", "h2"], "left_anti").select("conv_id", "n_turns")
 
 
@@ -114,12 +107,15 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     kept = materialize(maximal_conversations(turns), "chat-kept")
     part = F.floor((F.col("place") - 1) / PART_TURNS)
     said = F.struct("place", render_turn(F.col("role"), F.col("text")).alias("said"))
+    # by part as well, so that a long conversation is many keys
+    parts = kept.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_turns") - 1) / PART_TURNS).cast("long"))))
+    placed = turns.withColumn("part", part.cast("long"))
     rendered = (
-        turns.alias("t")
-        .join(kept.alias("k"), F.col("t.conv_id").eqNullSafe(F.col("k.conv_id")))
-        .select("t.conv_id", "n_turns", part.alias("part"), said.alias("turn"))
+        placed.alias("t")
+        .join(parts.alias("k"), F.col("t.conv_id").eqNullSafe(F.col("k.conv_id")) & (F.col("t.part") == F.col("k.part")))
+        .select("t.conv_id", "n_turns", "t.part", said.alias("turn"))
         .groupBy("conv_id", "n_turns", "part")
         .agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     )
     text = F.array_join(F.transform("turns", lambda t: t["said"]), "")
-    return rendered.select("conv_id", "n_turns", F.col("part").cast("long").alias("part"), text.alias("text"))
+    return rendered.select("conv_id", "n_turns", "part", text.alias("text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import uuid
 
@@ -31,12 +32,63 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str, rows_per_group: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that its lineage ends in files every executor sees."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more: all that came from them is written as well."""
+    for table in tables:
+        remove_folder(table.sparkSession, table.written_to)
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as keep it off the ``taken`` ones (in any case of letters)."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = "_" + name
+    return name
+
+
+#: A key with more than this part of all rows is hot; there are fewer than its inverse of them, whatever the input.
+HOT_PART = 1 / 2000
+
+
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], rows: str, total: int, by: Column) -> DataFrame:
+    """Inner join with a table of distinct ``keys`` whose column ``rows`` counts the rows of each in ``many`` (``total`` in all).
+
+    A hot key is split by a hash of ``by``, a column of ``many``: its row of ``few`` is repeated once for each part, at most
+    1 / ``HOT_PART`` times for all keys together, and its name and number of parts are all that is broadcast.
+    """
+    each = max(1, int(total * HOT_PART))
+    parts = F.ceil(F.col(rows) / each).cast("int")
+    hot = few.where(F.col(rows) > each).select(*keys, parts.alias("_parts"))
+    salted = many.join(F.broadcast(hot), keys, "left")
+    salted = salted.withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copied = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return salted.join(copied, [*keys, "_part"]).drop("_part")
+
+
+_LIBC = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Give memory that Arrow and malloc hold unused back to the system, so that a reused Python worker starts small."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def group_key(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -32,6 +32,7 @@ def components(links: DataFrame) -> DataFrame:
     now = materialize(links.where("u <> v").select("u", "v").distinct(), "links")
     before = None
     while before != (digest := _digest(now)):
-        before = digest
-        now = materialize(_small_star(_large_star(now)), "links")
+        before, old = digest, now
+        now = materialize(_small_star(_large_star(old)), "links")
+        discard(old)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -7,17 +7,18 @@ confirmed on the full sets; equal sets are one class throughout, so copies are n
 
 In each bucket every class is compared with the least one, which is linear in the bucket; most buckets are one component
 then. Those with more are searched for links between components, with the full sets at hand: members of the largest one
-are only compared with the others, pairs that have been joined meanwhile are passed over, and only links are given. Large
-buckets are compared in pairs of blocks. So no link that could join two components is lost, however large the group, and
-no bucket is expanded into all its pairs.
+are only compared with the others, pairs that have been joined meanwhile are passed over, and only links are given. A large
+bucket is dealt in blocks; a member of its largest component is sent once for each block of other members, which are few.
+So no link that could join two components is lost, however large the group, and no bucket is expanded into all its pairs.
 
 Two sets of similarity 0.8 share none of the 32 bands with probability (1 - 0.8**4)**32 = 5e-8, and the estimate is
 six standard deviations wide.
 
 Defined results: null and empty texts, and texts without words, have an empty set and are linked with nothing; texts of
 fewer words than a shingle have one shingle, all their words; rows with a null id are linked with nothing and kept;
-rows that repeat an id are one document if their sets are equal; an empty table gives no rows; other columns are left
-alone, but for columns named n_shingles, component_id or kept, which are replaced.
+rows that repeat an id are one document, also with different texts: what is near to one of them is linked with the id (ids
+are below 2**62, from where on further texts of an id have numbers of their own meanwhile); an empty table gives no rows;
+the result has no other columns; dropping near duplicates leaves all columns as they are.
 """
 
 from __future__ import annotations
@@ -25,18 +26,20 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import discard, free_name, materialize, release, slices, spread_join
 from .components import components
 from .hashing import mix, rolling, word_hashes
 
 FUNCTIONS, ROWS, BITS = 128, 4, 2
 #: Members of a bucket that are compared in one group.
 BLOCK = 2048
-#: Ids that are sent to every executor, at most (16 bytes each or so); more are joined by a shuffle of the texts.
-SENT_IDS = 4_000_000
+#: Ids that are sent to every executor, at most (three numbers each, so 24 MB); more are joined by a shuffle of the texts.
+SENT_IDS = 1_000_000
+#: From here on classes are numbered whose id has another class already.
+SPARE = 1 << 62
 WIDTH, SIMILARITY = 5, 0.8
 #: Bytes of text hashed together.
 SLICE = 3 << 20
@@ -118,7 +121,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 size = np.diff(bounds)
                 some = np.flatnonzero(size)
                 least = minima(np.append(bounds[:-1][some], bounds[-1]), hashed) if len(some) else np.zeros((0, FUNCTIONS), np.uint64)
-                sums = [np.add.reduceat(mix(hashed + np.uint64(s)), bounds[:-1][some]).view(np.int64) if len(some) else np.zeros(0, np.int64) for s in (1, 2)]
+                sums = [_set_hash(bounds[:-1][some], hashed, s) if len(some) else np.zeros(0, np.int64) for s in (1, 2)]
                 keys, packed = band_keys(least), signature(least)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
                 place = np.full(len(size), -1)
@@ -132,6 +135,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                     pa.array([x.tobytes() for x in packed], pa.binary()).take(index),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _SKETCH.split(", ")])
+            release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SKETCH)
 
@@ -141,45 +145,63 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
 
 
+def _set_hash(bounds: np.ndarray, hashed: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each set, none of them empty."""
+    return np.add.reduceat(mix(hashed + np.uint64(seed)), bounds).view(np.int64)
+
+
 def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id and sorted shingle hashes of the documents in ``ids``."""
+    """id and sorted shingle hashes of the classes in ``ids`` (id, doc, h1)."""
 
     def run(batches):
         for batch in batches:
             for start, stop in slices(batch.column("text"), SLICE):
                 part = batch.slice(start, stop - start)
                 bounds, hashed = shingle_sets(part.column("text"), width)
-                sets = [hashed[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
+                own = np.zeros(len(part), np.int64)
+                some = np.flatnonzero(np.diff(bounds))
+                if len(some):
+                    own[some] = _set_hash(bounds[:-1][some], hashed, 1)
+                at = np.flatnonzero(own == np.asarray(part.column("h1")))  # another text of the id is another class
+                sets = [hashed[bounds[i] : bounds[i + 1]].tobytes() for i in at]
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(at)), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            release()
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(_few(ids), "doc")
+    return texts.select("id", "h1", "text").mapInArrow(run, "id long, shingles binary")
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(_few(ids), "id", "left_semi")
-    return texts.mapInArrow(run, "id long, shingles binary")
 
+def _side(pairs: DataFrame, facts: DataFrame, name: str, total: int) -> DataFrame:
+    """``pairs`` with the columns of ``facts`` (id and others) of their member ``name``; some members are in most of the pairs."""
+    named = facts.select(F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in facts.columns if c != "id"))
+    if name == "b":
+        return pairs.join(named, "b")
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("rows"))
+    return spread_join(pairs, named.join(counts, "a"), ["a"], "rows", total, F.col("b")).drop("rows")
 
-def _likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+
+def _likely(pairs: DataFrame, classes: DataFrame, similarity: float, total: int) -> DataFrame:
     """Pairs (a, b) whose sizes and estimate allow the similarity."""
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = _side(_side(pairs, classes, "a", total), classes, "b", total)
     both = both.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6)
     bound = least_estimate(similarity)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("s_a", "s_b"))
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("signature_a", "signature_b"))
                 yield batch.select(["a", "b"]).filter(pa.array(estimate(x, y) >= bound))
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, total: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union, on full sets."""
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"x_{x}"))
 
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x_a"), batch.column("x_b")):
+            for x, y in zip(batch.column("shingles_a"), batch.column("shingles_b")):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 if len(x) > len(y):
                     x, y = y, x
@@ -188,7 +210,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return _side(_side(pairs, sets, "a", total), sets, "b", total).mapInArrow(run, "a long, b long")
 
 
 def _similar(own: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
@@ -232,8 +254,26 @@ def _links_between(rows: pd.DataFrame, similarity: float, percent: int) -> pd.Da
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """key, low, high, side, id and component: the groups in which members of open buckets meet.
+
+    ``rows`` have their bucket's size, its largest component (main) and the size of that. Members of main meet the others by
+    block (low) and chunk of the others (high, below zero), the others meet each other by pairs of chunks.
+    """
+    blocks, chunks = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil((F.col("size") - F.col("n_main")) / BLOCK).cast("int")
+    dealt = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = ["key", "id", "component"]
+    inside, others = rows.where("component = main"), rows.where("component <> main").withColumn("chunk", dealt(chunks))
+    main = inside.select(*own, dealt(blocks).alias("low"), upto(chunks).alias("c")).select(*own, "low", (-1 - F.col("c")).alias("high"), F.lit(0).alias("side"))
+    met = others.select(*own, upto(blocks).alias("low"), (-1 - F.col("chunk")).alias("high"), F.lit(1).alias("side"))
+    pairs = others.select(*own, "chunk", upto(chunks).alias("c"))
+    pairs = pairs.select(*own, F.least("chunk", "c").alias("low"), F.greatest("chunk", "c").alias("high"), F.col("chunk").alias("side"))
+    return main.unionByName(met).unionByName(pairs)
+
+
 def link_components(docs: DataFrame, classes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """id and component of the classes that are not their own component; ``classes``: id, n, bands, signature."""
+    """id and component of the classes that are not their own component; ``classes``, written: id, doc, h1, n, bands, signature."""
     percent = round(100 * similarity)
     keys = classes.select("id", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(
@@ -241,50 +281,64 @@ def link_components(docs: DataFrame, classes: DataFrame, width: int, similarity:
     )
     # near copies meet in many bands: of buckets with the same members one is enough
     buckets = buckets.where("size > 1").groupBy("a", "size", "x", "y").agg(F.min("key").alias("key")).select("key", "a", "size")
-    members = materialize(keys.join(buckets, "key"), "near-buckets")
-    first = members.where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    ids = materialize(members.select("id").distinct(), "near-ids")
-    sets = materialize(_full_sets(docs, ids, width), "near-sets")
+    buckets = materialize(buckets, "near-buckets")
+    n_keys = classes.count() * (FUNCTIONS // ROWS)
+    members = materialize(spread_join(keys, buckets, ["key"], "size", n_keys, F.col("id")), "near-members")
+    first = materialize(members.where("a <> id").select("a", F.col("id").alias("b")).distinct(), "near-first")
+    ids = materialize(classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "doc", "h1"), "near-ids")
+    sets = materialize(_full_sets(docs, ids, width).dropDuplicates(["id"]), "near-sets")
     sketch = classes.select("id", "n", "signature")
-    likely = materialize(_likely(first, sketch, similarity), "near-likely")
-    links = materialize(_confirmed(likely, sets, percent), "near-links")
+    n_first = first.count()
+    likely = materialize(_likely(first, sketch, similarity, n_first), "near-likely")
+    # rows of one id are one document, whatever their texts are
+    same = classes.where("id <> doc").select(F.col("doc").alias("a"), F.col("id").alias("b"))
+    links = materialize(_confirmed(likely, sets, percent, n_first).unionByName(same), "near-links")
     # what is left to meet is no least member, in a bucket with two others at least
-    members = members.where("a <> id and size > 2").select("key", "id", "size")
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = members.join(labels, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
-    open_keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    rows = named.join(open_keys.select("key"), "key", "left_semi")
-    # a large bucket is compared block by block, each pair of blocks a group of its own
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("side", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")}).drop("other", "size")
-    rows = rows.join(sketch, "id").join(sets, "id").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "low", "high")
+    named = members.where("a <> id and size > 2").join(labels, "id", "left")
+    named = materialize(named.select("key", "id", "size", F.coalesce("component", "id").alias("component")), "near-named")
+    counts = named.groupBy("key", "size", "component").agg(F.count(F.lit(1)).alias("n"))
+    open_keys = counts.groupBy("key", "size").agg(
+        F.count(F.lit(1)).alias("n_components"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main")
+    )
+    open_keys = materialize(open_keys.where("n_components > 1").drop("n_components"), "near-open")
+    rows = spread_join(named.drop("size"), open_keys, ["key"], "size", named.count(), F.col("id"))
+    rows = _in_blocks(rows).join(sketch, "id").join(sets, "id")
+    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "low", "high")
     found = rows.groupBy("key", "low", "high").applyInPandas(lambda r: _links_between(r, similarity, percent), "a long, b long")
-    links = materialize(links.unionByName(found.distinct()), "near-links")
-    return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    every = materialize(links.unionByName(found.distinct()), "near-links")
+    found = components(every.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    discard(buckets, members, first, ids, sets, likely, links, named, open_keys, every)
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable over links) and kept, one row for each row of ``docs``."""
     docs = docs.select("doc_id", "text")
     every = materialize(sketches(docs, width), "near-sketches")
-    real = every.where("n_shingles > 0 and doc_id is not null")
+    known = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    real = every.where(known)
     equal = ["n_shingles", "h1", "h2"]
-    heads = materialize(real.groupBy(*equal).agg(F.min("doc_id").alias("id")), "near-classes")
-    own = real.alias("r").join(heads.alias("h"), [F.col("r.doc_id") == F.col("h.id"), *(F.col(f"r.{c}") == F.col(f"h.{c}") for c in equal)])
-    classes = own.select("id", F.col("r.n_shingles").alias("n"), "bands", "signature").dropDuplicates(["id"])
+    heads = real.groupBy(*equal).agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("rows"))
+    place = F.row_number().over(Window.partitionBy("doc").orderBy(*equal))
+    spare = F.lit(SPARE) + F.pmod(F.xxhash64("doc", "h1", "h2"), F.lit(SPARE))
+    heads = materialize(heads.select(*equal, "doc", "rows", F.when(place == 1, F.col("doc")).otherwise(spare).alias("id")), "near-heads")
+    own = real.join(heads.withColumnRenamed("doc", "doc_id"), ["doc_id", *equal])
+    classes = own.select("id", F.col("doc_id").alias("doc"), "h1", F.col("n_shingles").alias("n"), "bands", "signature").dropDuplicates(["id"])
+    classes = materialize(classes, "near-classes")
+    # an id of several classes is one document: they share what the links of any of them lead to
     labels = link_components(docs, classes, width, similarity)
-    named = heads.join(labels, "id", "left").select(*equal, F.coalesce("component", "id").alias("component_id"))
-    found = every.select("doc_id", *equal).join(named, equal, "left")
-    component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), "doc_id")
-    return found.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
-    )
+    discard(classes)
+    named = heads.join(labels, "id", "left").select(*equal, "rows", F.coalesce("component", "doc").alias("component_id"))
+    named = materialize(named, "near-components")
+    found = spread_join(real, named, equal, "rows", every.count(), F.col("doc_id")).select("doc_id", "n_shingles", "component_id")
+    found = found.unionByName(every.where(~known).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id, with all its columns."""
     found = near_duplicates(docs, width, similarity).where(~F.col("kept"))
-    gone = materialize(found.select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    return docs.join(_few(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = free_name(docs.columns, "gone")
+    gone = materialize(found.select(F.col("doc_id").alias(name)).distinct(), "near-gone")
+    return docs.join(_few(gone), F.col("doc_id") == F.col(name), "left_anti")

@@ -1,8 +1,8 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
 Groups (equal texts) go, largest first, into the bin with the tightest remaining capacity that still takes them, found in
-an ordered tree of remaining capacities; the fixed capacity is the least for which the wanted number of bins suffices.
-Only sizes take part in the packing, so the driver sees a histogram: groups of a thousandth of a shard and more on their
+a balanced tree of remaining capacities; the fixed capacity is the least for which the wanted number of bins suffices.
+Only sizes take part in the packing, so the driver sees a histogram: groups of a five-hundredth of a shard and more on their
 own (a few thousand at most, as their sizes add up to all shards), smaller ones counted by size class. Which groups of a
 class go where is decided by their rank in it, found in two levels (buckets, then rows of a bucket), never in one task.
 
@@ -12,13 +12,13 @@ each; an empty table gives no rows; a group larger than a fair share has a bin o
 
 from __future__ import annotations
 
-import bisect
 import math
+import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import group_key, materialize
+from .common import group_key, materialize, spread_join
 
 #: Size classes of small groups: each is at most so much wider than its least size.
 CLASS_STEP = 1.001
@@ -29,19 +29,53 @@ RANK_ROWS = 20_000
 
 
 class Bins:
-    """Remaining capacities in order; the tightest bin that takes an item is found by bisection."""
+    """Remaining capacities (room, bin) in a treap: a search tree by room that random priorities keep balanced."""
 
     def __init__(self, capacities: list[float]):
-        self.order = sorted((c, b) for b, c in enumerate(capacities))
+        self.draw, self.root = random.Random(0).random, None
+        for b, room in enumerate(capacities):
+            self._add((room, b))
+
+    def _add(self, key: tuple[float, int]) -> None:
+        low, high = self._cut(self.root, key)
+        self.root = self._join(self._join(low, [self.draw(), key, None, None]), high)
+
+    def _cut(self, node, key):
+        """The nodes before ``key`` and the others."""
+        if node is None:
+            return None, None
+        if node[1] < key:
+            node[3], high = self._cut(node[3], key)
+            return node, high
+        low, node[2] = self._cut(node[2], key)
+        return low, node
+
+    def _join(self, low, high):
+        if low is None or high is None:
+            return low or high
+        if low[0] > high[0]:
+            low[3] = self._join(low[3], high)
+            return low
+        high[2] = self._join(low, high[2])
+        return high
+
+    def _take_first(self, node):
+        """The least key of a tree, and the tree without it."""
+        if node[2] is None:
+            return node[1], node[3]
+        key, node[2] = self._take_first(node[2])
+        return key, node
 
     def place(self, size: float, n: int) -> tuple[int, int] | None:
         """Put as many of ``n`` equal items as fit into the tightest bin; (bin, how many), or None where none fits."""
-        at = bisect.bisect_left(self.order, (size, -1))
-        if at == len(self.order):
+        low, high = self._cut(self.root, (size, -1))
+        if high is None:
+            self.root = low
             return None
-        room, b = self.order.pop(at)
+        (room, b), high = self._take_first(high)
+        self.root = self._join(low, high)
         k = min(n, int(room // size))
-        bisect.insort(self.order, (room - k * size, b))
+        self._add((room - k * size, b))
         return b, k
 
 
@@ -111,34 +145,34 @@ def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0).cast("long")).alias("text_crc32"),
     )
     facts = materialize(facts, "shard-facts")
-    groups = materialize(facts.groupBy("g").agg(F.sum("size").alias("w")), "shard-groups")
-    total, n_groups = groups.agg(F.sum("w"), F.count(F.lit(1))).first()
+    groups = materialize(facts.groupBy("g").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n_docs")), "shard-groups")
+    total, n_groups, n_docs = groups.agg(F.sum("w"), F.count(F.lit(1)), F.sum("n_docs")).first()
     if not n_groups:
         return facts.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     single = max(2, int(total / shards * SINGLE_PART))
     small = groups.where(F.col("w") < single).withColumn("cls", _class_of(F.col("w")))
     large = groups.where(F.col("w") >= single)  # at most shards / SINGLE_PART of them
-    singles = sorted(((r["w"], bytes(r["g"])) for r in large.collect()), reverse=True)
+    singles = sorted(((r["w"], bytes(r["g"]), r["n_docs"]) for r in large.collect()), reverse=True)
     classes = sorted(
         ((r["top"], r["n"], r["cls"]) for r in small.groupBy("cls").agg(F.max("w").alias("top"), F.count(F.lit(1)).alias("n")).collect()),
         reverse=True,
     )
-    placed = pack([(w, 1) for w, _ in singles] + [(top, n) for top, n, _ in classes], shards)
-    one_by_one = [(g, parts[0][0]) for (_, g), parts in zip(singles, placed, strict=False)]
+    placed = pack([(w, 1) for w, _, _ in singles] + [(top, n) for top, n, _ in classes], shards)
+    one_by_one = [(g, n, parts[0][0]) for (_, g, n), parts in zip(singles, placed, strict=False)]
     intervals = []
     for (_, _, cls), parts in zip(classes, placed[len(singles) :], strict=True):
         start = 0
         for b, k in parts:
             intervals.append((cls, start, start + k, b))
             start += k
-    of_large = spark.createDataFrame(one_by_one, "g binary, shard int")
+    of_large = spark.createDataFrame(one_by_one, "g binary, n_docs long, shard int")
     of_small = spark.createDataFrame(intervals, "cls int, start long, stop long, shard int")
-    in_class = ranked(small.select("g", "cls"), "cls", F.xxhash64("g"), n_groups, "rank")
+    in_class = ranked(small.select("g", "n_docs", "cls"), "cls", F.xxhash64("g"), n_groups, "rank")
     # at most a few intervals for each of at most log(total) / log(CLASS_STEP) classes: bounded whatever the input
-    spread = in_class.join(F.broadcast(of_small), "cls").where("rank >= start and rank < stop").select("g", "shard")
+    spread = in_class.join(F.broadcast(of_small), "cls").where("rank >= start and rank < stop").select("g", "n_docs", "shard")
     chosen = materialize(spread.unionByName(of_large), "shard-of-group")
-    put = facts.join(chosen, "g")
-    placed_docs = ranked(put, "shard", F.xxhash64("doc_id"), facts.count(), "slot")
+    put = spread_join(facts, chosen, ["g"], "n_docs", n_docs, F.col("doc_id")).drop("n_docs")
+    placed_docs = ranked(put, "shard", F.xxhash64("doc_id"), n_docs, "slot")
     return placed_docs.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
 
 

@@ -1,16 +1,19 @@
 """Substring deduplication over a log-structured fingerprint index.
 
-Fingerprints are hashes of windows of 13 consecutive words. Each window belongs to its anchor, the least hash of the
-6-word runs in it, so neighbouring windows share one entry of the index: the anchor's 64-bit hash and a 64-bit hash of
-each of its windows (at most eight). Equal windows have equal anchors, so an entry is found by its anchor and verified
-window by window by its own hash, which is all that tells windows of one anchor apart: n of them make n * n / 2**65 false
-matches.
-
-Each slice of texts gives, for each bucket of anchors, one sorted immutable segment in which entries with the same
-windows are one, with the documents they start in. A batch's segments meet the runs of earlier batches in their bucket,
-where they are merged in the order of anchors: a window is repeated if the least document of its fingerprint, in any run
-or in the batch, is smaller than its own. What is left of the batch (each entry once, with its least document) becomes
-a new run; runs of like size are compacted into one.
+A window is 13 consecutive words. Its fingerprint is its anchor, the least hash of the 6-word runs in it, cut to 48 bits:
+equal windows have equal anchors, and neighbouring windows share one, so the index holds an entry for every four or five
+words. An entry names an anchor, the document that has it and whether several documents do.
+
+Documents come in batches. Each slice of a batch gives, for each bucket of anchors, one sorted segment; an anchor that
+several documents of the slice have travels once. The segments of a bucket are merged with the sorted immutable runs of
+earlier batches. Documents, old and new, whose anchor has been met in another document become candidates for it, and
+the batch becomes a run; with ``FAN_IN`` runs of one level the same merge writes them and the batch as one run of the next
+level.
+
+Candidates are verified by their windows themselves: 88 bits of hash of all 13 words of each window that belongs to a
+candidate anchor. Windows meet by that hash, not by anchor, so a phrase that a third of all documents have is many keys;
+in each slice only the least document of a window travels, as the others are known to come after it. A window is repeated if
+the least document that has it is smaller than its own. With n windows verified there are n * n / 2**89 false matches.
 
 Defined results: null and empty texts have no words; documents of fewer than 13 words lose nothing; rows with a null id
 are neither compared nor changed; repeated rows are no repeats of each other, as their id is not smaller; if rows of one
@@ -20,26 +23,35 @@ columns named n_words, n_removed or kept, which are replaced.
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import shared_dir, slices
+from .common import free_name, release, remove_folder, shared_dir, slices
 from .hashing import mix, rolling, sliding_min, word_hashes
 
 WINDOW, GRAM = 13, 6
 SPAN = WINDOW - GRAM + 1  # windows of an anchor, at most
+#: Bits of an anchor, and bytes of it where it is named one by one.
+ANCHOR_BITS, ANCHOR_BYTES = 48, 6
 #: Bytes of text in one segment.
-SEGMENT_BYTES = 4 << 20
-#: Runs of one level that are compacted together.
-FAN_IN = 4
-_SEGMENT = "bucket int, old boolean, entries int, places int, fingerprints binary, packed binary"
+SEGMENT_BYTES = 6 << 20
+#: Runs of one level that become one run, the new batch's among them.
+FAN_IN = 2
+#: Batches that :func:`dedupe` puts a whole table through.
+BATCHES = 3
+#: Kinds of segment rows: entries to be judged, candidates known already, entries of runs that stay, and of runs that end here.
+_NEW, _KNOWN, _OLD, _JOINED = 0, 1, 2, 3
+_SEGMENT = "bucket int, kind int, n int, packed binary"
+_MERGED = "part string, bucket int, n int, packed binary, doc long, anchors binary"
+_VERIFY = "bucket int, n int, packed binary, doc long, places binary"
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -47,142 +59,73 @@ def _planes(values: np.ndarray) -> bytes:
     return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
 
 
-def _from_planes(raw: memoryview, kind: type, n: int) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size).reshape(size, n).T).view(kind).reshape(n)
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length; the first one is sorted and kept by its steps."""
+    first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
+    return zstandard.ZstdCompressor().compress(b"".join(map(_planes, (first, *columns[1:]))))
+
 
+def _unpack(packed: bytes, n: int, *kinds: type) -> list[np.ndarray]:
+    raw, at, out = memoryview(zstandard.ZstdDecompressor().decompress(packed)), 0, []
+    for kind in kinds:
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n))
+        at += n * size
+    out[0] = np.cumsum(out[0], dtype=out[0].dtype)
+    return out
 
-class Entries:
-    """Anchors with their windows and places: columns anchor, count, times by entry; check by window; doc, at by place."""
 
-    def __init__(self, anchor, count, times, check, doc, at):
-        self.anchor, self.count, self.times, self.check, self.doc, self.at = anchor, count, times, check, doc, at
+def _unpack_all(rows: list[dict], *kinds: type) -> list[np.ndarray]:
+    parts = [_unpack(r["packed"], r["n"], *kinds) for r in rows]
+    return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in enumerate(kinds)]
 
-    def pack(self) -> tuple[int, int, bytes, bytes]:
-        packed = _planes(self.count) + _planes(self.times) + _planes(self.doc) + _planes(self.at)
-        plain = self.anchor.tobytes() + self.check.tobytes()
-        return len(self.anchor), len(self.doc), plain, pa.compress(packed, codec="zstd", asbytes=True)
 
-    @staticmethod
-    def unpack(n: int, places: int, plain: bytes, packed: bytes) -> Entries:
-        raw = memoryview(pa.decompress(packed, n * 5 + places * 12, codec="zstd", asbytes=True))
-        count = _from_planes(raw, np.uint8, n)
-        times = _from_planes(raw[n:], np.uint32, n)
-        doc = _from_planes(raw[n * 5 :], np.int64, places)
-        at = _from_planes(raw[n * 5 + places * 8 :], np.int32, places)
-        return Entries(np.frombuffer(plain, np.uint64, n), count, times, np.frombuffer(plain, np.uint64, offset=n * 8), doc, at)
+def _edges(*sorted_columns: np.ndarray) -> np.ndarray:
+    """First places of the runs of equal values."""
+    n = len(sorted_columns[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = functools.reduce(np.logical_or, [c[1:] != c[:-1] for c in sorted_columns])
+    return np.flatnonzero(new)
 
-    def take(self, chosen: np.ndarray) -> Entries:
-        """These entries, in this order, with all their windows and places."""
-        windows = _ranges(self.count, chosen)
-        places = _ranges(self.times, chosen)
-        return Entries(
-            self.anchor[chosen], self.count[chosen], self.times[chosen], self.check[windows], self.doc[places], self.at[places]
-        )
 
-    @staticmethod
-    def concat(parts: list[Entries]) -> Entries:
-        return Entries(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("anchor", "count", "times", "check", "doc", "at")))
+def _lists(doc: np.ndarray, values: np.ndarray, width: int) -> tuple[pa.Array, pa.Array]:
+    """For each document its values in the given number of bytes, one after the other."""
+    order = np.lexsort((values, doc))
+    doc, values = doc[order], values[order]
+    edge = _edges(doc)
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize)[:, :width])
+    offsets = (np.append(edge, len(doc)) * width).astype(np.int64)
+    wide = pa.Array.from_buffers(pa.large_binary(), len(edge), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
+    return pa.array(doc[edge], pa.int64()), wide.cast(pa.binary())
 
 
-def _ranges(sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Places of the chosen runs in an array made of runs of these sizes."""
-    sizes = sizes.astype(np.int64)
-    starts, own = (np.cumsum(sizes) - sizes)[chosen], sizes[chosen]
-    return np.arange(own.sum()) + np.repeat(starts - (np.cumsum(own) - own), own)
+def _table(schema: str, **columns) -> pa.RecordBatch:
+    """A batch of these columns; what is not named is null."""
+    n = len(next(iter(columns.values())))
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    fields = [f.split() for f in schema.split(", ")]
+    arrays = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], kinds[k]) if c in columns else pa.nulls(n, kinds[k]) for c, k in fields]
+    return pa.RecordBatch.from_arrays(arrays, names=[c for c, _ in fields])
 
 
-def slice_entries(texts: pa.Array, ids: np.ndarray) -> Entries:
-    """The entries of a slice of texts, equal ones together."""
+def _windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of a slice of texts: its text, its place in it, its anchor, and the place of its first word; and the words."""
     offsets, words = word_hashes(texts)
-    sizes = np.diff(offsets)
-    counts = np.maximum(sizes - WINDOW + 1, 0)
+    counts = np.maximum(np.diff(offsets) - WINDOW + 1, 0)
     start = np.arange(counts.sum()) + np.repeat(offsets[:-1] - (np.cumsum(counts) - counts), counts)
-    if not len(start):
-        none = np.zeros(0, np.uint64)
-        return Entries(none, none.astype(np.uint8), none.astype(np.uint32), none, none.astype(np.int64), none.astype(np.int32))
-    text = np.repeat(np.arange(len(sizes)), counts)
-    anchor = sliding_min(rolling(words, GRAM, 0xA0761D6478BD642F), SPAN)[start]
-    whole = rolling(mix(words + np.uint64(1)), WINDOW, 0xE7037ED1A0B428DB)[start]
-    fresh = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
-    first = np.flatnonzero(fresh)
-    run = np.cumsum(fresh) - 1
-    fresh |= (np.arange(len(start)) - first[run]) % SPAN == 0
-    first = np.flatnonzero(fresh)
-    count = np.diff(np.append(first, len(start)))
-    last = first + count - 1
-    # an entry's first and last window, its anchor and number of windows give all its words
-    same = mix(anchor[first] + mix(whole[first] + mix(whole[last] + count.astype(np.uint64))))
-    order = np.lexsort((same, anchor[first]))
-    new = np.concatenate([[True], same[order][1:] != same[order][:-1]])
-    lead = order[new]
-    times = np.diff(np.append(np.flatnonzero(new), len(order)))
-    all_windows = Entries(anchor[first], count.astype(np.uint8), np.ones(len(first), np.uint32), whole, ids[text[first]], (start[first] - offsets[:-1][text[first]]).astype(np.int32))
-    windows = _ranges(count, lead)
-    return Entries(all_windows.anchor[lead], all_windows.count[lead], times.astype(np.uint32), all_windows.check[windows], all_windows.doc[order], all_windows.at[order])
-
-
-def repeated_places(own: Entries, old: Entries | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc, at and mask of the places of ``own`` with windows that also start in a smaller document, of either."""
-    every = own if old is None else Entries.concat([own, old])
-    mine = len(own.anchor)
-    places = np.add.reduceat(every.times, np.arange(len(every.times))) if len(every.times) else every.times
-    order = np.argsort(every.anchor, kind="stable")
-    sorted_anchor = every.anchor[order]
-    edge = np.flatnonzero(np.concatenate([[True], sorted_anchor[1:] != sorted_anchor[:-1]])) if len(order) else np.zeros(0, np.int64)
-    total = np.add.reduceat(places[order].astype(np.int64), edge) if len(order) else edge
-    group = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(order))))
-    keep = np.sort(order[total[group] > 1]) if len(order) else order
-    none = np.zeros(0, np.int64)
-    if not len(keep):
-        return none, none.astype(np.int32), none.astype(np.uint8)
-    own_kept = int(np.searchsorted(keep, mine))
-    every = every.take(keep)
-    starts = np.cumsum(every.times, dtype=np.int64) - every.times
-    least = np.minimum.reduceat(every.doc, starts)
-    entry = np.repeat(np.arange(len(keep)), every.count)
-    by = np.lexsort((every.check, every.anchor[entry]))
-    a, c = every.anchor[entry][by], every.check[by]
-    edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
-    smallest = np.minimum.reduceat(least[entry][by], edge)
-    first = np.empty(len(by), np.int64)
-    first[by] = np.repeat(smallest, np.diff(np.append(edge, len(by))))
-    # for each place of an entry of the batch, the windows whose first document is smaller than the place's
-    window_start = np.cumsum(every.count, dtype=np.int64) - every.count
-    place_entry = np.repeat(np.arange(own_kept), every.times[:own_kept])
-    doc, at = every.doc[: len(place_entry)], every.at[: len(place_entry)]
-    mask = np.zeros(len(place_entry), np.uint8)
-    for j in range(SPAN):
-        has = np.flatnonzero(every.count[place_entry] > j)
-        hit = first[window_start[place_entry[has]] + j] < doc[has]
-        mask[has[hit]] |= np.uint8(1 << j)
-    some = mask > 0
-    return doc[some], at[some], mask[some]
-
-
-def merged_run(parts: list[Entries]) -> Entries:
-    """Each entry once, with its least document, in the order of anchors."""
-    every = Entries.concat(parts)
-    if not len(every.anchor):
-        return every
-    starts = np.cumsum(every.times, dtype=np.int64) - every.times
-    least = np.minimum.reduceat(every.doc, starts)
-    windows = np.cumsum(every.count, dtype=np.int64) - every.count
-    padded = np.zeros((len(every.anchor), SPAN + 1), np.uint64)
-    entry = np.repeat(np.arange(len(every.anchor)), every.count)
-    padded[entry, np.arange(len(every.check)) - windows[entry]] = every.check
-    padded[:, SPAN] = every.count
-    order = np.lexsort((least, *padded.T, every.anchor))
-    same = (padded[order][1:] == padded[order][:-1]).all(1) & (every.anchor[order][1:] == every.anchor[order][:-1])
-    lead = order[np.concatenate([[True], ~same])]
-    n = len(lead)
-    return Entries(every.anchor[lead], every.count[lead], np.ones(n, np.uint32), every.check[_ranges(every.count, lead)], least[lead], np.zeros(n, np.int32))
-
-
-def _entries_of(rows: pd.DataFrame) -> Entries | None:
-    if not len(rows):
-        return None
-    return Entries.concat([Entries.unpack(*r) for r in zip(rows.entries, rows.places, rows.fingerprints, rows.packed)])
+    text = np.repeat(np.arange(len(counts)), counts)
+    anchor = sliding_min(rolling(words, GRAM, 0xA0761D6478BD642F), SPAN)[start] if len(start) else np.zeros(0, np.uint64)
+    return text, start, mix(anchor) >> np.uint64(64 - ANCHOR_BITS), words
+
+
+def _split(bucket: np.ndarray) -> list[np.ndarray]:
+    """Places of each bucket, in their order."""
+    order = np.argsort(bucket, kind="stable")
+    return np.split(order, _edges(bucket[order])[1:]) if len(order) else []
+
+
+# --- index ------------------------------------------------------------------------------------------------------
 
 
 def segments(docs: DataFrame, buckets: int) -> DataFrame:
@@ -190,160 +133,272 @@ def segments(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            ids = np.asarray(batch.column("doc_id"), dtype=np.int64)
             for start, stop in slices(batch.column("text"), SEGMENT_BYTES):
-                part = batch.slice(start, stop - start)
-                own = slice_entries(part.column("text"), np.asarray(part.column("doc_id"), dtype=np.int64))
-                bucket = (own.anchor % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-                rows = [(int(bucket[own_rows[0]]), False, *own.take(own_rows).pack()) for own_rows in np.split(order, edges[1:]) if len(own_rows)]
+                text, _, anchor, _ = _windows(batch.column("text").slice(start, stop - start))
+                doc = ids[start:stop][text]
+                order = np.lexsort((doc, anchor))
+                anchor, doc = anchor[order], doc[order]
+                own = _edges(anchor, doc)
+                anchor, doc = anchor[own], doc[own]
+                edge = _edges(anchor)
+                times = np.diff(np.append(edge, len(anchor)))
+                several = np.repeat(times > 1, times)
+                rows = []
+                for at in _split((anchor[edge] % np.uint64(buckets)).astype(np.int64)):
+                    a = anchor[edge[at]]
+                    rows.append((int(a[0] % np.uint64(buckets)), _NEW, len(a), _pack(a, doc[edge[at]], (times[at] > 1).astype(np.uint8))))
+                if several.any():  # to any bucket, as nothing has to meet them
+                    rows.append((int(doc[0] % buckets), _KNOWN, int(several.sum()), _pack(anchor[several], doc[several])))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=_NAMES)
+                    yield _table(_SEGMENT, **dict(zip(("bucket", "kind", "n", "packed"), zip(*rows))))
+            release()
 
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     return known.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SEGMENT)
 
 
-_NAMES = [f.split()[0] for f in _SEGMENT.split(", ")]
-_KINDS = [pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-
-
-#: A merge gives rows of a run (with a bucket) and repeated places (with a doc_id).
-_MERGED = f"{_SEGMENT}, doc_id long, at int, mask short"
-
-
-def _merge(keep: bool):
-    """Merge of one bucket: the batch's segments against each other and the runs; with ``keep`` also the batch's own run."""
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        mine = _entries_of(rows[~rows.old])
-        out = pd.DataFrame(columns=[f.split()[0] for f in _MERGED.split(", ")])
-        if mine is None:
-            return out
-        doc, at, mask = repeated_places(mine, _entries_of(rows[rows.old]))
-        out = out.astype(object).reindex(range(len(doc)))
-        out["doc_id"], out["at"], out["mask"] = doc, at, mask.astype(np.int16)
-        if keep:
-            run = pd.DataFrame([(rows.bucket.iloc[0], True, *merged_run([mine]).pack())], columns=_NAMES)
-            out = pd.concat([run.reindex(columns=out.columns).astype(object), out.astype(object)], ignore_index=True)
-        return out
-
-    return merge
+def _summary(anchor: np.ndarray, doc: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each anchor once, in order, with its least document and whether it has several."""
+    order = np.lexsort((doc, anchor))
+    anchor, doc, several = anchor[order], doc[order], several[order]
+    edge = _edges(anchor)
+    if not len(edge):
+        return anchor, doc, several
+    more = np.maximum.reduceat(several, edge) | (np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge))
+    return anchor[edge], doc[edge], more.astype(np.uint8)
+
+
+def merge_bucket(rows: list[dict]) -> list[pa.RecordBatch]:
+    """Candidates of a bucket, and its entries of the new run: the batch's and those of runs that are to become one with it."""
+    kinds = np.uint64, np.int64, np.uint8
+    anchor, doc, several = _unpack_all([r for r in rows if r["kind"] == _NEW], *kinds)
+    old, old_doc, old_several = _summary(*_unpack_all([r for r in rows if r["kind"] in (_OLD, _JOINED)], *kinds))
+    known, known_doc = _unpack_all([r for r in rows if r["kind"] == _KNOWN], *kinds[:2])
+    own, own_doc, own_several = _summary(anchor, doc, several)
+    at = np.searchsorted(old, own)
+    met = np.append(old, np.uint64(1 << 63))[at] == own
+    met_doc, met_several = np.append(old_doc, -1)[at], np.append(old_several, 0)[at]
+    # in another document as well: of the batch, or of a run
+    again = (own_several == 1) | (met & ((met_several == 1) | (met_doc != own_doc)))
+    said = again[np.searchsorted(own, anchor)] & (several == 0)
+    first = again & met & (met_several == 0)  # the one document of the runs that has it has not been named yet
+    found = [np.concatenate(c) for c in zip((known, known_doc), (anchor[said], doc[said]), (own[first], met_doc[first]))]
+    out = []
+    if len(found[0]):
+        names, lists = _lists(found[1], found[0], ANCHOR_BYTES)
+        out.append(_table(_MERGED, part=["found"] * len(names), doc=names, anchors=lists))
+    joined = _unpack_all([r for r in rows if r["kind"] == _JOINED], *kinds)
+    run = _summary(*(np.concatenate(c) for c in zip((own, own_doc, again.astype(np.uint8)), joined)))
+    if len(run[0]):
+        out.append(_table(_MERGED, part=["run"], bucket=[rows[0]["bucket"]], n=[len(run[0])], packed=[_pack(*run)]))
+    return out
 
 
 class FingerprintIndex:
-    """Immutable runs of fingerprints in a folder that all executors share; ``buckets`` is fixed with the index."""
+    """Immutable runs of fingerprints in a folder that all executors share; ``buckets`` is fixed with the index.
+
+    A bucket of the runs and of the batch is merged in one task, in some 60 bytes an entry.
+    """
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, path: str | None = None):
         self.spark = spark
         self.path = path or f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[int, str]] = []  # level and folder
+        self.found: list[str] = []  # folders with candidates
 
-    def _read(self, runs: list[tuple[int, str]]) -> DataFrame:
-        return self.spark.read.schema(_SEGMENT).parquet(*(p for _, p in runs)).where("bucket is not null")
+    def _read(self, folders: list[str], part: str) -> DataFrame:
+        tables = [self.spark.read.schema(_MERGED).parquet(f).where(F.col("part") == part) for f in folders]
+        return functools.reduce(DataFrame.unionByName, tables)
 
-    def _compact(self, parts: DataFrame, level: int) -> None:
-        def merge(rows: pd.DataFrame) -> pd.DataFrame:
-            own = merged_run([_entries_of(rows)])
-            return pd.DataFrame([(rows.bucket.iloc[0], True, *own.pack())], columns=_NAMES)
+    def candidates(self) -> DataFrame:
+        """doc and anchors: what each document of any batch so far shares with others, in one or more rows."""
+        return self._read(self.found, "found").select("doc", "anchors")
 
+    def ingest(self, docs: DataFrame) -> None:
+        """Put a batch into the index: its candidates, and those it makes of earlier documents, join the others."""
+        level, merged = 0, []
+        while len(same := [r for r in self.runs if r[0] == level]) >= FAN_IN - 1:
+            merged += same
+            level += 1
         folder = f"{self.path}/run-{uuid.uuid4().hex}"
-        parts.groupBy("bucket").applyInPandas(merge, _SEGMENT).write.option("compression", "none").parquet(folder)
-        self.runs.append((level, folder))
+        rows = segments(docs, self.buckets)
+        for kind, runs in ((_OLD, [r for r in self.runs if r not in merged]), (_JOINED, merged)):
+            if runs:
+                earlier = self._read([p for _, p in runs], "run")
+                rows = rows.unionByName(earlier.select("bucket", F.lit(kind).alias("kind"), "n", "packed"))
 
-    def lookup(self, own: DataFrame) -> DataFrame:
-        """doc_id, at and mask: the batch's places with repeated windows, bit j for the window that starts at at + j."""
-        rows = own.unionByName(self._read(self.runs)) if self.runs else own
-        return rows.groupBy("bucket").applyInPandas(_merge(False), _MERGED).select("doc_id", "at", "mask")
+        def merge(table: pa.Table) -> pa.Table:
+            return pa.Table.from_batches([_table(_MERGED, part=[]), *merge_bucket(table.to_pylist())])
 
-    def ingest(self, own: DataFrame) -> DataFrame:
-        """:func:`lookup`, and the batch becomes a run in the same pass; ``FAN_IN`` runs of one level become one of the next."""
-        rows = own.unionByName(self._read(self.runs)) if self.runs else own
-        folder = f"{self.path}/run-{uuid.uuid4().hex}"
-        rows.groupBy("bucket").applyInPandas(_merge(True), _MERGED).write.option("compression", "none").parquet(folder)
-        self.runs.append((0, folder))
-        level = 0
-        while len(same := [r for r in self.runs if r[0] == level]) >= FAN_IN:
-            self._compact(self._read(same), level + 1)
-            self.runs = [r for r in self.runs if r not in same]
-            level += 1
-        return self.spark.read.schema("doc_id long, at int, mask short").parquet(folder).where("doc_id is not null")
+        rows.groupBy("bucket").applyInArrow(merge, _MERGED).write.partitionBy("part").option("compression", "none").parquet(folder)
+        for _, old in merged:
+            remove_folder(self.spark, f"{old}/part=run")
+        self.runs = [r for r in self.runs if r not in merged] + [(level, folder)]
+        self.found.append(folder)
 
     def save(self) -> str:
         """Names of the runs and the number of buckets, to open the index again."""
-        return json.dumps({"path": self.path, "buckets": self.buckets, "runs": self.runs})
+        return json.dumps({"path": self.path, "buckets": self.buckets, "runs": self.runs, "found": self.found})
 
     @classmethod
     def load(cls, spark: SparkSession, saved: str) -> FingerprintIndex:
         spec = json.loads(saved)
         index = cls(spark, spec["buckets"], spec["path"])
-        index.runs = [tuple(r) for r in spec["runs"]]
+        index.runs, index.found = [tuple(r) for r in spec["runs"]], spec["found"]
         return index
 
 
+# --- verification -----------------------------------------------------------------------------------------------
+
+
+def _squeezed(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with ``text`` compressed, for the way through a shuffle."""
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor().compress
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            own = [None if t is None else squeeze(t.encode("utf-8", "surrogatepass")) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, text, pa.array(own, pa.binary()))
+
+    return docs.mapInArrow(run, StructType([StructField(f.name, BinaryType()) if f.name == text else f for f in docs.schema.fields]))
+
+
+def _opened(column: pa.Array):
+    """Slices of compressed texts: (start, stop, texts as bytes), of about SEGMENT_BYTES when open."""
+    expand = zstandard.ZstdDecompressor().decompress
+    held, size, start = [], 0, 0
+    for i, raw in enumerate(column):
+        held.append(expand(raw.as_py()) if raw.is_valid else None)
+        size += len(held[-1] or b"")
+        if size >= SEGMENT_BYTES:
+            yield start, i + 1, held
+            held, size, start = [], 0, i + 1
+    if held:
+        yield start, len(column), held
+
+
+def _candidate_windows(texts: pa.Array, ids: np.ndarray, anchors: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Check, second check, document and place of the windows whose anchor is among those of their text."""
+    text, start, anchor, words = _windows(texts)
+    sizes = np.array([len(a) // ANCHOR_BYTES for a in anchors], np.int64)
+    raw = np.zeros((sizes.sum(), 8), np.uint8)
+    raw[:, :ANCHOR_BYTES] = np.frombuffer(b"".join(anchors), np.uint8).reshape(-1, ANCHOR_BYTES)
+    asked = raw.view(np.uint64).ravel() ^ mix(np.repeat(np.arange(len(sizes), dtype=np.uint64) + np.uint64(1), sizes))
+    at = np.flatnonzero(np.isin(anchor ^ mix(text.astype(np.uint64) + np.uint64(1)), asked))
+    first = start[at]
+    check = rolling(mix(words + np.uint64(1)), WINDOW, 0xE7037ED1A0B428DB)[first] if len(at) else np.zeros(0, np.uint64)
+    second = rolling(mix(words ^ np.uint64(0x5851F42D4C957F2D)), WINDOW, 0x9E6C63D0876A9A47)[first] if len(at) else np.zeros(0, np.uint64)
+    begin = np.searchsorted(text, np.arange(len(sizes)))  # the first window of each text
+    place = at - begin[text[at]]
+    return check, (second >> np.uint64(40)).astype(np.uint32), ids[text[at]], place.astype(np.int32)
+
+
+def _least_first(check, second, doc, place) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the windows by hash and document, and which of them come after the least document of their hash."""
+    order = np.lexsort((place, doc, second, check))
+    edge = _edges(check[order], second[order])
+    least = np.repeat(doc[order][edge], np.diff(np.append(edge, len(order))))
+    return order, doc[order] > least
+
+
+def repeated_windows(docs: DataFrame, candidates: DataFrame, buckets: int) -> DataFrame:
+    """doc and places (where windows start, four bytes each) of the windows that a smaller document has as well, in rows."""
+    asked = candidates.groupBy("doc").agg(F.collect_list("anchors").alias("anchors"))
+    known = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.col("doc").isNotNull() & F.col("text").isNotNull())
+
+    def emit(batches):
+        for batch in batches:
+            ids = np.asarray(batch.column("doc"), dtype=np.int64)
+            for low, high, texts in _opened(batch.column("text")):
+                anchors = [b"".join(a) for a in batch.column("anchors").slice(low, high - low).to_pylist()]
+                found = _candidate_windows(pa.array(texts, pa.binary()).cast(pa.string()), ids[low:high], anchors)
+                order, later = _least_first(*found)
+                check, second, doc, place = (c[order] for c in found)
+                if later.any():
+                    names, lists = _lists(doc[later], place[later], 4)
+                    yield _table(_VERIFY, bucket=pa.array([int(ids[low]) % buckets] * len(names), pa.int32()), doc=names, places=lists)
+                check, second, doc, place = (c[~later] for c in (check, second, doc, place))
+                rows = []
+                for at in _split((check % np.uint64(buckets)).astype(np.int64)):
+                    rows.append((int(check[at[0]] % np.uint64(buckets)), len(at), _pack(check[at], second[at], doc[at], place[at])))
+                if rows:
+                    yield _table(_VERIFY, **dict(zip(("bucket", "n", "packed"), zip(*rows))))
+            release()
+
+    def meet(table: pa.Table) -> pa.Table:
+        rows = table.select(["n", "packed"]).filter(table.column("n").is_valid()).to_pylist()
+        found = _unpack_all(rows, np.uint64, np.uint32, np.int64, np.int32)
+        order, later = _least_first(*found)
+        names, lists = _lists(found[2][order][later], found[3][order][later], 4)
+        through = table.select(["doc", "places"]).filter(table.column("doc").is_valid())
+        return pa.concat_tables([through, pa.table({"doc": names, "places": lists})])
+
+    joined = _squeezed(known, "text").join(asked, "doc")
+    return joined.mapInArrow(emit, _VERIFY).groupBy("bucket").applyInArrow(meet, "doc long, places binary")
+
+
+def _without(words: list[bytes], starts: np.ndarray) -> list[bytes]:
+    """The words outside the windows that start at these places."""
+    marks = np.zeros(len(words) + 1, np.int64)
+    np.add.at(marks, np.minimum(starts, len(words)), 1)
+    np.add.at(marks, np.minimum(starts + WINDOW, len(words)), -1)
+    return [words[k] for k in np.flatnonzero(np.cumsum(marks[:-1]) == 0).tolist()]
+
+
 def _remove(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """``docs`` with n_words, n_removed and kept: the words outside all repeated windows, joined by a blank."""
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    per_doc = hits.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("at", "mask")).alias("_hits"))
-    joined = docs.select(*names).join(per_doc, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    key, places, packed = (free_name(names, c) for c in ("key", "places", "packed"))
+    per_doc = hits.groupBy(F.col("doc").alias(key)).agg(F.collect_list("places").alias(places))
+    carried = [c for c in names if c != "text"]
+    moved = _squeezed(docs.select(*carried, F.col("text").alias(packed)), packed)
+    joined = moved.join(per_doc, F.col("doc_id") == F.col(key), "left").drop(key)
+    source = docs.select(*names)
 
     def run(batches):
         for batch in batches:
-            for start, stop in slices(batch.column("text"), SEGMENT_BYTES):
+            for start, stop, texts in _opened(batch.column(packed)):
                 part = batch.slice(start, stop - start)
-                lists = part.column("_hits")
-                bounds = np.asarray(lists.offsets)
-                at = np.asarray(lists.values.field("at"), dtype=np.int64)
-                mask = np.asarray(lists.values.field("mask"), dtype=np.int64)
                 n_words, n_removed, kept = [], [], []
-                has = np.asarray(lists.is_valid())
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    words = (text or "").encode("utf-8", "surrogatepass").split()
-                    gone = 0
-                    if has[i] and bounds[i + 1] > bounds[i] and words:
-                        own_at, own_mask = at[bounds[i] : bounds[i + 1]], mask[bounds[i] : bounds[i + 1]]
-                        bits = (own_mask[:, None] >> np.arange(SPAN)) & 1
-                        starts = (own_at[:, None] + np.arange(SPAN))[bits == 1]
-                        marks = np.zeros(len(words) + 1, np.int64)
-                        np.add.at(marks, np.minimum(starts, len(words)), 1)
-                        np.add.at(marks, np.minimum(starts + WINDOW, len(words)), -1)
-                        left = np.flatnonzero(np.cumsum(marks[:-1]) == 0)
-                        gone = len(words) - len(left)
-                        kept.append(b" ".join([words[k] for k in left.tolist()]))
-                    else:
-                        kept.append(b" ".join(words))
+                for text, found in zip(texts, part.column(places).to_pylist()):
+                    words = (text or b"").split()
+                    left = _without(words, np.frombuffer(b"".join(found), np.int32).astype(np.int64)) if found and words else words
                     n_words.append(len(words))
-                    n_removed.append(gone)
+                    n_removed.append(len(words) - len(left))
+                    kept.append(b" ".join(left))
+                own = {c: part.column(c) for c in carried} | {"text": pa.array(texts, pa.binary()).cast(pa.string())}
                 added = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *added], names=[*names, "n_words", "n_removed", "kept"])
-
-    schema = StructType([*docs.select(*names).schema.fields, *StructType.fromDDL("n_words long, n_removed long, kept string").fields])
-    return joined.mapInArrow(run, schema)
-
+                yield pa.RecordBatch.from_arrays([*(own[c] for c in names), *added], names=[*names, "n_words", "n_removed", "kept"])
+            release()
 
-#: Part of the ids that :func:`dedupe` indexes as its first batch.
-HISTORY = 0.2
+    added = StructType.fromDDL("n_words long, n_removed long, kept string").fields
+    return joined.mapInArrow(run, StructType([*source.schema.fields, *added]))
 
 
-def dedupe_batch(docs: DataFrame, index: FingerprintIndex, append: bool = True) -> DataFrame:
-    """The batch without passages that the index or a smaller document of the batch has; then the batch joins the index.
+def dedupe_batch(docs: DataFrame, index: FingerprintIndex, earlier: DataFrame | None = None) -> DataFrame:
+    """The batch without passages that ``earlier`` documents or a smaller document of the batch have; the batch joins the index.
 
-    Ids of a batch must be larger than those of the batches before it for a window to go from the later document.
+    ``earlier`` are the documents of the batches before, whose ids must be smaller for a window to go from the later one.
     """
-    own = segments(docs, index.buckets)
-    return _remove(docs, index.ingest(own) if append else index.lookup(own))
-
-
-def dedupe(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
-    """A whole table through an empty index: the first ids as its history, the others as a new batch; texts move once."""
-    bound = docs.select(F.col("doc_id").cast("double").alias("i")).approxQuantile("i", [HISTORY], 0.01)
-    if not bound:
-        return _remove(docs, index.lookup(segments(docs, index.buckets)))
-    first = F.col("doc_id") <= int(bound[0])
-    hits = index.ingest(segments(docs.where(first), index.buckets))
-    hits = hits.unionByName(index.lookup(segments(docs.where(~first), index.buckets)))
-    return _remove(docs, hits)
+    index.ingest(docs)
+    every = docs.select("doc_id", "text")
+    if earlier is not None:
+        every = every.unionByName(earlier.select("doc_id", "text"))
+    return _remove(docs, repeated_windows(every, index.candidates(), index.buckets))
+
+
+def dedupe(docs: DataFrame, index: FingerprintIndex, batches: int = BATCHES) -> DataFrame:
+    """A whole table through an empty index, in batches of rising ids; all of them are verified together."""
+    cuts = [k / batches for k in range(1, batches)]
+    bounds = docs.select(F.col("doc_id").cast("double").alias("i")).approxQuantile("i", cuts, 0.01)
+    edges = sorted({int(b) for b in bounds})
+    for low, high in zip([None, *edges], [*edges, None]):
+        over = F.lit(True) if low is None else F.col("doc_id") > low
+        index.ingest(docs.where(over if high is None else over & (F.col("doc_id") <= high)))
+    return _remove(docs, repeated_windows(docs, index.candidates(), index.buckets))
 
 
 def substring_report(docs: DataFrame, buckets: int | None = None) -> DataFrame:

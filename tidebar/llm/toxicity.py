@@ -8,7 +8,8 @@ far, and clean windows are drawn from whole texts too.
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod 3 is not 1. Labels, language, source and id are never
 inputs of a score. Defined results: null and empty texts are scored as a window without words; null labels are not
-learnt from; if one class has no learnable row every score is 0; repeated rows score alike; other columns are left alone.
+learnt from; if one class has no learnable row every score is 0; repeated rows score alike, and a row with a null id is not
+held out and not learnt from; other columns are left alone, but for one of the name that the score is to have, which is replaced.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import slices, word_codes
+from .common import free_name, release, slices, word_codes
 from .recurrent import Adam, gru, gru_back, gru_run, sigmoid
 
 #: Words of a window, and words from one window's start to the next one's.
 WINDOW, STRIDE = 64, 48
-#: Labelled rows of each class that are learnt from, at most, each with all its windows.
+#: Labelled rows of each class that are learnt from, at most, each with all its windows; an id has one row for each text of its.
 SAMPLE_ROWS = 1000
 #: Hash buckets of words and of n-grams, sizes of their vectors and of the states, n-gram lengths in bytes.
 BUCKETS, GRAM_BUCKETS, EMBED, STATE, GRAMS = 1 << 13, 1 << 14, 12, 8, (3, 4, 5)
@@ -274,26 +275,33 @@ def _subset(words: Words, used: np.ndarray, blank: int) -> Words:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> bytes | None:
-    """Weights learnt in one task from at most ``SAMPLE_ROWS`` learnable rows of each class, chosen by a hash of the id."""
+    """Weights learnt in one task from at most ``SAMPLE_ROWS`` learnable rows of each class, chosen by a hash of the id.
+
+    The bound holds for rows: ids that repeat with many texts are cut to it as well, by a hash of the text.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & learnable(F.col("doc_id"))).select("doc_id", "toxic")
     rank = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = [known.where(F.col("toxic") == y).distinct().orderBy(rank, "doc_id").limit(SAMPLE_ROWS) for y in (0, 1)]
     ids = chosen[0].unionByName(chosen[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text", "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").distinct()
+    rows = [found.where(F.col("toxic") == y).orderBy(rank, "doc_id", F.xxhash64("text"), "text").limit(SAMPLE_ROWS) for y in (0, 1)]
+    rows = rows[0].unionByName(rows[1]).select("toxic", "text", "doc_id")
 
     def run(batches):
         got = sorted((r["doc_id"], r["text"] or "", r["toxic"]) for b in batches for r in b.to_pylist())
         params = train([g[1] for g in got], [g[2] for g in got])
+        del got
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(params)], pa.binary())], names=["weights"])
 
-    found = rows.repartition(1).mapInArrow(run, "weights binary").collect()
-    return bytes(found[0][0]) if found else None
+    trained = rows.repartition(1).mapInArrow(run, "weights binary").collect()
+    return bytes(trained[0][0]) if trained else None
 
 
-def score(docs: DataFrame, weights: bytes | None) -> DataFrame:
-    """``docs`` with the column ``score`` added, without a shuffle."""
+def score(docs: DataFrame, weights: bytes | None, name: str = "score") -> DataFrame:
+    """``docs`` with the score in column ``name``, without a shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(weights)
-    names = [c for c in docs.columns if c != "score"]
+    names = [c for c in docs.columns if c != name]
 
     def run(batches):
         params = pickle.loads(held.value) if held.value else None
@@ -302,14 +310,17 @@ def score(docs: DataFrame, weights: bytes | None) -> DataFrame:
             for start, stop in slices(batch.column("text")):
                 part = batch.slice(start, stop - start)
                 got = score_texts(Net(params), part.column("text")) if params else np.zeros(len(part))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got)], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got)], names=[*names, name])
+            release()
 
     source = docs.select(*names)
-    return source.mapInArrow(run, StructType([*source.schema.fields, *StructType.fromDDL("score double").fields]))
+    return source.mapInArrow(run, StructType([*source.schema.fields, *StructType.fromDDL(f"{name} double").fields]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    return score(docs, fit(docs, labels)).where(F.col("score") < threshold).select(*docs.columns)
+    """The rows of ``docs``, with all their columns as they are, whose text scores under ``threshold``."""
+    name = free_name(docs.columns, "toxicity")
+    return score(docs, fit(docs, labels), name).where(F.col(name) < threshold).select(*docs.columns)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -317,7 +328,7 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score(docs.select("doc_id", "text"), fit(docs, labels))
     return scored.select(
         "doc_id",
-        (~learnable(F.col("doc_id"))).alias("held_out"),
+        F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
