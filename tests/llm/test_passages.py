@@ -1,5 +1,6 @@
 """Substring, near-duplicate, line and benchmark operators against brute force on small tables."""
 
+import collections
 import itertools
 import re
 
@@ -136,31 +137,66 @@ def test_components(spark):
     assert {r.id: r.component for r in got.collect()} == {4: 3, 5: 3, 9: 3, 100: 3, 21: 20, 22: 20}
 
 
-def brute_lines(rows, least):
+def brute_keys(line, documents):
+    """Templates of a line by the book, as tuples; ``documents``: in how many documents each token is."""
+    words = WORD.findall(line)
+    tokens = ["*" if re.search("[0-9]", w) else w for w in words]
+    fixed = sum(t != "*" for t in tokens)
+    keys = {("all", *tokens)} if fixed else set()
+    for k, kind in enumerate(("even", "odd")):
+        half = tokens[2 + k :: 2]
+        if sum(t != "*" for t in half) >= 3:
+            keys.add((kind, len(tokens), *tokens[:2], *half))
+    for step in range(13):
+        part = ["*" if documents[w] < 10 * 4**step else t for w, t in zip(words, tokens)]
+        left = sum(t != "*" for t in part)
+        if left < fixed and 3 * (fixed - left) <= fixed and left >= 3:
+            keys.add(("rare", *part))
+    return keys | ({("exact", *words)} if len(words) >= 13 else set())
+
+
+def brute_lines(rows):
+    documents = collections.Counter(w for _, t in rows for w in set(WORD.findall(t or "")))
     docs = {}
     for i, t in rows:
         for line in set((t or "").split("\n")):
-            for key in lines.template_keys(line):
+            for key in brute_keys(line, documents):
                 docs.setdefault(key, set()).add(i)
-    found = {k: min(x for x in d if x is not None) for k, d in docs.items() if len(d - {None}) >= least}
+    least = lambda k: 2 if k[0] == "exact" else 10
+    found = {k: min(x for x in d if x is not None) for k, d in docs.items() if len(d - {None}) >= least(k)}
     out = []
     for i, t in rows:
         every = t.split("\n") if t else []
-        left = [x for x in every if not any(k in found and (i is None or found[k] != i) for k in lines.template_keys(x))]
+        left = [x for x in every if not any(k in found and (i is None or found[k] != i) for k in brute_keys(x, documents))]
         out.append((i, len(every), len(every) - len(left), None if t is None else "\n".join(left)))
     return sorted(out, key=str)
 
 
 def test_recurring_lines_against_brute_force(spark):
-    rows = [(i, f"page {i} of 12\nOwn words number {'abcdefghij'[i % 10]} of this page {i * 'x'}\n\nAll rights reserved by Mr {'N' * (i + 1)} of this place") for i in range(14)]
+    odd = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"page {i} of 12\nOwn words number {odd[i % 10]} of this page {i * 'x'}\n\nAll rights reserved by Mr {'N' * (i + 1)} of this place") for i in range(14)]
     rows += [(20, None), (21, ""), (22, "\n\n"), (None, "All rights reserved by Mr Q of this place\nalone"), (3, rows[3][1])]
-    docs = spark.createDataFrame([(i, t, "y") for i, t in rows], "doc_id long, text string, kept string")
+    # two neighbouring fields, and fields that begin a line
+    rows += [(40 + i, f"Page written by {odd[i]}anna {odd[i]}berger for the Daily News\n{odd[i]}carl {odd[i]}dorn wrote this page for us today\n{odd[i] * 3} is said here once {odd[i] * 4}") for i in range(12)]
+    long = " ".join(f"long{c}" for c in odd[:15])
+    rows += [(60, f"{long}\n1 2 3\nkept"), (61, f"{long}\n1 2 3"), *((70 + i, "1 2 3\n4 5") for i in range(11))]
+    docs = spark.createDataFrame([(i, t, "y") for i, t in rows], "doc_id long, text string, kept string").repartition(3)
     got = lines.drop_recurring_lines(docs)
     found = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in got.collect()), key=str)
-    assert found == brute_lines(rows, lines.MIN_DOCS)
+    assert found == brute_lines(rows)
     by_id = {r[0]: r[3] for r in found}
     assert "All rights" in by_id[0] and "page 0" in by_id[0]
     assert "All rights" not in by_id[7] and "page 7" not in by_id[7] and by_id[None] == "alone"
+    assert by_id[40].startswith("Page written") and by_id[45] == ""
+    assert long in by_id[60] and by_id[61] == "1 2 3" and by_id[75] == "1 2 3\n4 5"
+
+
+def test_lines_in_small_slices_are_the_same(spark, docs, monkeypatch):
+    from tidebar.llm import common
+
+    monkeypatch.setattr(common.slices, "__defaults__", (64,))
+    found = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in lines.drop_recurring_lines(docs).collect()), key=str)
+    assert found == brute_lines(corpus())
 
 
 def brute_contamination(rows, items):

@@ -3,128 +3,224 @@
 Lines end at U+000A; tokens are runs of other than U+0020 and U+0009 to U+000D.
 
 A line's tokens go down a tree of fixed depth: the number of tokens, then the leading tokens. Tokens that hold a digit
-are variable fields and read ``<*>`` from the start. In a leaf, lines are generalised further: two lines that agree in
-all tokens at even places, or in all at odd places, are one template whose other half is variable, so that a name or a
-date that changes from page to page does not hide a recurring line; a half must have ``LEAST_FIXED`` fixed tokens at
-least. A leaf is thus a set of keys, and nothing ever gathers the lines of a leaf.
-
-A template recurs if it is in ``MIN_DOCS`` documents at least. Its lines are dropped from every document but the one
-with the smallest id, so what is said once stays somewhere. Documents stay, also those without lines left.
-
-With ``exact_docs`` (the pipeline's stage), lines of ``EXACT_TOKENS`` tokens and more, too long to be equal by chance, also
-recur if the line itself, digits included, is in that many documents.
-
-Defined results: a null text stays null, null and empty texts have no lines; blank lines are never dropped and count as lines; rows with a
-null id are compared, and lose recurring lines, but are nobody's first document; repeated rows of one id are one
-document; other columns are left alone, but for columns named n_lines, n_dropped or kept, which are replaced.
+are variable fields and read ``<*>`` from the start. In a leaf, lines are merged into one template where they agree in
+all but some tokens, in either of two ways:
+
+* tokens that are rare in the corpus read ``<*>`` on the way down as well as in the leaf, so names and other fields that
+  change from page to page may stand side by side or begin the line. Rare is said at every step of a scale (in fewer than
+  ``MIN_DOCS`` documents, four times as many, and so on), as long as no more than a third of the words are variable;
+* all tokens at even places, or all at odd places, behind the leading ones agree, so a field may be a common word.
+
+``LEAST_FIXED`` fixed tokens must be left either way. A leaf is thus a set of keys, a few for each line, and nothing ever gathers
+the lines of a leaf. In how many documents a token is comes from all documents, by a sketch of fixed size: two tables of
+2**20 sums of document counts by hash of the token, the smaller sum of the two counts, which is never too small.
+
+A template recurs if it is in ``MIN_DOCS`` documents at least; a line of ``EXACT_TOKENS`` tokens and more, too long to be
+equal by chance, also if the line itself, digits included, is in ``EXACT_DOCS``. Recurring lines are dropped from every
+document but the one with the smallest id that has the template, so what is said once stays somewhere. Documents stay,
+also those without lines left. Keys are hashes: n of them make n * n / 2**64 false matches.
+
+Defined results: a null text stays null, null and empty texts have no lines; blank lines and lines of digits alone are no templates
+and count as lines; rows with a null id are compared, and lose recurring lines, but are nobody's first document; repeated
+rows of one id are one document; other columns are left alone, but for columns named n_lines, n_dropped or kept, which are
+replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
+import hashlib
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import materialize, slices
+from .common import discard, free_name, materialize, release, slices, spread_join, word_codes
+from .hashing import mix
 
-#: Documents in which a template recurs, at least.
-MIN_DOCS = 10
-#: Leading tokens on the way to a leaf, and fixed tokens that a generalised template needs beside them.
+#: Documents in which a template recurs, and in which a long line itself does, at least.
+MIN_DOCS, EXACT_DOCS = 10, 2
+#: Leading tokens on the way to a leaf, and fixed tokens that a generalised template needs.
 LEADING, LEAST_FIXED = 2, 3
 #: Tokens of a line that is no coincidence.
 EXACT_TOKENS = 13
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_DIGIT = re.compile(r"[0-9]")
-
-
-def template_keys(line: str, exact: bool = False) -> tuple[int, ...]:
-    """Keys of a line's templates: all its fixed tokens, those at even places and those at odd ones; these are even numbers.
-
-    With ``exact`` a long line has a key of its own tokens as well, which is odd.
-    """
-    words = _TOKEN.findall(line)
-    tokens = ["<*>" if _DIGIT.search(t) else t for t in words]
-    if not tokens:
-        return ()
-    path = [str(len(tokens)), *tokens[:LEADING]]
-    rest = tokens[LEADING:]
-    key = lambda kind, part: xxhash.xxh3_64_intdigest("\n".join([kind, *path, *part])) - (1 << 63) & ~1
-    if len(tokens) <= LEADING:
-        return (key("all", rest),)
-    keys = [key("all", rest)]
-    for kind, part in (("even", rest[0::2]), ("odd", rest[1::2])):
-        if sum(t != "<*>" for t in part) >= LEAST_FIXED:
-            keys.append(key(kind, part))
-    if exact and len(words) >= EXACT_TOKENS:
-        keys.append(key("exact", words) | 1)
-    return tuple(keys)
-
-
-def _keys(docs: DataFrame, exact: bool) -> DataFrame:
-    """doc_id and key, once for each document of a slice."""
+#: Steps of the scale of rareness, each so many times the one before.
+STEP = 4
+#: Sums of one table of the sketch.
+SKETCH = 1 << 20
+_ALL, _EVEN, _ODD, _RARE, _EXACT = range(5)
+
+
+def _buckets(vocab: list[str]) -> np.ndarray:
+    """(token, table): places of the tokens in the sketch, five hexadecimal digits of their MD5 each."""
+    both = [int(hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest()[:10], 16) for t in vocab]
+    wide = np.array(both, np.int64).reshape(-1, 1)
+    return np.concatenate([wide >> 20, wide & (SKETCH - 1)], axis=1)
+
+
+def document_counts(docs: DataFrame) -> np.ndarray:
+    """(table, place): in how many documents tokens of each place of the sketch are, over all documents."""
 
     def run(batches):
+        total = np.zeros((2, SKETCH), np.int64)
         for batch in batches:
             for start, stop in slices(batch.column("text")):
-                part = batch.slice(start, stop - start)
-                known: dict[str, tuple[int, ...]] = {}
-                doc, key = [], []
-                for i, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    own = set()
-                    for line in set((text or "").split("\n")):
-                        keys = known.get(line)
-                        if keys is None:
-                            keys = known[line] = template_keys(line, exact)
-                        own.update(keys)
-                    doc += [i] * len(own)
-                    key += own
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.int64())], names=["doc_id", "key"])
+                offsets, codes, vocab = word_codes(batch.column("text").slice(start, stop - start))
+                text = np.repeat(np.arange(stop - start), np.diff(offsets))
+                every = np.unique(codes * np.int64(stop - start) + text) // (stop - start)
+                places, times = _buckets(vocab.to_pylist()), np.bincount(every, minlength=len(vocab))
+                for k in range(2):
+                    np.add.at(total[k], places[:, k], times)
+            release()
+        for k in range(2):
+            at = np.flatnonzero(total[k])
+            yield pa.RecordBatch.from_arrays([pa.array(at + k * SKETCH, pa.int32()), pa.array(total[k][at])], names=["place", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    out = np.zeros(2 * SKETCH, np.int64)
+    found = rows.toArrow()  # a row for each place of the sketch, at most
+    out[np.asarray(found.column("place"))] = np.asarray(found.column("n"))
+    return out.reshape(2, SKETCH)
+
+
+def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of the values of each line."""
+    total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values, dtype=values.dtype)])
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
+class Lines:
+    """The lines of a slice of texts and the keys of their templates."""
+
+    def __init__(self, texts: pa.Array, counts: np.ndarray):
+        split = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+        ends = np.asarray(split.offsets, dtype=np.int64)
+        self.of_text, self.lines = ends - ends[0], split.flatten()
+        self.offsets, self.codes, vocab = word_codes(self.lines)
+        words = vocab.to_pylist()
+        self.hash = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+        self.digit = np.asarray(pc.match_substring_regex(vocab, "[0-9]"), dtype=bool)
+        places = _buckets(words)
+        self.documents = np.minimum(counts[0][places[:, 0]], counts[1][places[:, 1]])
+
+    def _keys(self, kind: int, lines: np.ndarray, fixed: np.ndarray, used: np.ndarray | None = None) -> np.ndarray:
+        """Keys of the chosen lines; ``fixed`` and ``used`` say of all tokens which are named and which count at all."""
+        sizes = np.diff(self.offsets)
+        chosen = np.zeros(len(sizes), bool)
+        chosen[lines] = True
+        token = np.repeat(chosen, sizes)
+        place = np.arange(len(fixed)) - np.repeat(self.offsets[:-1], sizes)
+        if used is not None:
+            token &= used
+        at = np.flatnonzero(token)
+        said = np.where(fixed[at], self.hash[self.codes[at]], np.uint64(0))
+        said = mix(said + mix(place[at].astype(np.uint64) + np.uint64(1)))
+        line = np.repeat(np.arange(len(sizes)), sizes)[at]
+        offsets = np.searchsorted(line, np.append(lines, len(sizes)))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(said)])
+        total = total[offsets[1:]] - total[offsets[:-1]]
+        key = mix(mix(total + sizes[lines].astype(np.uint64)) + np.uint64(kind))
+        return (key >> np.uint64(1) << np.uint64(1) | np.uint64(kind == _EXACT)).view(np.int64)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """(line, key) of every template of every line; keys of long lines themselves are odd, all others even."""
+        sizes = np.diff(self.offsets)
+        word = ~self.digit[self.codes]
+        words = _sums(word.astype(np.int64), self.offsets)
+        place = np.arange(len(word)) - np.repeat(self.offsets[:-1], sizes)
+        some = np.flatnonzero(words > 0)
+        out = [(some, self._keys(_ALL, some, word))]
+        for kind, parity in ((_EVEN, 0), (_ODD, 1)):
+            half = (place >= LEADING) & ((place - LEADING) % 2 == parity)
+            own = np.flatnonzero(_sums((half & word).astype(np.int64), self.offsets) >= LEAST_FIXED)
+            out.append((own, self._keys(kind, own, word, half | (place < LEADING))))
+        least, before = MIN_DOCS, np.zeros(len(sizes), np.int64)
+        found = self.documents[self.codes]
+        while len(found):
+            rare = word & (found < least)
+            n = _sums(rare.astype(np.int64), self.offsets)
+            own = np.flatnonzero((n > before) & (3 * n <= words) & (words - n >= LEAST_FIXED))
+            out.append((own, self._keys(_RARE, own, word & ~rare)))
+            if least > found.max() or (3 * n > words)[words > 0].all():
+                break
+            before, least = n, least * STEP
+        own = np.flatnonzero(sizes >= EXACT_TOKENS)
+        out.append((own, self._keys(_EXACT, own, np.ones(len(word), bool))))
+        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+    def text_of(self, lines: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.of_text, lines, side="right") - 1
+
+
+def _keys(docs: DataFrame, held) -> DataFrame:
+    """doc_id and key, once for each row of ``docs``."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for start, stop in slices(batch.column("text")):
+                own = Lines(batch.column("text").slice(start, stop - start), held.value)
+                line, key = own.keys()
+                text = own.text_of(line)
+                order = np.lexsort((key, text))
+                text, key = text[order], key[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1])
+                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start).take(pa.array(text[new])), pa.array(key[new])], names=["doc_id", "key"])
+            release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key long")
 
 
-def recurring_templates(keys: DataFrame, min_docs: int = MIN_DOCS, exact_docs: int | None = None) -> DataFrame:
-    """key and first_doc (the smallest id) of the templates in ``min_docs`` documents at least, exact lines in ``exact_docs``."""
-    least = F.lit(min_docs) if exact_docs is None else F.when(F.col("key") % 2 == 0, min_docs).otherwise(exact_docs)
+def recurring_templates(keys: DataFrame, min_docs: int = MIN_DOCS, exact_docs: int = EXACT_DOCS) -> DataFrame:
+    """key, docs and first_doc (the smallest id) of the templates in ``min_docs`` documents at least, long lines in ``exact_docs``."""
+    least = F.when(F.col("key") % 2 == 0, min_docs).otherwise(exact_docs)
     found = keys.groupBy("key").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
-    return found.where((F.col("docs") >= least) & F.col("first_doc").isNotNull()).select("key", "first_doc")
+    return found.where((F.col("docs") >= least) & F.col("first_doc").isNotNull())
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, exact_docs: int | None = None) -> DataFrame:
-    """``docs`` with n_lines, n_dropped and kept, the text without lines of templates that recur."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
-    exact = exact_docs is not None
-    keys = materialize(_keys(docs, exact), "line-keys")
-    found = recurring_templates(keys, min_docs, exact_docs)
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, exact_docs: int = EXACT_DOCS, names: tuple[str, str, str] = ("n_lines", "n_dropped", "kept")) -> DataFrame:
+    """``docs`` with the number of lines, of those dropped, and the text without lines of templates that recur, by these names."""
+    carried = [c for c in docs.columns if c not in names]
+    doc, gone = (free_name([*carried, *names], c) for c in ("doc", "gone"))
+    held = docs.sparkSession.sparkContext.broadcast(document_counts(docs))
+    keys = materialize(_keys(docs, held), "line-keys")
+    found = materialize(recurring_templates(keys, min_docs, exact_docs), "line-templates")
     # each document's own recurring templates, but for those it is the first document of
-    own = keys.join(found, "key").where("doc_id is null or doc_id <> first_doc")
-    gone = own.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("key").alias("_gone"))
-    joined = docs.select(*names).join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    own = spread_join(keys, found, ["key"], "docs", keys.count(), F.col("doc_id")).where("doc_id is null or doc_id <> first_doc")
+    hits = materialize(own.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("key").alias(gone)), "line-hits")
+    discard(keys, found)
+    joined = docs.select(*carried).join(hits, F.col("doc_id").eqNullSafe(F.col(doc)), "left").drop(doc)
 
     def run(batches):
         for batch in batches:
             for start, stop in slices(batch.column("text")):
                 part = batch.slice(start, stop - start)
-                n_lines, n_dropped, kept = [], [], []
-                for text, gone in zip(part.column("text").to_pylist(), part.column("_gone")):
-                    lines = text.split("\n") if text else []
-                    n_lines.append(len(lines))
-                    if gone.is_valid and lines:
-                        keys = set(gone.as_py())
-                        left = [x for x in lines if keys.isdisjoint(template_keys(x, exact))]
-                    else:
-                        left = lines
-                    n_dropped.append(len(lines) - len(left))
-                    kept.append(None if text is None else "\n".join(left))
-                added = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *added], names=[*names, "n_lines", "n_dropped", "kept"])
-
-    fields = StructType.fromDDL("n_lines long, n_dropped long, kept string").fields
-    return joined.mapInArrow(run, StructType([*docs.select(*names).schema.fields, *fields]))
+                texts = part.column("text")
+                own = Lines(texts, held.value)
+                line, key = own.keys()
+                lists = part.column(gone)
+                sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+                asked = np.asarray(lists.flatten(), dtype=np.int64).view(np.uint64) ^ mix(np.repeat(np.arange(len(sizes), dtype=np.uint64) + np.uint64(1), sizes))
+                hit = np.isin(key.view(np.uint64) ^ mix(own.text_of(line).astype(np.uint64) + np.uint64(1)), asked)
+                drop = np.zeros(len(own.lines), bool)
+                drop[line[hit]] = True
+                # null and empty texts have no lines
+                full = np.asarray(pc.fill_null(pc.greater(pc.binary_length(texts), 0), False))
+                n_lines = np.where(full, np.diff(own.of_text), 0)
+                n_dropped = np.diff(np.concatenate([[0], np.cumsum(drop)])[own.of_text])
+                left = np.concatenate([[0], np.cumsum(~drop)])[own.of_text]
+                kept = pc.binary_join(pa.ListArray.from_arrays(pa.array(left, pa.int32()), own.lines.filter(pa.array(~drop))), "\n")
+                kept = pc.if_else(texts.is_valid(), kept, pa.scalar(None, pa.string()))
+                added = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), kept]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *added], names=[*carried, *names])
+            release()
+
+    fields = StructType.fromDDL("`{}` long, `{}` long, `{}` string".format(*names)).fields
+    return joined.mapInArrow(run, StructType([*docs.select(*carried).schema.fields, *fields]))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

@@ -137,21 +137,38 @@ def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, i, x, list_transform(regexp_extract_all(x, '[^\x20\x09-\x0D]+'),
-         lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t
+  SELECT doc_id, i, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> '') AS d,
        unnest(range(1, len(l) + 1)) AS u(i), LATERAL (SELECT l[i] AS x) AS v),
+words AS (
+  SELECT t, count(*) AS n FROM (SELECT DISTINCT doc_id, t FROM lines, unnest(w) AS u(t)) GROUP BY t),
+places AS (
+  SELECT t, n, CAST('0x' || substr(md5(t), 1, 5) AS BIGINT) AS p, CAST('0x' || substr(md5(t), 6, 5) AS BIGINT) AS q FROM words),
+sketch AS (
+  SELECT t, least(sum(n) OVER (PARTITION BY p), sum(n) OVER (PARTITION BY q)) AS docs FROM places),
+tokens AS (
+  SELECT doc_id, i, list(CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END ORDER BY k) AS t, list(docs ORDER BY k) AS docs, any_value(w) AS w
+  FROM (SELECT doc_id, i, w, k, w[k] AS t FROM lines, unnest(range(1, len(w) + 1)) AS u(k)) JOIN sketch USING (t) GROUP BY doc_id, i),
 halves AS (
-  SELECT doc_id, i, t, list_slice(t, 1, 2) AS lead, list_slice(t, 3, len(t), 2) AS even, list_slice(t, 4, len(t), 2) AS odd
-  FROM lines WHERE len(t) > 0),
+  SELECT *, list_slice(t, 1, 2) AS lead, list_slice(t, 3, len(t), 2) AS even, list_slice(t, 4, len(t), 2) AS odd,
+         len(list_filter(t, lambda y: y <> '<*>')) AS fixed FROM tokens),
+masked AS (
+  SELECT doc_id, i, t, fixed, list_transform(t, lambda y, k: CASE WHEN docs[k] < 10 * 4 ** step THEN '<*>' ELSE y END) AS part
+  FROM halves, unnest(range(0, 13)) AS u(step) WHERE fixed > 0),
+rare AS (
+  SELECT doc_id, i, part, fixed, len(list_filter(part, lambda y: y <> '<*>')) AS left_over FROM masked),
 keyed AS (
-  SELECT doc_id, i, {'k': 'all', 'n': len(t), 'lead': lead, 'part': t} AS key FROM halves
+  SELECT doc_id, i, {'k': 'all', 'n': len(t), 'lead': lead, 'part': t} AS key FROM halves WHERE fixed > 0
   UNION ALL SELECT doc_id, i, {'k': 'even', 'n': len(t), 'lead': lead, 'part': even} FROM halves
-  WHERE len(t) > 2 AND len(list_filter(even, lambda y: y <> '<*>')) >= 3
+  WHERE len(list_filter(even, lambda y: y <> '<*>')) >= 3
   UNION ALL SELECT doc_id, i, {'k': 'odd', 'n': len(t), 'lead': lead, 'part': odd} FROM halves
-  WHERE len(t) > 2 AND len(list_filter(odd, lambda y: y <> '<*>')) >= 3),
+  WHERE len(list_filter(odd, lambda y: y <> '<*>')) >= 3
+  UNION ALL SELECT DISTINCT doc_id, i, {'k': 'rare', 'n': len(part), 'lead': part[1:2], 'part': part} FROM rare
+  WHERE left_over < fixed AND 3 * (fixed - left_over) <= fixed AND left_over >= 3
+  UNION ALL SELECT doc_id, i, {'k': 'exact', 'n': len(w), 'lead': w[1:2], 'part': w} FROM halves WHERE len(w) >= 13),
 found AS (
-  SELECT key, min(doc_id) AS first_doc FROM keyed GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+  SELECT key, min(doc_id) AS first_doc FROM keyed GROUP BY key
+  HAVING count(DISTINCT doc_id) >= CASE WHEN key.k = 'exact' THEN 2 ELSE 10 END),
 gone AS (SELECT DISTINCT doc_id, i FROM keyed JOIN found USING (key) WHERE doc_id <> first_doc),
 counts AS (
   SELECT doc_id, count(*) AS n_lines, count(g.i) AS n_dropped,
