@@ -60,7 +60,7 @@ def test_personal_data_report(spark, docs, empty):
 def test_network_finds_what_the_patterns_miss():
     rows = [t for (t,) in duckdb.sql(f"SELECT text FROM '/root/testdata/sf0.1/documents.parquet' WHERE regexp_matches(text, '[0-9]') ORDER BY md5(text) LIMIT 2100").fetchall()]
     cut = 2 * len(rows) // 3
-    net = pii.Tagger(pii.train(sorted(rows[:cut])))
+    net = pii.Tagger(pii.train([w for t in rows[:cut] for w in pii.text_windows(t)]))
     rng = np.random.default_rng(3)
     found = total = 0
     for text in rows[cut:]:
@@ -75,6 +75,66 @@ def test_network_finds_what_the_patterns_miss():
     assert total >= 15 and found / total > 0.5, (found, total)
 
 
+def full_paths(net, texts):
+    """Best paths by the whole search over whole texts, from the same stitched emissions."""
+    every = pii.Emissions(net, texts)
+    e = np.empty((pii.LABELS, len(every.flat)), np.float32)
+    for place, found in every.over(0, len(every.flat)):
+        e[:, place] = found
+    out = []
+    for low, high in zip(every.offsets[:-1], every.offsets[1:]):
+        if high > low:
+            out.append(net._viterbi(np.ascontiguousarray(e[:, low:high].T)[:, None], np.ones((high - low, 1), bool), np.array([False]))[0])
+    return np.concatenate(out)
+
+
+def test_pruned_search_is_the_whole_one(monkeypatch):
+    """Over weights that make many runs, over texts shorter and longer than windows and blocks, and where windows meet."""
+    rng = np.random.default_rng(5)
+    say = lambda n: "".join(rng.choice(list("ab1.2@ +-x"), n))
+    texts = [say(n) for n in (3, 700, 0, 768, 769, 2000, 5000)]
+    some = 0
+    for trial in range(12):
+        net = pii.Tagger()
+        for k, v in net.p.items():
+            net.p[k] = (v + rng.standard_normal(v.shape) * (0.3 + 0.3 * (trial % 3))).astype(np.float32)
+        net.p["bias"][0] += trial / 4 - 2
+        labels, _ = pii.label_texts(net, texts)
+        truth = full_paths(net, texts)
+        assert (labels == truth).all()
+        some += int(labels.any())
+        with monkeypatch.context() as m:
+            m.setattr(pii, "BLOCK", 1000)
+            assert (pii.label_texts(net, texts)[0] == truth).all()
+    assert some >= 6
+    # a text of one window: the path of that window alone
+    e = net.scores(pii.symbols(texts[1].ljust(768))[None])[:, :700]
+    alone = net._viterbi(e.transpose(1, 2, 0), np.ones((700, 1), bool), np.array([False]))[0]
+    assert (pii.label_texts(net, [texts[1]])[0] == alone).all()
+
+
+def test_tagger_gradients():
+    rng = np.random.default_rng(1)
+    net = pii.Tagger()
+    x, y = rng.integers(0, pii.SYMBOLS, (3, 7)), rng.integers(0, pii.LABELS, (3, 7))
+    _, grads = net.loss_gradients(x, y)
+    for name, at in (("out", (2, 3)), ("trans", (1, 2)), ("u0", (1, 5)), ("t1", (int(x[0, 0]), 4)), ("begin", (2,))):
+        kept, sides = net.p[name].copy(), []
+        for step in (1e-2, -1e-2):
+            net.p[name] = kept.copy()
+            net.p[name][at] += np.float32(step)
+            sides.append(net.loss_gradients(x, y)[0])
+        net.p[name] = kept
+        assert grads[name][at] == pytest.approx((sides[0] - sides[1]) / 2e-2, abs=2e-3)
+
+
+def test_learning_draws_from_whole_texts_and_copies_count_once(spark):
+    far = "x" * 60_000 + " write to jo.doe@mail.example now"
+    assert any(group == 0 for group, _, _ in pii.text_windows(far))
+    docs = spark.createDataFrame([(i, far) for i in range(50)] + [(100, "call +1 555 123 4567 or 10.0.0.1")], "doc_id long, text string")
+    assert pii.fit(docs) is not None
+
+
 def test_toxicity_of_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     known = docs.join(F.broadcast(labels.where("toxic is not null").select("doc_id", "toxic")), "doc_id").where(~toxicity.learnable(F.col("doc_id")))

@@ -2,13 +2,17 @@
 
 The network is trained in numpy, in one task, from labelled spans of a bounded sample of documents: windows round base
 matches, round other digits and at random, and the same windows with a match written in a way the patterns miss (a
-telephone number without ``+``, an address with ``at`` and ``dot``, a card number with points). Whole texts are cut into
-overlapping windows; each is decoded, and each character takes its label from the window in which it is farthest from
-an edge, so spans are put together over the whole text. The network's spans are added to those of the patterns, which
-stay; one that touches a base span, or lacks what its kind must have, is left out.
+telephone number without ``+``, an address with ``at`` and ``dot``, a card number with points), drawn by hash from whole texts.
 
-Defined results: null texts are empty ones; empty texts have no spans; repeated rows give repeated rows; with no
-document to learn from only base spans are found; other columns are left alone.
+Whole texts are cut into overlapping windows for the network. Each character takes its emissions from the window in which
+it is farthest from an edge, and one search for the best label path goes over the whole text, so no span is cut where
+windows meet. Most characters cannot leave label 0 in any best path, whatever else happens; only the stretches between
+them are searched. The network's spans are added to those of the patterns, which stay; one that touches a base span, or
+lacks what its kind must have, is left out.
+
+Defined results: null texts are empty ones; empty texts have no spans; repeated rows give repeated rows and are learnt
+from once; with no document to learn from only base spans are found; other columns are left alone, but for columns named
+base or added (redacted in :func:`redact`), which are replaced.
 """
 
 from __future__ import annotations
@@ -18,22 +22,23 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import sha256_hex, slices
+from .common import release, slices
 from .recurrent import Adam, lstm, lstm_back, lstm_run
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that are learnt from, at most, and characters of each that are looked at for windows.
-SAMPLE_DOCS, SAMPLE_CHARS = 1500, 20_000
+#: Different texts that are learnt from, at most, and windows of one kind that are drawn from each whole text, at most.
+SAMPLE_DOCS, PER_TEXT = 1500, 8
 #: Characters of a training window; of a decoded window, and from its start to the next one's.
 TRAIN_WINDOW, WINDOW, STRIDE = 80, 768, 720
 SYMBOLS, STATE, LABELS = 130, 8, 2 * len(KINDS) + 1
 EPOCHS, BATCH, RATE, SEED, PER_KIND = 12, 64, 0.02, 11, 250
-#: Windows decoded at once, all padded to one length, a multiple of PAD.
-DECODED, PAD = 768, 128
+#: Windows scored at once, all padded to one length, a multiple of PAD; characters whose emissions are at hand at once.
+DECODED, PAD, BLOCK = 768, 128, 1 << 20
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -118,7 +123,7 @@ def _variant(kind: int, span: str, rng: np.random.Generator) -> str | None:
     return pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"00{digits[:-10]} {a} {b} {c}", f"1 ({a}) {b}-{c}", f"{a}.{b}.{c}")
 
 
-def _labels(size: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
+def _labels(size: int, spans: list) -> np.ndarray:
     """0 outside; 1 + 2 kind at a span's first character, 2 + 2 kind inside; earlier kinds go first where spans overlap."""
     y = np.zeros(size, np.int64)
     for start, kind, end in sorted(spans, key=lambda s: -s[1]):
@@ -127,40 +132,49 @@ def _labels(size: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return y
 
 
-def training_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and labels (window, place)."""
-    rng = np.random.default_rng(SEED)
-    made: list[list[tuple[str, list]]] = [[] for _ in range(2 * len(KINDS) + 2)]
-    for text in texts:
-        text = text[:SAMPLE_CHARS]
-        spans = base_spans(text)
-        for start, kind, end in spans:
-            if end - start > TRAIN_WINDOW // 2:
-                continue
+def text_windows(text: str) -> list[tuple[int, bytes, bytes]]:
+    """(group, symbols, labels) of windows of a text, at most ``PER_TEXT`` of each group, drawn from all of it.
+
+    Groups are base matches by kind, rewritten ones by kind, windows round other digits, and windows anywhere.
+    """
+    rng = np.random.default_rng(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) ^ SEED)
+    draw = lambda n: rng.permutation(n)[:PER_TEXT]
+    spans, out = base_spans(text), []
+    starts, ends = np.array([s for s, _, _ in spans], np.int64), np.array([e for _, _, e in spans], np.int64)
+    free = lambda low, high: not ((starts < high) & (ends > low)).any()
+
+    def put(group: int, window: str, own: list) -> None:
+        out.append((group, symbols(window.ljust(TRAIN_WINDOW)).astype(np.uint8).tobytes(), _labels(TRAIN_WINDOW, own).astype(np.uint8).tobytes()))
+
+    for kind in range(len(KINDS)):
+        every = [s for s in spans if s[1] == kind and s[2] - s[0] <= TRAIN_WINDOW // 2]
+        for start, _, end in (every[i] for i in draw(len(every))):
             left = max(0, start - int(rng.integers(5, TRAIN_WINDOW - (end - start) - 4)))
-            made[kind].append((text[left : left + TRAIN_WINDOW], [(s - left, k, e - left) for s, k, e in spans if s >= left and e <= left + TRAIN_WINDOW]))
+            put(kind, text[left : left + TRAIN_WINDOW], [(s - left, k, e - left) for s, k, e in spans if s >= left and e <= left + TRAIN_WINDOW])
             other = _variant(kind, text[start:end], rng)
-            if other and not any(s < end and e > start for s, k, e in spans if (s, k, e) != (start, kind, end)):
+            if other and ((starts < end) & (ends > start)).sum() == 1 and free(left, start):
                 near = text[left:start] + other + text[end : end + TRAIN_WINDOW]
-                if not base_spans(near[: start - left]):
-                    made[len(KINDS) + kind].append((near[:TRAIN_WINDOW], [(start - left, kind, min(TRAIN_WINDOW, start - left + len(other)))]))
-        for m in _DIGIT.finditer(text):
-            if not any(s - TRAIN_WINDOW < m.start() < e + TRAIN_WINDOW for s, _, e in spans):
-                left = max(0, m.start() - int(rng.integers(5, TRAIN_WINDOW - 5)))
-                made[-2].append((text[left : left + TRAIN_WINDOW], []))
-                break
-        if len(text) > TRAIN_WINDOW:
-            left = int(rng.integers(len(text) - TRAIN_WINDOW))
-            if not any(s < left + TRAIN_WINDOW and e > left for s, _, e in spans):
-                made[-1].append((text[left : left + TRAIN_WINDOW], []))
-    x, y = [], []
-    for windows in made:
-        for i in rng.permutation(len(windows))[:PER_KIND]:
-            text, spans = windows[i]
-            text = text.ljust(TRAIN_WINDOW)
-            x.append(symbols(text))
-            y.append(_labels(TRAIN_WINDOW, spans))
-    return np.array(x).reshape(-1, TRAIN_WINDOW), np.array(y).reshape(-1, TRAIN_WINDOW)
+                put(len(KINDS) + kind, near[:TRAIN_WINDOW], [(start - left, kind, min(TRAIN_WINDOW, start - left + len(other)))])
+    digits = [m.start() for m in _DIGIT.finditer(text)]
+    for i in draw(len(digits))[: PER_TEXT // 4]:
+        left = max(0, digits[i] - int(rng.integers(5, TRAIN_WINDOW - 5)))
+        if free(left, left + TRAIN_WINDOW):
+            put(2 * len(KINDS), text[left : left + TRAIN_WINDOW], [])
+    if len(text) > TRAIN_WINDOW:
+        left = int(rng.integers(len(text) - TRAIN_WINDOW))
+        if free(left, left + TRAIN_WINDOW):
+            put(2 * len(KINDS) + 1, text[left : left + TRAIN_WINDOW], [])
+    return out
+
+
+def training_windows(windows: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and labels (window, place) of at most ``PER_KIND`` windows of each group."""
+    rng, chosen = np.random.default_rng(SEED), []
+    for group in range(2 * len(KINDS) + 2):
+        own = sorted(w for w in windows if w[0] == group)
+        chosen += [own[i] for i in rng.permutation(len(own))[:PER_KIND]]
+    both = [np.frombuffer(b"".join(w[k] for w in chosen), np.uint8).reshape(-1, TRAIN_WINDOW).astype(np.int64) for k in (1, 2)]
+    return both[0], both[1]
 
 
 # --- network ----------------------------------------------------------------------------------------------------
@@ -222,51 +236,36 @@ class Tagger:
             np.add.at(g[name], at.ravel(), dx.reshape(-1, 4 * STATE))
         return float((log_z - gold).mean()), g
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """Best label path of each window (batch, time).
-
-        A run of m characters without label 0 loses that label's lead in each of them, and its m + 1 transitions win at
-        most ``enter``, m - 1 times ``stay`` and ``leave`` over those of label 0. Characters that no run can pay for are
-        label 0 whatever else happens, so only the stretches between them are searched for the best path.
-        """
-        trans, p = self.p["trans"] - self.p["trans"][0, 0], self.p
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Emissions (label, time, batch) for symbols (batch, time)."""
+        p = self.p
         fwd = np.ascontiguousarray(x.T)
-        steps, batch = fwd.shape
         there = lstm_run(p["t0"], fwd, p["u0"]).reshape(-1, STATE)
         back = np.ascontiguousarray(lstm_run(p["t1"], fwd[::-1], p["u1"])[::-1]).reshape(-1, STATE)
         e = p["out"][:STATE].T @ there.T
         e += p["out"][STATE:].T @ back.T
         e += p["bias"][:, None]
+        return e.reshape(LABELS, *fwd.shape)
+
+    def open_places(self, lead: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which characters may leave label 0. ``lead``: by how much label 0 leads each character's other labels.
+
+        A run of m characters without label 0 loses that label's lead in each of them, and its m + 1 transitions win at
+        most ``enter``, m - 1 times ``stay`` and ``leave`` over those of label 0. Characters that no run of their text can
+        pay for are label 0 whatever else happens.
+        """
+        trans, p = self.p["trans"] - self.p["trans"][0, 0], self.p
         stay = float(trans[1:, 1:].max())
         enter = max(float(trans[0, 1:].max()), float(p["begin"][1:].max() - p["begin"][0]))
         leave = max(float(trans[1:, 0].max()), 0.0)
-        gain = stay - (e[0] - e[1:].max(0)).reshape(fwd.shape)
-        total = np.zeros((steps + 1, batch))
-        np.cumsum(gain, axis=0, out=total[1:])
-        before = np.minimum.accumulate(total[:-1], axis=0)
-        after = np.maximum.accumulate(total[:0:-1], axis=0)[::-1]
-        open_ = (after - before + (enter + leave - stay) > -1e-3).T  # the best run through each character
-        out = np.zeros(x.shape, np.int64)
-        if open_.any():
-            self._stretches(e, open_, out)
-        return out
-
-    def _stretches(self, e: np.ndarray, open_: np.ndarray, out: np.ndarray) -> None:
-        """Best labels of the open stretches, each between characters that are label 0 or the edges of its window."""
-        batch, steps = open_.shape
-        edge = np.diff(np.pad(open_, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        row, first = np.nonzero(edge == 1)
-        last = np.nonzero(edge == -1)[1]
-        low, high = np.maximum(first - 1, 0), np.minimum(last + 1, steps)
-        size = high - low
-        order = np.argsort(size, kind="stable")
-        for i in range(0, len(order), 1024):
-            own = order[i : i + 1024]
-            at = low[own][:, None] + np.arange(size[own].max())
-            real = at < high[own][:, None]
-            where = np.minimum(at, steps - 1) * batch + row[own][:, None]
-            path = self._viterbi(e[:, where].transpose(2, 1, 0), real.T, first[own] > 0)
-            out[np.repeat(row[own], size[own]), at[real]] = path[real]
+        sizes = np.diff(offsets)
+        total = np.cumsum(stay - lead.astype(np.float64))  # over the run from its text's start up to a character
+        total -= np.repeat(np.append(0, total)[offsets[:-1]], sizes)
+        fall = np.repeat(np.arange(len(sizes)), sizes) * (2 * np.abs(total).max(initial=0) + 1.0)  # so that texts stay apart
+        begin = total - (stay - lead)
+        before = np.minimum.accumulate(begin - fall)
+        after = np.maximum.accumulate((total - fall)[::-1])[::-1]
+        return after - before + (enter + leave - stay) > -1e-3  # the best run through each character
 
     def _viterbi(self, e: np.ndarray, real: np.ndarray, closed: np.ndarray) -> np.ndarray:
         """(stretch, place) for emissions (place, stretch, label); a ``closed`` stretch begins with label 0."""
@@ -287,8 +286,8 @@ class Tagger:
         return path
 
 
-def train(texts: list[str]) -> dict | None:
-    x, y = training_windows(texts)
+def train(windows: list[tuple[int, bytes, bytes]]) -> dict | None:
+    x, y = training_windows(windows)
     if not len(x) or not y.any():
         return None
     net, rng = Tagger(), np.random.default_rng(SEED)
@@ -305,31 +304,90 @@ def train(texts: list[str]) -> dict | None:
 # --- whole texts ------------------------------------------------------------------------------------------------
 
 
+class Emissions:
+    """Emissions of the characters of some texts, one after the other, stitched from overlapping windows."""
+
+    def __init__(self, net: Tagger, texts: list[str]):
+        self.net = net
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.offsets = np.concatenate([[0], np.cumsum(sizes)])
+        self.flat = symbols("".join(texts))
+        count = np.where(sizes > 0, np.maximum(1, -(-(sizes - (WINDOW - STRIDE)) // STRIDE)), 0)
+        text = np.repeat(np.arange(len(sizes)), count)
+        k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        edge = (WINDOW - STRIDE) // 2  # the half of an overlap that is nearer to a window's middle is its own
+        self.first = self.offsets[text] + k * STRIDE
+        self.end = np.minimum(self.first + WINDOW, self.offsets[text + 1])
+        self.own_from = np.where(k == 0, self.first, self.first + edge)
+        self.own_to = np.append(self.own_from[1:], len(self.flat))
+
+    def over(self, low: int, high: int):
+        """(places, emissions) of the windows that own the characters from ``low`` to ``high``."""
+        windows = np.arange(np.searchsorted(self.own_to, low, side="right"), np.searchsorted(self.own_from, high))
+        width = -(-(self.end - self.first)[windows] // PAD) * PAD
+        for w in np.unique(width):
+            same = windows[width == w]
+            for i in range(0, len(same), DECODED):
+                batch = same[i : i + DECODED]
+                place = self.first[batch][:, None] + np.arange(w)
+                inside = place < self.end[batch][:, None]
+                e = self.net.scores(np.where(inside, self.flat[np.minimum(place, len(self.flat) - 1)], 32))
+                own = (place >= self.own_from[batch][:, None]) & (place < self.own_to[batch][:, None])
+                yield place[own], e.transpose(0, 2, 1)[:, own]
+
+
 def label_texts(net: Tagger, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Labels of all characters of all texts, one after the other, and the offset of each text."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    flat = symbols("".join(texts))
-    count = np.where(sizes > 0, np.maximum(1, -(-(sizes - (WINDOW - STRIDE)) // STRIDE)), 0)
-    text = np.repeat(np.arange(len(sizes)), count)
-    first = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
-    labels = np.zeros(len(flat), np.int64)
-    edge = (WINDOW - STRIDE) // 2
-    length = np.minimum(sizes[text] - first, WINDOW)
-    width = -(-length // PAD) * PAD
-    batches = [own[i : i + DECODED] for w in np.unique(width) for own in [np.flatnonzero(width == w)] for i in range(0, len(own), DECODED)]
-    for batch in batches:
-        of, at, places = text[batch], first[batch], np.arange(width[batch[0]])
-        place = at[:, None] + places
-        inside = place < sizes[of][:, None]
-        where = np.where(inside, offsets[of][:, None] + place, 0)
-        got = net.decode(np.where(inside, flat[where] if len(flat) else 32, 32))
-        last = at + STRIDE + edge >= sizes[of]  # the half of an overlap that is nearer to this window's middle
-        own = inside & ((places >= edge) | (at == 0)[:, None]) & ((places < edge + STRIDE) | last[:, None])
-        labels[where[own]] = got[own]
+    """Labels of all characters of all texts, one after the other, and the offset of each text.
+
+    The best path is that of the whole text. Its emissions are held for ``BLOCK`` characters and the stretch at their end;
+    of longer texts they are made again where there are stretches to be searched.
+    """
+    every = Emissions(net, texts)
+    n, offsets = len(every.flat), every.offsets
+    labels, lead = np.zeros(n, np.int64), np.zeros(n, np.float32)
+    held = np.empty((LABELS, n), np.float32) if n <= BLOCK else None
+    for low in range(0, n, BLOCK):
+        for place, e in every.over(low, min(n, low + BLOCK)):
+            lead[place] = e[0] - e[1:].max(0)
+            if held is not None:
+                held[:, place] = e
+    open_ = net.open_places(lead, offsets)
+    begins = np.zeros(n + 1, bool)
+    begins[offsets] = True
+    starts = np.flatnonzero(open_ & (begins[:-1] | ~np.append(False, open_[:-1])))
+    stops = np.flatnonzero(open_ & (begins[1:] | ~np.append(open_[1:], False))) + 1
+    # with the closed character on either side, which is label 0
+    text = np.searchsorted(offsets, starts, side="right") - 1
+    closed, low = starts > offsets[text], np.maximum(starts - 1, offsets[text])
+    high = np.minimum(stops + 1, offsets[text + 1])
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(low, low[at] + BLOCK)))
+        base, own = (0, held) if held is not None else (low[at], np.empty((LABELS, high[stop - 1] - low[at]), np.float32))
+        if held is None:
+            for place, e in every.over(base, high[stop - 1]):
+                inside = (place >= base) & (place < high[stop - 1])
+                own[:, place[inside] - base] = e[:, inside]
+        search_stretches(net, own, low[at:stop] - base, high[at:stop] - base, closed[at:stop], labels[base : base + own.shape[1]])
+        at = stop
     return labels, offsets
 
 
+def search_stretches(net: Tagger, e: np.ndarray, low: np.ndarray, high: np.ndarray, closed: np.ndarray, labels: np.ndarray) -> None:
+    """Best labels of these stretches of the emissions (label, place); a ``closed`` one begins with label 0."""
+    size = high - low
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):  # stretches of like length together, about a million places at most or one stretch
+        own = order[at : at + 1024]
+        own = own[: max(1, int(np.searchsorted(size[own] * np.arange(1, len(own) + 1), 1 << 20, side="right")))]
+        at += len(own)
+        place = low[own][:, None] + np.arange(size[own].max())
+        real = place < high[own][:, None]
+        path = net._viterbi(e[:, np.where(real, place, 0)].transpose(2, 1, 0), real.T, closed[own])
+        labels[place[real]] = path[real]
+
+
 def _plausible(kind: int, span: str) -> bool:
     digits = re.findall("[0-9]+", span)
     n = sum(map(len, digits))
@@ -378,15 +436,22 @@ def written(spans: list) -> str:
 
 
 def fit(docs: DataFrame) -> bytes | None:
-    """Weights learnt in one task from at most ``SAMPLE_DOCS`` documents, those with digits first, by a hash of the text."""
-    chosen = docs.where(F.col("text").rlike("[0-9]")).select("text", F.xxhash64("text").alias("h"))
-    chosen = chosen.orderBy("h", "text").limit(SAMPLE_DOCS).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    """Weights learnt in one task from windows of at most ``SAMPLE_DOCS`` different texts with digits, chosen by a hash of the text."""
+    digits = docs.where(F.col("text").rlike("[0-9]")).select(F.xxhash64("text").alias("h"), "text")
+    hashes = digits.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS)
+    chosen = digits.join(F.broadcast(hashes), "h").groupBy("h").agg(F.min("text").alias("text"))
 
-    def run(batches):
-        texts = sorted({t for b in batches for t in b.column("text").to_pylist()})
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts))], pa.binary())], names=["weights"])
+    def cut(batches):
+        for batch in batches:
+            rows = [w for t in batch.column("text").to_pylist() for w in text_windows(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "x", "y"])
+
+    def learn(batches):
+        windows = [w for b in batches for w in zip(*(b.column(c).to_pylist() for c in ("part", "x", "y")))]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(windows))], pa.binary())], names=["weights"])
+        release()
 
-    found = chosen.repartition(1).mapInArrow(run, "weights binary").collect()
+    found = chosen.mapInArrow(cut, "part int, x binary, y binary").repartition(1).mapInArrow(learn, "weights binary").collect()
     return bytes(found[0][0]) if found else None
 
 
@@ -404,7 +469,7 @@ def find_pii(docs: DataFrame, weights: bytes | None = None) -> DataFrame:
         net = Tagger(params) if params else None
         for batch in batches:
             batch = batch.select(names)
-            for start, stop in slices(batch.column("text"), 4 << 20):
+            for start, stop in slices(batch.column("text"), BLOCK):
                 part = batch.slice(start, stop - start)
                 both = find_spans(net, [t or "" for t in part.column("text").to_pylist()])
                 columns = [
@@ -412,6 +477,7 @@ def find_pii(docs: DataFrame, weights: bytes | None = None) -> DataFrame:
                     for spans in both
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*names, "base", "added"])
+            release()
 
     source = docs.select(*names)
     return source.mapInArrow(run, StructType([*source.schema.fields, *StructType.fromDDL(_SPANS).fields]))
@@ -420,9 +486,11 @@ def find_pii(docs: DataFrame, weights: bytes | None = None) -> DataFrame:
 def redact(found: DataFrame) -> DataFrame:
     """Adds ``redacted``: the text with each span, overlapping ones together, replaced by its kind in brackets."""
 
+    names = [c for c in found.columns if c != "redacted"]
+
     def run(batches):
         for batch in batches:
-            out = []
+            batch, out = batch.select(names), []
             for text, base, added in zip(*(batch.column(c).to_pylist() for c in ("text", "base", "added"))):
                 parts, done = [], 0
                 for s in sorted(base + added, key=lambda s: (s["start"], -s["end"])):
@@ -432,7 +500,7 @@ def redact(found: DataFrame) -> DataFrame:
                 out.append(None if text is None else "".join([*parts, text[done:]]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "redacted"])
 
-    return found.mapInArrow(run, StructType([*found.schema.fields, *StructType.fromDDL("redacted string").fields]))
+    return found.mapInArrow(run, StructType([*found.select(*names).schema.fields, *StructType.fromDDL("redacted string").fields]))
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
