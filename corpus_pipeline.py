@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.llm import bpe, decontam, lines, minhash, toxicity
-from tidebar.llm.common import materialize, table
+from tidebar.llm.common import free_name, materialize, table
 from tidebar.llm.queries import tokenizer_path
 
 
@@ -20,8 +20,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates and long lines said twice go; documents stay, with what is left of their text."""
-    found = lines.drop_recurring_lines(docs, exact_docs=2)
-    own = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    names = tuple(free_name(docs.columns, c) for c in ("n_lines", "n_dropped", "kept"))
+    found = lines.drop_recurring_lines(docs, names=names)
+    own = {"text": F.col(names[2]), "n_chars": F.length(names[2]).cast("long")}
     return found.select(*(own[c].alias(c) if c in own else F.col(c) for c in docs.columns))
 
 
