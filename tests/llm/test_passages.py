@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -231,5 +232,28 @@ def test_contamination_against_brute_force(spark, docs):
     assert [texts[5][s.start : s.stop] for s in spans.spans] == ["one two"]
     none = spark.createDataFrame([], "item_id string, text string")
     assert decontam.drop_contaminated(docs, none).count() == docs.count()
-    kept = decontam.drop_contaminated(docs, benchmark)
-    assert kept.columns == docs.columns and kept.where("doc_id = 42").count() == 0
+    own = docs.withColumns({"n_words": F.lit("mine"), "runs": F.lit(5), "items": F.lit(6)})
+    kept = decontam.drop_contaminated(own, benchmark)
+    assert kept.columns == own.columns and kept.where("doc_id = 42").count() == 0
+    assert {(r.n_words, r.runs, r["items"]) for r in kept.collect()} == {("mine", 5, 6)}
+
+
+def test_contamination_by_random_items():
+    """Few different words, so that items repeat themselves and each other, in every alignment."""
+    rng = random.Random(3)
+    for trial in range(300):
+        say = lambda n: " ".join(rng.choice("ab" if trial % 2 else "abcd") for _ in range(n))
+        items = [(str(k), say(rng.randrange(0, 40))) for k in range(4)]
+        rows = [(k, say(rng.randrange(0, 60)) + " " + items[k % 4][1] + " " + say(rng.randrange(0, 9))) for k in range(6)]
+        known = decontam.Items(tuple(items), 13)
+        found = []
+        for i, text in rows:
+            n, runs, ids = decontam.scan(text, known)
+            hit = sum(r["stop"] - r["start"] for r in runs)
+            found.append((i, n, hit, len(ids), hit > 0 and 20 * hit >= n))
+        assert found == brute_contamination(rows, items)
+
+
+def test_large_benchmarks_go_in_parts(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontam, "ITEMS_LIMIT", 150)
+    test_contamination_against_brute_force(spark, docs)

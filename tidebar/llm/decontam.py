@@ -1,19 +1,20 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test items, each text scanned once.
 
-A text is lower-cased in A-Z and cut into words of letters, digits and non-ASCII characters. Every window of 13
-consecutive item words (a shorter item is one window) is a pattern of the automaton. A document's words, joined by one
-blank, run through the automaton once; a match ends at a word, so its offset in the joined text gives the words, and
-these give the offsets in the original text.
+A text is lower-cased in A-Z and cut into words of letters, digits and non-ASCII characters. Wanted are all occurrences of
+windows of 13 consecutive item words (a shorter item is one window). Every such window holds one of the item's blocks of
+seven words that begin at a multiple of seven, so the automaton's patterns are those blocks, and short items as a whole:
+it has one path of two nodes for each item word. It runs over the numbers of a document's words once. Where a block
+occurs, it is grown to both sides as long as words are equal; a run of 13 words or more is a run of windows. The words'
+offsets in the normalised text are those in the original.
 
 Defined results: a null or empty text has no words and no hits; null items, and items without words, are no patterns;
-an item with a null id counts under the empty id; repeated items count once per id; other columns are left alone.
+an item with a null id counts under the empty id; repeated items count once per id; other columns are left alone, but for
+columns of the names that the results are to have, which are replaced.
 """
 
 from __future__ import annotations
 
-import bisect
 import functools
-import itertools
 
 import ahocorasick
 import numpy as np
@@ -22,15 +23,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import free_name, release
 
 WINDOW = 13
-#: Bytes of item text in one automaton, and bytes of item text that are sent to the executors at once.
-AUTOMATON_BYTES = 8 << 20
-ITEMS_LIMIT = 64 << 20
+#: Bytes of item text that are sent to the executors at once; a worker holds some fifty bytes for each of them.
+ITEMS_LIMIT = 8 << 20
+#: Parts that a larger benchmark is dealt into before they are put together up to the limit.
+DEALT = 4096
 _PLAIN = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
-REPORT = "n_words long, runs array<struct<start:int,stop:int>>, items array<string>"
+REPORT = ("n_words", "runs", "items")
+_KINDS = ("long", "array<struct<start:int,stop:int>>", "array<string>")
 _RUNS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
@@ -38,24 +42,65 @@ def norm_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_PLAIN).split()
 
 
-def windows(words: list, size: int = WINDOW):
-    return [words[i : i + size] for i in range(max(1, len(words) - size + 1))] if words else []
-
-
-@functools.lru_cache(maxsize=4)
-def automaton(items: tuple[tuple[str, str], ...], size: int):
-    """Patterns are `` w1 .. wn `` with blanks at both ends; a pattern's value is its length in words and its items."""
-    owners: dict[bytes, tuple[int, set]] = {}
-    for item_id, text in items:
-        for w in windows(norm_words(text), size):
-            owners.setdefault(b" " + b" ".join(w) + b" ", (len(w), set()))[1].add(item_id)
-    if not owners:
-        return None
-    tree = ahocorasick.Automaton()
-    for pattern, (n, ids) in owners.items():
-        tree.add_word(pattern.decode("latin-1"), (n, frozenset(ids)))
-    tree.make_automaton()
-    return tree
+class Items:
+    """The automaton of some items (id, text) and what it takes to grow its matches."""
+
+    def __init__(self, items: tuple[tuple[str, str], ...], size: int):
+        self.size, self.block = size, (size + 1) // 2
+        owners: dict[tuple, set] = {}
+        for item_id, text in items:
+            owners.setdefault(tuple(norm_words(text)), set()).add(item_id)
+        owners.pop((), None)
+        self.owners = list(owners.values())
+        number: dict[bytes, int] = {}
+        self.words = [[number.setdefault(w, len(number)) for w in words] for words in owners]
+        # a word is two letters, so that no node has more branches than the root of the number of words
+        base = int(len(number) ** 0.5) + 1
+        self.letters = {w: (1 + i // base, 1 + base + i % base) for w, i in number.items()}
+        self.number = number
+        self.tree = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        spelled = list(self.letters.values())
+        places: dict[tuple, list] = {}
+        for k, words in enumerate(self.words):
+            n = len(words)
+            starts = range(0, n - self.block + 1, self.block) if n >= size else (0,)
+            for at in starts:
+                places.setdefault(tuple(words[at : at + self.block] if n >= size else words), []).append((k, at))
+        for pattern, where in places.items():
+            self.tree.add_word(tuple(c for w in pattern for c in spelled[w]), (len(pattern), where))
+        if owners:
+            self.tree.make_automaton()
+
+    def occurrences(self, words: list[bytes]):
+        """(start, stop, item) of the runs of item windows in a document."""
+        none = (0, 0)
+        spelled = tuple([c for w in words for c in self.letters.get(w, none)])
+        numbers, seen = None, {}
+        for end, (n, where) in self.tree.iter(spelled):
+            stop = (end + 1) // 2
+            if numbers is None:
+                numbers = [self.number.get(w, -1) for w in words]
+            for k, at in where:
+                item = self.words[k]
+                if len(item) < self.size:
+                    yield stop - n, stop, k
+                    continue
+                shift = stop - n - at  # the item's first word would be here
+                if seen.get((k, shift), -1) >= stop:
+                    continue  # in a run that has been grown already
+                low, high = stop - n, stop
+                while low > 0 and low > shift and numbers[low - 1] == item[low - 1 - shift]:
+                    low -= 1
+                while high < len(numbers) and high - shift < len(item) and numbers[high] == item[high - shift]:
+                    high += 1
+                seen[k, shift] = high
+                if high - low >= self.size:
+                    yield low, high, k
+
+
+@functools.lru_cache(maxsize=2)
+def automaton(items: tuple[tuple[str, str], ...], size: int) -> Items:
+    return Items(items, size)
 
 
 def _char_spans(text: str, runs: list[tuple[int, int]]) -> list[dict]:
@@ -69,20 +114,15 @@ def _char_spans(text: str, runs: list[tuple[int, int]]) -> list[dict]:
     return [{"start": int(chars[starts[i]]), "stop": int(chars[stops[j]])} for i, j in runs]
 
 
-def scan(text: str | None, trees: list, runs=(), ids=()) -> tuple[int, list, set]:
+def scan(text: str | None, known: Items, runs=(), ids=()) -> tuple[int, list, set]:
     """Number of words, runs of hit words (first, stop) and ids; ``runs`` and ``ids`` are those of earlier passes."""
-    words = norm_words(text)
-    joined = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    starts, ids, marks = None, set(ids), None
-    for tree in trees:
-        for end, (n, owned) in tree.iter(joined):
-            if marks is None:
-                starts = list(itertools.accumulate((len(w) + 1 for w in words), initial=1))
-                marks = np.zeros(len(words) + 1, np.int64)
-            stop = bisect.bisect_left(starts, end + 1)  # the pattern's closing blank stands before word `stop`
-            marks[stop - n] += 1
-            marks[stop] -= 1
-            ids |= owned
+    words, ids, marks = norm_words(text), set(ids), None
+    for start, stop, k in known.occurrences(words) if known.owners else ():
+        if marks is None:
+            marks = np.zeros(len(words) + 1, np.int64)
+        marks[start] += 1
+        marks[stop] -= 1
+        ids |= known.owners[k]
     if marks is None:
         return len(words), list(runs), ids
     for run in runs:
@@ -94,60 +134,59 @@ def scan(text: str | None, trees: list, runs=(), ids=()) -> tuple[int, list, set
     return len(words), found, ids
 
 
-def _blocks(items: list[tuple[str, str]], limit: int) -> list[tuple]:
-    blocks, block, held = [], [], 0
-    for item in items:
-        if block and held + len(item[1]) > limit:
-            blocks.append(tuple(block))
-            block, held = [], 0
-        block.append(item)
-        held += len(item[1])
-    return [*blocks, tuple(block)] if block else blocks
-
-
-def _pass(docs: DataFrame, benchmark: DataFrame, size: int, first: bool) -> DataFrame:
+def _pass(docs: DataFrame, benchmark: DataFrame, size: int, names: tuple[str, str, str], first: bool) -> DataFrame:
     """One scan of ``docs`` for the items of ``benchmark``, which are few enough to be sent to every executor."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").distinct().collect()
-    held = docs.sparkSession.sparkContext.broadcast(_blocks(sorted((r[0], r[1]) for r in rows), AUTOMATON_BYTES))
-    names = [c for c in docs.columns if c not in ("n_words", "runs", "items")]
+    held = docs.sparkSession.sparkContext.broadcast(tuple(sorted((r[0], r[1]) for r in rows)))
+    carried = [c for c in docs.columns if c not in names]
 
     def run(batches):
-        trees = [t for b in held.value if (t := automaton(b, size)) is not None]
+        known = automaton(held.value, size)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             had = [((), ())] * len(texts)
             if not first:
-                had = zip(batch.column("runs").to_pylist(), batch.column("items").to_pylist(), strict=True)
-            got = [scan(t, trees, *h) for t, h in zip(texts, had, strict=True)]
+                had = zip(batch.column(names[1]).to_pylist(), batch.column(names[2]).to_pylist(), strict=True)
+            got = [scan(t, known, *h) for t, h in zip(texts, had, strict=True)]
             cols = [
                 pa.array([g[0] for g in got], pa.int64()),
                 pa.array([g[1] for g in got], _RUNS),
                 pa.array([sorted(g[2]) for g in got], pa.list_(pa.string())),
             ]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), *cols], names=[*names, "n_words", "runs", "items"]
-            )
-
-    source = docs if not first else docs.select(*names)
-    return source.mapInArrow(run, StructType([*docs.select(*names).schema.fields, *StructType.fromDDL(REPORT).fields]))
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``docs`` with n_words, runs (of hit words: first, stop) and items (sorted ids) added; no shuffle.
-
-    Items are broadcast, at most about ``ITEMS_LIMIT`` bytes of them at a time, which is checked: a larger benchmark
-    is dealt by a hash of its ids into parts under that size, and each part is one more pass over the documents that
-    adds to the runs already found.
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *cols], names=[*carried, *names])
+            del texts, got
+            release()
+
+    source = docs if not first else docs.select(*carried)
+    added = StructType.fromDDL(", ".join(f"`{c}` {k}" for c, k in zip(names, _KINDS))).fields
+    return source.mapInArrow(run, StructType([*docs.select(*carried).schema.fields, *added]))
+
+
+def _parts(benchmark: DataFrame) -> list[DataFrame]:
+    """The items in parts of at most ``ITEMS_LIMIT`` bytes; only a single item can be larger."""
+    size = F.sum(F.octet_length("text"))
+    if (benchmark.agg(size).first()[0] or 0) <= ITEMS_LIMIT:
+        return [benchmark]
+    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(DEALT))
+    out, held = [[]], 0
+    for r in benchmark.groupBy(number.alias("part")).agg(size.alias("bytes")).orderBy("part").collect():
+        if out[-1] and held + r["bytes"] > ITEMS_LIMIT:
+            out.append([])
+            held = 0
+        out[-1].append(r["part"])
+        held += r["bytes"]
+    return [benchmark.where(number.isin(p)) for p in out]
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, names: tuple[str, str, str] = REPORT) -> DataFrame:
+    """``docs`` with the number of words, runs (of hit words: first, stop) and items (sorted ids), by these names; no shuffle.
+
+    Items are broadcast, at most ``ITEMS_LIMIT`` bytes of them at a time, which is checked: a larger benchmark is dealt by
+    a hash into parts under that size, and each part is one more pass over the documents that adds to the runs already found.
     """
-    benchmark = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-2 * total // ITEMS_LIMIT)) if total > ITEMS_LIMIT else 1
     out = docs
-    for part in range(parts):
-        own = benchmark
-        if parts > 1:
-            own = benchmark.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
-        out = _pass(out, own, size, first=part == 0)
+    for k, part in enumerate(_parts(benchmark.where(F.col("text").isNotNull()).select("item_id", "text"))):
+        out = _pass(out, part, size, names, first=k == 0)
     return out
 
 
@@ -166,17 +205,19 @@ def with_spans(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, StructType([*found.schema.fields, *kind.fields]))
 
 
-def hit_words() -> Column:
-    return F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
+def hit_words(runs: str = REPORT[1]) -> Column:
+    return F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
 
 
-def contaminated() -> Column:
+def contaminated(n_words: str = REPORT[0], runs: str = REPORT[1]) -> Column:
     """At least a twentieth of the words hit."""
-    return (hit_words() > 0) & (20 * hit_words() >= F.col("n_words"))
+    return (hit_words(runs) > 0) & (20 * hit_words(runs) >= F.col(n_words))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    return find_contamination(docs, benchmark, size).where(~contaminated()).select(*docs.columns)
+    """The rows of ``docs`` that are not contaminated, with all their columns as they are."""
+    names = tuple(free_name(docs.columns, c) for c in REPORT)
+    return find_contamination(docs, benchmark, size, names).where(~contaminated(*names[:2])).select(*docs.columns)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
