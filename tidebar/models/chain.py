@@ -54,19 +54,18 @@ def forward(log_b: np.ndarray, pi: np.ndarray, a: np.ndarray) -> tuple[np.ndarra
     """
     top = log_b.max(1)
     b = np.exp(log_b - top[:, None])
-    alpha, total = np.empty_like(b), 0.0
-    belief = pi
+    alpha, scale, ahead = np.empty_like(b), [], pi
     for t in range(len(b)):
-        own = b[t] * (belief if t == 0 else belief @ a)
-        s = own.sum()
-        if s > 0 and np.isfinite(s):
-            belief = own / s
-            total += top[t] + np.log(s)
+        own = b[t] * ahead
+        s = float(own.sum())
+        if 0 < s < np.inf:
+            own /= s
         else:
-            belief = np.full(len(pi), 1 / len(pi))
-            total += top[t]
-        alpha[t] = belief
-    return alpha, float(total)
+            own, s = np.full(len(pi), 1 / len(pi)), 1.0
+        scale.append(s)
+        alpha[t] = own
+        ahead = own @ a
+    return alpha, float(top.sum() + np.log(scale).sum())
 
 
 def backward(log_b: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -115,6 +114,15 @@ def predictions(m: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return alpha, alpha @ m.a
 
 
+def belief_step(m: Model, x: np.ndarray, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One more row: the state to keep, the belief now, and that of the next row. The state is the last belief ahead."""
+    log_b = log_emissions(m, x[None])[0]
+    own = np.exp(log_b - log_b.max()) * (m.pi if state is None else state)
+    s = own.sum()
+    now = own / s if 0 < s < np.inf else np.full(m.k, 1 / m.k)
+    return now @ m.a, now, now @ m.a
+
+
 def stationary(a: np.ndarray) -> np.ndarray:
     p = np.full(len(a), 1 / len(a))
     for _ in range(500):

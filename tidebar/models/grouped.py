@@ -86,7 +86,7 @@ def beliefs(features: DataFrame, models: DataFrame, names: list[str], kind: str
 
     def run(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(model) or model["skipped"].iloc[0] is not None:
-            return pd.DataFrame({"series": [], "row": [], "state": [], "now": [], "ahead": []})
+            return pd.DataFrame(columns=["series", "row", "state", "now", "ahead"])
         rows = rows.sort_values("row")
         now, ahead = predict(from_row(model.iloc[0], len(names)), rows[names].to_numpy(float), kind)
         return pd.DataFrame({"series": rows["series"], "row": rows["row"], "state": now.argmax(1), "now": now.tolist(), "ahead": ahead.tolist()})
@@ -99,7 +99,7 @@ def decoded(features: DataFrame, models: DataFrame, names: list[str]) -> DataFra
 
     def run(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(model) or model["skipped"].iloc[0] is not None:
-            return pd.DataFrame({"series": [], "row": [], "state": []})
+            return pd.DataFrame(columns=["series", "row", "state"])
         rows, m = rows.sort_values("row"), from_row(model.iloc[0], len(names))
         path = (semi if m.dur is not None else chain).viterbi(m, rows[names].to_numpy(float))
         return pd.DataFrame({"series": rows["series"], "row": rows["row"], "state": path})
@@ -129,39 +129,45 @@ def blocks(features: DataFrame, train: int, test: int, expanding: bool = False)
     return rows.where((F.col("row") >= F.col("begin")) & (F.col("row") < end)).drop("_n", "_last")
 
 
+def fitted(raw: np.ndarray, learn: np.ndarray, names: list[str], kind: str, states: int, seeds: list[int], options: dict):
+    """The best start on the rows to learn from: model, beliefs of the next row, and means and volatilities of states in
+    their own units; or why there is none."""
+    mean, sd = raw[learn].mean(0), np.maximum(raw[learn].std(0), 1e-12)
+    x = (raw - mean) / sd
+    try:
+        m = max((fit_one(x[learn], kind, states, s, **options) for s in seeds), key=lambda f: f[1])[0]
+    except ValueError as e:
+        return str(e)
+    _, ahead = predict(m, x, kind, options.get("price", 1.0))
+    at = names.index("realized_vol") if "realized_vol" in names else None
+    vols = np.zeros(m.k) if at is None else np.exp(m.mu[:, at] * sd[at] + mean[at])
+    return m, ahead, m.mu[:, 0] * sd[0] + mean[0], vols
+
+
 def walk_forward(features: DataFrame, names: list[str], kind: str = "hmm", states: int = 3, train: int = 1500, test: int = 500, seed: int = 42, restarts: int = 4, expanding: bool = False, **options) -> DataFrame:
     """Causal forecasts of the test rows of all blocks: series, block, row, expected, volatility, top, hold and probs.
 
     Scaler and model see the training rows of their block only; the belief runs from them into the test rows. Blocks are
-    tasks of their own.
+    tasks of their own. Test rows of a block that cannot be fitted expect nothing, and ``skipped`` says why.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("row")
-        raw = rows[names].to_numpy(float)
-        learn = (rows["row"] < rows["split"]).to_numpy()
-        mean, sd = raw[learn].mean(0), np.maximum(raw[learn].std(0), 1e-12)
-        x, block = (raw - mean) / sd, int(rows["block"].iloc[0])
-        fits = []
-        for start in range(restarts):
-            try:
-                fits.append(fit_one(x[learn], kind, states, seed + block + 7919 * start, **options))
-            except ValueError:
-                return pd.DataFrame({c.split()[0]: [] for c in _FORECAST.split(", ")})
-        m = max(fits, key=lambda f: f[1])[0]
-        _, ahead = predict(m, x, kind, options.get("price", 1.0))
-        ahead = ahead[~learn]
-        means = m.mu[:, 0] * sd[0] + mean[0]
-        at = names.index("realized_vol") if "realized_vol" in names else None
-        vols = np.zeros(m.k) if at is None else np.exp(m.mu[:, at] * sd[at] + mean[at])
+        learn, block = (rows["row"] < rows["split"]).to_numpy(), int(rows["block"].iloc[0])
+        done = fitted(rows[names].to_numpy(float), learn, names, kind, states, [seed + block + 7919 * k for k in range(restarts)], options)
         out = rows.loc[~learn, ["series", "block", "row"]].copy()
-        return out.assign(expected=ahead @ means, volatility=ahead @ vols, top=ahead[:, -1], hold=float(min(chain.expected_durations(m)[-1], 1e9)), probs=ahead.tolist())
+        if isinstance(done, str):
+            return out.assign(expected=0.0, volatility=0.0, top=0.0, hold=1.0, probs=None, skipped=done)
+        m, ahead, means, vols = done
+        ahead = ahead[~learn]
+        hold = float(min(chain.expected_durations(m)[-1], 1e9))
+        return out.assign(expected=ahead @ means, volatility=ahead @ vols, top=ahead[:, -1], hold=hold, probs=ahead.tolist(), skipped=None)
 
     placed = blocks(features, train, test, expanding).select("series", "block", "row", "split", *names)
     return placed.groupBy("series", "block").applyInPandas(run, _FORECAST)
 
 
-_FORECAST = "series string, block long, row long, expected double, volatility double, top double, hold double, probs array<double>"
+_FORECAST = "series string, block long, row long, expected double, volatility double, top double, hold double, probs array<double>, skipped string"
 
 
 # --- posteriors ---------------------------------------------------------------------------------------------------
@@ -182,7 +188,7 @@ def posterior_draws(features: DataFrame, names: list[str], engine: str = "vb", s
         try:
             start = (semi.fit_semi(x, states, most, own) if engine == "vb_hsmm" else chain.fit(x, states, own))[0]
         except ValueError:
-            return pd.DataFrame({c.split()[0]: [] for c in _DRAWS.split(", ")})
+            return pd.DataFrame(columns=[c.split()[0] for c in _DRAWS.split(", ")])
         if engine == "gibbs":
             models, bound = bayes.gibbs(x, states, start, own, rounds), None
         else:
@@ -239,7 +245,7 @@ def select_states(features: DataFrame, names: list[str], candidates: tuple[int,
         x = group.sort_values("row")[names].to_numpy(float)
         x = (x - x.mean(0)) / np.maximum(x.std(0), 1e-12)
         if len(x) < 10 * k:
-            return pd.DataFrame({"series": [], "states": [], "bound": [], "occupied": [], "rounds": []})
+            return pd.DataFrame(columns=["series", "states", "bound", "occupied", "rounds"])
         start = (semi.fit_semi(x, k, most, seed) if lasting else chain.fit(x, k, seed))[0]
         _, bounds, weight = bayes.fit_vb(x, k, start)
         return pd.DataFrame({"series": group["series"].iloc[:1], "states": k, "bound": bounds[-1] / len(x), "occupied": int((weight > 0.01 * len(x)).sum()), "rounds": len(bounds)})

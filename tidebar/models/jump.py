@@ -42,6 +42,15 @@ def online(loss: np.ndarray, price: float, state: int | None = None) -> np.ndarr
     return out
 
 
+def belief_step(m: Model, x: np.ndarray, state: np.ndarray | None, price: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One more row of :func:`online`. The state is the least cost of having arrived in each state, from the cheapest on."""
+    value = np.zeros(m.k) if state is None else state
+    value = losses(x[None], m.mu)[0] + np.minimum(value, value.min() + price)
+    value = value - value.min()
+    now = np.eye(m.k)[int(value.argmin())]
+    return value, now, now
+
+
 def fit_jump(x: np.ndarray, k: int = 3, price: float = 1.0, seed: int = 42, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
     """One start: centres in ascending order of feature 0, path and objective."""
     if len(x) < k:

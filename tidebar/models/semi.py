@@ -1,6 +1,7 @@
 """Semi-Markov chains: states last for a duration of their own law. Segments are differences of prefix sums.
 
-The last segment ends with the sample. All recursions are in logs and vectorised over durations.
+The last segment ends with the sample. Recursions are vectorised over durations; those of the fit are in scaled numbers,
+all others, and those of the fit where numbers run out of range, in logs.
 """
 
 from __future__ import annotations
@@ -63,8 +64,69 @@ def backward(log_b: np.ndarray, log_a, log_dur) -> tuple[np.ndarray, np.ndarray]
     return beta, start
 
 
+def _scaled(log_b: np.ndarray, pi: np.ndarray, a: np.ndarray, dur: np.ndarray):
+    """Forward and backward in plain numbers: a window of the segments that may still last, rescaled at every row.
+
+    Returns entry, alpha, start and beta in units of the scale of their row, the logs of each row's factors, and the log
+    of the whole scale; None where the numbers run out of range, which logs do not.
+    """
+    n, k = log_b.shape
+    most = dur.shape[1]
+    top = log_b.max(1)
+    b, lasting = np.exp(log_b - top[:, None]), np.ascontiguousarray(dur.T)
+    open_, factor = np.zeros((n + most, k)), np.empty((n, k))  # newest segment first, so that durations ascend
+    entry, alpha, scale, now, inverse = np.empty((n, k)), np.empty((n, k)), np.empty(n), pi, 1.0
+    for t in range(n):
+        entry[t] = now
+        window = open_[n - 1 - t : n - 1 - t + most]
+        window[0] = now
+        scale[t] = inverse
+        factor[t] = f = b[t] * inverse
+        window *= f
+        alpha[t] = ended = np.einsum("dk,dk->k", window, lasting)
+        now = ended @ a
+        total = window.sum()
+        if not 1e-200 < total < 1e200:
+            return None
+        inverse = 1 / total
+    ahead, start, beta, later = np.zeros((n + most, k)), np.empty((n, k)), np.empty((n, k)), np.ones(k)
+    for s in range(n - 1, -1, -1):
+        beta[s] = later
+        window = ahead[s : s + most]
+        window[0] = later
+        window *= factor[s]
+        start[s] = begun = np.einsum("dk,dk->k", window, lasting)
+        later = a @ begun
+    if not (np.isfinite(start).all() and alpha[-1].sum() > 0):
+        return None
+    return entry, alpha, start, beta, np.log(np.maximum(factor, 1e-300)), top.sum() - np.log(scale).sum()
+
+
 def expectations(log_b: np.ndarray, log_pi, log_a, log_dur) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
     """State weights by row, moves, durations and first states, all expected, and the log likelihood."""
+    n, k = log_b.shape
+    most = log_dur.shape[1]
+    pi, a, dur = np.exp(log_pi), np.exp(log_a), np.exp(log_dur)
+    found = _scaled(log_b, pi, a, dur)
+    if found is None:
+        return _expectations_in_logs(log_b, log_pi, log_a, log_dur)
+    entry, alpha, start, beta, log_factor, log_scale = found
+    z = alpha[-1].sum()
+    p = prefix(log_factor)
+    steps, lasting = np.zeros((n + 1, k)), np.zeros((k, most))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for d in range(1, min(most, n) + 1):
+            w = entry[: n - d + 1] * beta[d - 1 :] * np.exp(p[d:] - p[: n - d + 1]) * (dur[:, d - 1] / z)
+            steps[: n - d + 1] += w
+            steps[d:] -= w
+            lasting[:, d - 1] = w.sum(0)
+    if not np.isfinite(steps).all():
+        return _expectations_in_logs(log_b, log_pi, log_a, log_dur)
+    moves = alpha[:-1].T @ start[1:] * a / z
+    return np.cumsum(steps[:n], 0), moves, lasting, pi * start[0] / z, float(log_scale + np.log(z))
+
+
+def _expectations_in_logs(log_b: np.ndarray, log_pi, log_a, log_dur) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
     n, k = log_b.shape
     alpha, entry, total = forward(log_b, log_pi, log_a, log_dur)
     beta, start = backward(log_b, log_a, log_dur)
@@ -110,6 +172,28 @@ def predictions(m: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return now, ahead
 
 
+def belief_step(m: Model, x: np.ndarray, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One more row of :func:`predictions`. The state is the belief over how long the open segment has lasted and its state.
+
+    A table of (duration, state) is all there is to keep, however long the series.
+    """
+    most, alive = m.dur.shape[1], survival(m.dur)
+    on = np.where(alive[:, :-1] > 0, alive[:, 1:] / np.where(alive[:, :-1] > 0, alive[:, :-1], 1), 0).T
+    moves = np.where(np.eye(m.k, dtype=bool), 0, m.a)
+    open_ = np.zeros((most, m.k))
+    if state is None:
+        open_[0] = m.pi
+    else:
+        last = state.reshape(most, m.k)
+        open_[1:] = (last * on)[:-1]
+        open_[0] = (last.sum(0) - (last * on).sum(0)) @ moves
+    log_b = log_emissions(m, x[None])[0]
+    w = open_ * np.exp(log_b - log_b.max())
+    w = w / w.sum() if w.sum() > 0 else np.full_like(w, 1 / w.size)
+    stay, now = (w * on).sum(0), w.sum(0)
+    return w.ravel(), now, stay + (now - stay) @ moves
+
+
 def viterbi(m: Model, x: np.ndarray) -> np.ndarray:
     """Likeliest segmentation."""
     log_pi, log_a, log_dur = _weights(m)

@@ -32,13 +32,26 @@ def at_quantile(values: str, fraction: float) -> Column:
     return F.element_at(values, (F.floor(fraction * (F.size(values) - 1)) + 1).cast("int"))
 
 
-def rotation_null(rows: DataFrame, shifts: DataFrame, cost_bps: float) -> DataFrame:
-    """``rows``: series, row, position, ret. Actual return, quantiles over the trials, and the share that does as well."""
+def shuffled_place() -> Column:
+    """A repeatable order of the places i of a trial."""
+    mixed = (F.col("trial") + 1) * 7919 + F.col("i") * 104_729 + 13
+    return (mixed * 48_271 % 2_147_483_647) * 16_807 % 2_147_483_647
+
+
+def rotation_null(rows: DataFrame, shifts: DataFrame, cost_bps: float, method: str = "rotate") -> DataFrame:
+    """``rows``: series, row, position, ret. Actual return, quantiles over the trials, and the share that does as well.
+
+    ``method``: ``rotate``, or ``shuffle``, a free order of the positions, which only suits positions that cost nothing to change.
+    """
     place = Window.partitionBy("series").orderBy("row")
     own = rows.withColumn("i", F.row_number().over(place) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("series")))
     held = F.avg((F.abs("position") > 1e-9).cast("double"))
     actual = _nets(own, ["series"], cost_bps).groupBy("series").agg((F.product(1 + F.col("net")) - 1).alias("actual"), held.alias("exposure"))
-    asked = own.select("series", "i", "n", "ret").join(F.broadcast(shifts)).withColumn("j", (F.col("i") + _shift(F.col("n"))) % F.col("n"))
+    asked = own.select("series", "i", "n", "ret").join(F.broadcast(shifts))
+    if method == "rotate":
+        asked = asked.withColumn("j", (F.col("i") + _shift(F.col("n"))) % F.col("n"))
+    else:
+        asked = asked.withColumn("j", F.row_number().over(Window.partitionBy("series", "trial").orderBy(shuffled_place(), "i")) - 1)
     turned = asked.join(own.select("series", F.col("i").alias("j"), "position"), ["series", "j"])
     drawn = _nets(turned, ["series", "trial"], cost_bps).groupBy("series", "trial").agg((F.product(1 + F.col("net")) - 1).alias("total"))
     lists = drawn.join(actual, "series").groupBy("series", "actual", "exposure").agg(
@@ -52,6 +65,11 @@ def rotation_null(rows: DataFrame, shifts: DataFrame, cost_bps: float) -> DataFr
     )
 
 
+def permutation_test(rows: DataFrame, shifts: DataFrame, cost_bps: float) -> DataFrame:
+    """Free shuffles where positions cost nothing to change; rotations, which keep the turnover, where they do."""
+    return rotation_null(rows, shifts, cost_bps, "rotate" if cost_bps > 0 else "shuffle")
+
+
 def ceiling(rows: DataFrame, holds: tuple[int, ...] = (1, 5, 20), costs: tuple[float, ...] = (0, 10, 30, 50)) -> DataFrame:
     """What perfect foresight earns that is held ``hold`` bars at a time: long where a block of bars goes up."""
     place = Window.partitionBy("series").orderBy("row")

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .align import as_of_strict
+
 
 @dataclass(frozen=True)
 class Config:
@@ -86,6 +88,24 @@ def replay(targets: DataFrame, config: Config = Config()) -> DataFrame:
     return targets.groupBy("account").applyInPandas(run, RECORD)
 
 
+def marked(log: DataFrame, ticks: DataFrame, seconds: int, config: Config = Config()) -> DataFrame:
+    """Equity of each account at ticks between bars: what is settled, plus what open positions have moved since their bar.
+
+    ``log``: records with close, the price they were marked at; ``ticks``: series (the coin), time_ms, seq and price. A tick
+    counts after the bar that ended before it, so nothing is traded and no record is made. Accounts of one coin.
+    """
+    settled = log.select(
+        F.col("coin").alias("series"), "account", ((F.col("time") + seconds) * 1000 - 1).alias("time_ms"), (F.col("equity") - F.col("fee")).alias("cash"),
+        (F.signum("position") * F.abs("position") * F.col("equity") / config.max_coins * config.leverage).alias("notional"), "close",
+    )
+    own = ticks.join(log.select(F.col("coin").alias("series"), "account").distinct(), "series")
+    own = own.select(F.col("account").alias("series"), F.col("series").alias("coin"), "time_ms", "seq", "price")
+    points = settled.select(F.col("account").alias("series"), "time_ms", "cash", "notional", "close")
+    found = as_of_strict(own, points, "time_ms", ("cash", "notional", "close")).where("cash is not null")
+    equity = F.col("cash") + F.col("notional") * (F.col("price") / F.col("close") - 1)
+    return found.select(F.col("series").alias("account"), "coin", "time_ms", "seq", "price", equity.alias("equity"))
+
+
 def statistics(log: DataFrame, config: Config = Config()) -> DataFrame:
     """Return, Sharpe at the curve's own pace, drawdown, round trips, exposure and fees of each account."""
     w = Window.partitionBy("account").orderBy("time", "coin")

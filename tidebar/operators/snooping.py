@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import EULER, normal_cdf, normal_inv
+from ..session import settled
+from .align import bucket_grid
 
 _PRIME = 2_147_483_647
 
@@ -38,24 +40,30 @@ def block_length(values: np.ndarray) -> float:
     """Block length by the flat-top rule, from where autocorrelation dies out; 1 for short or constant samples."""
     n = len(values)
     x = values - values.mean()
-    if n < 8 or not np.any(np.abs(x) > 0):
+    variance = float((x * x).sum() / n) if n else 0.0
+    # a constant sample varies by rounding alone
+    if n < 8 or math.sqrt(variance) <= 1e-12 * (float(np.abs(values).max()) or 1.0):
         return 1.0
-    window = max(5, math.ceil(math.sqrt(math.log10(n))))
-    most = min(n - 1, math.ceil(math.sqrt(n)) + window)
-    cov = np.array([(x[: n - k] * x[k:]).sum() / n for k in range(most + 1)])
-    small = np.abs(cov[1:] / cov[0]) < 2 * math.sqrt(math.log10(n) / n)
-    m = next((k for k in range(len(small) - window + 1) if small[k : k + window].all()), None)
-    if m is None:
-        m = int(np.flatnonzero(~small)[-1]) + 1 if (~small).any() else 1
-    reach = min(2 * max(m, 1), most)
-    lag = np.arange(1, reach + 1)
-    weight = np.clip(2 * (1 - lag / reach), 0, 1)
-    g = 2 * (weight * lag * cov[1 : reach + 1]).sum()
-    spectrum = cov[0] + 2 * (weight * cov[1 : reach + 1]).sum()
-    if spectrum <= 0 or not math.isfinite(g):
+    quiet = max(5, math.ceil(math.sqrt(math.log10(n))))  # lags in a row that must be within the band
+    widest = math.ceil(math.sqrt(n)) + quiet
+    reach = min(n - 1, widest + quiet)
+    cov = np.array([(x[: n - k] * x[k:]).sum() / n for k in range(reach + 1)])
+    size, band = np.abs(cov / cov[0]), 2 * math.sqrt(math.log10(n) / n)
+    m = next((m for m in range(1, reach - quiet + 1) if (size[m + 1 : m + quiet + 1] < band).all()), None)
+    if m is None:  # it never dies out: the largest lag that is beyond the band
+        loud = np.flatnonzero(size[1:] > band)
+        if not len(loud):
+            return 1.0
+        m = int(loud[-1]) + 1
+    most = max(1, min(2 * m, widest, n - 1))
+    lag = np.arange(1, most + 1)
+    weight = np.clip(2 * (1 - lag / most), 0, 1)
+    used = np.array([(x[: n - k] * x[k:]).sum() / n for k in lag])
+    g, spectrum = 2 * (weight * lag * used).sum(), cov[0] + 2 * (weight * used).sum()
+    if spectrum == 0 or not math.isfinite(g):
         return 1.0
-    best = (2 * g * g / (2 * spectrum**2)) ** (1 / 3) * n ** (1 / 3)
-    return float(min(max(best, 1.0), math.ceil(min(3 * math.sqrt(n), n / 3))))
+    best = (g * g / spectrum**2) ** (1 / 3) * n ** (1 / 3)
+    return float(min(best, math.ceil(min(3 * math.sqrt(n), n / 3)))) if best >= 1 else 1.0
 
 
 def block_lengths(cells: DataFrame) -> DataFrame:
@@ -204,3 +212,47 @@ def deflated_sharpe(stats: DataFrame) -> DataFrame:
             yield pd.DataFrame({"series": rows.series, "sharpe": rows.sharpe, "benchmark": bar, "deflated": out})
 
     return stats.select("series", "n", "sharpe", "skew", "kurtosis").mapInPandas(run, "series string, sharpe double, benchmark double, deflated double")
+
+
+def family_block(cells: DataFrame) -> float:
+    """One block length for a family on one clock: the upper median of those of its strategies."""
+    lengths = block_lengths(cells).agg(F.array_sort(F.collect_list("block")).alias("b"))  # one number a strategy
+    found = lengths.select(F.element_at("b", (F.floor(F.size("b") / 2) + 1).cast("int"))).first()
+    return max(1.0, found[0]) if found and found[0] is not None else 1.0
+
+
+def judge(logs: DataFrame, seconds: int, resamples: int, block: float | None = None) -> DataFrame:
+    """The best strategy of a sweep under every correction: one row.
+
+    ``logs``: series, time, value (log net returns) and step, the seconds of the strategy's own bar. Tests run on one
+    grid of ``seconds``; Sharpes of unlike bars are put on it by the root of how many bars a bucket holds.
+    """
+    grid = settled(bucket_grid(logs, "value", seconds).withColumn("i", place_on_grid(seconds)))
+    block = block or family_block(grid)
+    n = grid.agg(F.max("i")).first()[0] + 1
+    stats, means = settled(long_run(grid, block)), settled(resample_means(grid, resample_table(grid.sparkSession, n, resamples, block)))
+    bars = F.col("seconds") / F.col("step")
+    own = moments(logs).join(logs.groupBy("series").agg(F.max("step").alias("step")), "series").withColumn("seconds", F.lit(seconds))
+    own = own.select("series", (F.col("sharpe") * F.sqrt(bars)).alias("sharpe"), "skew", "kurtosis", F.floor(F.col("n") / bars + 0.5).cast("long").alias("n"))
+    best = own.agg(F.max_by(F.struct("series", "sharpe", "skew", "kurtosis", "n"), F.struct("sharpe", "series")).alias("w"), F.count(F.lit(1)).alias("models"), F.var_samp("sharpe").alias("v"))
+    one = best.select("w.*", "models", F.coalesce("v", F.lit(0.0)).alias("v")).join(effective_trials(grid).select("rho", "effective"))
+    tested = spa(stats, means).select(F.col("best").alias("spa_best"), "statistic", "p_upper", "p_lower", "p_consistent")
+    one = one.join(tested).join(reality_check(stats, means).select(F.col("p_value").alias("rc_p")))
+    one = one.join(step_down(stats, means).agg(F.min("adjusted_p").alias("rw_p"), F.count_if("rejected").alias("rejected")))
+
+    def run(batches):
+        for rows in batches:
+            bar = [expected_max_sharpe(int(m), v) for m, v in zip(rows.models, rows.v)]
+            less = [expected_max_sharpe(round(e), v) for e, v in zip(rows.effective, rows.v)]
+            score = lambda b: [probabilistic_sharpe(*r) for r in zip(rows.sharpe, b, rows.n, rows["skew"], rows["kurtosis"])]
+            yield rows.assign(block=block, buckets=n, expected_max=bar, deflated=score(bar), deflated_effective=score(less)).drop(columns=["v"])
+
+    kinds = dict(one.dtypes)
+    own = [c for c in one.columns if c != "v"]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in own) + ", block double, buckets long, expected_max double, deflated double, deflated_effective double"
+    return one.mapInPandas(run, schema)
+
+
+def place_on_grid(seconds: int) -> Column:
+    """0, 1 .. of each series' times on a common grid."""
+    return ((F.col("time") - F.min("time").over(Window.partitionBy("series"))) / seconds).cast("long")

@@ -75,7 +75,7 @@ def decide(forecasts: DataFrame, strategy: Strategy, keys: tuple[str, ...] = ("s
                 if side and strategy.vol_target > 0 and v > 0:
                     side *= min(1.0, strategy.vol_target / v)
                 side = max(-strategy.max_position, min(strategy.max_position, side))
-            out.append(side)
+            out.append(side + 0.0)  # no negative zeros
             before = side
         return rows.assign(position=out)
 
@@ -83,6 +83,24 @@ def decide(forecasts: DataFrame, strategy: Strategy, keys: tuple[str, ...] = ("s
     return forecasts.groupBy(*keys).applyInPandas(run, schema)
 
 
+def next_position(plan: Strategy) -> Column:
+    """The one step of :func:`decide` from previous, expected, hold, volatility and top."""
+    expected, previous, hold = F.col("expected"), F.col("previous"), F.greatest("hold", F.lit(1.0))
+    enter, leave = plan.thresholds()
+    enter = 2 * plan.cost_bps * BPS / hold if plan.duration_aware else F.lit(enter)
+    if plan.confidence > 0:
+        return (F.col("top") > plan.confidence).cast("double")
+    short = F.when(expected < -enter, -1.0).otherwise(0.0) if plan.allow_short else F.lit(0.0)
+    side = (
+        F.when(previous > 0, F.when(expected > leave, 1.0).otherwise(0.0))
+        .when(previous < 0, F.when(expected < -leave, -1.0).otherwise(0.0))
+        .otherwise(F.when(expected > enter, 1.0).otherwise(short))
+    )
+    if plan.vol_target > 0:
+        side = side * F.when(F.col("volatility") > 0, F.least(F.lit(1.0), plan.vol_target / F.nullif("volatility", F.lit(0.0)))).otherwise(1.0)
+    return F.greatest(F.lit(-plan.max_position), F.least(F.lit(plan.max_position), side)) + F.lit(0.0)
+
+
 def traded(positions: DataFrame, first_row: int = 0) -> DataFrame:
     """Rows from ``first_row`` on that have a next bar, with ret, its simple return."""
     ahead = F.lead("log_return").over(by_time(order="row"))

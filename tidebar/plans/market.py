@@ -101,8 +101,10 @@ def asof_strict_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases as prints for the bars of every other series, two hours fresh at most."""
     bars = hourly(spark, sf_dir).where("series <> 'purchase'").select("series", "time")
     ticks = tape.event_ticks(spark, sf_dir).where("series = 'purchase'").groupBy("time_ms").agg(F.max("price").alias("value"))
-    points = ticks.crossJoin(bars.select("series").distinct())
-    return rounded(align.align_step(bars, points, HOUR, 7_200_000))
+    # all series share the prints, so each close is looked up once
+    clock = bars.select(F.lit("purchase").alias("series"), "time").distinct()
+    found = align.align_step(clock, ticks.withColumn("series", F.lit("purchase")), HOUR, 7_200_000).drop("series")
+    return rounded(bars.join(found, "time").select("series", "time", "value", "age_ms"))
 
 
 def asof_completed_bar(spark: SparkSession, sf_dir: str) -> DataFrame:

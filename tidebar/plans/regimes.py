@@ -7,13 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..models import grouped
+from ..models import grouped, signals
 from ..models.grouped import _MODEL, _MODEL_NAMES
-from ..operators import bars as B, features as X, nulls, paper, strategy
+from ..operators import align, bars as B, features as X, nulls, paper, strategy
 from ..operators.screen import best_cells
-from ..sources import synth
-from .common import r, rounded
-from .trading import QUOTED, quoted
+from ..session import settled
+from ..sources import synth, tape
+from .common import HOUR, r, rounded, rs
+from .trading import POSITIONS, QUOTED, positions, quoted
 
 NAMES = list(X.PRICE_FEATURES)
 #: Walk-forward sizes and reach of durations that suit the length of the series here.
@@ -166,7 +167,7 @@ def _forecasts(spark: SparkSession, sf_dir: str, kind: str, **options) -> DataFr
 
 
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _forecasts(spark, sf_dir, "hmm").drop("probs")
+    return _forecasts(spark, sf_dir, "hmm").drop("probs", "skipped")
 
 
 def _results(rows: DataFrame, forecasts: DataFrame, plan: strategy.Strategy, bars_per_year: float) -> tuple[DataFrame, DataFrame]:
@@ -183,19 +184,28 @@ def walk_forward_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sweep_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Walk-forwards of every series, two bar lengths and two models, against rotations of themselves."""
+    """Walk-forwards of every series, two bar lengths and two models, against rotations of themselves and perfect foresight.
+
+    A cell that cannot be had is a row that says why.
+    """
     plan, cells = strategy.Strategy(cost_bps=4.5), []
+    names = bars(spark, sf_dir).select("series").distinct()
     for factor in (1, 2):
         rows = X.price_features(B.rollup(bars(spark, sf_dir), factor))
         for kind in ("hmm", "jump"):
-            forecasts = grouped.walk_forward(rows, NAMES, kind, train=TRAIN, test=TEST, restarts=2)
+            forecasts = settled(grouped.walk_forward(rows, NAMES, kind, train=TRAIN, test=TEST, restarts=2))
             done, measured = _results(rows, forecasts, plan, 8766.0 / factor)
-            null = nulls.rotation_null(done, nulls.shift_table(spark, 50), plan.cost_bps)
-            cells.append(measured.join(null.drop("exposure"), "series").withColumn("cell", F.lit(f"{factor}h/{kind}")))
+            null = nulls.permutation_test(done, nulls.shift_table(spark, 50), plan.cost_bps)
+            most = nulls.ceiling(done, (20,), (plan.cost_bps,)).select("series", F.col("roi").alias("ceiling"))
+            found = measured.join(null.drop("exposure"), "series").join(most, "series")
+            failed = forecasts.groupBy("series").agg(F.max("skipped").alias("failed"))
+            found = names.join(failed, "series", "left").join(found, "series", "left").withColumn("cell", F.lit(f"{factor}h/{kind}"))
+            why = F.coalesce("failed", F.when(F.coalesce("bars", F.lit(0)) < TEST, "too few bars"))
+            cells.append(found.withColumn("skipped", why))
     every = reduce(DataFrame.unionByName, cells)
     return every.select(
-        "series", "cell", F.col("position_changes").alias("trades"), "exposure", "total_return", (F.col("actual") - F.col("median_random")).alias("excess"),
-        "p_value", F.when(F.col("bars") < TEST, "too few bars").alias("skipped"),
+        "series", "cell", F.col("position_changes").alias("trades"), "exposure", "total_return", "ceiling", (F.col("actual") - F.col("median_random")).alias("excess"),
+        "p_value", "skipped",
     )
 
 
@@ -203,6 +213,29 @@ def sweep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_cells(sweep_cells(spark, sf_dir))
 
 
+def signal_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last bar of each series under a scaler and a model that are given, with a position at hand in half of them."""
+    rows = features(spark, sf_dir).select("series", "row", "time", "log_return")
+    scaler = rows.select("series").distinct().select("series", F.lit(0.0).alias("log_return_mean"), F.lit(0.01).alias("log_return_sd"))
+    held = rows.select("series").distinct().select("series", F.when(F.length("series") % 2 == 0, 1.0).otherwise(0.0).alias("previous"))
+    found = signals.signal_now(rows, scaler, _fixed(rows), ["log_return"], "hmm", strategy.Strategy(cost_bps=0.5, duration_aware=True), held)
+    return rounded(found.select("series", "time", "target", "expected", "hold", "state", *(F.col("probs")[i].alias(f"q{i}") for i in range(3))))
+
+
+def confluence_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three fitted timeframes in agreement: rows, rows in the market and mean agreement of each series."""
+    found = signals.walk_forward_confluence(bars(spark, sf_dir), {"bias": 4, "setup": 2, "trigger": 1}, 240, 120)
+    return found.groupBy("series").agg(F.count(F.lit(1)).alias("rows"), F.sum("position").alias("in_market"), F.avg("agreement").alias("agreement"))
+
+
+def collected_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One configuration on every series, pooled and held against common rotations."""
+    rows, forecasts = features(spark, sf_dir), settled(_forecasts(spark, sf_dir, "hmm"))
+    decided = strategy.decide(forecasts.drop("probs"), strategy.Strategy(cost_bps=4.5, duration_aware=True))
+    panel = align.align_panel(signals.collect_panel(rows, forecasts, decided, TRAIN), ["position", "ret"])
+    return nulls.panel_test(panel, nulls.shift_table(spark, 100), 4.5)
+
+
 def paper_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = bars(spark, sf_dir)
     plan = strategy.Strategy(cost_bps=4.5)
@@ -218,6 +251,33 @@ def paper_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paper.statistics(paper_log(spark, sf_dir))
 
 
+_PAPER_ENTRY = 0.002
+
+
+def _paper_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule's positions for accounts of one coin each."""
+    own = bars(spark, sf_dir)
+    held = positions(spark, sf_dir).join(own.select("series", "time", "high", "low"), ["series", "time"])
+    return held.select(F.col("series").alias("account"), F.col("series").alias("coin"), "time", "high", "low", "close", F.col("position").alias("target"))
+
+
+def paper_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts at three times leverage that follow a rule, bar by bar."""
+    found = paper.replay(_paper_targets(spark, sf_dir), paper.Config(leverage=3.0))
+    return rounded(found.select("account", "time", "equity", "buy_hold", "position", "fee", "reason"))
+
+
+def paper_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accounts between bars: marked at each tick of the last day that has ticks, without a trade."""
+    config = paper.Config(leverage=3.0)
+    targets = _paper_targets(spark, sf_dir)
+    log = paper.replay(targets, config).join(targets.select("account", "coin", "time", "close"), ["account", "coin", "time"])
+    ticks = tape.event_ticks(spark, sf_dir).withColumn("price", F.col("price") + 1000)
+    last = ticks.agg((F.max("time_ms") - 86_400_000).alias("since"))
+    ticks = ticks.join(F.broadcast(last)).where("time_ms > since").select("series", "time_ms", "seq", "price")
+    return rounded(paper.marked(log, ticks, HOUR, config))
+
+
 def synthetic_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known regimes, fitted and decoded: the share of bars in the right one under the best naming."""
     tape = synth.synthetic_bars(spark, 4, 1500)
@@ -237,8 +297,42 @@ starts AS (SELECT *, CASE WHEN state IS DISTINCT FROM lag(state) OVER (PARTITION
 sums AS (SELECT series, state, count(*) AS rows, CAST(sum(new) AS BIGINT) AS runs FROM starts GROUP BY ALL)
 SELECT series, state, rows, runs, {r('rows / CAST(sum(rows) OVER (PARTITION BY series) AS DOUBLE)', 'share')}, {r('rows / CAST(runs AS DOUBLE)', 'mean_run')} FROM sums""",
 }
+SQL["signal_now"] = f"""{_FILTER[: _FILTER.rindex("SELECT series, row")].rstrip()},
+ends AS (SELECT series, max(row) AS row FROM f GROUP BY series),
+ahead AS (
+  SELECT f.series, x.time, f.p0, f.p1, f.p2, {', '.join(f'{q} AS q{j}' for j, q in enumerate(_NEXT))}, CASE WHEN length(f.series) % 2 = 0 THEN 1 ELSE 0 END AS previous
+  FROM f JOIN ends e ON e.series = f.series AND e.row = f.row JOIN features x ON x.series = f.series AND x.row = f.row),
+told AS (SELECT *, 0.01 * ({' + '.join(f'q{j} * ({m})' for j, m in enumerate(MU))}) AS expected FROM ahead)
+SELECT series, time, CASE WHEN expected > CASE WHEN previous > 0 THEN 0 ELSE 1e-4 / {1 / (1 - A[8])} END THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS target,
+       {r('expected')}, {r(f'CAST({1 / (1 - A[8])} AS DOUBLE)', 'hold')}, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS state, {rs('q0', 'q1', 'q2')} FROM told"""
+_ACCOUNTS = f"""WITH RECURSIVE {POSITIONS},
+told AS (
+  SELECT p.series AS account, p.time, b.high, b.low, p.close, p.position AS target, row_number() OVER (PARTITION BY p.series ORDER BY p.time) AS k
+  FROM positions p JOIN bars b ON b.series = p.series AND b.time = p.time),
+acc AS (
+  SELECT account, k, time, close, 1000::DOUBLE AS equity, 1000::DOUBLE AS hold, target AS position, abs(target) * 3000 * 4.5e-4 AS fee,
+         CASE WHEN target > 0 THEN 'entry' ELSE '' END AS reason, 1000 - abs(target) * 3000 * 4.5e-4 AS cash, target * 3000 AS notional, false AS dead FROM told WHERE k = 1
+  UNION ALL
+  SELECT account, k, time, close, equity, hold, CASE WHEN gone THEN CAST(0 AS DOUBLE) ELSE target END,
+         CASE WHEN gone THEN notional * 4.5e-4 ELSE abs(target - position) * equity * 3 * 4.5e-4 END,
+         CASE WHEN gone THEN 'liquidation' WHEN target = position THEN '' WHEN target = 0 THEN 'exit' ELSE 'entry' END,
+         CASE WHEN gone THEN CAST(0 AS DOUBLE) ELSE equity - abs(target - position) * equity * 3 * 4.5e-4 END,
+         CASE WHEN gone THEN CAST(0 AS DOUBLE) ELSE target * equity * 3 END, gone
+  FROM (
+    SELECT a.account, t.k, t.time, t.close, t.target, a.position, a.notional, a.hold * t.close / a.close AS hold,
+           a.position > 0 AND a.cash + a.notional * (t.low / a.close - 1) <= a.notional / 20 AS gone,
+           CASE WHEN a.position > 0 AND a.cash + a.notional * (t.low / a.close - 1) <= a.notional / 20 THEN CAST(0 AS DOUBLE)
+                ELSE a.cash + a.notional * (t.close / a.close - 1) END AS equity
+    FROM acc a JOIN told t ON t.account = a.account AND t.k = a.k + 1 WHERE NOT a.dead) AS step)"""
+SQL["paper_records"] = f"{_ACCOUNTS} SELECT account, time, {rs('equity', 'fee')}, {r('hold', 'buy_hold')}, {r('position')}, reason FROM acc"
+SQL["paper_marks"] = f"""{_ACCOUNTS},
+recent AS (SELECT series, time_ms, seq, price FROM ticks WHERE time_ms > (SELECT max(time_ms) FROM ticks) - 86400000),
+points AS (SELECT account, (time + 3600) * 1000 - 1 AS at, equity - fee AS settled, position * equity * 3 AS worth, close FROM acc)
+SELECT account, account AS coin, time_ms, seq, {r('price')}, {r('settled + worth * (price / close - 1)', 'equity')}
+FROM recent ASOF JOIN points ON points.account = recent.series AND recent.time_ms > points.at"""
 _UNCHECKED = (
     "hmm_fit", "hsmm_fit", "student_fit", "student_hsmm_fit", "jump_fit", "hmm_decoded", "vb_posterior", "vb_hsmm_posterior", "gibbs_posterior",
     "posterior_signal", "state_selection", "walk_forward", "walk_forward_metrics", "sweep_cells", "sweep_best", "paper_replay", "synthetic_recovery",
+    "confluence_walk_forward", "collected_panel",
 )
 QUERIES = {name: globals()[name] for name in (*SQL, *_UNCHECKED)}

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..operators import align, bars as B, confluence, features as X, nulls, perp, screen, snooping, strategy, trades
+from ..operators import align, bars as B, confluence, features as X, forecast, nulls, perp, power, screen, snooping, strategy, trades
+from ..session import settled
 from ..sources import tape
 from .common import FEATURES, HOUR, r, rounded, rs
 
@@ -119,8 +120,9 @@ _LEDGER = LEDGER.replace("$FIRST", str(FIRST_ROW))
 
 
 def ceiling_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = strategy.traded(X.price_features(quoted(spark, sf_dir)).where("row < 120"))
-    return rounded(nulls.ceiling(rows), 4)
+    """Perfect foresight over whole series; it grows without bound, so growth is given as its logarithm."""
+    found = nulls.ceiling(strategy.traded(X.price_features(quoted(spark, sf_dir))))
+    return rounded(found.withColumns({"log_growth": F.log1p("roi"), "log_buy_hold": F.log1p("buy_hold")}).drop("roi", "buy_hold"))
 
 
 PERP = perp.Perp(equity=50.0, leverage=9.0, taker_bps=4.5, maintenance=0.05, min_order=10.0)
@@ -211,6 +213,19 @@ def rotation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(nulls.rotation_null(traded(spark, sf_dir), nulls.shift_table(spark, TRIALS), COST))
 
 
+_SHUFFLE = f"""WITH {TRADED}, shifts AS (SELECT CAST(t AS BIGINT) AS trial FROM range({TRIALS}) AS u(t)),
+own AS (SELECT series, row_number() OVER w - 1 AS i, position, ret FROM traded WINDOW w AS (PARTITION BY series ORDER BY row)),
+dealt AS (
+  SELECT series, trial, i, ret, row_number() OVER (PARTITION BY series, trial ORDER BY
+         (((trial + 1) * 7919 + i * 104729 + 13) * 48271 % 2147483647) * 16807 % 2147483647, i) - 1 AS j FROM own CROSS JOIN shifts),
+totals AS (
+  SELECT d.series, d.trial, product(1 + p.position * d.ret) - 1 AS total FROM dealt d JOIN own p ON p.series = d.series AND p.i = d.j GROUP BY ALL),
+actual AS (SELECT series, product(1 + position * ret) - 1 AS actual, avg(CASE WHEN abs(position) > 1e-9 THEN 1 ELSE 0 END) AS exposure FROM own GROUP BY series),
+lists AS (
+  SELECT series, actual, exposure, list_sort(list(total)) AS l, count(*) FILTER (WHERE total >= actual) AS beat, count(*) AS trials
+  FROM totals JOIN actual USING (series) GROUP BY ALL)
+SELECT series, {rs('actual', 'exposure')}, {r(f'l[{int(0.5 * (TRIALS - 1)) + 1}]', 'median_random')}, {r(f'l[{int(0.05 * (TRIALS - 1)) + 1}]', 'p05')},
+       {r(f'l[{int(0.95 * (TRIALS - 1)) + 1}]', 'p95')}, {r('beat / CAST(trials AS DOUBLE)', 'p_value')}, trials FROM lists"""
 _SHIFTS = f"shifts AS (SELECT CAST(t AS BIGINT) AS trial, ((t + 99) * 7919 + 104729) % 1000003 AS draw FROM range({TRIALS}) AS u(t))"
 _ROTATION = f"""WITH {TRADED}, {_SHIFTS},
 own AS (SELECT series, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY series) AS n, position, ret FROM traded WINDOW w AS (PARTITION BY series ORDER BY row)),
@@ -228,6 +243,32 @@ SELECT series, {rs('actual', 'exposure')}, {r(f'l[{int(0.5 * (TRIALS - 1)) + 1}]
        {r(f'l[{int(0.95 * (TRIALS - 1)) + 1}]', 'p95')}, {r('beat / CAST(trials AS DOUBLE)', 'p_value')}, trials FROM lists"""
 
 
+def permutation_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without costs, against free orders of the positions."""
+    return rounded(nulls.permutation_test(traded(spark, sf_dir), nulls.shift_table(spark, TRIALS), 0.0))
+
+
+def forecast_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = forecasts(spark, sf_dir)
+    ahead = F.exp(F.lead("log_return").over(Window.partitionBy("series").orderBy("row"))) - 1
+    rows = rows.select("series", "time", F.col("expected").alias("forecast"), ahead.alias("ret"))
+    return align.align_panel(rows, ["forecast", "ret"])
+
+
+def forecast_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(forecast.forecast_test(forecast_panel(spark, sf_dir), nulls.shift_table(spark, TRIALS), (1, 4)))
+
+
+def power_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What it takes to see edges of several sizes and holds, at the break-even of each and beyond."""
+    rows = spark.createDataFrame([(float(e), float(h)) for e in (1, 2, 4, 8) for h in (5, 10, 40)], "edge_bps double, hold double")
+    return rounded(power.table(rows, power.Edge(0, 1, 40, 9, 0.65, 48)))
+
+
+def permutation_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return power.permutation_power(spark, power.Edge(12, 10, 40, 9, 0.5, 48), bars=400, experiments=64, trials=99)
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_panel(traded(spark, sf_dir).select("series", "time", "position", "ret"), ["position", "ret"])
 
@@ -262,17 +303,56 @@ ptrials AS (
 pactual AS (SELECT coalesce(avg(net), 0) AS bps, count(net) AS observations FROM pnets)"""
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fifteen strategies on one clock: three costs by series, log nets summed on a grid of four hours."""
+_FORECAST_TEST = f"""WITH {POSITIONS}, {_SHIFTS},
+told AS (SELECT series, time, expected AS forecast, exp(lead(log_return) OVER (PARTITION BY series ORDER BY row)) - 1 AS ret FROM positions),
+axis AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT time FROM told)),
+own AS (
+  SELECT s.series, a.i, a.n, t.forecast, t.ret FROM axis a CROSS JOIN (SELECT DISTINCT series FROM told) s
+  LEFT JOIN told t ON t.series = s.series AND t.time = a.time),
+later AS (
+  SELECT series, i, n, 1 AS horizon, ret FROM own WHERE ret IS NOT NULL
+  UNION ALL SELECT * FROM (
+    SELECT series, i, n, 4 AS horizon, CASE WHEN count(ret) OVER w = 4 THEN product(1 + ret) OVER w - 1 END AS ret FROM own
+    WINDOW w AS (PARTITION BY series ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)) WHERE ret IS NOT NULL),
+turned AS (
+  SELECT series, horizon, ret, CAST(-1 AS BIGINT) AS trial, i AS j FROM later
+  UNION ALL SELECT series, horizon, ret, trial, (i + 1 + draw % greatest(n - 1, 1)) % n FROM later CROSS JOIN shifts),
+pairs AS (
+  SELECT trial, horizon, o.forecast AS f, t.ret AS r FROM turned t JOIN own o ON o.series = t.series AND o.i = t.j WHERE o.forecast IS NOT NULL),
+ranked AS (
+  SELECT *, rank() OVER (PARTITION BY trial, horizon ORDER BY f) + (count(*) OVER (PARTITION BY trial, horizon, f) - 1) / 2.0 AS rf,
+         rank() OVER (PARTITION BY trial, horizon ORDER BY r) + (count(*) OVER (PARTITION BY trial, horizon, r) - 1) / 2.0 AS rr FROM pairs),
+each AS (
+  SELECT trial, horizon, count(*) AS n, corr(f, r) AS ic, corr(rf, rr) AS rk, covar_pop(f, r) / var_pop(f) AS slope FROM ranked GROUP BY ALL),
+trials AS (
+  SELECT trial, max(CASE WHEN horizon = 1 THEN n END) AS n, max(CASE WHEN horizon = 1 THEN ic END) AS ic, max(CASE WHEN horizon = 1 THEN slope END) AS slope,
+         sum(rk) / 2 AS rk FROM each GROUP BY trial),
+drawn AS (SELECT list_sort(list(ic)) AS ics, list_sort(list(rk)) AS ranks, count(*) AS trials FROM trials WHERE trial >= 0),
+seen AS (SELECT n AS observations, slope, ic, rk, ics, ranks, trials, ranks[{min(TRIALS - 1, int(0.5 * TRIALS)) + 1}] AS centre FROM trials, drawn WHERE trial = -1)
+SELECT observations, {rs('slope', 'ic')}, {r('rk', 'rank_ic')},
+       {r('(len(list_filter(ics, lambda d: d >= ic)) + 1) / CAST(trials + 1 AS DOUBLE)', 'p_value')},
+       {r('(len(list_filter(ranks, lambda d: abs(d - centre) >= abs(rk - centre))) + 1) / CAST(trials + 1 AS DOUBLE)', 'p_rank')},
+       {r('(len(list_filter(ranks, lambda d: d <= rk)) + 1) / CAST(trials + 1 AS DOUBLE)', 'p_rank_lower')},
+       {', '.join(r(f'ics[{min(TRIALS - 1, int(f * TRIALS)) + 1}]', f'{n}_ic') for f, n in ((0.5, 'median'), (0.05, 'p05'), (0.95, 'p95')))},
+       {', '.join(r(f'ranks[{min(TRIALS - 1, int(f * TRIALS)) + 1}]', f'{n}_rank_ic') for f, n in ((0.5, 'median'), (0.05, 'p05'), (0.95, 'p95')))}, trials
+FROM seen"""
+
+
+def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifteen strategies, three costs by series, with the logs of their hourly net returns."""
     rows = forecasts(spark, sf_dir).withColumn("cost_bps", F.explode(F.array(*map(F.lit, (0.0, 5.0, 20.0)))))
     rows = rows.withColumn("cell", F.concat_ws("/", "series", F.col("cost_bps").cast("int").cast("string")))
     w = Window.partitionBy("cell").orderBy("row")
     event = F.when(F.col("expected") > 2e-4 * F.col("cost_bps"), 1.0).when(F.col("expected") <= 0, 0.0)
     rows = rows.withColumn("position", F.coalesce(F.last(event, True).over(w), F.lit(0.0))).withColumn("ret", F.exp(F.lead("log_return").over(w)) - 1)
     rows = strategy.accounted(rows.where("ret is not null"), F.col("cost_bps"), ("cell",))
-    logs = rows.select(F.col("cell").alias("series"), "time", F.log(F.greatest(1 + F.col("net"), F.lit(1e-9))).alias("value"))
-    grid = align.bucket_grid(logs, "value", 4 * HOUR)
-    return grid.withColumn("i", (F.col("time") - F.min("time").over(Window.partitionBy("series"))) / (4 * HOUR)).withColumn("i", F.col("i").cast("long"))
+    return rows.select(F.col("cell").alias("series"), "time", F.log(F.greatest(1 + F.col("net"), F.lit(1e-9))).alias("value"))
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strategies on one clock: log nets summed on a grid of four hours."""
+    grid = align.bucket_grid(_logs(spark, sf_dir), "value", 4 * HOUR)
+    return grid.withColumn("i", snooping.place_on_grid(4 * HOUR))
 
 
 _CELLS = f"""WITH RECURSIVE {QUOTED},
@@ -296,10 +376,11 @@ RESAMPLES, BLOCK = 30, 6.0
 
 
 def _family(spark: SparkSession, sf_dir: str):
-    cells = _cells(spark, sf_dir)
+    """Statistics and resampled means of all cells; each is read several times by every test, so it is computed once."""
+    cells = settled(_cells(spark, sf_dir))
     n = cells.agg(F.max("i")).first()[0] + 1
     table = snooping.resample_table(spark, n, RESAMPLES, BLOCK)
-    return snooping.long_run(cells, BLOCK), snooping.resample_means(cells, table)
+    return settled(snooping.long_run(cells, BLOCK)), settled(snooping.resample_means(cells, table))
 
 
 _FAMILY = f"""{_CELLS},
@@ -360,7 +441,12 @@ def deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snooping.block_lengths(_cells(spark, sf_dir))
+    return rounded(snooping.block_lengths(_cells(spark, sf_dir)))
+
+
+def judge_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = _logs(spark, sf_dir).withColumn("step", F.lit(HOUR))
+    return rounded(snooping.judge(logs, 4 * HOUR, RESAMPLES))
 
 
 _M = "avg(pow(c.value - m, {k}::DOUBLE))"
@@ -373,17 +459,58 @@ def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
         w = Window.partitionBy("series").orderBy("row").rowsBetween(-2, 0)
         rows = X.price_features(B.rollup(quoted(spark, sf_dir), factor)).withColumn("expected", -F.avg("log_return").over(w))
         done = strategy.metrics(strategy.traded(strategy.long_only(rows, ENTRY, 0.0)), 5.0, 8766.0 / factor)
-        done = done.select("series", F.lit(factor).alias("cell"), F.col("position_changes").alias("trades"), "exposure", (F.col("total_return") - F.col("buy_hold_return")).alias("excess"), F.col("hit_rate").alias("p_value"), F.when(F.col("bars") < 150, "too few bars").alias("skipped"))
+        done = done.select("series", F.lit(factor).alias("cell"), F.col("position_changes").alias("trades"), "exposure", (F.col("total_return") - F.col("buy_hold_return")).alias("excess"), (1 - F.col("hit_rate")).alias("miss_rate"), F.when(F.col("bars") < 150, "too few bars").alias("skipped"))
         out = done if out is None else out.unionByName(done)
     return out
 
 
 def best_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(screen.best_cells(_sweep(spark, sf_dir)).drop("skipped"))
+    return rounded(screen.best_cells(_sweep(spark, sf_dir), then="miss_rate").drop("skipped"))
 
 
 def rejected_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screen.rejection_reasons(_sweep(spark, sf_dir))
+    """Cells that are made to fail: too few trades of one series, too much exposure or no result of others."""
+    name = F.col("series")
+    cells = _sweep(spark, sf_dir).withColumns(
+        {
+            "trades": F.when(name == "click", F.col("cell")).otherwise(F.col("trades")),
+            "exposure": F.when(name == "view", 0.95).otherwise(F.col("exposure")),
+            "skipped": F.when(name == "purchase", "no fit").otherwise(F.col("skipped")),
+        }
+    )
+    cells = cells.withColumn("trades", F.when((name == "click") & (F.col("cell") > 2), 2).otherwise(F.col("trades")))
+    return screen.rejection_reasons(cells, then="miss_rate")
+
+
+def _pool_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as recorded pages of a listing, a hundred pools a page; every tenth pool is on the next page as well."""
+    part = tape.read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    page = F.floor(F.col("p_partkey") / 100) + 1
+    pool = F.struct(
+        F.struct(
+            F.when(F.col("p_partkey") % 50 == 7, F.lit(None)).otherwise(F.concat(F.lit("0x"), F.col("p_partkey"))).alias("address"),
+            F.concat(F.regexp_replace("p_name", " ", "-"), F.lit(" / USD")).alias("name"), F.col("p_retailprice").cast("string").alias("base_token_price_usd"),
+            F.when(F.col("p_partkey") % 20 == 3, "0").otherwise(F.col("p_retailprice").cast("string")).alias("reserve_in_usd"),
+            F.lit("2024-01-01T00:00:00Z").alias("pool_created_at"), F.struct((F.col("p_size") * 10).cast("string").alias("h24")).alias("volume_usd"),
+            F.struct(F.struct(F.col("p_size").alias("buys"), (F.col("p_partkey") % 7).alias("sells")).alias("h24")).alias("transactions"),
+        ).alias("attributes"),
+        F.struct(F.struct(F.struct(F.lit("swap").alias("id")).alias("data")).alias("dex")).alias("relationships"),
+    )
+    pages = F.when(F.col("p_partkey") % 10 == 0, F.array(page, page + 1)).otherwise(F.array(page))
+    rows = part.select(F.explode(pages).alias("page"), "p_partkey", pool.alias("pool"))
+    listed = rows.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "pool"))).alias("l"))
+    body = F.to_json(F.struct(F.transform("l", lambda x: x["pool"]).alias("data")))
+    return listed.select(F.lit("net").alias("network"), F.col("page").cast("int").alias("page"), body.alias("body"))
+
+
+def top_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = screen.top_pools(_pool_pages(spark, sf_dir), F.lit("2024-03-01").cast("timestamp"))
+    found = found.withColumn("turnover", F.when(F.col("turnover") < float("inf"), F.col("turnover")))
+    return rounded(found.select("address", "name", "base", "quote", "dex", "price", "liquidity", "volume", "trades", "age_days", "score", "turnover"))
+
+
+def trending_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(screen.trending_pools(_pool_pages(spark, sf_dir), 20).select("address", "name", "price", "volume", "liquidity", "change_24h"))
 
 
 def _sweep_sql() -> str:
@@ -392,7 +519,7 @@ def _sweep_sql() -> str:
         parts.append(f"""m{factor} AS (
   SELECT series, {factor} AS cell, count(*) FILTER (WHERE delta > 1e-9) AS trades, avg(CASE WHEN abs(position) > 1e-9 THEN 1 ELSE 0 END) AS exposure,
          product(1 + net) - product(1 + ret) AS excess,
-         coalesce(count(*) FILTER (WHERE position > 1e-9 AND position * ret > 0) / nullif(CAST(count(*) FILTER (WHERE position > 1e-9) AS DOUBLE), 0), 0) AS p_value,
+         1 - coalesce(count(*) FILTER (WHERE position > 1e-9 AND position * ret > 0) / nullif(CAST(count(*) FILTER (WHERE position > 1e-9) AS DOUBLE), 0), 0) AS miss_rate,
          CASE WHEN count(*) < 150 THEN 'too few bars' END AS skipped
   FROM (SELECT *, abs(position - coalesce(lag(position) OVER w, 0)) AS delta, position * ret - abs(position - coalesce(lag(position) OVER w, 0)) * 5e-4 AS net FROM (
     SELECT *, exp(lead(lr) OVER (PARTITION BY series ORDER BY idx)) - 1 AS ret,
@@ -409,7 +536,7 @@ base AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY time) - 1 AS
 sweep AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m4),
 best AS (
   SELECT * FROM sweep WHERE skipped IS NULL AND trades >= 3 AND exposure <= 0.9
-  QUALIFY row_number() OVER (PARTITION BY series ORDER BY excess DESC, p_value, cell) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY series ORDER BY excess DESC, miss_rate, cell) = 1)"""
 
 
 def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -433,7 +560,7 @@ def search_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bar_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tape.read_table(spark, sf_dir, "part").where("p_partkey < 100").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("days"), (F.col("p_partkey") % 90 + 6).alias("bars_per_day"))
+    rows = tape.read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("days"), (F.col("p_partkey") % 90 + 6).alias("bars_per_day"))
     return screen.bar_budget(rows)
 
 
@@ -475,13 +602,13 @@ FROM priced p LEFT JOIN ledger g ON g.series = p.series AND g.entry_time >= p.at
     "ceiling_oracle": f"""WITH {QUOTED},
 own AS (
   SELECT series, row_number() OVER {_WIN} - 1 AS i, ret FROM (
-    SELECT series, row, exp(lead(log_return) OVER {_WIN}) - 1 AS ret FROM features WHERE row < 120) WHERE ret IS NOT NULL),
+    SELECT series, row, exp(lead(log_return) OVER {_WIN}) - 1 AS ret FROM features) WHERE ret IS NOT NULL),
 held AS (
   SELECT series, i, ret, h AS hold, CASE WHEN product(1 + ret) OVER (PARTITION BY series, h, i // h) > 1 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS p
   FROM own, unnest([1, 5, 20]) AS u(h)),
 moved AS (SELECT *, abs(p - coalesce(lag(p) OVER (PARTITION BY series, hold ORDER BY i), 0)) AS d FROM held)
-SELECT series, hold, c AS cost_bps, {r('product(1 + p * ret - d * c * 1e-4) - 1', 'roi', 4)}, count(*) FILTER (WHERE d > 1e-9) AS position_changes,
-       {r('avg(p)', 'exposure', 4)}, {r('product(1 + ret) - 1', 'buy_hold', 4)}, count(*) AS bars
+SELECT series, hold, c AS cost_bps, {r('sum(ln(1 + p * ret - d * c * 1e-4))', 'log_growth')}, count(*) FILTER (WHERE d > 1e-9) AS position_changes,
+       {r('avg(p)', 'exposure')}, {r('sum(ln(1 + ret))', 'log_buy_hold')}, count(*) AS bars
 FROM moved, unnest([0.0::DOUBLE, 10, 30, 50]) AS v(c) GROUP BY ALL""",
     "perp_account": f"""WITH {_PERP} SELECT series, entry_row, exit_row, direction, liquidated,
 {rs('entry_price', 'exit_price', 'notional', 'gross_pnl', 'fees', 'funding', 'net_pnl', 'equity_after')} FROM account""",
@@ -537,25 +664,74 @@ SELECT models, {r('rho')}, {r('greatest(1, rho + (1 - rho) * models)', 'effectiv
     "pair_corr_avg": f"""WITH {QUOTED}
 SELECT a.series AS "left", b.series AS "right", count(*) AS n, {r('covar_pop(a.log_return, b.log_return) / sqrt(var_pop(a.log_return) * var_pop(b.log_return))', 'rho')}
 FROM features a JOIN features b ON a.time = b.time AND a.series < b.series GROUP BY ALL HAVING count(*) >= 30""",
-    "best_by_series": f"{_sweep_sql()} SELECT series, cell, trades, {rs('exposure', 'excess', 'p_value')} FROM best",
-    "rejected_series": f"""{_sweep_sql()}
+    "best_by_series": f"{_sweep_sql()} SELECT series, cell, trades, {rs('exposure', 'excess', 'miss_rate')} FROM best",
+    "rejected_series": f"""{_sweep_sql()},
+made AS (
+  SELECT series, cell, CASE WHEN series = 'click' THEN least(cell, 2) ELSE trades END AS trades, CASE WHEN series = 'view' THEN 0.95 ELSE exposure END AS exposure,
+         CASE WHEN series = 'purchase' THEN 'no fit' ELSE skipped END AS skipped FROM sweep)
 SELECT series, CASE WHEN count(*) FILTER (WHERE skipped IS NULL) = 0 THEN arg_min(skipped, cell)
-       WHEN max(CASE WHEN skipped IS NULL THEN trades END) < 3 THEN 'never traded more than ' || max(CASE WHEN skipped IS NULL THEN trades END) || ' times'
-       WHEN min(CASE WHEN skipped IS NULL THEN exposure END) > 0.9 THEN 'always above the 90% exposure cap'
-       ELSE 'no row cleared 3 trades under 90% exposure' END AS reason
-FROM sweep ANTI JOIN best USING (series) GROUP BY series""",
+       WHEN max(CASE WHEN skipped IS NULL THEN trades END) < 3 THEN 'no cell traded more than ' || max(CASE WHEN skipped IS NULL THEN trades END) || ' times'
+       WHEN min(CASE WHEN skipped IS NULL THEN exposure END) > 0.9 THEN 'every cell is in the market more than 90% of the time'
+       ELSE 'no cell has 3 trades and at most 90% exposure' END AS reason
+FROM made GROUP BY series HAVING count(*) FILTER (WHERE skipped IS NULL AND trades >= 3 AND exposure <= 0.9) = 0""",
+    "top_pools": f"""SELECT '0x' || p_partkey AS address, n AS name, replace(p_name, ' ', '-') AS base, 'USD' AS quote, 'swap' AS dex, {r('p_retailprice', 'price')},
+       {r('liquidity')}, {r('p_size * 10.0::DOUBLE', 'volume')}, CAST(p_size + p_partkey % 7 AS BIGINT) AS trades, {r('60.0::DOUBLE', 'age_days')},
+       {r('sqrt(liquidity * p_size * 10)', 'score')}, {r('CASE WHEN liquidity > 0 THEN p_size * 10 / liquidity END', 'turnover')}
+FROM (SELECT *, CASE WHEN length(replace(p_name, ' ', '-') || ' / USD') > 32 THEN substr(replace(p_name, ' ', '-') || ' / USD', 1, 32) || '...' ELSE replace(p_name, ' ', '-') || ' / USD' END AS n,
+             CASE WHEN p_partkey % 20 = 3 THEN CAST(0 AS DOUBLE) ELSE p_retailprice END AS liquidity FROM part) WHERE p_partkey % 50 <> 7""",
+    "trending_pools": f"""SELECT CASE WHEN p_partkey % 50 = 7 THEN '' ELSE '0x' || p_partkey END AS address, n AS name, {r('p_retailprice', 'price')}, {r('p_size * 10.0::DOUBLE', 'volume')},
+       {r('CASE WHEN p_partkey % 20 = 3 THEN 0 ELSE p_retailprice END', 'liquidity')}, CAST(0 AS DOUBLE) AS change_24h
+FROM (SELECT *, CASE WHEN length(replace(p_name, ' ', '-') || ' / USD') > 32 THEN substr(replace(p_name, ' ', '-') || ' / USD', 1, 32) || '...' ELSE replace(p_name, ' ', '-') || ' / USD' END AS n FROM part)
+WHERE p_partkey < 100 ORDER BY p_partkey LIMIT 20""",
     "screen_top": f"""{_LISTINGS},
 good AS (SELECT *, volume / liquidity AS turnover FROM scored WHERE liquidity >= 250000 AND volume >= 100000 AND volume / liquidity <= 50 AND age_days >= 7),
 one AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY lower(symbol) ORDER BY score DESC, symbol, id) = 1)
 SELECT id, symbol, age_days, {rs('liquidity', 'volume', 'score', 'turnover')} FROM (SELECT * FROM one ORDER BY score DESC, id LIMIT 10)""",
     "search_pairs": f"""{_LISTINGS} SELECT id, symbol, age_days, {rs('liquidity', 'volume', 'score')} FROM scored
 WHERE lower(symbol) LIKE '%ring%' AND liquidity >= 300000 AND volume >= 50000""",
-    "bar_budgets": """WITH b AS (SELECT p_partkey AS id, p_size AS days, p_partkey % 90 + 6 AS bars_per_day FROM part WHERE p_partkey < 100),
+    "bar_budgets": """WITH b AS (SELECT p_partkey AS id, p_size AS days, p_partkey % 90 + 6 AS bars_per_day FROM part),
 c AS (SELECT *, days * bars_per_day AS wanted, least(days * bars_per_day, 5000) AS bars FROM b),
 d AS (SELECT *, least(greatest(CAST(floor(bars * 0.5 + 0.5) AS BIGINT), 300), 1500) AS train_size FROM c),
 e AS (SELECT *, least(greatest(CAST(floor(train_size / 3 + 0.5) AS BIGINT), 100), 500) AS test_size FROM d)
 SELECT *, wanted > 5000 AS truncated, bars >= train_size + test_size + 2 AS fits FROM e""",
 }
 
-_UNCHECKED = ("positions_with_shorts", "deflated_sharpe", "block_lengths")
+SQL["permutation_shuffle"] = _SHUFFLE
+SQL["forecast_test"] = _FORECAST_TEST
+SQL["positions_with_shorts"] = f"""WITH RECURSIVE {POSITIONS},
+told AS (SELECT series, row, row // 100 AS block, row % 100 AS k, expected FROM forecasts),
+held AS (
+  SELECT series, block, k, row, CASE WHEN expected > 0.002 THEN CAST(1 AS DOUBLE) WHEN expected < -0.002 THEN CAST(-1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS position
+  FROM told WHERE k = 0
+  UNION ALL
+  SELECT t.series, t.block, t.k, t.row, CASE
+    WHEN h.position > 0 THEN CASE WHEN t.expected > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
+    WHEN h.position < 0 THEN CASE WHEN t.expected < 0 THEN CAST(-1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
+    WHEN t.expected > 0.002 THEN CAST(1 AS DOUBLE) WHEN t.expected < -0.002 THEN CAST(-1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
+  FROM held h JOIN told t ON t.series = h.series AND t.block = h.block AND t.k = h.k + 1)
+SELECT series, row, position FROM held"""
+#: The lag windows reach at most n - 1; autocovariances of every lag come from a self-join.
+SQL["block_lengths"] = f"""{_CELLS},
+z AS (SELECT series, i, value - avg(value) OVER (PARTITION BY series) AS x, count(*) OVER (PARTITION BY series) AS n, max(abs(value)) OVER (PARTITION BY series) AS top FROM cells),
+cov AS (
+  SELECT a.series, a.n, a.top, b.i - a.i AS k, sum(a.x * b.x) / a.n AS c FROM z a JOIN z b ON b.series = a.series AND b.i >= a.i
+  WHERE b.i - a.i <= ceil(sqrt(a.n)) + 2 * greatest(5, ceil(sqrt(log10(a.n)))) GROUP BY a.series, a.n, a.top, b.i - a.i),
+rho AS (
+  SELECT *, abs(c / first_value(c) OVER (PARTITION BY series ORDER BY k)) AS size, first_value(c) OVER (PARTITION BY series ORDER BY k) AS c0,
+         2 * sqrt(log10(n) / n) AS band, greatest(5, ceil(sqrt(log10(n)))) AS quiet FROM cov),
+runs AS (
+  SELECT *, count(*) OVER w AS ahead, max(size) OVER w AS loudest FROM rho
+  WINDOW w AS (PARTITION BY series ORDER BY k ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
+reach AS (
+  SELECT series, any_value(n) AS n, any_value(c0) AS c0, any_value(top) AS top, any_value(quiet) AS quiet,
+         coalesce(min(CASE WHEN k >= 1 AND ahead = 5 AND loudest < band THEN k END), max(CASE WHEN k >= 1 AND size > band THEN k END)) AS m FROM runs GROUP BY series),
+wide AS (SELECT *, greatest(1, least(2 * m, ceil(sqrt(n)) + quiet, n - 1)) AS w FROM reach),
+sums AS (
+  SELECT w.series, w.n, w.m, w.c0, w.top, 2 * sum(CASE WHEN k BETWEEN 1 AND w THEN least(greatest(2 * (1 - k / w), 0), 1) * k * c ELSE 0 END) AS g,
+         w.c0 + 2 * sum(CASE WHEN k BETWEEN 1 AND w THEN least(greatest(2 * (1 - k / w), 0), 1) * c ELSE 0 END) AS s
+  FROM wide w JOIN cov USING (series) GROUP BY w.series, w.n, w.m, w.c0, w.top)
+SELECT series, {r('''CASE WHEN n < 8 OR sqrt(greatest(c0, 0)) <= 1e-12 * CASE WHEN top > 0 THEN top ELSE 1 END OR m IS NULL OR s = 0 THEN 1
+       ELSE least(greatest(pow(g * g / (s * s), 1.0 / 3) * pow(n, 1.0 / 3), 1), CASE WHEN pow(g * g / (s * s), 1.0 / 3) * pow(n, 1.0 / 3) < 1 THEN 1 ELSE ceil(least(3 * sqrt(n), n / 3.0)) END) END''', 'block')} FROM sums"""
+
+_UNCHECKED = ("deflated_sharpe", "judge_sweep", "power_table", "permutation_power")
 QUERIES = {name: globals()[name] for name in (*SQL, *_UNCHECKED)}

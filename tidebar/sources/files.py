@@ -72,6 +72,28 @@ def bars_from_pages(pages: DataFrame, seconds: int, last: int | None = None) ->
     return bars.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= last).drop("_r")
 
 
+def flow_bars_from_pages(pages: DataFrame, last: int | None = None) -> DataFrame:
+    """Bars with a count of trades from recorded pages, newest first, body a JSON list of {t (ms), o, h, l, c, v, n} as texts or numbers.
+
+    A bar that several pages hold counts as the first one has it; bars without a positive close are left out, other prices
+    default to the close, volume and count to 0; ``last`` keeps the newest so many.
+    """
+    kind = "array<struct<t:string,o:string,h:string,l:string,c:string,v:string,n:string>>"
+    rows = pages.select("series", "page", F.posexplode(F.from_json("body", kind)).alias("pos", "r"))
+    number = lambda f: F.expr(f"try_cast(r.{f} as double)")
+    rows = rows.select("series", "page", "pos", F.floor(number("t") / 1000).cast("long").alias("time"), *(number(f).alias(f) for f in "ohlcvn"))
+    rows = rows.where("time is not null and c > 0 and not isnan(c) and c < double('infinity')")
+    w = Window.partitionBy("series", "time").orderBy("page", "pos")
+    rows = rows.withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    price = lambda f, name: F.when((F.col(f) != 0) & ~F.isnan(f), F.col(f)).otherwise(F.col("c")).alias(name)
+    count = lambda f: F.greatest(F.coalesce(F.when(~F.isnan(f), F.col(f)), F.lit(0.0)), F.lit(0.0))
+    bars = rows.select("series", "time", price("o", "open"), price("h", "high"), price("l", "low"), F.col("c").alias("close"), count("v").alias("volume"), count("n").cast("long").alias("trades"))
+    if last is None:
+        return bars
+    newest = Window.partitionBy("series").orderBy(F.col("time").desc())
+    return bars.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= last).drop("_r")
+
+
 def prints_from_pages(pages: DataFrame) -> DataFrame:
     """Funding prints of recorded pages, body a JSON list of {time, fundingRate, premium}; of one stamp the last counts."""
     kind = "array<struct<time:bigint,fundingRate:string,premium:string>>"

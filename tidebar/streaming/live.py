@@ -1,7 +1,8 @@
 """Live forms: bars of a stream of ticks, and paper accounts kept as state.
 
 A bar leaves the stream once the watermark has passed its end, so only closed bars are ever acted on. The state of the
-bar stream is one row a series and open bar; that of an account is its cash and positions.
+bar stream is one row a series and open bar; that of an account is its cash and positions; that of a belief is the
+filter of its model, so a bar costs the same however long the series has run.
 """
 
 from __future__ import annotations
@@ -9,11 +10,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..models import chain, jump, semi
+from ..models.grouped import from_row
 from ..operators.paper import RECORD, Config, new_account, records
 
 
@@ -52,3 +56,47 @@ def live_signal(bars: DataFrame, expected, entry: float, cost_bps: float) -> Dat
     """target of each closed bar: in where the expected return clears the entry threshold and both sides' cost."""
     bar = max(entry, 2 * cost_bps * 1e-4)
     return bars.withColumn("target", F.when(expected > bar, 1.0).otherwise(0.0))
+
+
+_BELIEF = "series string, time long, state int, now array<double>, ahead array<double>"
+
+
+def live_beliefs(rows: DataFrame, models: DataFrame, names: list[str], kind: str = "hmm", price: float = 1.0) -> DataFrame:
+    """Filtered beliefs of each bar and of the next, as the batch filter has them, from a stream with series, time and features.
+
+    ``models``: a saved table of :func:`fit_models`, one row a series, sent to the tasks. Bars must come in order of time
+    from trigger to trigger; one that is not later than the last one changes nothing and gives no row.
+    """
+    saved = {r["series"]: r.asDict() for r in models.where("skipped is null").collect()}
+    held = rows.sparkSession.sparkContext.broadcast(saved)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        given = pd.concat(list(batches)).sort_values("time")
+        out = []
+        if key[0] in held.value:
+            m = from_row(held.value[key[0]], len(names))
+            last, own = (state.get[0], np.array(state.get[1])) if state.exists else (None, None)
+            for at, x in zip(given["time"].tolist(), given[names].to_numpy(float)):
+                if last is not None and at <= last:
+                    continue
+                if kind == "jump":
+                    own, now, ahead = jump.belief_step(m, x, own, price)
+                else:
+                    own, now, ahead = (semi if m.dur is not None else chain).belief_step(m, x, own)
+                last = at
+                out.append((key[0], at, int(now.argmax()), now.tolist(), ahead.tolist()))
+            if out:
+                state.update((int(last), own.tolist()))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _BELIEF.split(", ")])
+
+    return rows.groupBy("series").applyInPandasWithState(run, _BELIEF, "last long, filter array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def live_marks(ticks: DataFrame, held: DataFrame) -> DataFrame:
+    """What open positions have moved at each tick since their last bar: nothing is traded and no curve gets a point.
+
+    ``ticks``: a stream with series, ts and price; ``held``: a table with account, coin, notional (signed), price and cash.
+    """
+    own = held.select("account", F.col("coin").alias("series"), "cash", "notional", F.col("price").alias("mark")).where("notional <> 0 and mark > 0")
+    moved = F.col("notional") * (F.col("price") / F.col("mark") - 1)
+    return ticks.where("price > 0").join(own, "series").select("account", F.col("series").alias("coin"), "ts", "price", moved.alias("unrealized"), (F.col("cash") + moved).alias("equity"))
