@@ -29,6 +29,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,8 +51,8 @@ BATCHES = 3
 #: Kinds of segment rows: entries to be judged, candidates known already, entries of runs that stay, and of runs that end here.
 _NEW, _KNOWN, _OLD, _JOINED = 0, 1, 2, 3
 _SEGMENT = "bucket int, kind int, n int, packed binary"
-_MERGED = "part string, bucket int, n int, packed binary, doc long, anchors binary"
-_VERIFY = "bucket int, n int, packed binary, doc long, places binary"
+_MERGED = "part string, bucket int, target int, n int, packed binary"
+_VERIFY = "bucket int, target int, n int, packed binary"
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -100,6 +101,25 @@ def _lists(doc: np.ndarray, values: np.ndarray, width: int) -> tuple[pa.Array, p
     return pa.array(doc[edge], pa.int64()), wide.cast(pa.binary())
 
 
+def _dealt(doc: np.ndarray, values: np.ndarray, targets: int) -> dict:
+    """What was found for documents, packed for the part of the documents (target) that it goes to."""
+    order = np.lexsort((values, doc))
+    doc, values = doc[order].astype(np.int64), values[order]
+    target = (mix(doc.view(np.uint64)) % np.uint64(targets)).astype(np.int64)
+    rows = [(int(target[at[0]]), len(at), _pack(doc[at], values[at])) for at in _split(target)]
+    return dict(zip(("target", "n", "packed"), zip(*rows)))
+
+
+def _gathered(rows: DataFrame, name: str, kind: type, width: int) -> DataFrame:
+    """doc and its values, ``width`` bytes each, from rows of :func:`_dealt`; a document has one row."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        names, lists = _lists(*_unpack_all(table.select(["n", "packed"]).to_pylist(), np.int64, kind), width)
+        return pa.table({"doc": names, name: lists})
+
+    return rows.groupBy("target").applyInArrow(gather, f"doc long, {name} binary")
+
+
 def _table(schema: str, **columns) -> pa.RecordBatch:
     """A batch of these columns; what is not named is null."""
     n = len(next(iter(columns.values())))
@@ -169,7 +189,7 @@ def _summary(anchor: np.ndarray, doc: np.ndarray, several: np.ndarray) -> tuple[
     return anchor[edge], doc[edge], more.astype(np.uint8)
 
 
-def merge_bucket(rows: list[dict]) -> list[pa.RecordBatch]:
+def merge_bucket(rows: list[dict], targets: int) -> list[pa.RecordBatch]:
     """Candidates of a bucket, and its entries of the new run: the batch's and those of runs that are to become one with it."""
     kinds = np.uint64, np.int64, np.uint8
     anchor, doc, several = _unpack_all([r for r in rows if r["kind"] == _NEW], *kinds)
@@ -186,8 +206,8 @@ def merge_bucket(rows: list[dict]) -> list[pa.RecordBatch]:
     found = [np.concatenate(c) for c in zip((known, known_doc), (anchor[said], doc[said]), (own[first], met_doc[first]))]
     out = []
     if len(found[0]):
-        names, lists = _lists(found[1], found[0], ANCHOR_BYTES)
-        out.append(_table(_MERGED, part=["found"] * len(names), doc=names, anchors=lists))
+        dealt = _dealt(found[1], found[0], targets)
+        out.append(_table(_MERGED, part=["found"] * len(dealt["n"]), **dealt))
     joined = _unpack_all([r for r in rows if r["kind"] == _JOINED], *kinds)
     run = _summary(*(np.concatenate(c) for c in zip((own, own_doc, again.astype(np.uint8)), joined)))
     if len(run[0]):
@@ -213,12 +233,12 @@ class FingerprintIndex:
         return functools.reduce(DataFrame.unionByName, tables)
 
     def candidates(self) -> DataFrame:
-        """doc and anchors: what each document of any batch so far shares with others, in one or more rows."""
-        return self._read(self.found, "found").select("doc", "anchors")
+        """doc and anchors: what each document of any batch so far shares with others."""
+        return _gathered(self._read(self.found, "found").select("target", "n", "packed"), "anchors", np.uint64, ANCHOR_BYTES)
 
     def ingest(self, docs: DataFrame) -> None:
         """Put a batch into the index: its candidates, and those it makes of earlier documents, join the others."""
-        level, merged = 0, []
+        level, merged, buckets = 0, [], self.buckets
         while len(same := [r for r in self.runs if r[0] == level]) >= FAN_IN - 1:
             merged += same
             level += 1
@@ -230,7 +250,7 @@ class FingerprintIndex:
                 rows = rows.unionByName(earlier.select("bucket", F.lit(kind).alias("kind"), "n", "packed"))
 
         def merge(table: pa.Table) -> pa.Table:
-            return pa.Table.from_batches([_table(_MERGED, part=[]), *merge_bucket(table.to_pylist())])
+            return pa.Table.from_batches([_table(_MERGED, part=[]), *merge_bucket(table.to_pylist(), buckets)])
 
         rows.groupBy("bucket").applyInArrow(merge, _MERGED).write.partitionBy("part").option("compression", "none").parquet(folder)
         for _, old in merged:
@@ -305,21 +325,20 @@ def _least_first(check, second, doc, place) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_windows(docs: DataFrame, candidates: DataFrame, buckets: int) -> DataFrame:
-    """doc and places (where windows start, four bytes each) of the windows that a smaller document has as well, in rows."""
-    asked = candidates.groupBy("doc").agg(F.collect_list("anchors").alias("anchors"))
+    """doc and places (where windows start, four bytes each) of the windows that a smaller document has as well."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.col("doc").isNotNull() & F.col("text").isNotNull())
 
     def emit(batches):
         for batch in batches:
             ids = np.asarray(batch.column("doc"), dtype=np.int64)
             for low, high, texts in _opened(batch.column("text")):
-                anchors = [b"".join(a) for a in batch.column("anchors").slice(low, high - low).to_pylist()]
+                anchors = batch.column("anchors").slice(low, high - low).to_pylist()
                 found = _candidate_windows(pa.array(texts, pa.binary()).cast(pa.string()), ids[low:high], anchors)
                 order, later = _least_first(*found)
                 check, second, doc, place = (c[order] for c in found)
-                if later.any():
-                    names, lists = _lists(doc[later], place[later], 4)
-                    yield _table(_VERIFY, bucket=pa.array([int(ids[low]) % buckets] * len(names), pa.int32()), doc=names, places=lists)
+                if later.any():  # by way of any bucket, as nothing has to meet them
+                    dealt = _dealt(doc[later], place[later], buckets)
+                    yield _table(_VERIFY, bucket=dealt["target"], **dealt)
                 check, second, doc, place = (c[~later] for c in (check, second, doc, place))
                 rows = []
                 for at in _split((check % np.uint64(buckets)).astype(np.int64)):
@@ -329,15 +348,16 @@ def repeated_windows(docs: DataFrame, candidates: DataFrame, buckets: int) -> Da
             release()
 
     def meet(table: pa.Table) -> pa.Table:
-        rows = table.select(["n", "packed"]).filter(table.column("n").is_valid()).to_pylist()
-        found = _unpack_all(rows, np.uint64, np.uint32, np.int64, np.int32)
+        judged = table.column("target").is_null()
+        found = _unpack_all(table.filter(judged).select(["n", "packed"]).to_pylist(), np.uint64, np.uint32, np.int64, np.int32)
         order, later = _least_first(*found)
-        names, lists = _lists(found[2][order][later], found[3][order][later], 4)
-        through = table.select(["doc", "places"]).filter(table.column("doc").is_valid())
-        return pa.concat_tables([through, pa.table({"doc": names, "places": lists})])
+        out = [_table(_VERIFY, **_dealt(found[2][order][later], found[3][order][later], buckets))] if later.any() else []
+        through = table.select(["bucket", "target", "n", "packed"]).filter(pc.invert(judged))
+        return pa.concat_tables([through, *(pa.Table.from_batches([b]) for b in out)]).select(["target", "n", "packed"])
 
-    joined = _squeezed(known, "text").join(asked, "doc")
-    return joined.mapInArrow(emit, _VERIFY).groupBy("bucket").applyInArrow(meet, "doc long, places binary")
+    met = _squeezed(known, "text").join(candidates, "doc").mapInArrow(emit, _VERIFY)
+    hits = met.groupBy("bucket").applyInArrow(meet, "target int, n int, packed binary")
+    return _gathered(hits, "places", np.int32, 4)
 
 
 def _without(words: list[bytes], starts: np.ndarray) -> list[bytes]:
@@ -352,7 +372,7 @@ def _remove(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """``docs`` with n_words, n_removed and kept: the words outside all repeated windows, joined by a blank."""
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
     key, places, packed = (free_name(names, c) for c in ("key", "places", "packed"))
-    per_doc = hits.groupBy(F.col("doc").alias(key)).agg(F.collect_list("places").alias(places))
+    per_doc = hits.select(F.col("doc").alias(key), F.col("places").alias(places))
     carried = [c for c in names if c != "text"]
     moved = _squeezed(docs.select(*carried, F.col("text").alias(packed)), packed)
     joined = moved.join(per_doc, F.col("doc_id") == F.col(key), "left").drop(key)
@@ -365,7 +385,7 @@ def _remove(docs: DataFrame, hits: DataFrame) -> DataFrame:
                 n_words, n_removed, kept = [], [], []
                 for text, found in zip(texts, part.column(places).to_pylist()):
                     words = (text or b"").split()
-                    left = _without(words, np.frombuffer(b"".join(found), np.int32).astype(np.int64)) if found and words else words
+                    left = _without(words, np.frombuffer(found, np.int32).astype(np.int64)) if found and words else words
                     n_words.append(len(words))
                     n_removed.append(len(words) - len(left))
                     kept.append(b" ".join(left))
