@@ -33,7 +33,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -54,11 +53,12 @@ SKETCH = 1 << 20
 _ALL, _EVEN, _ODD, _RARE, _EXACT = range(5)
 
 
-def _buckets(vocab: list[str]) -> np.ndarray:
-    """(token, table): places of the tokens in the sketch, five hexadecimal digits of their MD5 each."""
-    both = [int(hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest()[:10], 16) for t in vocab]
-    wide = np.array(both, np.int64).reshape(-1, 1)
-    return np.concatenate([wide >> 20, wide & (SKETCH - 1)], axis=1)
+def _digests(vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token its two places in the sketch, five hexadecimal digits of its MD5 each, and a hash from the last eight bytes."""
+    md5 = hashlib.md5
+    raw = np.frombuffer(b"".join([md5(t).digest() for t in vocab.cast(pa.binary()).to_pylist()]), np.uint8).reshape(-1, 16)
+    wide = raw[:, :5].astype(np.int64) @ np.array([1 << 32, 1 << 24, 1 << 16, 1 << 8, 1])
+    return np.stack([wide >> 20, wide & (SKETCH - 1)], axis=1), np.ascontiguousarray(raw[:, 8:]).view(np.uint64).ravel()
 
 
 def document_counts(docs: DataFrame) -> np.ndarray:
@@ -71,7 +71,7 @@ def document_counts(docs: DataFrame) -> np.ndarray:
                 offsets, codes, vocab = word_codes(batch.column("text").slice(start, stop - start))
                 text = np.repeat(np.arange(stop - start), np.diff(offsets))
                 every = np.unique(codes * np.int64(stop - start) + text) // (stop - start)
-                places, times = _buckets(vocab.to_pylist()), np.bincount(every, minlength=len(vocab))
+                places, times = _digests(vocab)[0], np.bincount(every, minlength=len(vocab))
                 for k in range(2):
                     np.add.at(total[k], places[:, k], times)
             release()
@@ -86,12 +86,6 @@ def document_counts(docs: DataFrame) -> np.ndarray:
     return out.reshape(2, SKETCH)
 
 
-def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sum of the values of each line."""
-    total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values, dtype=values.dtype)])
-    return total[offsets[1:]] - total[offsets[:-1]]
-
-
 class Lines:
     """The lines of a slice of texts and the keys of their templates."""
 
@@ -100,54 +94,49 @@ class Lines:
         ends = np.asarray(split.offsets, dtype=np.int64)
         self.of_text, self.lines = ends - ends[0], split.flatten()
         self.offsets, self.codes, vocab = word_codes(self.lines)
-        words = vocab.to_pylist()
-        self.hash = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+        places, self.hash = _digests(vocab)
         self.digit = np.asarray(pc.match_substring_regex(vocab, "[0-9]"), dtype=bool)
-        places = _buckets(words)
         self.documents = np.minimum(counts[0][places[:, 0]], counts[1][places[:, 1]])
+        self.sizes = np.diff(self.offsets)
+        self.line = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.place = np.arange(len(self.codes)) - self.offsets[self.line]
+        self.at = mix(self.place.astype(np.uint64) + np.uint64(1))
 
     def _keys(self, kind: int, lines: np.ndarray, fixed: np.ndarray, used: np.ndarray | None = None) -> np.ndarray:
         """Keys of the chosen lines; ``fixed`` and ``used`` say of all tokens which are named and which count at all."""
-        sizes = np.diff(self.offsets)
-        chosen = np.zeros(len(sizes), bool)
+        chosen = np.zeros(len(self.sizes), bool)
         chosen[lines] = True
-        token = np.repeat(chosen, sizes)
-        place = np.arange(len(fixed)) - np.repeat(self.offsets[:-1], sizes)
-        if used is not None:
-            token &= used
+        token = chosen[self.line] if used is None else chosen[self.line] & used
         at = np.flatnonzero(token)
-        said = np.where(fixed[at], self.hash[self.codes[at]], np.uint64(0))
-        said = mix(said + mix(place[at].astype(np.uint64) + np.uint64(1)))
-        line = np.repeat(np.arange(len(sizes)), sizes)[at]
-        offsets = np.searchsorted(line, np.append(lines, len(sizes)))
+        said = mix(np.where(fixed[at], self.hash[self.codes[at]], np.uint64(0)) + self.at[at])
+        offsets = np.searchsorted(self.line[at], np.append(lines, len(self.sizes)))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(said)])
         total = total[offsets[1:]] - total[offsets[:-1]]
-        key = mix(mix(total + sizes[lines].astype(np.uint64)) + np.uint64(kind))
+        key = mix(mix(total + self.sizes[lines].astype(np.uint64)) + np.uint64(kind))
         return (key >> np.uint64(1) << np.uint64(1) | np.uint64(kind == _EXACT)).view(np.int64)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """(line, key) of every template of every line; keys of long lines themselves are odd, all others even."""
-        sizes = np.diff(self.offsets)
+        count = lambda of: np.bincount(self.line[of], minlength=len(self.sizes))
         word = ~self.digit[self.codes]
-        words = _sums(word.astype(np.int64), self.offsets)
-        place = np.arange(len(word)) - np.repeat(self.offsets[:-1], sizes)
+        words = count(word)
         some = np.flatnonzero(words > 0)
         out = [(some, self._keys(_ALL, some, word))]
         for kind, parity in ((_EVEN, 0), (_ODD, 1)):
-            half = (place >= LEADING) & ((place - LEADING) % 2 == parity)
-            own = np.flatnonzero(_sums((half & word).astype(np.int64), self.offsets) >= LEAST_FIXED)
-            out.append((own, self._keys(kind, own, word, half | (place < LEADING))))
-        least, before = MIN_DOCS, np.zeros(len(sizes), np.int64)
+            half = (self.place >= LEADING) & ((self.place - LEADING) % 2 == parity)
+            own = np.flatnonzero(count(half & word) >= LEAST_FIXED)
+            out.append((own, self._keys(kind, own, word, half | (self.place < LEADING))))
+        least, before = MIN_DOCS, np.zeros(len(self.sizes), np.int64)
         found = self.documents[self.codes]
         while len(found):
             rare = word & (found < least)
-            n = _sums(rare.astype(np.int64), self.offsets)
+            n = count(rare)
             own = np.flatnonzero((n > before) & (3 * n <= words) & (words - n >= LEAST_FIXED))
             out.append((own, self._keys(_RARE, own, word & ~rare)))
-            if least > found.max() or (3 * n > words)[words > 0].all():
+            if least > found.max() or (3 * n > words)[some].all():
                 break
             before, least = n, least * STEP
-        own = np.flatnonzero(sizes >= EXACT_TOKENS)
+        own = np.flatnonzero(self.sizes >= EXACT_TOKENS)
         out.append((own, self._keys(_EXACT, own, np.ones(len(word), bool))))
         return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 

@@ -60,7 +60,8 @@ def gram_codes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     hashed, owner = [], []
     value = np.zeros(len(raw), np.uint64)
     for n in range(1, max(GRAMS) + 1):
-        value[: len(raw) - n + 1] = value[: len(raw) - n + 1] * np.uint64(0x100000001B3) + raw[n - 1 :] + np.uint64(1)
+        whole = max(len(raw) - n + 1, 0)
+        value[:whole] = value[:whole] * np.uint64(0x100000001B3) + raw[len(raw) - whole :] + np.uint64(1)
         if n in GRAMS:
             at = np.flatnonzero(left >= n)
             mixed = value[at] * np.uint64(0x9E3779B97F4A7C15)
