@@ -69,15 +69,21 @@ HOT_PART = 1 / 2000
 def spread_join(many: DataFrame, few: DataFrame, keys: list[str], rows: str, total: int, by: Column) -> DataFrame:
     """Inner join with a table of distinct ``keys`` whose column ``rows`` counts the rows of each in ``many`` (``total`` in all).
 
-    A hot key is split by a hash of ``by``, a column of ``many``: its row of ``few`` is repeated once for each part, at most
-    1 / ``HOT_PART`` times for all keys together, and its name and number of parts are all that is broadcast.
+    A hot key is split by a hash of ``by``, a column of ``many``, and its row of ``few`` is repeated once for each part: at most
+    2 / ``HOT_PART`` times for all keys together. The first column of ``keys`` decides; its hot values, at most 1 / ``HOT_PART``
+    of them, are all that the driver sees.
     """
     each = max(1, int(total * HOT_PART))
-    parts = F.ceil(F.col(rows) / each).cast("int")
-    hot = few.where(F.col(rows) > each).select(*keys, parts.alias("_parts"))
-    salted = many.join(F.broadcast(hot), keys, "left")
-    salted = salted.withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    copied = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    first = F.col(keys[0])
+    power = F.ceil(F.log2(F.sum(rows) / each)).cast("int")
+    hot: dict[int, list] = {}
+    for r in few.where(F.col(rows) > each).groupBy(first.alias("key")).agg(power.alias("power")).collect():
+        hot.setdefault(r["power"], []).append(r["key"])
+    parts = F.lit(1)
+    for p, values in sorted(hot.items()):
+        parts = F.when(first.isin(values), 1 << p).otherwise(parts)
+    salted = many.withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int"))
+    copied = few.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     return salted.join(copied, [*keys, "_part"]).drop("_part")
 
 

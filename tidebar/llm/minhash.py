@@ -35,7 +35,7 @@ from .hashing import mix, rolling, word_hashes
 
 FUNCTIONS, ROWS, BITS = 128, 4, 2
 #: Members of a bucket that are compared in one group.
-BLOCK = 2048
+BLOCK = 1024
 #: Ids that are sent to every executor, at most (three numbers each, so 24 MB); more are joined by a shuffle of the texts.
 SENT_IDS = 1_000_000
 #: From here on classes are numbered whose id has another class already.
