@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebar.models import chain, grouped, jump, semi, signals
-from tidebar.operators import forecast, nulls, paper, power, screen, snooping, strategy
+from tidebar.operators import flow, forecast, nulls, paper, power, screen, snooping, strategy
 from tidebar.sources import files
 from tidebar.streaming import live
 
@@ -141,3 +141,16 @@ def test_listings_and_flow_pages(spark):
     assert [r.pos for r in screen.trending_pools(pages, 2).orderBy("pos").collect()] == [0, 1]
     flow = spark.createDataFrame([("a", 0, '[{"t": 60999, "o": "0", "h": "x", "l": "2", "c": "3", "v": "-1", "n": 4}, {"t": 120000, "c": "0"}]'), ("a", 1, '[{"t": 60000, "c": "9"}]')], "series string, page int, body string")
     assert [tuple(r) for r in files.flow_bars_from_pages(flow).collect()] == [("a", 60, 3.0, 3.0, 2.0, 3.0, 0.0, 4)]
+
+
+def test_flow_columns_with_holes_are_errors(spark):
+    columns = spark.createDataFrame([("a", 0, None, False), ("a", 1, 1.0, True), ("a", 2, None, False)], "series string, time long, x double, valid boolean")
+    assert flow.trim_leading(columns.where("time < 2")).count() == 1
+    with pytest.raises(Exception, match="hole"):
+        flow.trim_leading(columns).collect()
+    features = spark.createDataFrame([("a", 1, 0.1), ("a", 2, 0.2)], "series string, time long, log_return double")
+    assert flow.augment(features, columns.where("valid"), ["x"]).collect() == [("a", 1, 0.1, 1.0)]
+    with pytest.raises(Exception, match="not finite"):
+        flow.augment(features, columns, ["x"]).collect()
+    with pytest.raises(ValueError):
+        flow.augment(features, columns.withColumnRenamed("x", "log_return"), ["log_return"])

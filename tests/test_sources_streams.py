@@ -33,6 +33,21 @@ def test_pages_keep_the_first_bar_and_the_last_print(spark):
     assert [(r.from_ms, r.to_ms) for r in spans.orderBy("from_ms").collect()] == [(0, 1728000000), (1728000000, 3456000000), (3456000000, 4000000000)]
 
 
+def test_rows_without_a_time_are_numbered_in_order(spark, tmp_path):
+    for part in range(3):
+        (tmp_path / f"p{part}.csv").write_text("close\n" + "".join(f"{10 * part + i + 1}\n" for i in range(3)))
+    got = files.read_csv(spark, f"file://{tmp_path}/*.csv").collect()
+    assert sorted(r.time for r in got) == list(range(1, 10)) and [r.time for r in got] == sorted(r.time for r in got)
+    (tmp_path / "same.csv").write_text("time,close\n5,1\n5,2\n4,3\n")
+    assert [r.close for r in files.read_csv(spark, f"file://{tmp_path}/same.csv").collect()] == [3.0, 1.0, 2.0]
+
+
+def test_page_report(spark):
+    pages = spark.createDataFrame([("a", 0, "[[1700000060000, 1, 1, 1, 1, 1], [1700000000000, 1, 1, 1, 1, 1]]"), ("a", 1, "[[1700000060, 2, 2, 2, 2, 2], [1700000300, 1, 1, 1, 1, 1]]")], "series string, page int, body string")
+    r = files.page_report(pages, 60).first()
+    assert (r.rows, r.copies, r.bars, r.gaps, r.largest_gap) == (4, 1, 3, 3, 3)
+
+
 def test_synthetic_series_repeat(spark):
     a = synth.synthetic_bars(spark, 2, 300)
     assert a.count() == 600 and a.where("low > least(open, close) or high < greatest(open, close)").count() == 0

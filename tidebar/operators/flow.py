@@ -82,8 +82,14 @@ def trim_leading(columns: DataFrame) -> DataFrame:
 
 
 def augment(features: DataFrame, columns: DataFrame, names: list[str]) -> DataFrame:
-    """Feature rows with more columns from the bar they stand at; a name that is there already is an error."""
+    """Feature rows with more columns from the bar they stand at.
+
+    A name that is there already is an error, and so is a value that is missing or not finite; rows of bars without
+    columns go, as those of the time before a flow is known.
+    """
     clash = sorted(set(names) & set(features.columns))
     if clash:
         raise ValueError(f"these columns are there already: {', '.join(clash)}")
-    return features.join(columns.select("series", "time", *names), ["series", "time"])
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    sound = [F.when(bad(c), F.raise_error(F.lit(f"{c} has a value that is missing or not finite")).cast("double")).otherwise(F.col(c)).alias(c) for c in names]
+    return features.join(columns.select("series", "time", *sound), ["series", "time"])

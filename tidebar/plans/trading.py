@@ -482,6 +482,36 @@ def rejected_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen.rejection_reasons(cells, then="miss_rate")
 
 
+def top_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as one row of parallel arrays, as a venue publishes its markets; some are delisted or have no price."""
+    rows = tape.read_table(spark, sf_dir, "supplier")
+    market = F.struct(
+        "s_suppkey", F.col("s_name").alias("names"), F.col("s_acctbal").alias("marks"), (F.col("s_acctbal") - F.col("s_nationkey")).alias("previous"),
+        F.col("s_nationkey").cast("double").alias("interest"), ((F.col("s_suppkey") * 37) % 1009).cast("double").alias("notional"), (F.col("s_suppkey") % 7 == 0).alias("delisted"),
+    )
+    listed = rows.agg(F.sort_array(F.collect_list(market)).alias("l"))
+    names = ("names", "marks", "previous", "interest", "notional", "delisted")
+    universe = listed.select(*(F.col(f"l.{c}").alias(c) for c in names))
+    return rounded(screen.top_markets(universe, 25))
+
+
+def markets_with_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every market with its best cell, and defaults for those that have none."""
+    rows = tape.read_table(spark, sf_dir, "events").select(F.col("event_type").alias("series")).distinct()
+    markets = rows.unionByName(rows.select(F.concat("series", F.lit("-perp")).alias("series")))
+    best = screen.best_cells(_sweep(spark, sf_dir), then="miss_rate").select("series", "cell", "trades", "excess")
+    return rounded(screen.with_defaults(markets, best, "series", {"cell": 0, "trades": 0, "excess": 0.0}))
+
+
+def sanitized_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with hidden characters put in, blanks around, too long or empty."""
+    rows = tape.read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    odd = F.when(F.col("p_partkey") % 5 == 0, F.lit(" \u200b\u202e ")).when(F.col("p_partkey") % 5 == 1, F.repeat("p_name", 6)).otherwise(
+        F.concat(F.lit("  "), F.substring("p_name", 1, 3), F.lit("\u0007\ufeff"), F.substring("p_name", 4, 99), F.lit(" "))
+    )
+    return rows.select("p_partkey", screen.sanitize(odd, 30).alias("name"))
+
+
 def _pool_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as recorded pages of a listing, a hundred pools a page; every tenth pool is on the next page as well."""
     part = tape.read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
@@ -674,6 +704,14 @@ SELECT series, CASE WHEN count(*) FILTER (WHERE skipped IS NULL) = 0 THEN arg_mi
        WHEN min(CASE WHEN skipped IS NULL THEN exposure END) > 0.9 THEN 'every cell is in the market more than 90% of the time'
        ELSE 'no cell has 3 trades and at most 90% exposure' END AS reason
 FROM made GROUP BY series HAVING count(*) FILTER (WHERE skipped IS NULL AND trades >= 3 AND exposure <= 0.9) = 0""",
+    "top_markets": f"""SELECT s_name AS coin, {r('s_acctbal', 'mark')}, {r('CAST(s_suppkey * 37 % 1009 AS DOUBLE)', 'notional')},
+       {r('coalesce(s_acctbal / nullif(s_acctbal - s_nationkey, 0) - 1, 0)', 'change_24h')}, {r('s_nationkey * s_acctbal', 'open_interest')}
+FROM supplier WHERE s_suppkey % 7 <> 0 AND s_acctbal > 0 ORDER BY s_suppkey * 37 % 1009 DESC, s_name LIMIT 25""",
+    "markets_with_best": f"""{_sweep_sql()},
+markets AS (SELECT DISTINCT event_type AS series FROM events UNION ALL SELECT DISTINCT event_type || '-perp' FROM events)
+SELECT m.series, coalesce(b.cell, 0) AS cell, coalesce(b.trades, 0) AS trades, {r('coalesce(b.excess, 0)', 'excess')} FROM markets m LEFT JOIN best b USING (series)""",
+    "sanitized_names": """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '?' WHEN length(n) > 30 THEN substr(n, 1, 30) || '...' ELSE n END AS name
+FROM (SELECT p_partkey, trim(CASE WHEN p_partkey % 5 = 1 THEN repeat(p_name, 6) ELSE p_name END) AS n FROM part)""",
     "top_pools": f"""SELECT '0x' || p_partkey AS address, n AS name, replace(p_name, ' ', '-') AS base, 'USD' AS quote, 'swap' AS dex, {r('p_retailprice', 'price')},
        {r('liquidity')}, {r('p_size * 10.0::DOUBLE', 'volume')}, CAST(p_size + p_partkey % 7 AS BIGINT) AS trades, {r('60.0::DOUBLE', 'age_days')},
        {r('sqrt(liquidity * p_size * 10)', 'score')}, {r('CASE WHEN liquidity > 0 THEN p_size * 10 / liquidity END', 'turnover')}

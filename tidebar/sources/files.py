@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.bars import gap_audit
+
 #: Names a column may go by, the likeliest first.
 FIELDS = {
     "time": ("time", "timestamp", "date", "open_time", "unix"), "open": ("open",), "high": ("high",), "low": ("low",),
@@ -28,6 +30,18 @@ def resolve_header(names: list[str]) -> dict[str, str]:
     return found
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Adds the number of each row of a file, from 1: its place in its part, after the rows of the parts before, of which
+    there is one count each."""
+    low = F.lit((1 << 33) - 1)
+    placed = rows.withColumn("_at", F.monotonically_increasing_id())
+    placed = placed.withColumns({"_part": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND(low)})
+    sizes = placed.groupBy("_part").agg((F.max("_place") + 1).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col("_part"), F.coalesce(before, F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_place") + 1).drop("_at", "_part", "_place", "_start")
+
+
 def read_csv(spark: SparkSession, path: str, series: str = "csv") -> DataFrame:
     """Bars of a file with a header, ``;`` or ``,``; rows without a positive close are left out, in order of time.
 
@@ -37,11 +51,11 @@ def read_csv(spark: SparkSession, path: str, series: str = "csv") -> DataFrame:
     if head is None:
         raise ValueError("the file is empty")
     sep = ";" if head[0].count(";") > head[0].count(",") else ","
-    raw = spark.read.option("header", True).option("sep", sep).option("ignoreLeadingWhiteSpace", True).csv(path)
-    at = resolve_header(raw.columns)
+    raw = numbered(spark.read.option("header", True).option("sep", sep).option("ignoreLeadingWhiteSpace", True).csv(path), "_n")
+    at = resolve_header([c for c in raw.columns if c != "_n"])
     text = lambda f: F.trim(F.regexp_replace(F.col(f"`{at[f]}`"), "[\"']", ""))
     number = lambda f: F.expr(f"try_cast(_{f} as double)")
-    rows = raw.select(*(text(f).alias(f"_{f}") for f in at)).withColumn("_n", F.monotonically_increasing_id() + 1)
+    rows = raw.select(*(text(f).alias(f"_{f}") for f in at), "_n")
     rows = rows.withColumn("close", number("close")).where((F.col("close") > 0) & ~F.isnan("close") & (F.col("close") < float("inf")))
     stamp = F.col("_n")
     if "time" in at:
@@ -50,18 +64,29 @@ def read_csv(spark: SparkSession, path: str, series: str = "csv") -> DataFrame:
     part = lambda f, default: F.coalesce(number(f), default) if f in at else default
     return rows.select(
         F.lit(series).alias("series"), stamp.cast("long").alias("time"),
-        *(part(f, F.col("close")).alias(f) for f in ("open", "high", "low")), "close", F.greatest(part("volume", F.lit(0.0)), F.lit(0.0)).alias("volume"),
-    ).orderBy("time")
+        *(part(f, F.col("close")).alias(f) for f in ("open", "high", "low")), "close", F.greatest(part("volume", F.lit(0.0)), F.lit(0.0)).alias("volume"), "_n",
+    ).orderBy("time", "_n").drop("_n")
+
+
+def _seconds(stamp: Column) -> Column:
+    return F.floor(F.when(stamp > 1e11, stamp / 1000).otherwise(stamp)).cast("long")
+
+
+def page_report(pages: DataFrame, seconds: int) -> DataFrame:
+    """Of each series of recorded pages: rows, bars, copies that were left out, bars missing and the longest gap."""
+    rows = pages.select("series", F.explode(F.from_json("body", "array<array<double>>")).alias("v")).select("series", _seconds(F.col("v")[0]).alias("time"))
+    counts = rows.groupBy("series").agg(F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) - F.count_distinct("time")).alias("copies"))
+    return counts.join(gap_audit(bars_from_pages(pages, seconds), seconds), "series", "left")
 
 
 def bars_from_pages(pages: DataFrame, seconds: int, last: int | None = None) -> DataFrame:
     """Bars of recorded pages (series, page, body), body a JSON list of [time, open, high, low, close, volume].
 
-    A bar that several pages hold counts as the first page has it; bars without a positive close are left out; other
+    Times are seconds, or milliseconds where they are too large for that. A bar that several pages hold counts as the first page has it; bars without a positive close are left out; other
     prices that are not positive become the close; ``last`` keeps the newest so many.
     """
     rows = pages.select("series", "page", F.posexplode(F.from_json("body", "array<array<double>>")).alias("pos", "v"))
-    rows = rows.select("series", "page", "pos", F.col("v")[0].cast("long").alias("time"), *(F.col("v")[i + 1].alias(c) for i, c in enumerate(("open", "high", "low", "close", "volume"))))
+    rows = rows.select("series", "page", "pos", _seconds(F.col("v")[0]).alias("time"), *(F.col("v")[i + 1].alias(c) for i, c in enumerate(("open", "high", "low", "close", "volume"))))
     w = Window.partitionBy("series", "time").orderBy("page", "pos")
     rows = rows.withColumn("_r", F.row_number().over(w)).where("_r = 1 and close > 0")
     price = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(F.col("close")).alias(c)
