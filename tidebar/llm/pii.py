@@ -520,4 +520,5 @@ def pii_report(docs: DataFrame) -> DataFrame:
         *map(count, KINDS),
         F.sha2(say(F.col("base")), 256).alias("base_sha256"),
         say(F.sort_array(keyed)).alias("spans"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )
