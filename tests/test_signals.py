@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidebar.models import chain, grouped, jump, semi, signals
+from tidebar.models import bayes, chain, grouped, jump, semi, signals
 from tidebar.operators import flow, forecast, nulls, paper, power, screen, snooping, strategy
 from tidebar.sources import files
 from tidebar.streaming import live
@@ -154,3 +154,30 @@ def test_flow_columns_with_holes_are_errors(spark):
         flow.augment(features, columns, ["x"]).collect()
     with pytest.raises(ValueError):
         flow.augment(features, columns.withColumnRenamed("x", "log_return"), ["log_return"])
+
+
+def test_counts_variances_and_given_starts():
+    x = np.random.default_rng(9).standard_t(4, (400, 2))
+    assert chain.parameter_count(model(width=3)) == 26 and chain.parameter_count(model(width=3, most=30)) == 113 and chain.parameter_count(model(k=5, width=3)) == 54
+    m, total, _ = chain.fit(x, 2, fixed_nu=5.0)
+    assert m.nu.tolist() == [5.0, 5.0] and np.allclose(chain.state_variance(m), m.var * 5 / 3)
+    again, better, rounds = chain.fit(x, 2, start=m, fixed_nu=5.0)
+    assert rounds <= 3 and better >= total - 1e-6 * len(x)
+    free, most, _ = chain.fit(x, 2, student=True)
+    assert chain.state_variance(chain.Model(m.pi, m.a, m.mu, m.var, np.array([2.0, 3.0])))[0, 0] == np.inf and most >= total - 1e-3 * len(x)
+
+
+def test_posteriors_of_new_rows_are_those_of_the_fit():
+    x, truth = chain.sample(chain.Model(np.array([0.5, 0.5]), np.array([[0.95, 0.05], [0.1, 0.9]]), np.array([[-2.0], [2.0]]), np.ones((2, 1))), 400, np.random.default_rng(3))
+    for start in (chain.fit(x, 2)[0], semi.from_chain(chain.fit(x, 2)[0], 30)):
+        q, _, _ = bayes.fit_vb(x, 2, start)
+        assert (bayes.posteriors(q, x).argmax(1) == truth).mean() > 0.95
+        assert np.allclose(bayes.posteriors(q, x[:50]).sum(1), 1)
+
+
+def test_states_in_their_own_units(spark):
+    m = model(width=2)
+    saved = spark.createDataFrame([("a", *grouped.to_row(m, 0.0, 1).values())], "series string, " + grouped._MODEL)
+    scaler = spark.createDataFrame([("a", 0.5, 2.0, -1.0, 0.1)], "series string, log_return_mean double, log_return_sd double, realized_vol_mean double, realized_vol_sd double")
+    got = grouped.state_units(saved, scaler, ["log_return", "realized_vol"]).orderBy("state").collect()
+    assert np.allclose([(r.mean_return, r.volatility) for r in got], np.stack([m.mu[:, 0] * 2 + 0.5, np.exp(m.mu[:, 1] * 0.1 - 1)], 1))

@@ -113,6 +113,15 @@ def fit_vb(x: np.ndarray, k: int, start: Model, pr: Priors = Priors(), rounds: i
     return q, bounds, gamma.sum(0)[order]
 
 
+def posteriors(q: Posterior, x: np.ndarray) -> np.ndarray:
+    """Smoothed state probabilities of new rows under a fitted posterior, by its expected logs; for display, as it looks ahead."""
+    log_b, log_pi, log_a = _emission_logs(q, x), _expected_log(q.pi), _expected_log(q.a)
+    if q.dur is not None:
+        return semi.expectations(log_b, log_pi, log_a, _expected_log(q.dur))[0]
+    a = np.exp(log_a)
+    return chain.smoothed(chain.forward(log_b, np.exp(log_pi), a)[0], chain.backward(log_b, a))
+
+
 def draw(q: Posterior, rng: np.random.Generator) -> Model:
     """One set of parameters from the posterior."""
     dirichlet = lambda row: np.where(row > 0, g := rng.gamma(np.maximum(row, 1e-12)) * (row > 0), 0) / max(g.sum(), 1e-300)

@@ -217,14 +217,36 @@ def em_step(m: Model, x: np.ndarray, floor: float = 1e-8, prior: float = 0.1, fi
     return emission_step(out, x, gamma, floor, fixed_nu), total
 
 
-def fit(x: np.ndarray, k: int = 3, seed: int = 42, rounds: int = 200, tol: float = 1e-6, floor: float = 1e-8, prior: float = 0.1, student: bool = False) -> tuple[Model, float, int]:
-    """One start: model, log likelihood and rounds. Needs ten rows a state."""
+def state_variance(m: Model) -> np.ndarray:
+    """Variance of each feature in each state; infinite where two degrees of freedom or fewer leave none."""
+    if m.nu is None:
+        return m.var
+    return np.where(m.nu[:, None] > 2, m.var * (m.nu / np.maximum(m.nu - 2, 1e-12))[:, None], np.inf)
+
+
+def parameter_count(m: Model) -> int:
+    """Free numbers of a model: first states, moves, means, scales, degrees of freedom, and the weights of durations."""
+    k, width = m.mu.shape
+    moves = k * (k - 1) if m.dur is None else k * max(k - 2, 0) + m.dur.size
+    return k - 1 + moves + 2 * k * width + (0 if m.nu is None else k)
+
+
+def fit(
+    x: np.ndarray, k: int = 3, seed: int = 42, rounds: int = 200, tol: float = 1e-6, floor: float = 1e-8, prior: float = 0.1,
+    student: bool = False, fixed_nu: float | None = None, start: Model | None = None,
+) -> tuple[Model, float, int]:
+    """One start: model, log likelihood and rounds. Needs ten rows a state.
+
+    ``start``: the model to begin with, instead of one by ``seed``. ``fixed_nu``: degrees of freedom that stay as they are.
+    """
     if len(x) < 10 * k:
         raise ValueError(f"{k} states need {10 * k} rows, there are {len(x)}")
-    m = first_guess(x, k, np.random.default_rng(seed), floor, student)
+    m = start or first_guess(x, k, np.random.default_rng(seed), floor, student or fixed_nu is not None)
+    if fixed_nu is not None:
+        m = replace(m, nu=np.full(k, float(fixed_nu)))
     before, best = -np.inf, (m, -np.inf)
     for i in range(rounds):
-        new, total = em_step(m, x, floor, prior)
+        new, total = em_step(m, x, floor, prior, fixed_nu is not None)
         best = (m, total)
         if abs(total - before) < tol * len(x):
             break

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.features import unscaled
 from . import bayes, chain, jump, semi
 from .chain import Model
 
@@ -107,6 +108,15 @@ def decoded(features: DataFrame, models: DataFrame, names: list[str]) -> DataFra
     return _per_group(features.select("series", "row", *names), models, names, run, "series string, row long, state int")
 
 
+def state_units(models: DataFrame, scaler: DataFrame, names: list[str]) -> DataFrame:
+    """series, state, mean_return and volatility of the states of saved models in their own units, as columns alone."""
+    width, at = len(names), names.index("realized_vol") if "realized_vol" in names else None
+    states = models.where("skipped is null").join(scaler, "series").withColumn("state", F.explode(F.sequence(F.lit(0), F.col("states") - 1)))
+    of = lambda i: unscaled(F.get("mu", F.col("state") * width + i), names[i])
+    vol = F.lit(None).cast("double") if at is None else F.exp(of(at))
+    return states.select("series", "state", of(0).alias("mean_return"), vol.alias("volatility"))
+
+
 # --- walk-forward -------------------------------------------------------------------------------------------------
 
 

@@ -47,6 +47,11 @@ def scale(features: DataFrame, scaler: DataFrame, names: tuple[str, ...]) -> Dat
     return features.join(scaler, "series").select(*(scaled[c].alias(c) if c in scaled else F.col(c) for c in features.columns))
 
 
+def unscaled(value: Column, name: str) -> Column:
+    """A standardised value of a feature in its own units; the scaler's columns are at hand."""
+    return value * F.col(f"{name}_sd") + F.col(f"{name}_mean")
+
+
 def clip(features: DataFrame, names: tuple[str, ...], sigmas: float = 3.0) -> DataFrame:
     """Each feature held within so many population deviations of its mean over the series."""
     bounds = features.groupBy("series").agg(

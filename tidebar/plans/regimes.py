@@ -222,6 +222,13 @@ def signal_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("series", "time", "target", "expected", "hold", "state", *(F.col("probs")[i].alias(f"q{i}") for i in range(3))))
 
 
+def state_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of the given model's states in the units of each series' returns."""
+    rows = features(spark, sf_dir)
+    scaler = X.fit_scaler(rows, ("log_return",), F.col("row") < TRAIN)
+    return rounded(grouped.state_units(_fixed(rows), scaler, ["log_return"]).drop("volatility"), 8)
+
+
 def confluence_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three fitted timeframes in agreement: rows, rows in the market and mean agreement of each series."""
     found = signals.walk_forward_confluence(bars(spark, sf_dir), {"bias": 4, "setup": 2, "trigger": 1}, 240, 120)
@@ -305,6 +312,10 @@ ahead AS (
 told AS (SELECT *, 0.01 * ({' + '.join(f'q{j} * ({m})' for j, m in enumerate(MU))}) AS expected FROM ahead)
 SELECT series, time, CASE WHEN expected > CASE WHEN previous > 0 THEN 0 ELSE 1e-4 / {1 / (1 - A[8])} END THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS target,
        {r('expected')}, {r(f'CAST({1 / (1 - A[8])} AS DOUBLE)', 'hold')}, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS state, {rs('q0', 'q1', 'q2')} FROM told"""
+SQL["state_units"] = f"""WITH {QUOTED},
+scaler AS (SELECT series, avg(log_return) AS m, greatest(stddev_pop(log_return), 1e-12) AS s FROM features WHERE row < {TRAIN} GROUP BY series)
+SELECT series, state, {r(f'CASE state {" ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(MU))} END * s + m', 'mean_return', 8)}
+FROM scaler, (VALUES (0), (1), (2)) AS v(state)"""
 _ACCOUNTS = f"""WITH RECURSIVE {POSITIONS},
 told AS (
   SELECT p.series AS account, p.time, b.high, b.low, p.close, p.position AS target, row_number() OVER (PARTITION BY p.series ORDER BY p.time) AS k
