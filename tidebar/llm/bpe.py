@@ -5,7 +5,8 @@ the active ranks (merges whose pair occurs) are applied in ascending order, each
 and the lists of the pairs that a merge makes are updated. Texts are then put together from their pieces.
 
 Defined results: a null text is an empty one; empty texts have no tokens; special tokens in a text become their own id,
-as the tokenizer file says; other columns are left alone; repeated rows give repeated rows.
+as the tokenizer file says; repeated rows give repeated rows; other columns are left alone, but for one of the name that the
+result is to have, which is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .common import sha256_hex, slices
+from .common import release, sha256_hex, slices
 
 #: The published pre-tokenizer pattern of byte-level BPE, with white space by its Unicode property.
 PIECE = (
@@ -32,10 +33,10 @@ PIECE = (
 )
 #: A blank beside other white space or at an end of the text; such texts are cut into pieces as a whole.
 _NOT_PLAIN = r" [\s\x0b\x1c-\x1f\x85\p{Z}]|[\s\x0b\x1c-\x1f\x85\p{Z}] |\A | \z"
-_NONE = np.array([], np.int64)
+_NONE = np.array([], np.int32)
 _PIECE = regex.compile(PIECE)
-#: Bytes of text whose pieces are merged together.
-SLICE = 16 << 20
+#: Bytes of text whose pieces are merged together: some forty times as many bytes of memory are in use meanwhile.
+SLICE = 3 << 20
 
 
 def byte_letters() -> list[str]:
@@ -166,7 +167,7 @@ class Encoded:
             return
         offsets = offsets - offsets[0]
         coded = words.dictionary_encode()
-        numbers = np.array(coded.indices, dtype=np.int64)
+        numbers = np.array(coded.indices, dtype=np.int32)
         self.parts = [" " + w for w in coded.dictionary.to_pylist()]
         firsts: dict[str, int] = {}
         base = len(self.parts)
@@ -182,7 +183,7 @@ class Encoded:
         for i, text in zip(at.tolist(), texts.to_pylist(), strict=True):
             parts = vocab.split.split(text) if vocab.split is not None else [text]
             found = [c for x in parts if x for c in ([(x,)] if x in vocab.special else _PIECE.findall(x))]
-            of_text[i] = np.array([base + seen.setdefault(c, len(seen)) for c in found], np.int64)
+            of_text[i] = np.array([base + seen.setdefault(c, len(seen)) for c in found], np.int32)
         self.parts += seen
 
     def _merge(self, vocab: Vocabulary) -> None:
@@ -199,7 +200,7 @@ class Encoded:
             count.append(len(found))
         ids, bounds = merge_pieces([x.encode("utf-8", "surrogatepass") for x in pieces], vocab)
         lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-        taken = lists.take(pa.array(use, pa.int64()))
+        taken = lists.take(pa.array(use, pa.int32()))
         ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
         self.bounds = np.asarray(taken.offsets, dtype=np.int64)[ends] if len(use) else ends
         self.ids = np.asarray(taken.flatten()) if len(use) else np.array([], np.int32)
@@ -246,6 +247,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
                 part = batch.slice(start, stop - start)
                 got = Encoded(vocab, part.column(text)).token_lists()
                 yield pa.RecordBatch.from_arrays([*part.columns, got], names=[*names, ids])
+                release()
 
     source = docs.select(*names)
     return source.mapInArrow(run, StructType([*source.schema.fields, *StructType.fromDDL(f"{ids} array<int>").fields]))
@@ -296,6 +298,7 @@ def round_trip_report(docs: DataFrame, tokenizer: str) -> DataFrame:
                     ],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+            release()
 
     source = docs.select("doc_id", "text")
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string"
