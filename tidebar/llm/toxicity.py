@@ -36,8 +36,8 @@ EPOCHS, BATCH, RATE, SEED = 6, 96, 0.01, 7
 #: Rows that a bucket's odds are drawn to the mean by, and how often a word is only known by its n-grams in training.
 SHRINK, UNKNOWN = 8.0, 0.5
 THRESHOLD = 0.7
-#: Windows scored at once.
-SCORED = 2048
+#: Windows scored at once, and words whose n-grams are at hand at once.
+SCORED, WORDS = 2048, 1 << 14
 
 
 def learnable(doc_id: Column) -> Column:
@@ -52,11 +52,11 @@ def plain_words(words: pa.Array) -> pa.Array:
 def gram_codes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of the n-grams of all words between markers, and the number of n-grams of each word."""
     marked = pc.binary_join_element_wise("<", words, "> ", "")
-    sizes = np.asarray(pc.binary_length(marked), dtype=np.int64)
+    sizes = np.asarray(pc.binary_length(marked), dtype=np.int32)
     raw = np.frombuffer(b"".join(marked.cast(pa.binary()).to_pylist()), np.uint8).astype(np.uint64)
-    ends = np.cumsum(sizes)
-    word_of = np.repeat(np.arange(len(sizes)), sizes)
-    left = ends[word_of] - 1 - np.arange(len(raw))  # bytes of the word from here on, without the closing blank
+    ends = np.cumsum(sizes, dtype=np.int32)
+    word_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    left = ends[word_of] - np.int32(1) - np.arange(len(raw), dtype=np.int32)  # bytes of the word from here on, without the closing blank
     hashed, owner = [], []
     value = np.zeros(len(raw), np.uint64)
     for n in range(1, max(GRAMS) + 1):
@@ -65,7 +65,7 @@ def gram_codes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if n in GRAMS:
             at = np.flatnonzero(left >= n)
             mixed = value[at] * np.uint64(0x9E3779B97F4A7C15)
-            hashed.append((mixed >> np.uint64(64 - 14)).astype(np.int64))
+            hashed.append((mixed >> np.uint64(64 - 14)).astype(np.int32))
             owner.append(word_of[at])
     hashed, owner = np.concatenate(hashed), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
@@ -89,6 +89,9 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+_NONE = np.zeros(0, np.int64)
+
+
 class Words:
     """The distinct words of a slice with their hashed word and n-grams; the last one is the blank of short windows."""
 
@@ -99,8 +102,11 @@ class Words:
 
     def inputs(self, p: dict, known: np.ndarray | None = None) -> np.ndarray:
         """Vectors of the words; where ``known`` says so without that of the whole word."""
-        mean = _sums(p["gram"][self.grams], self.counts) / np.maximum(self.counts, 1)[:, None]
-        x = p["word"][self.bucket] * (1 if known is None else known[:, None]) + mean
+        x = p["word"][self.bucket] * (1 if known is None else known[:, None])
+        ends = np.concatenate([[0], np.cumsum(self.counts)])
+        for i in range(0, len(x), WORDS):  # an n-gram's vector is needed for a block of words at a time
+            own = self.counts[i : i + WORDS]
+            x[i : i + WORDS] += _sums(p["gram"][self.grams[ends[i] : ends[i + len(own)]]], own) / np.maximum(own, 1)[:, None]
         x[-1] = 0
         return x
 
@@ -206,11 +212,16 @@ def score_texts(net: Net, texts: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def _log_odds(buckets: np.ndarray, rows: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
-    """How much likelier a bucket is in toxic rows, by rows that have it; rare buckets count less."""
-    pairs = np.unique(np.stack([buckets, rows]), axis=1)
-    pos = np.bincount(pairs[0], weights=labels[pairs[1]], minlength=size)
-    every = np.bincount(pairs[0], minlength=size)
+def _log_odds(found, labels: np.ndarray, size: int) -> np.ndarray:
+    """How much likelier a bucket is in toxic rows, by rows that have it; rare buckets count less.
+
+    ``found`` gives the buckets of one row after the other, so that no more than one row's are at hand.
+    """
+    pos, every = np.zeros(size), np.zeros(size)
+    for buckets, label in zip(found, labels):
+        own = np.unique(buckets)
+        every[own] += 1
+        pos[own] += label
     p, n = labels.sum(), (1 - labels).sum()
     base = SHRINK * np.array([p, n]) / (p + n)
     return (np.log((pos + base[0]) / (every - pos + base[1])) - np.log(p / n)).astype(np.float32)
@@ -223,15 +234,16 @@ def train(texts: list[str], labels: list[int]) -> dict | None:
     offsets, codes, vocab = word_codes(pa.array(texts, pa.string()))
     words, blank = Words(vocab), len(vocab)
     net = Net()
-    row_of = np.repeat(np.arange(len(labels)), np.diff(offsets))
     # first guess of the vectors' first component: how toxic the word and its n-grams look by themselves
-    word_rows = np.unique(np.stack([codes, row_of]), axis=1) if len(codes) else np.zeros((2, 0), np.int64)
-    counts = words.counts[word_rows[0]]
-    starts = np.concatenate([[0], np.cumsum(words.counts)])[:-1]
-    within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    grams = words.grams[np.repeat(starts[word_rows[0]], counts) + within]
-    net.p["word"][:, 0] = _log_odds(words.bucket[word_rows[0]], word_rows[1], labels, BUCKETS) / 3
-    net.p["gram"][:, 0] = _log_odds(grams, np.repeat(word_rows[1], counts), labels, GRAM_BUCKETS) / 3
+    ends = np.concatenate([[0], np.cumsum(words.counts)])
+
+    def of_rows(grams: bool):
+        for low, high in zip(offsets[:-1], offsets[1:]):
+            own = np.unique(codes[low:high])
+            yield np.concatenate([_NONE, *(words.grams[ends[w] : ends[w + 1]] for w in own)]) if grams else words.bucket[own]
+
+    net.p["word"][:, 0] = _log_odds(of_rows(False), labels, BUCKETS) / 3
+    net.p["gram"][:, 0] = _log_odds(of_rows(True), labels, GRAM_BUCKETS) / 3
     # all windows of all rows, of which only a block's codes are at hand
     begin, text = window_starts(offsets)
     windows = lambda at: window_codes(begin[at], text[at], offsets, codes, blank)
@@ -312,7 +324,7 @@ def score(docs: DataFrame, weights: bytes | None, name: str = "score") -> DataFr
                 part = batch.slice(start, stop - start)
                 got = score_texts(Net(params), part.column("text")) if params else np.zeros(len(part))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got)], names=[*names, name])
-            release()
+                release()
 
     source = docs.select(*names)
     return source.mapInArrow(run, StructType([*source.schema.fields, *StructType.fromDDL(f"{name} double").fields]))
