@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: characters that ``bytes.split()`` splits on.
 WHITE = "\x20\x09-\x0d"
 #: Texts are handled in slices of about so many bytes, so that one Arrow batch of long documents stays small.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
