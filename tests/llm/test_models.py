@@ -79,8 +79,8 @@ def full_paths(net, texts):
     """Best paths by the whole search over whole texts, from the same stitched emissions."""
     every = pii.Emissions(net, texts)
     e = np.empty((pii.LABELS, len(every.flat)), np.float32)
-    for place, found in every.over(0, len(every.flat)):
-        e[:, place] = found
+    for place, at, found in every.over(0, len(every.flat)):
+        e[:, place] = found[:, at]
     out = []
     for low, high in zip(every.offsets[:-1], every.offsets[1:]):
         if high > low:

@@ -38,7 +38,7 @@ TRAIN_WINDOW, WINDOW, STRIDE = 80, 768, 720
 SYMBOLS, STATE, LABELS = 130, 8, 2 * len(KINDS) + 1
 EPOCHS, BATCH, RATE, SEED, PER_KIND = 12, 64, 0.02, 11, 250
 #: Windows scored at once, all padded to one length, a multiple of PAD; characters whose emissions are at hand at once.
-DECODED, PAD, BLOCK = 768, 128, 1 << 20
+DECODED, PAD, BLOCK = 768, 128, 1 << 21
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -322,7 +322,7 @@ class Emissions:
         self.own_to = np.append(self.own_from[1:], len(self.flat))
 
     def over(self, low: int, high: int):
-        """(places, emissions) of the windows that own the characters from ``low`` to ``high``."""
+        """(characters, their columns, emissions) of the windows that own the characters from ``low`` to ``high``."""
         windows = np.arange(np.searchsorted(self.own_to, low, side="right"), np.searchsorted(self.own_from, high))
         width = -(-(self.end - self.first)[windows] // PAD) * PAD
         for w in np.unique(width):
@@ -330,10 +330,19 @@ class Emissions:
             for i in range(0, len(same), DECODED):
                 batch = same[i : i + DECODED]
                 place = self.first[batch][:, None] + np.arange(w)
-                inside = place < self.end[batch][:, None]
-                e = self.net.scores(np.where(inside, self.flat[np.minimum(place, len(self.flat) - 1)], 32))
-                own = (place >= self.own_from[batch][:, None]) & (place < self.own_to[batch][:, None])
-                yield place[own], e.transpose(0, 2, 1)[:, own]
+                x = self.flat[np.minimum(place, len(self.flat) - 1)]
+                x[place >= self.end[batch][:, None]] = 32
+                count = self.own_to[batch] - self.own_from[batch]
+                row = np.repeat(np.arange(len(batch)), count)
+                own = np.arange(len(row)) + np.repeat(self.own_from[batch] - (np.cumsum(count) - count), count)
+                yield own, (own - self.first[batch][row]) * len(batch) + row, self.net.scores(x).reshape(LABELS, -1)
+
+
+def _lead(e: np.ndarray) -> np.ndarray:
+    best = e[1].copy()
+    for other in e[2:]:
+        np.maximum(best, other, out=best)
+    return e[0] - best
 
 
 def label_texts(net: Tagger, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -345,12 +354,15 @@ def label_texts(net: Tagger, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     every = Emissions(net, texts)
     n, offsets = len(every.flat), every.offsets
     labels, lead = np.zeros(n, np.int64), np.zeros(n, np.float32)
-    held = np.empty((LABELS, n), np.float32) if n <= BLOCK else None
+    whole = n <= BLOCK
+    column, parts, held = np.zeros(n if whole else 0, np.int64), [], 0
     for low in range(0, n, BLOCK):
-        for place, e in every.over(low, min(n, low + BLOCK)):
-            lead[place] = e[0] - e[1:].max(0)
-            if held is not None:
-                held[:, place] = e
+        for place, at, e in every.over(low, min(n, low + BLOCK)):
+            lead[place] = _lead(e)[at]
+            if whole:
+                column[place] = at + held
+                held += e.shape[1]
+                parts.append(e)
     open_ = net.open_places(lead, offsets)
     begins = np.zeros(n + 1, bool)
     begins[offsets] = True
@@ -360,21 +372,25 @@ def label_texts(net: Tagger, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     text = np.searchsorted(offsets, starts, side="right") - 1
     closed, low = starts > offsets[text], np.maximum(starts - 1, offsets[text])
     high = np.minimum(stops + 1, offsets[text + 1])
+    if whole:
+        if len(starts):
+            search_stretches(net, np.concatenate(parts, axis=1), column, low, high, closed, labels)
+        return labels, offsets
     at = 0
     while at < len(starts):
         stop = max(at + 1, int(np.searchsorted(low, low[at] + BLOCK)))
-        base, own = (0, held) if held is not None else (low[at], np.empty((LABELS, high[stop - 1] - low[at]), np.float32))
-        if held is None:
-            for place, e in every.over(base, high[stop - 1]):
-                inside = (place >= base) & (place < high[stop - 1])
-                own[:, place[inside] - base] = e[:, inside]
-        search_stretches(net, own, low[at:stop] - base, high[at:stop] - base, closed[at:stop], labels[base : base + own.shape[1]])
+        base, end = low[at], high[stop - 1]
+        own = np.empty((LABELS, end - base), np.float32)
+        for place, columns, e in every.over(base, end):
+            inside = (place >= base) & (place < end)
+            own[:, place[inside] - base] = e[:, columns[inside]]
+        search_stretches(net, own, np.arange(end - base), low[at:stop] - base, high[at:stop] - base, closed[at:stop], labels[base:end])
         at = stop
     return labels, offsets
 
 
-def search_stretches(net: Tagger, e: np.ndarray, low: np.ndarray, high: np.ndarray, closed: np.ndarray, labels: np.ndarray) -> None:
-    """Best labels of these stretches of the emissions (label, place); a ``closed`` one begins with label 0."""
+def search_stretches(net: Tagger, e: np.ndarray, column: np.ndarray, low: np.ndarray, high: np.ndarray, closed: np.ndarray, labels: np.ndarray) -> None:
+    """Best labels of these stretches; ``e`` (label, column) has the emissions of each place in its ``column``; a ``closed`` stretch begins with label 0."""
     size = high - low
     order = np.argsort(size, kind="stable")
     at = 0
@@ -384,7 +400,7 @@ def search_stretches(net: Tagger, e: np.ndarray, low: np.ndarray, high: np.ndarr
         at += len(own)
         place = low[own][:, None] + np.arange(size[own].max())
         real = place < high[own][:, None]
-        path = net._viterbi(e[:, np.where(real, place, 0)].transpose(2, 1, 0), real.T, closed[own])
+        path = net._viterbi(e[:, column[np.where(real, place, 0)]].transpose(2, 1, 0), real.T, closed[own])
         labels[place[real]] = path[real]
 
 
