@@ -13,7 +13,7 @@ _WORD_BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(0x5EED).integers(0, 1 << 64, 256, np.uint64)
 #: Space and U+0009 to U+000D.
 _WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_powers: list[np.ndarray] = []
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,21 +26,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) < size:
+def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, ``size`` of each."""
+    if base not in _powers or len(_powers[base][0]) < size:
         own = []
-        for base in (_WORD_BASE, pow(_WORD_BASE, -1, 1 << 64)):
-            p = np.full(size, base, np.uint64)
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(max(size, 1), b, np.uint64)
             p[0] = 1
             own.append(np.cumprod(p))
-        _powers[:] = own
-    return _powers[0], _powers[1]
+        _powers[base] = own[0], own[1]
+    return _powers[base][0][:size], _powers[base][1][:size]
 
 
-def _block_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of raw[start:end] for each word: a polynomial in random values of its bytes."""
-    power, inverse = _power_table(len(raw) + 1)
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of raw[start:end] for each span: a polynomial in random values of its bytes."""
+    power, inverse = powers(_WORD_BASE, len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_TABLE[raw] * power[: len(raw)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
@@ -70,7 +70,7 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     while at < len(starts):  # by blocks of about _BLOCK bytes, one word at least
         stop = max(at + 1, int(np.searchsorted(ends, starts[at] + _BLOCK, side="right")))
         low, high = starts[at], ends[stop - 1]
-        out[at:stop] = _block_hashes(raw[low:high], starts[at:stop] - low, ends[at:stop] - low)
+        out[at:stop] = span_hashes(raw[low:high], starts[at:stop] - low, ends[at:stop] - low)
         at = stop
     return np.searchsorted(starts, bounds), out
 

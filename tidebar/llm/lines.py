@@ -28,8 +28,6 @@ replaced; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import discard, free_name, materialize, release, slices, spread_join, word_codes
-from .hashing import mix
+from .hashing import mix, powers, span_hashes
 
 #: Documents in which a template recurs, and in which a long line itself does, at least.
 MIN_DOCS, EXACT_DOCS = 10, 2
@@ -48,17 +46,30 @@ LEADING, LEAST_FIXED = 2, 3
 EXACT_TOKENS = 13
 #: Steps of the scale of rareness, each so many times the one before.
 STEP = 4
-#: Sums of one table of the sketch.
-SKETCH = 1 << 20
+#: Sums of one table of the sketch, bases of the two tables' polynomials, and chunks that a sketch travels in.
+SKETCH, BASES, _CHUNKS = 1 << 20, (1_103_515_245, 1_597_334_677), 64
 _ALL, _EVEN, _ODD, _RARE, _EXACT = range(5)
 
 
-def _digests(vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token its two places in the sketch, five hexadecimal digits of its MD5 each, and a hash from the last eight bytes."""
-    md5 = hashlib.md5
-    raw = np.frombuffer(b"".join([md5(t).digest() for t in vocab.cast(pa.binary()).to_pylist()]), np.uint8).reshape(-1, 16)
-    wide = raw[:, :5].astype(np.int64) @ np.array([1 << 32, 1 << 24, 1 << 16, 1 << 8, 1])
-    return np.stack([wide >> 20, wide & (SKETCH - 1)], axis=1), np.ascontiguousarray(raw[:, 8:]).view(np.uint64).ravel()
+def _token_hashes(vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(table, token): places in the sketch; and a 64-bit hash of each token.
+
+    A place is the upper bits of a polynomial in the token's code points modulo 2**31, whose base is that of the table.
+    """
+    wide = vocab.cast(pa.large_string())
+    bounds = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
+    if not len(vocab):
+        return np.zeros((2, 0), np.int64), np.zeros(0, np.uint64)
+    raw = wide.buffers()[2][bounds[0] : bounds[-1]]
+    points = np.frombuffer(raw.to_pybytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.cumsum(np.asarray(pc.utf8_length(vocab), dtype=np.int64))
+    places = np.empty((2, len(vocab)), np.int64)
+    for k, base in enumerate(BASES):
+        power, inverse = powers(base, len(points))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(points * inverse)])
+        own = (sums[ends] - np.append(np.uint64(0), sums[ends[:-1]])) * power[ends - 1]
+        places[k] = (own & np.uint64((1 << 31) - 1)) >> np.uint64(11)
+    return places, span_hashes(np.frombuffer(raw, np.uint8), bounds[:-1] - bounds[0], bounds[1:] - bounds[0])
 
 
 def document_counts(docs: DataFrame) -> np.ndarray:
@@ -69,20 +80,23 @@ def document_counts(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for start, stop in slices(batch.column("text")):
                 offsets, codes, vocab = word_codes(batch.column("text").slice(start, stop - start))
-                text = np.repeat(np.arange(stop - start), np.diff(offsets))
-                every = np.unique(codes * np.int64(stop - start) + text) // (stop - start)
-                places, times = _digests(vocab)[0], np.bincount(every, minlength=len(vocab))
-                for k in range(2):
-                    np.add.at(total[k], places[:, k], times)
+                both = np.sort(codes * np.int64(stop - start) + np.repeat(np.arange(stop - start), np.diff(offsets)))
+                times = np.bincount(both[np.diff(both, prepend=-1) != 0] // (stop - start), minlength=len(vocab))
+                for k, places in enumerate(_token_hashes(vocab)[0]):
+                    total[k] += np.bincount(places, weights=times, minlength=SKETCH).astype(np.int64)
             release()
-        for k in range(2):
-            at = np.flatnonzero(total[k])
-            yield pa.RecordBatch.from_arrays([pa.array(at + k * SKETCH, pa.int32()), pa.array(total[k][at])], names=["place", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
-    out = np.zeros(2 * SKETCH, np.int64)
-    found = rows.toArrow()  # a row for each place of the sketch, at most
-    out[np.asarray(found.column("place"))] = np.asarray(found.column("n"))
+        parts = total.reshape(_CHUNKS, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["chunk", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("sums"))
+        return pa.table({"chunk": table.column("chunk")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    # a task sends its whole sketch in chunks, which are added up chunk by chunk: the size of one sketch reaches the driver
+    rows = docs.select("text").mapInArrow(run, "chunk int, sums binary").groupBy("chunk").applyInArrow(add, "chunk int, sums binary").collect()
+    out = np.zeros((_CHUNKS, 2 * SKETCH // _CHUNKS), np.int64)
+    for r in rows:
+        out[r["chunk"]] = np.frombuffer(r["sums"], np.int64)
     return out.reshape(2, SKETCH)
 
 
@@ -94,9 +108,9 @@ class Lines:
         ends = np.asarray(split.offsets, dtype=np.int64)
         self.of_text, self.lines = ends - ends[0], split.flatten()
         self.offsets, self.codes, vocab = word_codes(self.lines)
-        places, self.hash = _digests(vocab)
+        places, self.hash = _token_hashes(vocab)
         self.digit = np.asarray(pc.match_substring_regex(vocab, "[0-9]"), dtype=bool)
-        self.documents = np.minimum(counts[0][places[:, 0]], counts[1][places[:, 1]])
+        self.documents = np.minimum(counts[0][places[0]], counts[1][places[1]])
         self.sizes = np.diff(self.offsets)
         self.line = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.place = np.arange(len(self.codes)) - self.offsets[self.line]
@@ -188,25 +202,27 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, exact_docs:
         for batch in batches:
             for start, stop in slices(batch.column("text")):
                 part = batch.slice(start, stop - start)
-                texts = part.column("text")
-                own = Lines(texts, held.value)
-                line, key = own.keys()
-                lists = part.column(gone)
-                sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
-                asked = np.asarray(lists.flatten(), dtype=np.int64).view(np.uint64) ^ mix(np.repeat(np.arange(len(sizes), dtype=np.uint64) + np.uint64(1), sizes))
-                hit = np.isin(key.view(np.uint64) ^ mix(own.text_of(line).astype(np.uint64) + np.uint64(1)), asked)
-                drop = np.zeros(len(own.lines), bool)
-                drop[line[hit]] = True
+                texts, lists = part.column("text"), part.column(gone)
                 # null and empty texts have no lines
                 full = np.asarray(pc.fill_null(pc.greater(pc.binary_length(texts), 0), False))
-                n_lines = np.where(full, np.diff(own.of_text), 0)
-                n_dropped = np.diff(np.concatenate([[0], np.cumsum(drop)])[own.of_text])
-                left = np.concatenate([[0], np.cumsum(~drop)])[own.of_text]
-                kept = pc.binary_join(pa.ListArray.from_arrays(pa.array(left, pa.int32()), own.lines.filter(pa.array(~drop))), "\n")
-                kept = pc.if_else(texts.is_valid(), kept, pa.scalar(None, pa.string()))
+                n_lines = np.where(full, np.asarray(pc.fill_null(pc.count_substring(texts, "\n"), 0)) + 1, 0)
+                n_dropped, kept = np.zeros(len(part), np.int64), texts
+                sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+                hit = full & (sizes > 0)
+                if hit.any():  # only these texts are taken apart
+                    own, sizes = Lines(texts.filter(pa.array(hit)), held.value), sizes[hit]
+                    line, key = own.keys()
+                    said = np.asarray(lists.filter(pa.array(hit)).flatten(), dtype=np.int64).view(np.uint64)
+                    asked = said ^ mix(np.repeat(np.arange(len(sizes), dtype=np.uint64) + np.uint64(1), sizes))
+                    drop = np.zeros(len(own.lines), bool)
+                    drop[line[np.isin(key.view(np.uint64) ^ mix(own.text_of(line).astype(np.uint64) + np.uint64(1)), asked)]] = True
+                    n_dropped[hit] = np.diff(np.concatenate([[0], np.cumsum(drop)])[own.of_text])
+                    left = np.concatenate([[0], np.cumsum(~drop)])[own.of_text]
+                    rest = pc.binary_join(pa.ListArray.from_arrays(pa.array(left, pa.int32()), own.lines.filter(pa.array(~drop))), "\n")
+                    kept = pc.replace_with_mask(texts, pa.array(hit), rest)
                 added = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), kept]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *added], names=[*carried, *names])
-            release()
+                release()
 
     fields = StructType.fromDDL("`{}` long, `{}` long, `{}` string".format(*names)).fields
     return joined.mapInArrow(run, StructType([*docs.select(*carried).schema.fields, *fields]))

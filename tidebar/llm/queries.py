@@ -143,7 +143,8 @@ WITH lines AS (
 words AS (
   SELECT t, count(*) AS n FROM (SELECT DISTINCT doc_id, t FROM lines, unnest(w) AS u(t)) GROUP BY t),
 places AS (
-  SELECT t, n, CAST('0x' || substr(md5(t), 1, 5) AS BIGINT) AS p, CAST('0x' || substr(md5(t), 6, 5) AS BIGINT) AS q FROM words),
+  SELECT t, n, list_reduce(c, lambda h, x: (h * 1103515245 + x) % 2147483648) >> 11 AS p, list_reduce(c, lambda h, x: (h * 1597334677 + x) % 2147483648) >> 11 AS q
+  FROM (SELECT t, n, list_prepend(0::BIGINT, list_transform(regexp_extract_all(t, '(?s).'), lambda x: unicode(x)::BIGINT)) AS c FROM words)),
 sketch AS (
   SELECT t, least(sum(n) OVER (PARTITION BY p), sum(n) OVER (PARTITION BY q)) AS docs FROM places),
 tokens AS (
