@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, decontam, lines, minhash, pii, shards, substring, toxicity
+from . import ann, bpe, chat, codes, decontam, lines, minhash, pii, shards, substring, topk, toxicity, trie
 from .common import table
 
 
@@ -208,6 +208,101 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_report(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = """
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, repeat([0::BIGINT], 8)),
+         lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, role, text
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+whole AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, list({'r': role, 't': text} ORDER BY place) AS seq FROM turns GROUP BY conv_id),
+heads AS (
+  SELECT conv_id, base, seq, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+         lambda x: ascii(x)::BIGINT)), lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INTEGER) + 1])), 4294967295) % 6 AS h
+  FROM whole, crc_table),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.seq, [])[:c.h], c.seq[c.h + 1:]) AS seq FROM heads c LEFT JOIN whole b ON b.conv_id = c.base),
+members AS (
+  SELECT conv_id, d AS depth, seq[:d] AS key, d = len(seq) AS ends FROM rebuilt, unnest(range(0, len(seq) + 1)) AS u(d)),
+nodes AS (
+  SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN depth > 0 THEN len(key[depth].t) ELSE 0 END) AS chars,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ends
+  FROM members GROUP BY depth, key),
+children AS (SELECT depth - 1 AS depth, key[:depth - 1] AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+sized AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.depth = n.depth AND c.key = n.key),
+below AS (
+  SELECT u.d AS depth, key[:u.d] AS key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * chars) AS saved
+  FROM sized, unnest(range(0, depth + 1)) AS u(d) GROUP BY ALL)
+SELECT s.conv_id, CAST(s.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, s.n_convs, s.n_children,
+       CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(s.ends) AS ends_sha256
+FROM sized s JOIN below b ON b.depth = s.depth AND b.key = s.key LEFT JOIN nodes p ON p.depth = s.depth - 1 AND p.key = s.key[:s.depth - 1]
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql() -> str:
+    """Rounds are unrolled: entries of a round from the assignment to those of the one before."""
+    rounds = []
+    for r in range(codes.ROUNDS + 1):
+        rounds.append(f"""
+near{r} AS MATERIALIZED (
+  SELECT row, p, v, min({{'d': d, 'k': k}}) AS best
+  FROM (SELECT w.row, w.p, w.v, e.k, list_sum(list_transform(list_zip(w.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+        FROM parts w JOIN entries{r} e USING (p)) GROUP BY ALL)""")
+        if r < codes.ROUNDS:
+            rounds.append(f"""
+mean{r} AS (
+  SELECT p, k, list(m ORDER BY i) AS v
+  FROM (SELECT p, best.k AS k, i, CAST((sum(v[i]) - ((sum(v[i]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+        FROM near{r}, unnest(range(1, len(v) + 1)) AS u(i) GROUP BY ALL) GROUP BY p, k),
+entries{r + 1} AS MATERIALIZED (SELECT e.p, e.k, coalesce(m.v, e.v) AS v FROM entries{r} e LEFT JOIN mean{r} m ON m.p = e.p AND m.k = e.k)""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row,
+         list_transform(embedding, lambda x: CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT row, p, list_slice(v, p * len(v) // {codes.PARTS} + 1, (p + 1) * len(v) // {codes.PARTS}) AS v FROM kept, unnest(range({codes.PARTS})) AS u(p)),
+entries0 AS MATERIALIZED (SELECT p, row - 1 AS k, v FROM parts WHERE row <= {codes.ENTRIES}),{",".join(rounds)},
+coded AS (
+  SELECT row, string_agg(lower(printf('%02x', CAST(best.k AS INTEGER))), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM near{codes.ROUNDS} GROUP BY row),
+digest AS (
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, k, i)) AS h
+  FROM (SELECT p, k, i, v[i] AS x FROM entries{codes.ROUNDS}, unnest(range(1, len(v) + 1)) AS u(i)))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM kept JOIN coded USING (row), digest
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search_fiftieths(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+d AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_tagger": op1_pii_tagger,
@@ -220,6 +315,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_templates": op8_line_templates,
         "op9_chat": op9_chat,
         "op10_best_fit": op10_best_fit,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_block_topk": op13_block_topk,
     }
 
 
@@ -231,4 +329,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_minhash": OP7_SQL,
         "op8_line_templates": OP8_SQL,
         "op9_chat": OP9_SQL,
+        "op11_prefix_trie": OP11_SQL,
+        "op12_vector_codes": OP12_SQL,
+        "op13_block_topk": OP13_SQL,
     }
