@@ -132,6 +132,43 @@ def test_an_id_with_several_texts_keeps_the_links_of_each(spark):
     assert got == [(7, 7), (7, 7), (7, 7), (8, 7), (9, 7), (10, 10)]
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    """Links of an id through any of its texts, also where none of its classes is headed by it; what is kept is what is not dropped."""
+    say = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(1, say("x", 60)), (5, say("x", 60)), (5, say("y", 60)), (9, say("y", 59)), (5, " "), (12, say("z", 9)), (3, say("q", 20)), (3, say("r", 20)), (2, say("r", 20))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = minhash.near_duplicates(docs, 4).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(1, 1), (2, 2), (3, 2), (3, 2), (5, 1), (5, 1), (5, 5), (9, 1), (12, 12)]
+    left = sorted((r.doc_id, r.text) for r in minhash.drop_near_duplicates(docs, 4).collect())
+    assert left == [(1, say("x", 60)), (2, say("r", 20)), (5, " "), (12, say("z", 9))]
+    assert [r[0] for r in left] == sorted(r.doc_id for r in found if r.kept)
+
+
+def test_batches_without_words(spark):
+    """Blank texts alone, and one more row than a batch holds, the last one empty."""
+    blank = spark.createDataFrame([(1, ""), (2, " \n"), (3, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id, r.n_shingles) for r in minhash.near_duplicates(blank).collect()} == {(1, 1, 0), (2, 2, 0), (3, 3, 0)}
+    many = spark.range(10_001).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 10_000, F.concat(F.lit("word "), "id")).otherwise("").alias("text"))
+    assert minhash.near_duplicates(many.repartition(1)).where("kept").count() == 10_001
+
+
+def test_hot_centres_are_split(spark, monkeypatch):
+    monkeypatch.setattr(components, "TASK_LINKS", 3)
+    test_components(spark)
+    star = spark.range(1, 3000).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    found = components.components(star.repartition(4)).collect()
+    assert len(found) == 2999 and {r.component for r in found} == {0}
+
+
+def test_texts_of_one_id_lose_their_own_words_only(spark):
+    say = lambda a, n: [f"{a}{i}" for i in range(n)]
+    rows = [(1, " ".join(say("x", 20))), (5, " ".join(say("x", 20))), (5, "a b c"), (5, " ".join(say("z", 30))), (6, " ".join(say("z", 14) + ["end"])), (5, None)]
+    docs = spark.createDataFrame([(*r, "mine") for r in rows], "doc_id long, text string, shift string")
+    found = sorted((r.doc_id, r.text or "", r.n_removed, r.kept, r.shift) for r in substring.dedupe(docs).collect())
+    gone = {rows[1][1]: (20, ""), rows[4][1]: (14, "end")}
+    assert found == sorted((i, t or "", *((0, t or "") if i == 1 else gone.get(t, (0, t or ""))), "mine") for i, t in rows)
+
+
 def test_components(spark):
     pairs = [(5, 4), (4, 3), (3, 9), (20, 21), (21, 22), (30, 30), (9, 100), (100, 5)]
     got = components.components(spark.createDataFrame(pairs, "u long, v long"))

@@ -16,8 +16,8 @@ six standard deviations wide.
 
 Defined results: null and empty texts, and texts without words, have an empty set and are linked with nothing; texts of
 fewer words than a shingle have one shingle, all their words; rows with a null id are linked with nothing and kept;
-rows that repeat an id are one document, also with different texts: what is near to one of them is linked with the id (ids
-are below 2**62, from where on further texts of an id have numbers of their own meanwhile); an empty table gives no rows;
+rows that repeat an id are one document, also with different texts: what is near to one of them is linked with the id, but
+for rows without words, which are linked with nothing and stay (ids are below 2**62, from where on further texts of an id have numbers of their own meanwhile); an empty table gives no rows;
 the result has no other columns; dropping near duplicates leaves all columns as they are.
 """
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, materialize, release, slices, spread_join
+from .common import WHITE, discard, free_name, materialize, release, slices, spread_join
 from .components import components
 from .hashing import mix, rolling, word_hashes
 
@@ -84,7 +84,7 @@ def signature(least: np.ndarray) -> np.ndarray:
     """The low bits of the mixed minima, packed."""
     low = mix(least).astype(np.uint8) & np.uint8((1 << BITS) - 1)
     bits = (low[:, :, None] >> np.arange(BITS, dtype=np.uint8)) & np.uint8(1)
-    return np.packbits(bits.reshape(len(least), -1), axis=1)
+    return np.packbits(bits.reshape(len(least), FUNCTIONS * BITS), axis=1)
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
@@ -272,8 +272,11 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     return main.unionByName(met).unionByName(pairs)
 
 
-def link_components(docs: DataFrame, classes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """id and component of the classes that are not their own component; ``classes``, written: id, doc, h1, n, bands, signature."""
+def link_components(docs: DataFrame, classes: DataFrame, width: int, similarity: float, same: DataFrame) -> DataFrame:
+    """id and component of the classes that are not their own component; ``classes``, written: id, doc, h1, n, bands, signature.
+
+    ``same`` has links (a, b) between the classes of one id.
+    """
     percent = round(100 * similarity)
     keys = classes.select("id", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(
@@ -290,8 +293,6 @@ def link_components(docs: DataFrame, classes: DataFrame, width: int, similarity:
     sketch = classes.select("id", "n", "signature")
     n_first = first.count()
     likely = materialize(_likely(first, sketch, similarity, n_first), "near-likely")
-    # rows of one id are one document, whatever their texts are
-    same = classes.where("id <> doc").select(F.col("doc").alias("a"), F.col("id").alias("b"))
     links = materialize(_confirmed(likely, sets, percent, n_first).unionByName(same), "near-links")
     # what is left to meet is no least member, in a bucket with two others at least
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -312,6 +313,19 @@ def link_components(docs: DataFrame, classes: DataFrame, width: int, similarity:
     return found
 
 
+def _same_ids(real: DataFrame, heads: DataFrame, total: int) -> DataFrame:
+    """Links (a, b) between the classes of each id that has several: rows of one id are one document, whatever their texts are."""
+    equal = ["n_shingles", "h1", "h2"]
+    either = F.struct(*equal)
+    several = real.groupBy("doc_id").agg(F.min(either).alias("low"), F.max(either).alias("high")).where("low <> high")
+    several = materialize(several.select("doc_id"), "near-several")
+    rows = real.select("doc_id", *equal).join(_few(several), "doc_id", "left_semi")
+    named = spread_join(rows, heads.select(*equal, "id", "rows"), equal, "rows", total, F.col("doc_id")).select("doc_id", "id")
+    least = named.groupBy("doc_id").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("rows"))
+    linked = spread_join(named, least, ["doc_id"], "rows", total, F.col("id"))
+    return materialize(linked.where("a <> id").select("a", F.col("id").alias("b")).distinct(), "near-same")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable over links) and kept, one row for each row of ``docs``."""
     docs = docs.select("doc_id", "text")
@@ -326,8 +340,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     own = real.join(heads.withColumnRenamed("doc", "doc_id"), ["doc_id", *equal])
     classes = own.select("id", F.col("doc_id").alias("doc"), "h1", F.col("n_shingles").alias("n"), "bands", "signature").dropDuplicates(["id"])
     classes = materialize(classes, "near-classes")
-    # an id of several classes is one document: they share what the links of any of them lead to
-    labels = link_components(docs, classes, width, similarity)
+    labels = link_components(docs, classes, width, similarity, _same_ids(real, heads, every.count()))
     discard(classes)
     named = heads.join(labels, "id", "left").select(*equal, "rows", F.coalesce("component", "doc").alias("component_id"))
     named = materialize(named, "near-components")
@@ -341,4 +354,5 @@ def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float
     found = near_duplicates(docs, width, similarity).where(~F.col("kept"))
     name = free_name(docs.columns, "gone")
     gone = materialize(found.select(F.col("doc_id").alias(name)).distinct(), "near-gone")
-    return docs.join(_few(gone), F.col("doc_id") == F.col(name), "left_anti")
+    # a row without words is nobody's near duplicate, whatever other rows of its id are
+    return docs.join(_few(gone), (F.col("doc_id") == F.col(name)) & F.col("text").rlike(f"[^{WHITE}]"), "left_anti")

@@ -17,7 +17,7 @@ the least document that has it is smaller than its own. With n windows verified
 
 Defined results: null and empty texts have no words; documents of fewer than 13 words lose nothing; rows with a null id
 are neither compared nor changed; repeated rows are no repeats of each other, as their id is not smaller; if rows of one
-id have different texts, each loses what is found at its places in any of them; other columns are left alone, but for
+id have different texts, each loses what is found in itself; other columns are left alone, but for
 columns named n_words, n_removed or kept, which are replaced.
 """
 
@@ -31,11 +31,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import free_name, release, remove_folder, shared_dir, slices
+from .common import free_name, materialize, release, remove_folder, shared_dir, slices
 from .hashing import mix, rolling, sliding_min, word_hashes
 
 WINDOW, GRAM = 13, 6
@@ -46,6 +46,8 @@ ANCHOR_BITS, ANCHOR_BYTES = 48, 6
 SEGMENT_BYTES = 6 << 20
 #: Runs of one level that become one run, the new batch's among them.
 FAN_IN = 2
+#: Bytes of text whose entries share a bucket, which is merged in one task.
+BUCKET_BYTES = 64 << 20
 #: Batches that :func:`dedupe` puts a whole table through.
 BATCHES = 3
 #: Kinds of segment rows: entries to be judged, candidates known already, entries of runs that stay, and of runs that end here.
@@ -300,8 +302,8 @@ def _opened(column: pa.Array):
         yield start, len(column), held
 
 
-def _candidate_windows(texts: pa.Array, ids: np.ndarray, anchors: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Check, second check, document and place of the windows whose anchor is among those of their text."""
+def _candidate_windows(texts: pa.Array, ids: np.ndarray, anchors: list[bytes], shifts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Check, second check, document and place (behind the text's shift) of the windows whose anchor is among those of their text."""
     text, start, anchor, words = _windows(texts)
     sizes = np.array([len(a) // ANCHOR_BYTES for a in anchors], np.int64)
     raw = np.zeros((sizes.sum(), 8), np.uint8)
@@ -312,7 +314,7 @@ def _candidate_windows(texts: pa.Array, ids: np.ndarray, anchors: list[bytes]) -
     check = rolling(mix(words + np.uint64(1)), WINDOW, 0xE7037ED1A0B428DB)[first] if len(at) else np.zeros(0, np.uint64)
     second = rolling(mix(words ^ np.uint64(0x5851F42D4C957F2D)), WINDOW, 0x9E6C63D0876A9A47)[first] if len(at) else np.zeros(0, np.uint64)
     begin = np.searchsorted(text, np.arange(len(sizes)))  # the first window of each text
-    place = at - begin[text[at]]
+    place = at - begin[text[at]] + shifts[text[at]]
     return check, (second >> np.uint64(40)).astype(np.uint32), ids[text[at]], place.astype(np.int32)
 
 
@@ -324,16 +326,18 @@ def _least_first(check, second, doc, place) -> tuple[np.ndarray, np.ndarray]:
     return order, doc[order] > least
 
 
-def repeated_windows(docs: DataFrame, candidates: DataFrame, buckets: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, candidates: DataFrame, buckets: int, shift: str | None = None) -> DataFrame:
     """doc and places (where windows start, four bytes each) of the windows that a smaller document has as well."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.col("doc").isNotNull() & F.col("text").isNotNull())
+    known = docs.select(F.col("doc_id").cast("long").alias("doc"), "text", (F.col(shift) if shift else F.lit(0)).alias("shift"))
+    known = known.where(F.col("doc").isNotNull() & F.col("text").isNotNull())
 
     def emit(batches):
         for batch in batches:
             ids = np.asarray(batch.column("doc"), dtype=np.int64)
+            shifts = np.asarray(batch.column("shift"), dtype=np.int32)
             for low, high, texts in _opened(batch.column("text")):
                 anchors = batch.column("anchors").slice(low, high - low).to_pylist()
-                found = _candidate_windows(pa.array(texts, pa.binary()).cast(pa.string()), ids[low:high], anchors)
+                found = _candidate_windows(pa.array(texts, pa.binary()).cast(pa.string()), ids[low:high], anchors, shifts[low:high])
                 order, later = _least_first(*found)
                 check, second, doc, place = (c[order] for c in found)
                 if later.any():  # by way of any bucket, as nothing has to meet them
@@ -362,19 +366,41 @@ def repeated_windows(docs: DataFrame, candidates: DataFrame, buckets: int) -> Da
 
 def _without(words: list[bytes], starts: np.ndarray) -> list[bytes]:
     """The words outside the windows that start at these places."""
+    starts = starts[(starts >= 0) & (starts < len(words))]  # others belong to another text of the id
     marks = np.zeros(len(words) + 1, np.int64)
-    np.add.at(marks, np.minimum(starts, len(words)), 1)
+    np.add.at(marks, starts, 1)
     np.add.at(marks, np.minimum(starts + WINDOW, len(words)), -1)
     return [words[k] for k in np.flatnonzero(np.cumsum(marks[:-1]) == 0).tolist()]
 
 
-def _remove(docs: DataFrame, hits: DataFrame) -> DataFrame:
+def _shifted(docs: DataFrame) -> tuple[DataFrame, str | None, int]:
+    """``docs``, the name of a column with the first place of each text among those of its id, and the bytes of all texts.
+
+    There is no such column where no id has several texts. The texts of one id must have less than 2**31 characters together; texts of other ids keep their places.
+    """
+    own = F.xxhash64("text")
+    ids = docs.where("doc_id is not null and text is not null").groupBy("doc_id")
+    ids = ids.agg(F.min(own).alias("low"), F.max(own).alias("high"), F.sum(F.octet_length("text").cast("long")).alias("size"))
+    facts = ids.agg(F.sum("size").alias("size"), F.sum((F.col("low") != F.col("high")).cast("long")).alias("several")).first()
+    if not facts["several"]:
+        return docs, None, facts["size"] or 0
+    rows = docs.select("doc_id", "text").join(ids.where("low <> high").select("doc_id"), "doc_id", "left_semi")
+    texts = rows.where(F.col("text").isNotNull()).select("doc_id", own.alias("h"), F.char_length("text").cast("long").alias("n")).distinct()
+    before = Window.partitionBy("doc_id").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    key, h, shift = (free_name(docs.columns, c) for c in ("key", "hash", "shift"))
+    at = texts.select(F.col("doc_id").alias(key), F.col("h").alias(h), F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias(shift))
+    at = materialize(at, "substring-shifts")
+    joined = docs.join(at, (F.col("doc_id") == F.col(key)) & (own == F.col(h)), "left").drop(key, h)
+    return joined.withColumn(shift, F.coalesce(shift, F.lit(0))), shift, facts["size"]
+
+
+def _remove(docs: DataFrame, hits: DataFrame, shift: str | None = None) -> DataFrame:
     """``docs`` with n_words, n_removed and kept: the words outside all repeated windows, joined by a blank."""
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    key, places, packed = (free_name(names, c) for c in ("key", "places", "packed"))
+    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", shift)]
+    key, places, packed, begins = (free_name(names, c) for c in ("key", "places", "packed", "begins"))
     per_doc = hits.select(F.col("doc").alias(key), F.col("places").alias(places))
     carried = [c for c in names if c != "text"]
-    moved = _squeezed(docs.select(*carried, F.col("text").alias(packed)), packed)
+    moved = _squeezed(docs.select(*carried, (F.col(shift) if shift else F.lit(0)).alias(begins), F.col("text").alias(packed)), packed)
     joined = moved.join(per_doc, F.col("doc_id") == F.col(key), "left").drop(key)
     source = docs.select(*names)
 
@@ -383,9 +409,9 @@ def _remove(docs: DataFrame, hits: DataFrame) -> DataFrame:
             for start, stop, texts in _opened(batch.column(packed)):
                 part = batch.slice(start, stop - start)
                 n_words, n_removed, kept = [], [], []
-                for text, found in zip(texts, part.column(places).to_pylist()):
+                for text, found, begin in zip(texts, part.column(places).to_pylist(), part.column(begins).to_pylist()):
                     words = (text or b"").split()
-                    left = _without(words, np.frombuffer(found, np.int32).astype(np.int64)) if found and words else words
+                    left = _without(words, np.frombuffer(found, np.int32).astype(np.int64) - begin) if found and words else words
                     n_words.append(len(words))
                     n_removed.append(len(words) - len(left))
                     kept.append(b" ".join(left))
@@ -404,25 +430,37 @@ def dedupe_batch(docs: DataFrame, index: FingerprintIndex, earlier: DataFrame |
     ``earlier`` are the documents of the batches before, whose ids must be smaller for a window to go from the later one.
     """
     index.ingest(docs)
-    every = docs.select("doc_id", "text")
+    docs, shift, _ = _shifted(docs)
+    every = docs.select("doc_id", "text", (F.col(shift) if shift else F.lit(0)).alias("shift"))
     if earlier is not None:
-        every = every.unionByName(earlier.select("doc_id", "text"))
-    return _remove(docs, repeated_windows(every, index.candidates(), index.buckets))
+        every = every.unionByName(earlier.select("doc_id", "text", F.lit(0).alias("shift")))
+    return _remove(docs, repeated_windows(every, index.candidates(), index.buckets, "shift"), shift)
 
 
-def dedupe(docs: DataFrame, index: FingerprintIndex, batches: int = BATCHES) -> DataFrame:
-    """A whole table through an empty index, in batches of rising ids; all of them are verified together."""
+def dedupe(docs: DataFrame, index: FingerprintIndex | None = None, batches: int = BATCHES) -> DataFrame:
+    """A whole table through an empty index, in batches of rising ids; all of them are verified together.
+
+    Without an index of the caller's one is made, of buckets of BUCKET_BYTES of text, and deleted again.
+    """
+    shifted, shift, size = _shifted(docs)
+    own = index is None
+    if own:
+        at_least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        index = FingerprintIndex(docs.sparkSession, max(at_least, -(-size // BUCKET_BYTES)))
     cuts = [k / batches for k in range(1, batches)]
     bounds = docs.select(F.col("doc_id").cast("double").alias("i")).approxQuantile("i", cuts, 0.01)
     edges = sorted({int(b) for b in bounds})
     for low, high in zip([None, *edges], [*edges, None]):
         over = F.lit(True) if low is None else F.col("doc_id") > low
         index.ingest(docs.where(over if high is None else over & (F.col("doc_id") <= high)))
-    return _remove(docs, repeated_windows(docs, index.candidates(), index.buckets))
+    hits = materialize(repeated_windows(shifted, index.candidates(), index.buckets, shift), "substring-places")
+    if own:
+        remove_folder(docs.sparkSession, index.path)
+    return _remove(shifted, hits, shift)
 
 
 def substring_report(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """The contract's digest of :func:`dedupe`."""
     docs = docs.select("doc_id", "text")
-    found = dedupe(docs, FingerprintIndex(docs.sparkSession, buckets))
+    found = dedupe(docs, FingerprintIndex(docs.sparkSession, buckets) if buckets else None)
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
