@@ -4,10 +4,10 @@ Each component becomes floor(1024 * x); a vector is cut into four consecutive pa
 the nearest entry of the codebook of its position. Codebooks start from the vectors of the smallest ids and are refined by
 rounds of assignment and rounded means.
 
-An entry is looked at from coarse to fine: one, two and four segments of the part. Over a segment of m components, the squared
+An entry is looked at from coarse to fine: one segment of the part, then two, four and eight. Over a segment of m components, the squared
 distance is at least m times the squared difference of the means plus the squared difference of the lengths of what is left
-after the mean. Entries whose bound is above the distance of an entry already measured are out; what survives all levels is
-measured in whole numbers.
+after the mean. Entries whose bound is above the distance of an entry already measured (the one of the least bound at
+each level) are out; what survives all levels, or the first that leaves few, is measured in whole numbers.
 
 In Spark: a round is one scan in which every task adds up its parts by entry, at most one row for each entry and task, and one
 shuffle of those sums. Codebooks are bounded by their own size (entries times components) whatever the table holds; they are
@@ -36,6 +36,8 @@ from .integers import integer_vectors
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 #: No whole number is beyond this part of the root of the dimension, so that all squared distances fit in 64 bits.
 ROOM = 2.0**30
+#: Segments of a part, level by level; at so few entries a part, on average, they are measured at once.
+SEGMENTS, FEW = (1, 2, 4, 8), 4
 #: Vectors whose bounds are held at once.
 BLOCK = 1024
 
@@ -64,33 +66,33 @@ def _measured(parts: np.ndarray, entries: np.ndarray, rows: np.ndarray, cols: np
 def assign(parts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the nearest entry of each part (ties to the lower one) and its squared distance, in whole numbers."""
     code, error = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
-    drawn = [outlines(entries, s) for s in (1, 2, 4)]
+    levels = sorted({min(s, parts.shape[1]) for s in SEGMENTS})
+    drawn = [outlines(entries, s) for s in levels]
+    norms = [(d * d).sum(1) for d in drawn]
     for at in range(0, len(parts), BLOCK):
         own = parts[at : at + BLOCK]
-        n = len(own)
-        every = np.arange(n)
-        mine = outlines(own, 1)
-        low = np.sqrt((mine[:, None, 0] - drawn[0][None, :, 0]) ** 2 + (mine[:, None, 1] - drawn[0][None, :, 1]) ** 2)
-        # outlines are rounded numbers: no entry goes for less than their error
-        slack = 1e-9 + 1e-12 * (np.abs(mine).max(1) + np.abs(drawn[0]).max())
-        best = _measured(own, entries, every, low.argmin(1))
-        rows, cols = np.nonzero(low <= (np.sqrt(best.astype(np.float64)) + slack)[:, None])
-        for level, segments in ((1, 2), (2, 4)):
-            fine = outlines(own, segments)
-            bound = np.sqrt(((fine[rows] - drawn[level][cols]) ** 2).sum(1))
-            first = np.flatnonzero(np.diff(rows, prepend=-1))
-            least = np.minimum.reduceat(bound, first)
-            nearest = np.flatnonzero(bound == np.repeat(least, np.diff(np.append(first, len(rows)))))
-            nearest = nearest[np.unique(rows[nearest], return_index=True)[1]]
-            best = np.minimum(best, _measured(own, entries, rows[nearest], cols[nearest]))
-            kept = bound <= (np.sqrt(best.astype(np.float64)) + slack)[rows]
-            rows, cols = rows[kept], cols[kept]
+        every = np.arange(len(own))
+        open_ = np.ones((len(own), len(entries)), bool)
+        best = np.full(len(own), np.iinfo(np.int64).max)
+        for k, segments in enumerate(levels):
+            mine = outlines(own, segments)
+            norm = (mine * mine).sum(1)
+            low = mine @ drawn[k].T
+            low *= -2
+            low += norm[:, None]
+            low += norms[k]
+            best = np.minimum(best, _measured(own, entries, every, low.argmin(1)))
+            # outlines are rounded numbers: no entry goes for less than their error
+            open_ &= low <= (best + 1e-11 * (norm + norms[k].max()) + 1e-9)[:, None]
+            if np.count_nonzero(open_) <= FEW * len(own):
+                break
+        rows, cols = np.nonzero(open_)
         exact = _measured(own, entries, rows, cols)
         first = np.flatnonzero(np.diff(rows, prepend=-1))
         least = np.minimum.reduceat(exact, first)
         hit = np.flatnonzero(exact == np.repeat(least, np.diff(np.append(first, len(rows)))))
         hit = hit[np.unique(rows[hit], return_index=True)[1]]
-        code[at : at + n], error[at : at + n] = cols[hit], least
+        code[at : at + len(own)], error[at : at + len(own)] = cols[hit], least
     return code, error
 
 
