@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from ..functions.special import digamma, lgamma
-from . import chain, semi
+from . import chain, scan, semi
 from .chain import Model
 
 
@@ -148,16 +148,28 @@ def sample_path(m: Model, x: np.ndarray, rng: np.random.Generator) -> np.ndarray
     return z
 
 
-def gibbs(x: np.ndarray, k: int, start: Model, seed: int = 11, rounds: int = 2000, thin: int = 2, pr: Priors = Priors()) -> list[Model]:
-    """Draws of the second half of a chain, every ``thin``-th, states in order in each."""
-    rng, m, out = np.random.default_rng(seed), start, []
+def gibbs_chains(x: np.ndarray, k: int, starts: list[Model], seeds: list[int], rounds: int = 2000, thin: int = 2, pr: Priors = Priors()) -> list[list[Model]]:
+    """For each chain the draws of its second half, every ``thin``-th, states in order in each; all chains go side by side.
+
+    Each chain has random numbers of its own, so what it draws does not depend on the others.
+    """
+    rngs, models, out = [np.random.default_rng(s) for s in seeds], list(starts), [[] for _ in starts]
     prior_a = np.where(np.eye(k, dtype=bool), pr.alpha + pr.stay, pr.alpha)
+    n = len(x)
     for i in range(rounds):
-        z = sample_path(m, x, rng)
-        hot = np.eye(k)[z]
-        moves = np.zeros((k, k))
-        np.add.at(moves, (z[:-1], z[1:]), 1)
-        m = draw(Posterior(pr.alpha + hot[0], prior_a + moves, *_emission_update(x, hot, pr)), rng).sorted()
-        if i >= rounds // 2 and (i - rounds // 2) % thin == 0:
-            out.append(m)
+        log_b = np.stack([chain.log_emissions(m, x) for m in models])
+        u = np.stack([rng.random(n) for rng in rngs])
+        paths = scan.sample_paths(log_b, np.stack([m.pi for m in models]), np.stack([m.a for m in models]), u)
+        for c, rng in enumerate(rngs):
+            z = paths[c] if paths is not None else sample_path(models[c], x, rng)
+            hot = np.eye(k)[z]
+            moves = np.bincount(z[:-1] * k + z[1:], minlength=k * k).reshape(k, k)
+            models[c] = draw(Posterior(pr.alpha + hot[0], prior_a + moves, *_emission_update(x, hot, pr)), rng).sorted()
+            if i >= rounds // 2 and (i - rounds // 2) % thin == 0:
+                out[c].append(models[c])
     return out
+
+
+def gibbs(x: np.ndarray, k: int, start: Model, seed: int = 11, **options) -> list[Model]:
+    """One chain of :func:`gibbs_chains`."""
+    return gibbs_chains(x, k, [start], [seed], **options)[0]

@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 
 from ..functions.special import digamma, lgamma
+from . import scan
 
 LEAST_NU, MOST_NU = 2.02, 200.0
 
@@ -217,6 +218,41 @@ def em_step(m: Model, x: np.ndarray, floor: float = 1e-8, prior: float = 0.1, fi
     return emission_step(out, x, gamma, floor, fixed_nu), total
 
 
+def _stacked(models: list[Model], log_b: np.ndarray):
+    return log_b, np.stack([m.pi for m in models]), np.stack([m.a for m in models])
+
+
+def em_steps(models: list[Model], x: np.ndarray, floor: float = 1e-8, prior: float = 0.1, fixed_nu: bool = False) -> list[tuple[Model, float]]:
+    """:func:`em_step` of several models on the same rows, their recursions side by side."""
+    log_b = np.stack([log_emissions(m, x) for m in models])
+    gamma, moves, total = scan.expectations(*_stacked(models, log_b))
+    out = []
+    for i, m in enumerate(models):
+        if np.isfinite(total[i]):
+            after = moves[i] + prior
+            new = replace(m, pi=gamma[i, 0], a=after / after.sum(1, keepdims=True))
+            out.append((emission_step(new, x, gamma[i], floor, fixed_nu), float(total[i])))
+        else:  # a row that no state explains
+            out.append(em_step(m, x, floor, prior, fixed_nu))
+    return out
+
+
+def rounds_of(models: list[Model], step, n: int, rounds: int, tol: float) -> list[tuple[Model, float, int]]:
+    """Rounds of ``step`` on models that leave once a round adds less than ``tol`` a row: model, log likelihood and rounds of each."""
+    before, found = [-np.inf] * len(models), [None] * len(models)
+    active = list(range(len(models)))
+    for i in range(rounds):
+        done = step([models[j] for j in active])
+        for j, (new, total) in zip(list(active), done):
+            found[j] = (models[j], total, i + 1)
+            if abs(total - before[j]) < tol * n:
+                active.remove(j)
+            before[j], models[j] = total, new
+        if not active:
+            break
+    return [(m.sorted(), total, n_rounds) for m, total, n_rounds in found]
+
+
 def state_variance(m: Model) -> np.ndarray:
     """Variance of each feature in each state; infinite where two degrees of freedom or fewer leave none."""
     if m.nu is None:
@@ -231,27 +267,25 @@ def parameter_count(m: Model) -> int:
     return k - 1 + moves + 2 * k * width + (0 if m.nu is None else k)
 
 
-def fit(
-    x: np.ndarray, k: int = 3, seed: int = 42, rounds: int = 200, tol: float = 1e-6, floor: float = 1e-8, prior: float = 0.1,
-    student: bool = False, fixed_nu: float | None = None, start: Model | None = None,
-) -> tuple[Model, float, int]:
-    """One start: model, log likelihood and rounds. Needs ten rows a state.
+def fit_starts(
+    x: np.ndarray, k: int, seeds: list[int], rounds: int = 200, tol: float = 1e-6, floor: float = 1e-8, prior: float = 0.1,
+    student: bool = False, fixed_nu: float | None = None, starts: list[Model] | None = None,
+) -> list[tuple[Model, float, int]]:
+    """Model, log likelihood and rounds of each start, all of them at once; a start that has converged leaves.
 
-    ``start``: the model to begin with, instead of one by ``seed``. ``fixed_nu``: degrees of freedom that stay as they are.
+    ``starts``: the models to begin with, instead of those by ``seeds``. ``fixed_nu``: degrees of freedom that stay as they are.
     """
     if len(x) < 10 * k:
         raise ValueError(f"{k} states need {10 * k} rows, there are {len(x)}")
-    m = start or first_guess(x, k, np.random.default_rng(seed), floor, student or fixed_nu is not None)
+    models = starts or [first_guess(x, k, np.random.default_rng(s), floor, student or fixed_nu is not None) for s in seeds]
     if fixed_nu is not None:
-        m = replace(m, nu=np.full(k, float(fixed_nu)))
-    before, best = -np.inf, (m, -np.inf)
-    for i in range(rounds):
-        new, total = em_step(m, x, floor, prior, fixed_nu is not None)
-        best = (m, total)
-        if abs(total - before) < tol * len(x):
-            break
-        before, m = total, new
-    return best[0].sorted(), best[1], i + 1
+        models = [replace(m, nu=np.full(k, float(fixed_nu))) for m in models]
+    return rounds_of(list(models), lambda ms: em_steps(ms, x, floor, prior, fixed_nu is not None), len(x), rounds, tol)
+
+
+def fit(x: np.ndarray, k: int = 3, seed: int = 42, start: Model | None = None, **options) -> tuple[Model, float, int]:
+    """One start of :func:`fit_starts`. Needs ten rows a state."""
+    return fit_starts(x, k, [seed], starts=[start] if start else None, **options)[0]
 
 
 def sample(m: Model, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:

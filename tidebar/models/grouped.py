@@ -35,15 +35,19 @@ def from_row(row, features: int) -> Model:
     return Model(**{c: None if row[c] is None else np.asarray(row[c], float).reshape(shape[c]) for c in _ARRAYS})
 
 
-def fit_one(x: np.ndarray, kind: str, states: int, seed: int, most: int = 30, price: float = 1.0) -> tuple[Model, float, int]:
-    """One start of one kind of model; the score is larger for better fits."""
+def fit_starts(x: np.ndarray, kind: str, states: int, seeds: list[int], most: int = 30, price: float = 1.0) -> list[tuple[Model, float, int]]:
+    """One kind of model from each of several starts; the score is larger for better fits."""
     if kind == "jump":
-        centers, path, total = jump.fit_jump(x, states, price, seed)
-        return jump.as_model(x, centers, path), -total, 1
+        found = [jump.fit_jump(x, states, price, s) for s in seeds]
+        return [(jump.as_model(x, centers, path), -total, 1) for centers, path, total in found]
     student = kind.startswith("student")
     if kind.endswith("hsmm"):
-        return semi.fit_semi(x, states, most, seed, student=student)
-    return chain.fit(x, states, seed, student=student)
+        return semi.fit_semi_starts(x, states, most, seeds, student=student)
+    return chain.fit_starts(x, states, seeds, student=student)
+
+
+def best_fit(x: np.ndarray, kind: str, states: int, seeds: list[int], **options) -> tuple[Model, float, int]:
+    return max(fit_starts(x, kind, states, seeds, **options), key=lambda f: f[1])
 
 
 def predict(m: Model, x: np.ndarray, kind: str, price: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -59,22 +63,23 @@ def _failed(reason: str) -> dict:
 
 
 def fit_models(features: DataFrame, names: list[str], kind: str = "hmm", states: int = 3, restarts: int = 4, seed: int = 42, keys: tuple[str, ...] = ("series",), **options) -> DataFrame:
-    """The best of ``restarts`` starts for each key: a model row, or one whose ``skipped`` says why there is none."""
-    starts = features.select(*keys, "row", *names).withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
+    """The best of ``restarts`` starts for each key: a model row, or one whose ``skipped`` says why there is none.
+
+    The starts of a key share its rows and go side by side in one task; keys longer than a block are for :func:`.blocked.fit_long`.
+    """
+    seeds = [seed + 7919 * s for s in range(restarts)]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values("row")[names].to_numpy(float)
-        start = int(rows["start"].iloc[0])
         try:
-            found = to_row(*fit_one(x, kind, states, seed + 7919 * start, **options))
+            found = to_row(*best_fit(x, kind, states, seeds, **options))
         except ValueError as e:
             found = _failed(str(e))
         return pd.DataFrame([{**{k: rows[k].iloc[0] for k in keys}, **found}], columns=[*keys, *_MODEL_NAMES])
 
     types = ", ".join(f"{k} {features.schema[k].dataType.simpleString()}" for k in keys)
-    fitted = starts.groupBy(*keys, "start").applyInPandas(run, f"{types}, {_MODEL}")
-    best = fitted.groupBy(*keys).agg(F.max_by(F.struct(*_MODEL_NAMES), F.struct(F.col("skipped").isNull(), "score")).alias("m"))
-    return best.select(*keys, F.lit(kind).alias("kind"), "m.*")
+    best = features.select(*keys, "row", *names).groupBy(*keys).applyInPandas(run, f"{types}, {_MODEL}")
+    return best.select(*keys, F.lit(kind).alias("kind"), *_MODEL_NAMES)
 
 
 def _per_group(features: DataFrame, models: DataFrame, names: list[str], run: Callable, schema: str) -> DataFrame:
@@ -145,7 +150,7 @@ def fitted(raw: np.ndarray, learn: np.ndarray, names: list[str], kind: str, stat
     mean, sd = raw[learn].mean(0), np.maximum(raw[learn].std(0), 1e-12)
     x = (raw - mean) / sd
     try:
-        m = max((fit_one(x[learn], kind, states, s, **options) for s in seeds), key=lambda f: f[1])[0]
+        m = best_fit(x[learn], kind, states, seeds, **options)[0]
     except ValueError as e:
         return str(e)
     _, ahead = predict(m, x, kind, options.get("price", 1.0))
@@ -186,37 +191,42 @@ _FORECAST = "series string, block long, row long, expected double, volatility do
 def posterior_draws(features: DataFrame, names: list[str], engine: str = "vb", states: int = 3, draws: int = 1000, seed: int = 11, most: int = 30, chains: int = 1, rounds: int = 400) -> DataFrame:
     """One row a draw: series, draw, means (of feature 0, in its own units), dwell and the bound of the fit.
 
-    Engines: ``vb``, ``vb_hsmm`` and ``gibbs``; chains of the last are groups of their own.
+    Engines: ``vb``, ``vb_hsmm`` and ``gibbs``.
     """
-    split = features.select("series", "row", *names).withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
-
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("row")
         raw = rows[names].to_numpy(float)
         mean, sd = raw.mean(0), np.maximum(raw.std(0), 1e-12)  # in sample, as it describes the sample
-        x, own = (raw - mean) / sd, seed + 7919 * int(rows["chain"].iloc[0])
+        x, seeds = (raw - mean) / sd, [seed + 7919 * c for c in range(chains)]
         try:
-            start = (semi.fit_semi(x, states, most, own) if engine == "vb_hsmm" else chain.fit(x, states, own))[0]
+            starts = semi.fit_semi_starts(x, states, most, seeds) if engine == "vb_hsmm" else chain.fit_starts(x, states, seeds)
         except ValueError:
             return pd.DataFrame(columns=[c.split()[0] for c in _DRAWS.split(", ")])
-        if engine == "gibbs":
-            models, bound = bayes.gibbs(x, states, start, own, rounds), None
+        starts = [m for m, _, _ in starts]
+        if engine == "gibbs":  # chains share the rows and go side by side
+            found = [(ms, None) for ms in bayes.gibbs_chains(x, states, starts, seeds, rounds)]
         else:
-            q, bounds, _ = bayes.fit_vb(x, states, start)
-            rng, bound = np.random.default_rng(own), bounds[-1] / len(x)
-            models = [bayes.draw(q, rng) for _ in range(draws)]
-        return pd.DataFrame(
-            {
-                "series": rows["series"].iloc[0],
-                "chain": int(rows["chain"].iloc[0]),
-                "draw": np.arange(len(models)),
-                "means": [(m.mu[:, 0] * sd[0] + mean[0]).tolist() for m in models],
-                "dwell": [np.minimum(chain.expected_durations(m), 1e9).tolist() for m in models],
-                "bound": bound,
-            }
-        )
-
-    return split.groupBy("series", "chain").applyInPandas(run, _DRAWS)
+            found = []
+            for own, start in zip(seeds, starts):
+                q, bounds, _ = bayes.fit_vb(x, states, start)
+                rng = np.random.default_rng(own)
+                found.append(([bayes.draw(q, rng) for _ in range(draws)], bounds[-1] / len(x)))
+        each = [
+            pd.DataFrame(
+                {
+                    "series": rows["series"].iloc[0],
+                    "chain": c,
+                    "draw": np.arange(len(models)),
+                    "means": [(m.mu[:, 0] * sd[0] + mean[0]).tolist() for m in models],
+                    "dwell": [np.minimum(chain.expected_durations(m), 1e9).tolist() for m in models],
+                    "bound": bound,
+                }
+            )
+            for c, (models, bound) in enumerate(found)
+        ]
+        return pd.concat(each)
+
+    return features.select("series", "row", *names).groupBy("series").applyInPandas(run, _DRAWS)
 
 
 _DRAWS = "series string, chain int, draw int, means array<double>, dwell array<double>, bound double"

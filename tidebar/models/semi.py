@@ -1,7 +1,7 @@
 """Semi-Markov chains: states last for a duration of their own law. Segments are differences of prefix sums.
 
-The last segment ends with the sample. Recursions are vectorised over durations; those of the fit are in scaled numbers,
-all others, and those of the fit where numbers run out of range, in logs.
+The last segment ends with the sample. Recursions are vectorised over durations, and those of the fit over a
+batch of starts as well; they are in scaled numbers, all others, and those of the fit where numbers run out of range, in logs.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from dataclasses import replace
 import numpy as np
 
 from ..functions.special import logsumexp
-from .chain import Model, emission_step, fit, log_emissions
+from .chain import Model, emission_step, fit_starts, log_emissions, rounds_of
 
 
 def _log(x: np.ndarray) -> np.ndarray:
@@ -64,66 +64,69 @@ def backward(log_b: np.ndarray, log_a, log_dur) -> tuple[np.ndarray, np.ndarray]
     return beta, start
 
 
+#: Rows between two changes of scale.
+_RESCALE = 4
+
+
 def _scaled(log_b: np.ndarray, pi: np.ndarray, a: np.ndarray, dur: np.ndarray):
-    """Forward and backward in plain numbers: a window of the segments that may still last, rescaled at every row.
+    """Expectations of a batch in plain numbers: windows of the segments that may still last, rescaled every few rows.
 
-    Returns entry, alpha, start and beta in units of the scale of their row, the logs of each row's factors, and the log
-    of the whole scale; None where the numbers run out of range, which logs do not.
+    ``log_b`` is (batch, row, state), the others have the batch in front too. A start of the batch whose numbers run out of range
+    has a log likelihood that is not finite. With entry, start, alpha and beta (of segments that begin or end at a row) a state's
+    weight is what has begun less what has ended, and a duration's is what the backward windows hold of the entries.
     """
-    n, k = log_b.shape
-    most = dur.shape[1]
-    top = log_b.max(1)
-    b, lasting = np.exp(log_b - top[:, None]), np.ascontiguousarray(dur.T)
-    open_, factor = np.zeros((n + most, k)), np.empty((n, k))  # newest segment first, so that durations ascend
-    entry, alpha, scale, now, inverse = np.empty((n, k)), np.empty((n, k)), np.empty(n), pi, 1.0
+    s, n, k = log_b.shape
+    most, width = dur.shape[2], s * k
+    top = log_b.max(2, keepdims=True)
+    b = np.ascontiguousarray(np.exp(log_b - top).transpose(1, 0, 2).reshape(n, width))
+    lasting = np.ascontiguousarray(dur.transpose(2, 0, 1).reshape(most, width))
+    open_ = np.zeros((n + most, width))  # newest segment first, so that durations ascend
+    entry, alpha, scale = np.empty((n, width)), np.empty((n, width)), np.ones((n, s))
+    now = pi.reshape(width)
     for t in range(n):
         entry[t] = now
         window = open_[n - 1 - t : n - 1 - t + most]
         window[0] = now
-        scale[t] = inverse
-        factor[t] = f = b[t] * inverse
-        window *= f
-        alpha[t] = ended = np.einsum("dk,dk->k", window, lasting)
-        now = ended @ a
-        total = window.sum()
-        if not 1e-200 < total < 1e200:
-            return None
-        inverse = 1 / total
-    ahead, start, beta, later = np.zeros((n + most, k)), np.empty((n, k)), np.empty((n, k)), np.ones(k)
-    for s in range(n - 1, -1, -1):
-        beta[s] = later
-        window = ahead[s : s + most]
+        if t % _RESCALE == 0 and t:
+            scale[t] = total = window.reshape(-1, s, k).sum((0, 2))
+            b[t] *= np.repeat(1 / total, k)
+        window *= b[t]
+        ended = np.einsum("dk,dk->k", window, lasting, out=alpha[t])
+        now = (ended.reshape(s, 1, k) @ a).reshape(width)
+    ahead, begun, beta, held = np.zeros((n + most, width)), np.empty((n, width)), np.empty((n, width)), np.zeros((most, width))
+    later, spare = np.ones(width), np.empty((most, width))
+    for t in range(n - 1, -1, -1):
+        beta[t] = later
+        window = ahead[t : t + most]
         window[0] = later
-        window *= factor[s]
-        start[s] = begun = np.einsum("dk,dk->k", window, lasting)
-        later = a @ begun
-    if not (np.isfinite(start).all() and alpha[-1].sum() > 0):
-        return None
-    return entry, alpha, start, beta, np.log(np.maximum(factor, 1e-300)), top.sum() - np.log(scale).sum()
+        window *= b[t]
+        started = np.einsum("dk,dk->k", window, lasting, out=begun[t])
+        held += np.multiply(window, entry[t], out=spare)
+        later = (a @ started.reshape(s, k, 1)).reshape(width)
+    z = alpha[-1].reshape(s, k).sum(1)
+    per, grid = np.repeat(1 / z, k), lambda v: v.reshape(n, s, k).transpose(1, 0, 2)
+    starts, ends = grid(entry * begun * per), grid(alpha * beta * per)
+    gamma = np.cumsum(starts - np.concatenate([np.zeros((s, 1, k)), ends[:, :-1]], 1), 1)
+    moves = a * (np.swapaxes(grid(alpha)[:, :-1], 1, 2) @ grid(begun)[:, 1:]) / z[:, None, None]
+    durations = (held * lasting * per).reshape(most, s, k).transpose(1, 2, 0)
+    total = top.sum((1, 2)) + np.log(scale).sum(0) + np.log(z)
+    good = np.isfinite(gamma).all((1, 2)) & np.isfinite(durations).all((1, 2))
+    return np.maximum(gamma, 0), moves, durations, starts[:, 0], np.where(good, total, np.nan)
+
+
+def batch_expectations(log_b: np.ndarray, log_pi, log_a, log_dur) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]]:
+    """State weights by row, moves, durations and first states, all expected, and the log likelihood, of each of a batch."""
+    with np.errstate(all="ignore"):
+        *found, total = _scaled(log_b, np.exp(log_pi), np.exp(log_a), np.exp(log_dur))
+    each = zip(*found)
+    return [
+        (*own, float(total[i])) if np.isfinite(total[i]) else _expectations_in_logs(log_b[i], log_pi[i], log_a[i], log_dur[i]) for i, own in enumerate(each)
+    ]
 
 
 def expectations(log_b: np.ndarray, log_pi, log_a, log_dur) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
-    """State weights by row, moves, durations and first states, all expected, and the log likelihood."""
-    n, k = log_b.shape
-    most = log_dur.shape[1]
-    pi, a, dur = np.exp(log_pi), np.exp(log_a), np.exp(log_dur)
-    found = _scaled(log_b, pi, a, dur)
-    if found is None:
-        return _expectations_in_logs(log_b, log_pi, log_a, log_dur)
-    entry, alpha, start, beta, log_factor, log_scale = found
-    z = alpha[-1].sum()
-    p = prefix(log_factor)
-    steps, lasting = np.zeros((n + 1, k)), np.zeros((k, most))
-    with np.errstate(over="ignore", invalid="ignore"):
-        for d in range(1, min(most, n) + 1):
-            w = entry[: n - d + 1] * beta[d - 1 :] * np.exp(p[d:] - p[: n - d + 1]) * (dur[:, d - 1] / z)
-            steps[: n - d + 1] += w
-            steps[d:] -= w
-            lasting[:, d - 1] = w.sum(0)
-    if not np.isfinite(steps).all():
-        return _expectations_in_logs(log_b, log_pi, log_a, log_dur)
-    moves = alpha[:-1].T @ start[1:] * a / z
-    return np.cumsum(steps[:n], 0), moves, lasting, pi * start[0] / z, float(log_scale + np.log(z))
+    """:func:`batch_expectations` of one sequence."""
+    return batch_expectations(log_b[None], log_pi[None], log_a[None], log_dur[None])[0]
 
 
 def _expectations_in_logs(log_b: np.ndarray, log_pi, log_a, log_dur) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
@@ -229,22 +232,27 @@ def from_chain(m: Model, most: int) -> Model:
     return replace(m, a=off / off.sum(1, keepdims=True), dur=dur / dur.sum(1, keepdims=True))
 
 
-def em_step(m: Model, x: np.ndarray, floor: float = 1e-8, duration_prior: float = 0.05, prior: float = 0.1) -> tuple[Model, float]:
-    gamma, moves, lasting, first, total = expectations(log_emissions(m, x), *_weights(m))
-    moves = np.where(np.eye(m.k, dtype=bool), 0, moves + prior)
-    lasting = lasting + duration_prior
-    out = replace(m, pi=first / first.sum(), a=moves / moves.sum(1, keepdims=True), dur=lasting / lasting.sum(1, keepdims=True))
-    return emission_step(out, x, gamma, floor), total
-
-
-def fit_semi(x: np.ndarray, k: int = 3, most: int = 60, seed: int = 42, rounds: int = 100, tol: float = 1e-6, student: bool = False) -> tuple[Model, float, int]:
-    """One start, from a Markov chain fitted to the same rows. Needs two states."""
-    m = from_chain(fit(x, k, seed, student=student)[0], most)
-    before, best = -np.inf, (m, -np.inf)
-    for i in range(rounds):
-        new, total = em_step(m, x)
-        best = (m, total)
-        if abs(total - before) < tol * len(x):
-            break
-        before, m = total, new
-    return best[0].sorted(), best[1], i + 1
+def em_steps(models: list[Model], x: np.ndarray, floor: float = 1e-8, duration_prior: float = 0.05, prior: float = 0.1) -> list[tuple[Model, float]]:
+    """One round of each of several models on the same rows; the log likelihood is that of the model that goes in."""
+    logs = [np.stack(v) for v in zip(*map(_weights, models))]
+    out = []
+    for m, (gamma, moves, lasting, first, total) in zip(models, batch_expectations(np.stack([log_emissions(m, x) for m in models]), *logs)):
+        moves = np.where(np.eye(m.k, dtype=bool), 0, moves + prior)
+        lasting = lasting + duration_prior
+        new = replace(m, pi=first / first.sum(), a=moves / moves.sum(1, keepdims=True), dur=lasting / lasting.sum(1, keepdims=True))
+        out.append((emission_step(new, x, gamma, floor), total))
+    return out
+
+
+def em_step(m: Model, x: np.ndarray, **options) -> tuple[Model, float]:
+    return em_steps([m], x, **options)[0]
+
+
+def fit_semi_starts(x: np.ndarray, k: int, most: int, seeds: list[int], rounds: int = 100, tol: float = 1e-6, student: bool = False) -> list[tuple[Model, float, int]]:
+    """All starts at once, each from a Markov chain fitted to the same rows; one that has converged leaves. Needs two states."""
+    models = [from_chain(m, most) for m, _, _ in fit_starts(x, k, seeds, student=student)]
+    return rounds_of(models, lambda ms: em_steps(ms, x), len(x), rounds, tol)
+
+
+def fit_semi(x: np.ndarray, k: int = 3, most: int = 60, seed: int = 42, **options) -> tuple[Model, float, int]:
+    return fit_semi_starts(x, k, most, [seed], **options)[0]
