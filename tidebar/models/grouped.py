@@ -8,6 +8,7 @@ are bars, never ticks. A group that cannot be fitted gives a row that says why.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,9 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.features import unscaled
-from . import bayes, chain, jump, semi
+from ..session import settled
+from . import bayes, blocked, chain, jump, semi
 from .chain import Model
 
+#: Rows of a series that one task fits, and names of longer ones that are sent to all tasks.
+LONG, LONG_SERIES = 64 * blocked.BLOCK, 1000
 KINDS = ("hmm", "hsmm", "student", "student_hsmm", "jump")
 _ARRAYS = ("pi", "a", "mu", "var", "nu", "dur")
 _MODEL = "states int, " + ", ".join(f"{c} array<double>" for c in _ARRAYS) + ", score double, rounds int, skipped string"
@@ -65,8 +69,24 @@ def _failed(reason: str) -> dict:
 def fit_models(features: DataFrame, names: list[str], kind: str = "hmm", states: int = 3, restarts: int = 4, seed: int = 42, keys: tuple[str, ...] = ("series",), **options) -> DataFrame:
     """The best of ``restarts`` starts for each key: a model row, or one whose ``skipped`` says why there is none.
 
-    The starts of a key share its rows and go side by side in one task; keys longer than a block are for :func:`.blocked.fit_long`.
+    The starts of a key share its rows and go side by side in one task. Markov chains of series of more than ``LONG`` rows are
+    fitted over blocks instead, so that no task holds a long series.
     """
+    if kind in ("hmm", "student") and keys == ("series",) and not options:
+        sizes = features.groupBy("series").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG).select("series")
+        long = [r["series"] for r in sizes.limit(LONG_SERIES + 1).collect()]  # names alone, and few
+        if long:
+            split = settled(sizes) if len(long) > LONG_SERIES else features.sparkSession.createDataFrame([(n,) for n in long], "series string")
+            short = features.join(F.broadcast(split) if len(long) <= LONG_SERIES else split, "series", "left_anti")
+            rest = features.join(F.broadcast(split) if len(long) <= LONG_SERIES else split, "series", "left_semi")
+            each = [blocked.fit_long(rest, names, states, seed + 7919 * s, student=kind == "student") for s in range(restarts)]
+            fitted = reduce(DataFrame.unionByName, each).groupBy("series", "kind").agg(F.max_by(F.struct(*_MODEL_NAMES), "score").alias("m"))
+            return fit_short(short, names, kind, states, restarts, seed).unionByName(fitted.select("series", "kind", "m.*"))
+    return fit_short(features, names, kind, states, restarts, seed, keys, **options)
+
+
+def fit_short(features: DataFrame, names: list[str], kind: str, states: int, restarts: int, seed: int, keys: tuple[str, ...] = ("series",), **options) -> DataFrame:
+    """:func:`fit_models` of keys of any number but of moderate length: one task a key."""
     seeds = [seed + 7919 * s for s in range(restarts)]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -88,7 +108,12 @@ def _per_group(features: DataFrame, models: DataFrame, names: list[str], run: Ca
 
 
 def beliefs(features: DataFrame, models: DataFrame, names: list[str], kind: str = "hmm") -> DataFrame:
-    """series, row, state (likeliest now), now and ahead: filtered probabilities of each row and of the next."""
+    """series, row, state (likeliest now), now and ahead: filtered probabilities of each row and of the next.
+
+    Markov chains go by blocks of rows, so a long series is many tasks; the others have a task a series.
+    """
+    if kind in ("hmm", "student"):
+        return blocked.beliefs(features, models, names)
 
     def run(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(model) or model["skipped"].iloc[0] is not None:
@@ -100,8 +125,10 @@ def beliefs(features: DataFrame, models: DataFrame, names: list[str], kind: str
     return _per_group(features.select("series", "row", *names), models, names, run, "series string, row long, state int, now array<double>, ahead array<double>")
 
 
-def decoded(features: DataFrame, models: DataFrame, names: list[str]) -> DataFrame:
-    """series, row and state of the likeliest path of all rows; it looks ahead, so it is for display."""
+def decoded(features: DataFrame, models: DataFrame, names: list[str], kind: str = "hmm") -> DataFrame:
+    """series, row and state of the likeliest path of all rows; it looks ahead, so it is for display. Markov chains go by blocks."""
+    if kind in ("hmm", "student"):
+        return blocked.decoded(features, models, names)
 
     def run(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(model) or model["skipped"].iloc[0] is not None:

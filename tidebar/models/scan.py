@@ -46,9 +46,9 @@ def openings(q: np.ndarray, pi: np.ndarray, a: np.ndarray) -> np.ndarray:
     return out
 
 
-def closings(q: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """(batch, block, state): what follows after each block, given the state of its last row."""
-    out, now = np.empty(q.shape[:3]), np.ones((len(q), q.shape[2]))
+def closings(q: np.ndarray, a: np.ndarray, after: np.ndarray | None = None) -> np.ndarray:
+    """(batch, block, state): what follows after each block, given the state of its last row; ``after`` follows the last block."""
+    out, now = np.empty(q.shape[:3]), np.ones((len(q), q.shape[2])) if after is None else after
     for i in range(q.shape[1] - 1, -1, -1):
         out[:, i] = now
         now = (a @ (q[:, i] @ now[..., None]))[..., 0]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..models import grouped, signals
+from ..models import blocked, grouped, signals
 from ..models.grouped import _MODEL, _MODEL_NAMES
 from ..operators import align, bars as B, features as X, nulls, paper, strategy
 from ..operators.screen import best_cells
@@ -62,16 +63,7 @@ def viterbi_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jump_online(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import pandas as pd
-
-    from ..models import jump
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row")
-        states = jump.online(jump.losses(rows[["x"]].to_numpy(float), pd.DataFrame(MU).to_numpy()), PRICE)
-        return pd.DataFrame({"series": rows["series"], "row": rows["row"], "state": states})
-
-    return _x(spark, sf_dir).groupBy("series").applyInPandas(run, "series string, row long, state int")
+    return blocked.arrived(_x(spark, sf_dir), ["x"], np.array(MU)[:, None], PRICE)
 
 
 def state_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
