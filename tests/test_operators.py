@@ -1,10 +1,11 @@
 """Hand-computed goldens of the relational operators, and that nothing looks ahead."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidebar.functions.special import normal_inv
-from tidebar.operators import align, bars as B, confluence, features as X, flow, nulls, paper, perp, power, screen, snooping, strategy, trades
+from tidebar.operators import align, bars as B, confluence, features as X, flow, nulls, paper, perp, power, rotation, screen, snooping, strategy, trades
 
 BAR = "series string, time long, open double, high double, low double, close double, volume double"
 
@@ -154,8 +155,6 @@ def test_paper_account_pays_for_turnover_and_ignores_repeats(spark):
 
 
 def test_snooping_family(spark):
-    import numpy as np
-
     rng = np.random.default_rng(0)
     data = [(f"s{k}", i, float(v)) for k in range(6) for i, v in enumerate(rng.normal(0.05 if k == 0 else 0, 0.1, 240))]
     cells = spark.createDataFrame(data, "series string, i long, value double")
@@ -175,3 +174,55 @@ def test_screen(spark):
     assert [r.id for r in screen.screen(pools, 5).collect()] == [2]
     assert [r.id for r in screen.search(pools, "$aa").collect()] == [2, 1]
     assert spark.range(1).select(screen.sanitize(F.lit("‮ab\x07 "))).first()[0] == "ab"
+
+
+@pytest.mark.parametrize(("n", "values"), [(37, (0.0, 1.0)), (40, (-1.0, 0.0, 1.0)), (12, tuple(np.linspace(0, 1, 12))), (1, (1.0,)), (2, (0.0, 1.0))])
+def test_all_rotations_at_once(n, values):
+    rng = np.random.default_rng(n)
+    position, ret = rng.choice(values, n), rng.normal(0, 0.02, n)
+    for cost in (0.0, 0.002):
+        plain = []
+        for s in range(n):
+            q = np.roll(position, -s)
+            plain.append(np.prod(1 + q * ret - np.abs(np.diff(q, prepend=0)) * cost) - 1)
+        assert np.allclose(rotation.growths(position, ret, cost), plain)
+    ruin = np.where(np.arange(n) == n // 2, -1.0, ret)
+    assert np.allclose(rotation.growths(position, ruin, 0.0), [np.prod(1 + np.roll(position, -s) * ruin) - 1 for s in range(n)])
+
+
+def test_panel_rotations_with_holes(spark):
+    """Sums and counts of each rotation by hand, and the pooled tests with common and with own rotations."""
+    rng = np.random.default_rng(1)
+    rows, by_hand = [], {}
+    for name in "ab":
+        position = np.where(rng.random(23) < 0.3, np.nan, rng.choice([0.0, 1.0], 23))
+        ret = np.where(rng.random(23) < 0.2, np.nan, rng.normal(0, 0.01, 23))
+        rows += [(name, t, *(None if np.isnan(v) else float(v) for v in (position[t], ret[t]))) for t in range(23)]
+        for s in range(23):
+            last, total, seen = 0.0, 0.0, 0
+            for p, x in zip(np.roll(position, -s), ret):
+                if not np.isnan(p):
+                    if not np.isnan(x):
+                        total, seen = total + p * x - 4.5e-4 * abs(p - last), seen + 1
+                    last = p
+            by_hand[name, s] = (total, seen)
+    panel = spark.createDataFrame(rows, "series string, time long, position double, ret double")
+    found = {(r.series, r["shift"]): (r.net, r.seen) for r in rotation.panel_rotations(panel, 4.5).collect()}
+    assert found.keys() == by_hand.keys() and all(found[k] == (pytest.approx(v[0], abs=1e-12), v[1]) for k, v in by_hand.items())
+    bps = [1e4 * sum(by_hand[k, s][0] for k in "ab") / sum(by_hand[k, s][1] for k in "ab") for s in range(23)]
+    exact = rotation.panel_exact(panel, 4.5).first()
+    assert exact.shifts == 22 and exact.actual_bps == pytest.approx(bps[0]) and exact.p_exact == pytest.approx(np.mean(np.array(bps[1:]) >= bps[0] - 1e-9))
+    shifts = nulls.shift_table(spark, 40)
+    drawn = [bps[(1 + r.draw % 22) % 23] for r in shifts.collect()]
+    common = nulls.panel_test(panel, shifts, 4.5).first()
+    assert common.p_value == pytest.approx((1 + sum(d >= bps[0] - 1e-9 for d in drawn)) / 41) and common.median_bps == pytest.approx(sorted(drawn)[20])
+    assert nulls.panel_test(panel, shifts, 4.5, common=False).first().trials == 40
+
+
+def test_resampled_blocks_are_the_resampled_places(spark):
+    cells = spark.range(3 * 50).selectExpr("string(id % 3) AS series", "id div 3 AS i", "sin(id) AS value")
+    for block in (1.0, 4.0, 60.0):
+        plain = snooping.resample_means(cells, snooping.resample_table(spark, 50, 20, block))
+        found = snooping.block_means(cells, snooping.resample_blocks(spark, 50, 20, block), 50)
+        a, b = ({(r.series, r.b): r.boot for r in df.collect()} for df in (plain, found))
+        assert a.keys() == b.keys() and len(a) == 60 and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)

@@ -1,7 +1,7 @@
 """What luck would have made of the same positions: rotations, oracles and pooled panels.
 
 Rotation keeps every run, and so the turnover; a rotation common to all series also keeps the market. Shifts are a table
-(trial, shift), so that a result can be checked; a trial's positions come from an equi-join on the shifted place.
+(trial, shift), so that a result can be checked; what all shifts earn comes from :mod:`.rotation`, and a trial asks for one of them.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .rotation import panel_rotations, rotations
+
 BPS = 1e-4
 
 
@@ -43,26 +45,37 @@ def rotation_null(rows: DataFrame, shifts: DataFrame, cost_bps: float, method: s
 
     ``method``: ``rotate``, or ``shuffle``, a free order of the positions, which only suits positions that cost nothing to change.
     """
+    if method == "rotate":  # all rotations are known at once; the trials are some of them
+        draws = shifts.agg(F.collect_list("draw").alias("asked"))  # one number a trial
+        n = F.size("totals")
+        at = lambda d: F.element_at("totals", ((1 + d % F.greatest(n - 1, F.lit(1))) % n + 1).cast("int"))
+        found = rotations(rows, cost_bps).join(F.broadcast(draws)).withColumn("actual", F.col("totals")[0])
+        found = found.select("series", "actual", "exposure", F.array_sort(F.transform("asked", at)).alias("draws"))
+        near = F.col("actual") - 1e-12 * (1 + F.abs("actual"))
+        lists = found.withColumns({"beat": F.size(F.filter("draws", lambda d: d >= near)), "trials": F.size("draws").cast("long")})
+    else:
+        lists = _shuffles(rows, shifts, cost_bps)
+    return lists.select(
+        "series", "actual", "exposure", at_quantile("draws", 0.5).alias("median_random"), at_quantile("draws", 0.05).alias("p05"),
+        at_quantile("draws", 0.95).alias("p95"), (F.col("beat") / F.col("trials")).alias("p_value"), "trials",
+    )
+
+
+def _shuffles(rows: DataFrame, shifts: DataFrame, cost_bps: float) -> DataFrame:
+    """The draws of free orders of the positions, beside the actual return."""
     place = Window.partitionBy("series").orderBy("row")
-    own = rows.withColumn("i", F.row_number().over(place) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("series")))
+    own = rows.withColumn("i", F.row_number().over(place) - 1)
     held = F.avg((F.abs("position") > 1e-9).cast("double"))
     actual = _nets(own, ["series"], cost_bps).groupBy("series").agg((F.product(1 + F.col("net")) - 1).alias("actual"), held.alias("exposure"))
-    asked = own.select("series", "i", "n", "ret").join(F.broadcast(shifts))
-    if method == "rotate":
-        asked = asked.withColumn("j", (F.col("i") + _shift(F.col("n"))) % F.col("n"))
-    else:
-        asked = asked.withColumn("j", F.row_number().over(Window.partitionBy("series", "trial").orderBy(shuffled_place(), "i")) - 1)
+    asked = own.select("series", "i", "ret").join(F.broadcast(shifts))
+    asked = asked.withColumn("j", F.row_number().over(Window.partitionBy("series", "trial").orderBy(shuffled_place(), "i")) - 1)
     turned = asked.join(own.select("series", F.col("i").alias("j"), "position"), ["series", "j"])
     drawn = _nets(turned, ["series", "trial"], cost_bps).groupBy("series", "trial").agg((F.product(1 + F.col("net")) - 1).alias("total"))
-    lists = drawn.join(actual, "series").groupBy("series", "actual", "exposure").agg(
+    return drawn.join(actual, "series").groupBy("series", "actual", "exposure").agg(
         F.array_sort(F.collect_list("total")).alias("draws"),  # one value a trial
         F.count_if(F.col("total") >= F.col("actual")).alias("beat"),
         F.count(F.lit(1)).alias("trials"),
     )
-    return lists.select(
-        "series", "actual", "exposure", at_quantile("draws", 0.5).alias("median_random"), at_quantile("draws", 0.05).alias("p05"),
-        at_quantile("draws", 0.95).alias("p95"), (F.col("beat") / F.col("trials")).alias("p_value"), "trials",
-    )
 
 
 def permutation_test(rows: DataFrame, shifts: DataFrame, cost_bps: float) -> DataFrame:
@@ -107,18 +120,20 @@ def panel_test(panel: DataFrame, shifts: DataFrame, cost_bps: float, common: boo
 
     ``panel`` is aligned: each series has a row at each time. With ``common`` one shift turns the whole market.
     """
-    axis = panel.select("time").distinct().withColumn("i", F.row_number().over(Window.orderBy("time")) - 1)
-    size = axis.agg(F.count(F.lit(1)).alias("n"))  # times of the axis: one a bar, whatever the number of series
-    own = panel.join(axis, "time").join(F.broadcast(size))
-    actual = _pooled(own, ["series"], cost_bps).agg(F.avg("net").alias("actual_bps"), F.count("net").alias("observations"))
-    draw = shifts if common else shifts.join(own.select("series").distinct()).withColumn("draw", F.pmod(F.xxhash64("draw", "series"), F.lit(1_000_003)))
-    asked = own.select("series", "i", "n", "ret").join(F.broadcast(draw), *([] if common else ["series"]))
-    asked = asked.withColumn("j", (F.col("i") + _shift(F.col("n"))) % F.col("n"))
-    turned = asked.join(own.select("series", F.col("i").alias("j"), "position"), ["series", "j"])
-    drawn = _pooled(turned, ["series", "trial"], cost_bps).groupBy("trial").agg(F.avg("net").alias("bps"))
-    lists = drawn.join(actual).groupBy("actual_bps", "observations").agg(
+    each = panel_rotations(panel, cost_bps)
+    bps = (F.sum("net") / F.nullif(F.sum("seen"), F.lit(0)) * 1e4).alias("bps")
+    actual = each.where("shift = 0").agg(bps.alias("actual_bps"), F.sum("seen").alias("observations"))
+    place = (_shift(F.col("n")) % F.col("n")).alias("shift")
+    if common:  # turned together, so summed over the series before they are asked for
+        by_shift = each.groupBy("n", "shift").agg(bps)
+        asked = by_shift.select("n").distinct().join(F.broadcast(shifts)).select("trial", "n", place)
+        drawn = by_shift.join(asked, ["n", "shift"]).select("trial", "bps")
+    else:
+        own = each.where("shift = 0").select("series", "n").join(F.broadcast(shifts)).withColumn("draw", F.pmod(F.xxhash64("draw", "series"), F.lit(1_000_003)))
+        drawn = each.join(own.select("series", "trial", place), ["series", "shift"]).groupBy("trial").agg(bps)
+    lists = drawn.join(F.broadcast(actual)).groupBy("actual_bps", "observations").agg(
         F.array_sort(F.collect_list("bps")).alias("draws"),
-        F.count_if(F.col("bps") >= F.col("actual_bps")).alias("beat"),
+        F.count_if(F.col("bps") >= F.col("actual_bps") - 1e-9 * (1 + F.abs("actual_bps"))).alias("beat"),
         F.count(F.lit(1)).alias("trials"),
     )
     at = lambda f: F.element_at("draws", (F.least(F.floor(f * F.size("draws")), F.size("draws") - 1) + 1).cast("int"))

@@ -1,8 +1,8 @@
 """Data-snooping corrections for the best of many strategies on one clock.
 
 ``cells``: series (the strategy's name), i (0, 1 ..) and value, the net log return at each time of one grid. Resamples
-are a table (b, i, j): in resample b the i-th observation is the j-th of the sample, the same for all strategies, so
-their dependence is kept. Means of resamples are one equi-join and one grouped aggregate.
+are a table of blocks (b, first, length), the same for all strategies, so their dependence is kept. Means of resamples are
+one equi-join of the blocks' ends with running sums and one grouped aggregate.
 """
 
 from __future__ import annotations
@@ -36,6 +36,28 @@ def resample_table(spark: SparkSession, n: int, resamples: int, block: float) ->
     return rows.withColumn("_s", last).select("b", "i", ((F.col("_s.first") + F.col("i") - F.col("_s.at")) % n).alias("j"))
 
 
+def resample_blocks(spark: SparkSession, n: int, resamples: int, block: float) -> DataFrame:
+    """The resamples of :func:`resample_table` as blocks: b, first place in the sample, and length; n / block rows a resample."""
+    rows = spark.range(resamples * n).select(F.floor(F.col("id") / n).alias("b"), (F.col("id") % n).alias("i"))
+    fresh = rows.where((F.col("i") == 0) | (_draw(F.col("b"), F.col("i")) < int(_PRIME / block)))
+    end = F.coalesce(F.lead("i").over(Window.partitionBy("b").orderBy("i")), F.lit(n))
+    return fresh.select("b", (_draw(F.col("b") + 1_000_003, F.col("i")) % n).alias("first"), (end - F.col("i")).alias("length"))
+
+
+def block_means(cells: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
+    """series, b and the mean of resample b, from running sums: a block is the difference of two of them, and goes round the end.
+
+    All strategies share one grid of n places, so the weights of the running sums are those of all of them.
+    """
+    end = F.col("first") + F.col("length")
+    at = lambda k, w: F.struct(k.alias("k"), w.cast("double").alias("w"))
+    terms = F.array(at(end % n, F.lit(1)), at(F.lit(n).cast("long"), F.floor(end / n)), at(F.col("first"), F.lit(-1)))
+    weights = blocks.select("b", F.inline(terms)).where("k > 0").groupBy("b", "k").agg(F.sum("w").alias("w")).where("w <> 0")
+    running = Window.partitionBy("series").orderBy("i")
+    sums = cells.select("series", (F.col("i") + 1).alias("k"), F.sum("value").over(running).alias("s"))
+    return weights.join(sums, "k").groupBy("series", "b").agg((F.sum(F.col("w") * F.col("s")) / n).alias("boot"))
+
+
 def block_length(values: np.ndarray) -> float:
     """Block length by the flat-top rule, from where autocorrelation dies out; 1 for short or constant samples."""
     n = len(values)
@@ -230,11 +252,11 @@ def judge(logs: DataFrame, seconds: int, resamples: int, block: float | None = N
     grid = settled(bucket_grid(logs, "value", seconds).withColumn("i", place_on_grid(seconds)))
     block = block or family_block(grid)
     n = grid.agg(F.max("i")).first()[0] + 1
-    stats, means = settled(long_run(grid, block)), settled(resample_means(grid, resample_table(grid.sparkSession, n, resamples, block)))
+    stats, means = settled(long_run(grid, block)), settled(block_means(grid, resample_blocks(grid.sparkSession, n, resamples, block), n))
     bars = F.col("seconds") / F.col("step")
     own = moments(logs).join(logs.groupBy("series").agg(F.max("step").alias("step")), "series").withColumn("seconds", F.lit(seconds))
     own = own.select("series", (F.col("sharpe") * F.sqrt(bars)).alias("sharpe"), "skew", "kurtosis", F.floor(F.col("n") / bars + 0.5).cast("long").alias("n"))
-    best = own.agg(F.max_by(F.struct("series", "sharpe", "skew", "kurtosis", "n"), F.struct("sharpe", "series")).alias("w"), F.count(F.lit(1)).alias("models"), F.var_samp("sharpe").alias("v"))
+    best = own.agg(F.min_by(F.struct("series", "sharpe", "skew", "kurtosis", "n"), F.struct(-F.col("sharpe"), F.col("series"))).alias("w"), F.count(F.lit(1)).alias("models"), F.var_samp("sharpe").alias("v"))
     one = best.select("w.*", "models", F.coalesce("v", F.lit(0.0)).alias("v")).join(effective_trials(grid).select("rho", "effective"))
     tested = spa(stats, means).select(F.col("best").alias("spa_best"), "statistic", "p_upper", "p_lower", "p_consistent")
     one = one.join(tested).join(reality_check(stats, means).select(F.col("p_value").alias("rc_p")))

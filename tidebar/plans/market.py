@@ -154,7 +154,7 @@ def flow_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def augmented_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = flow.trim_leading(flow.flow_columns(hourly(spark, sf_dir), prints(spark, sf_dir), HOUR, z_window=24).where("valid"))
+    columns = flow.trim_leading(flow.flow_columns(hourly(spark, sf_dir), prints(spark, sf_dir), HOUR, z_window=24))
     names = ["funding_bps", "trade_count_surge"]
     return rounded(flow.augment(features(spark, sf_dir), columns, names).select("series", "row", "log_return", *names))
 

@@ -13,7 +13,7 @@ from ..models.grouped import _MODEL, _MODEL_NAMES
 from ..operators import align, bars as B, features as X, nulls, paper, strategy
 from ..operators.screen import best_cells
 from ..session import settled
-from ..sources import synth, tape
+from ..sources import tape
 from .common import HOUR, r, rounded, rs
 from .trading import POSITIONS, QUOTED, positions, quoted
 
@@ -267,24 +267,21 @@ def paper_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paper_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The accounts between bars: marked at each tick of the last day that has ticks, without a trade."""
+    """The accounts between bars: marked at each tick, without a trade."""
     config = paper.Config(leverage=3.0)
     targets = _paper_targets(spark, sf_dir)
     log = paper.replay(targets, config).join(targets.select("account", "coin", "time", "close"), ["account", "coin", "time"])
     ticks = tape.event_ticks(spark, sf_dir).withColumn("price", F.col("price") + 1000)
-    last = ticks.agg((F.max("time_ms") - 86_400_000).alias("since"))
-    ticks = ticks.join(F.broadcast(last)).where("time_ms > since").select("series", "time_ms", "seq", "price")
-    return rounded(paper.marked(log, ticks, HOUR, config))
+    ticks = ticks.select("series", "time_ms", "seq", "price")
+    return rounded(paper.marked(log, ticks, HOUR, config), 2)  # money, which grows large at this leverage
 
 
-def synthetic_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known regimes, fitted and decoded: the share of bars in the right one under the best naming."""
-    tape = synth.synthetic_bars(spark, 4, 1500)
-    rows = X.price_features(tape, 3)
-    scaled = X.scale(rows, X.fit_scaler(rows, X.PRICE_FEATURES, F.lit(True)), X.PRICE_FEATURES)
-    path = grouped.decoded(scaled, grouped.fit_models(scaled, NAMES, restarts=2), NAMES)
-    truth = rows.select("series", "row", "time").join(tape.select("series", "time", F.col("true_state").alias("truth")), ["series", "time"])
-    return grouped.best_relabelling(path.join(truth, ["series", "row"]), 3)
+def path_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted and decoded states against those of the online jump model on the same bars: agreement under the best naming."""
+    rows = _scaled(spark, sf_dir)
+    path = grouped.decoded(rows, grouped.fit_models(rows, NAMES, restarts=2), NAMES)
+    other = jump_online(spark, sf_dir).withColumnRenamed("state", "truth")
+    return grouped.best_relabelling(path.join(other, ["series", "row"]), 3)
 
 
 SQL = {
@@ -329,13 +326,12 @@ acc AS (
     FROM acc a JOIN told t ON t.account = a.account AND t.k = a.k + 1 WHERE NOT a.dead) AS step)"""
 SQL["paper_records"] = f"{_ACCOUNTS} SELECT account, time, {rs('equity', 'fee')}, {r('hold', 'buy_hold')}, {r('position')}, reason FROM acc"
 SQL["paper_marks"] = f"""{_ACCOUNTS},
-recent AS (SELECT series, time_ms, seq, price FROM ticks WHERE time_ms > (SELECT max(time_ms) FROM ticks) - 86400000),
 points AS (SELECT account, (time + 3600) * 1000 - 1 AS at, equity - fee AS settled, position * equity * 3 AS worth, close FROM acc)
-SELECT account, account AS coin, time_ms, seq, {r('price')}, {r('settled + worth * (price / close - 1)', 'equity')}
-FROM recent ASOF JOIN points ON points.account = recent.series AND recent.time_ms > points.at"""
+SELECT account, account AS coin, time_ms, seq, {r('price', places=2)}, {r('settled + worth * (price / close - 1)', 'equity', 2)}
+FROM ticks ASOF JOIN points ON points.account = ticks.series AND ticks.time_ms > points.at"""
 _UNCHECKED = (
     "hmm_fit", "hsmm_fit", "student_fit", "student_hsmm_fit", "jump_fit", "hmm_decoded", "vb_posterior", "vb_hsmm_posterior", "gibbs_posterior",
-    "posterior_signal", "state_selection", "walk_forward", "walk_forward_metrics", "sweep_cells", "sweep_best", "paper_replay", "synthetic_recovery",
+    "posterior_signal", "state_selection", "walk_forward", "walk_forward_metrics", "sweep_cells", "sweep_best", "paper_replay", "path_agreement",
     "confluence_walk_forward", "collected_panel",
 )
 QUERIES = {name: globals()[name] for name in (*SQL, *_UNCHECKED)}

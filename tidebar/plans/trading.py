@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..operators import align, bars as B, confluence, features as X, forecast, nulls, perp, power, screen, snooping, strategy, trades
+from ..operators import align, bars as B, confluence, features as X, forecast, nulls, perp, power, rotation, screen, snooping, strategy, trades
 from ..session import settled
 from ..sources import tape
 from .common import FEATURES, HOUR, r, rounded, rs
@@ -243,6 +243,22 @@ SELECT series, {rs('actual', 'exposure')}, {r(f'l[{int(0.5 * (TRIALS - 1)) + 1}]
        {r(f'l[{int(0.95 * (TRIALS - 1)) + 1}]', 'p95')}, {r('beat / CAST(trials AS DOUBLE)', 'p_value')}, trials FROM lists"""
 
 
+def rotation_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each series against every rotation of its positions."""
+    return rounded(rotation.rotation_exact(traded(spark, sf_dir), COST))
+
+
+_EXACT = f"""WITH {TRADED},
+own AS (SELECT series, list(position ORDER BY row) AS p, list(ret ORDER BY row) AS r, count(*) AS n FROM traded GROUP BY series),
+turned AS (SELECT series, k AS shift, list_concat(p[k + 1:], p[:k]) AS q, r FROM own, unnest(range(0, n)) AS u(k)),
+totals AS (
+  SELECT series, shift, list_aggregate(list_transform(list_zip(q, r, list_prepend(CAST(0 AS DOUBLE), q)),
+         lambda z: 1 + z[1] * z[2] - abs(z[1] - z[3]) * {COST} * 1e-4), 'product') - 1 AS total FROM turned),
+actual AS (SELECT series, total AS actual FROM totals WHERE shift = 0)
+SELECT series, {r('actual')}, count(*) AS shifts, {r('count(*) FILTER (WHERE total >= actual - 1e-12 * (1 + abs(actual))) / CAST(count(*) AS DOUBLE)', 'p_exact')}
+FROM totals JOIN actual USING (series) WHERE shift > 0 GROUP BY series, actual"""
+
+
 def permutation_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without costs, against free orders of the positions."""
     return rounded(nulls.permutation_test(traded(spark, sf_dir), nulls.shift_table(spark, TRIALS), 0.0))
@@ -259,14 +275,20 @@ def forecast_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(forecast.forecast_test(forecast_panel(spark, sf_dir), nulls.shift_table(spark, TRIALS), (1, 4)))
 
 
-def power_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What it takes to see edges of several sizes and holds, at the break-even of each and beyond."""
-    rows = spark.createDataFrame([(float(e), float(h)) for e in (1, 2, 4, 8) for h in (5, 10, 40)], "edge_bps double, hold double")
-    return rounded(power.table(rows, power.Edge(0, 1, 40, 9, 0.65, 48)))
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge a bar, bars held and spread of returns of each series' positions, in basis points."""
+    rows = traded(spark, sf_dir)
+    before = F.coalesce(F.lag("position").over(Window.partitionBy("series").orderBy("row")), F.lit(0.0))
+    return rows.withColumn("entered", ((F.col("position") > 0) & (before <= 0)).cast("int")).groupBy("series").agg(
+        (F.avg(F.when(F.col("position") > 0, F.col("ret"))) * 1e4).alias("edge_bps"), (F.sum("position") / F.nullif(F.sum("entered"), F.lit(0))).alias("hold")
+    )
 
 
-def permutation_power(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return power.permutation_power(spark, power.Edge(12, 10, 40, 9, 0.5, 48), bars=400, experiments=64, trials=99)
+def power_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What it takes to see the edge that each series' positions have had, at their own holds and at ten times the edge."""
+    own = _edges(spark, sf_dir).where("hold is not null").select("series", "edge_bps", "hold", F.explode(F.array(F.lit(1.0), F.lit(10.0))).alias("times"))
+    asked = own.select(F.round(F.abs("edge_bps") * F.col("times"), 6).alias("edge_bps"), F.round("hold", 6).alias("hold"))
+    return rounded(power.table(asked, power.Edge(0, 1, 40, 9, 0.65, 48)))
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,6 +325,11 @@ ptrials AS (
 pactual AS (SELECT coalesce(avg(net), 0) AS bps, count(net) AS observations FROM pnets)"""
 
 
+def panel_rotation_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pooled statistic against every rotation common to all series."""
+    return rounded(rotation.panel_exact(panel(spark, sf_dir), 4.5))
+
+
 _FORECAST_TEST = f"""WITH {POSITIONS}, {_SHIFTS},
 told AS (SELECT series, time, expected AS forecast, exp(lead(log_return) OVER (PARTITION BY series ORDER BY row)) - 1 AS ret FROM positions),
 axis AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT time FROM told)),
@@ -372,15 +399,15 @@ lgrid AS (SELECT unnest(range(min(bucket), max(bucket) + 1)) AS bucket, min(buck
 cells AS (
   SELECT c.cell AS series, g.bucket * 14400 AS time, g.bucket - g.zero AS i, coalesce(s.v, CAST(0 AS DOUBLE)) AS value
   FROM lgrid g CROSS JOIN (SELECT DISTINCT cell FROM lsum) c LEFT JOIN lsum s ON s.cell = c.cell AND s.bucket = g.bucket)"""
-RESAMPLES, BLOCK = 30, 6.0
+RESAMPLES, BLOCK = 1000, 6.0
 
 
 def _family(spark: SparkSession, sf_dir: str):
     """Statistics and resampled means of all cells; each is read several times by every test, so it is computed once."""
     cells = settled(_cells(spark, sf_dir))
     n = cells.agg(F.max("i")).first()[0] + 1
-    table = snooping.resample_table(spark, n, RESAMPLES, BLOCK)
-    return settled(snooping.long_run(cells, BLOCK)), settled(snooping.resample_means(cells, table))
+    blocks = snooping.resample_blocks(spark, n, RESAMPLES, BLOCK)
+    return settled(snooping.long_run(cells, BLOCK)), settled(snooping.block_means(cells, blocks, n))
 
 
 _FAMILY = f"""{_CELLS},
@@ -648,6 +675,7 @@ SELECT series, count(*) AS trades, count(*) FILTER (WHERE net_pnl > 0) AS wins,
        CAST(sum(exit_row - entry_row) AS BIGINT) AS bars_in_market FROM account GROUP BY series""",
     "confluence_votes": _VOTES,
     "rotation_null": _ROTATION,
+    "rotation_exact": _EXACT,
     "pooled_stat": f"{_PANEL} SELECT {r('bps')}, observations FROM pactual",
     "panel_per_series": f"""{_PANEL} SELECT series, count(net) AS bars, {r('coalesce(avg(net), 0)', 'net_bps')},
 {r('avg(CASE WHEN position IS NOT NULL THEN CASE WHEN abs(position) > 1e-9 THEN 1 ELSE 0 END END)', 'exposure')} FROM pnets GROUP BY series""",
@@ -771,5 +799,5 @@ sums AS (
 SELECT series, {r('''CASE WHEN n < 8 OR sqrt(greatest(c0, 0)) <= 1e-12 * CASE WHEN top > 0 THEN top ELSE 1 END OR m IS NULL OR s = 0 THEN 1
        ELSE least(greatest(pow(g * g / (s * s), 1.0 / 3) * pow(n, 1.0 / 3), 1), CASE WHEN pow(g * g / (s * s), 1.0 / 3) * pow(n, 1.0 / 3) < 1 THEN 1 ELSE ceil(least(3 * sqrt(n), n / 3.0)) END) END''', 'block')} FROM sums"""
 
-_UNCHECKED = ("deflated_sharpe", "judge_sweep", "power_table", "permutation_power")
+_UNCHECKED = ("deflated_sharpe", "judge_sweep", "power_table", "panel_rotation_exact")
 QUERIES = {name: globals()[name] for name in (*SQL, *_UNCHECKED)}

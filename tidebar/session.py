@@ -32,9 +32,18 @@ def build_session(app: str = "tidebar", cpus: int | None = None, **extra: str) -
     return session
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share. It must be named on a cluster; a session of one machine may use one beside its warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept as a checkpoint in ``spark.checkpoint.dir``, or beside the warehouse where that is unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    """``df`` computed once and kept as a checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
