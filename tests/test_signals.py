@@ -181,3 +181,43 @@ def test_states_in_their_own_units(spark):
     scaler = spark.createDataFrame([("a", 0.5, 2.0, -1.0, 0.1)], "series string, log_return_mean double, log_return_sd double, realized_vol_mean double, realized_vol_sd double")
     got = grouped.state_units(saved, scaler, ["log_return", "realized_vol"]).orderBy("state").collect()
     assert np.allclose([(r.mean_return, r.volatility) for r in got], np.stack([m.mu[:, 0] * 2 + 0.5, np.exp(m.mu[:, 1] * 0.1 - 1)], 1))
+
+
+def test_composed_maps_are_the_loop(spark, monkeypatch):
+    """Maps of three states by array steps, and over blocks of rows in Spark, against one row after the other."""
+    import pandas as pd
+
+    from tidebar.operators import automaton
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 64, 100):
+        maps = rng.integers(0, 3, (n, 3))
+        state, plain = np.arange(3), []
+        for m in maps:
+            state = m[state]
+            plain.append(state)
+        assert (automaton.composed(maps) == np.array(plain)).all()
+    monkeypatch.setattr(automaton, "BLOCK", 9)
+    drawn = {s: rng.integers(0, 3, (n, 3)) for s, n in (("a", 50), ("b", 9), ("c", 1))}
+    rows = spark.createDataFrame([(s, 1000 - t, [int(x) for x in m], "kept") for s, maps in drawn.items() for t, m in enumerate(maps[::-1])], "series string, time long, m array<long>, other string")
+    found = automaton.walked(rows.repartition(3), "time", lambda g: np.stack(g["m"].to_list()))
+    by = {(r.series, r.time): r for r in found.collect()}
+    for s, maps in drawn.items():
+        state, first = 1, 1000 - len(maps) + 1
+        for t, m in enumerate(maps):
+            state = int(m[state])
+            assert by[s, first + t].position == state - 1.0 and by[s, first + t].other == "kept"
+
+
+def test_best_naming_of_many_states(spark):
+    import itertools
+
+    from tidebar.models import grouped
+
+    rng = np.random.default_rng(1)
+    for k in (1, 2, 3, 4, 5, 6):
+        counts = rng.integers(0, 50, (k, k))
+        assert grouped.best_assignment(counts) == max(sum(counts[i, p[i]] for i in range(k)) for p in itertools.permutations(range(k)))
+    named = rng.permutation(12)
+    rows = [("a", int(named[i % 12]), i % 12) for i in range(600)] + [("a", 0, 1)] * 5
+    assert grouped.best_relabelling(spark.createDataFrame(rows, "series string, state int, truth int"), 12).first().accuracy > 0.99

@@ -301,15 +301,31 @@ def select_states(features: DataFrame, names: list[str], candidates: tuple[int,
     return found.withColumn("best", F.row_number().over(Window.partitionBy("series").orderBy(F.col("bound").desc(), "states")) == 1)
 
 
+def best_assignment(counts: np.ndarray) -> int:
+    """The largest sum of entries with one in each row and column: by sets of columns, row after row, so 2**K sums for K states."""
+    k = len(counts)
+    masks = np.arange(1 << k)
+    best = np.full(1 << k, -1)
+    best[0] = 0
+    for row in counts:
+        after = np.full(1 << k, -1)
+        for col in range(k):
+            free = masks[((masks >> col) & 1 == 0) & (best >= 0)]
+            np.maximum.at(after, free | (1 << col), best[free] + row[col])
+        best = after
+    return int(best[-1])
+
+
 def best_relabelling(pairs: DataFrame, states: int) -> DataFrame:
     """Accuracy of each series' path against the truth under the best naming of states: from a table of counts."""
-    from itertools import permutations
-
     counts = pairs.groupBy("series", "state", "truth").agg(F.count(F.lit(1)).alias("n"))
-    names = F.explode(F.array(*(F.array(*map(F.lit, p)) for p in permutations(range(states))))).alias("names")
-    named = counts.select("*", names).withColumn("hit", F.when(F.element_at("names", F.col("state") + 1) == F.col("truth"), F.col("n")).otherwise(0))
-    tried = named.groupBy("series", "names").agg(F.sum("hit").alias("hits"), F.sum("n").alias("rows"))
-    return tried.groupBy("series").agg((F.max("hits") / F.max("rows")).alias("accuracy"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros((states, states), np.int64)
+        table[rows["state"], rows["truth"]] = rows["n"]
+        return pd.DataFrame({"series": rows["series"].iloc[:1], "accuracy": [best_assignment(table) / table.sum()]})
+
+    return counts.groupBy("series").applyInPandas(run, "series string, accuracy double")  # K * K rows a series
 
 
 def occupancy(path: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import automaton
 from .align import completed_bar
 from .bars import by_time
 
@@ -64,20 +66,13 @@ def combine(voted: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def _combine_both(voted: DataFrame, rule: Rule) -> DataFrame:
-    """With shorts a flip passes through a flat bar, which no single window expression says: state along each series' bars."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, out, now = rows.sort_values("time"), [], 0.0
-        for ready, up, down, bulls, bears in zip(rows.ready, rows.bias_long, rows.bias_short, rows.bulls, rows.bears):
-            if not ready:
-                now = 0.0
-            elif now:
-                with_it, n = (up, bulls) if now > 0 else (down, bears)
-                now = 0.0 if (not with_it if rule.exit_on_bias_flip else n == 0) else now
-            else:
-                now = 1.0 if up and bulls == 3 else -1.0 if down and bears == 3 else 0.0
-            out.append(now)
-        return rows.assign(position=out)
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in voted.dtypes) + ", position double"
-    return voted.groupBy("series").applyInPandas(run, schema)
+    """With shorts a flip passes through a flat bar, which no single window expression says: each bar is a map of the side held."""
+
+    def maps(rows: pd.DataFrame) -> np.ndarray:
+        ready, up, down = (rows[c].to_numpy(bool) for c in ("ready", "bias_long", "bias_short"))
+        bulls, bears = rows["bulls"].to_numpy(int), rows["bears"].to_numpy(int)
+        stay_long, stay_short = (up, down) if rule.exit_on_bias_flip else (bulls != 0, bears != 0)
+        enter = np.where(up & (bulls == 3), 1, np.where(down & (bears == 3), -1, 0))
+        return automaton.sided(np.where(ready & stay_short, -1, 0), np.where(ready, enter, 0), np.where(ready & stay_long, 1, 0))
+
+    return automaton.walked(voted, "time", maps)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import automaton
 from .bars import by_time
 
 BPS = 1e-4
@@ -52,32 +54,26 @@ def long_only(forecasts: DataFrame, entry: float, exit: float, *keys: str) -> Da
 def decide(forecasts: DataFrame, strategy: Strategy, keys: tuple[str, ...] = ("series", "block")) -> DataFrame:
     """Adds position with shorts, volatility target and holding times: state within a test block, which is bounded.
 
-    A flip passes through zero. ``forecasts`` has row, expected, and where used volatility, hold and top (probability
+    A flip passes through zero; rows are maps of the side held, which are composed without a loop (:mod:`.automaton`). ``forecasts`` has row, expected, and where used volatility, hold and top (probability
     of the best state).
     """
     names = forecasts.columns
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("row")
-        out, before = [], 0.0
-        hold = rows["hold"] if "hold" in names else pd.Series(1.0, rows.index)
-        vol = rows["volatility"] if "volatility" in names else pd.Series(0.0, rows.index)
-        top = rows["top"] if "top" in names else pd.Series(0.0, rows.index)
-        for x, h, v, p in zip(rows["expected"], hold, vol, top):
-            enter, leave = strategy.thresholds(h)
-            if strategy.confidence > 0:
-                side = float(p > strategy.confidence)
-            elif before:
-                side = float(x > leave) if before > 0 else -float(x < -leave)
-            else:
-                side = 1.0 if x > enter else -1.0 if strategy.allow_short and x < -enter else 0.0
-            if strategy.confidence <= 0:
-                if side and strategy.vol_target > 0 and v > 0:
-                    side *= min(1.0, strategy.vol_target / v)
-                side = max(-strategy.max_position, min(strategy.max_position, side))
-            out.append(side + 0.0)  # no negative zeros
-            before = side
-        return rows.assign(position=out)
+        of = lambda c, other: rows[c].to_numpy(float) if c in names else np.full(len(rows), other)
+        if strategy.confidence > 0:
+            return rows.assign(position=(of("top", 0.0) > strategy.confidence).astype(float))
+        x, vol = of("expected", 0.0), of("volatility", 0.0)
+        enter, leave = strategy.thresholds(1.0)
+        if strategy.duration_aware:  # NaN holds as one bar
+            enter, leave = 2 * strategy.cost_bps * BPS / np.fmax(of("hold", 1.0), 1.0), 0.0
+        short = np.where(x < -enter, -1, 0) if strategy.allow_short else 0
+        maps = automaton.sided(np.where(x < -leave, -1, 0), np.where(x > enter, 1, short), np.where(x > leave, 1, 0))
+        side = automaton.composed(maps)[:, automaton.FLAT] - 1.0
+        if strategy.vol_target > 0:
+            side = side * np.where(vol > 0, np.minimum(1.0, strategy.vol_target / np.where(vol > 0, vol, 1.0)), 1.0)
+        return rows.assign(position=np.clip(side, -strategy.max_position, strategy.max_position) + 0.0)  # no negative zeros
 
     schema = ", ".join(f"`{n}` {t}" for n, t in forecasts.dtypes if n != "position") + ", position double"
     return forecasts.groupBy(*keys).applyInPandas(run, schema)

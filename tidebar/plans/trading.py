@@ -170,19 +170,28 @@ account AS (
   FROM stopped WHERE stop = 0)"""
 
 
-def confluence_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _voted(spark: SparkSession, sf_dir: str, rule: confluence.Rule, bear: float) -> DataFrame:
     bars = quoted(spark, sf_dir)
     w = Window.partitionBy("series").orderBy("time").rowsBetween(-2, 0)
 
-    def rule(rows: DataFrame) -> DataFrame:
+    def told(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("log_return", X.log_return())
-        return rows.select("series", "time", F.avg("log_return").over(w).alias("expected"), F.lit(1.0).alias("bull"), F.lit(0.0).alias("bear"))
+        return rows.select("series", "time", F.avg("log_return").over(w).alias("expected"), F.lit(1.0).alias("bull"), F.lit(bear).alias("bear"))
 
-    seen = confluence.stack(bars, {"bias": (rule(B.rollup(bars, 4)), 4), "setup": (rule(B.rollup(bars, 2)), 2), "trigger": (rule(bars), 1)})
-    done = confluence.combine(confluence.votes(seen))
+    seen = confluence.stack(bars, {"bias": (told(B.rollup(bars, 4)), 4), "setup": (told(B.rollup(bars, 2)), 2), "trigger": (told(bars), 1)})
+    done = confluence.combine(confluence.votes(seen, rule), rule)
     return done.select("series", "time", "ready", "bulls", "bears", "agreement", "position")
 
 
+def confluence_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _voted(spark, sf_dir, confluence.Rule(), 0.0)
+
+
+def confluence_shorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides: three must agree to enter, a position is held until nobody votes for it, and a flip passes through flat."""
+    return _voted(spark, sf_dir, confluence.Rule(exit_on_bias_flip=False, allow_short=True), 1.0)
+
+
 _BARS = QUOTED[: QUOTED.index(",\nreturns AS")]
 _ROLE = """{role} AS (
   SELECT series, idx, avg(lr) OVER (PARTITION BY series ORDER BY idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS e FROM (
@@ -209,6 +218,20 @@ SELECT series, time, ready, bulls, bears, CASE WHEN ready THEN bulls - bears ELS
 FROM votes"""
 
 
+_SHORTS = _VOTES[: _VOTES.index("SELECT series, time, ready")].replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
+placed AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY time) AS k FROM votes),
+held AS (
+  SELECT series, k, CASE WHEN ready AND be > 0 AND bulls = 3 THEN 1 WHEN ready AND be < 0 AND bears = 3 THEN -1 ELSE 0 END AS side FROM placed WHERE k = 1
+  UNION ALL
+  SELECT p.series, p.k, CASE WHEN NOT p.ready THEN 0
+         WHEN h.side = 1 THEN CASE WHEN p.bulls = 0 THEN 0 ELSE 1 END
+         WHEN h.side = -1 THEN CASE WHEN p.bears = 0 THEN 0 ELSE -1 END
+         WHEN p.be > 0 AND p.bulls = 3 THEN 1 WHEN p.be < 0 AND p.bears = 3 THEN -1 ELSE 0 END
+  FROM held h JOIN placed p ON p.series = h.series AND p.k = h.k + 1)
+SELECT series, time, ready, bulls, bears, CASE WHEN ready THEN bulls - bears ELSE 0 END AS agreement, CAST(side AS DOUBLE) AS position
+FROM placed JOIN held USING (series, k)"""
+
+
 def rotation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(nulls.rotation_null(traded(spark, sf_dir), nulls.shift_table(spark, TRIALS), COST))
 
@@ -676,6 +699,7 @@ SELECT series, count(*) AS trades, count(*) FILTER (WHERE net_pnl > 0) AS wins,
     "confluence_votes": _VOTES,
     "rotation_null": _ROTATION,
     "rotation_exact": _EXACT,
+    "confluence_shorts": _SHORTS,
     "pooled_stat": f"{_PANEL} SELECT {r('bps')}, observations FROM pactual",
     "panel_per_series": f"""{_PANEL} SELECT series, count(net) AS bars, {r('coalesce(avg(net), 0)', 'net_bps')},
 {r('avg(CASE WHEN position IS NOT NULL THEN CASE WHEN abs(position) > 1e-9 THEN 1 ELSE 0 END END)', 'exposure')} FROM pnets GROUP BY series""",
