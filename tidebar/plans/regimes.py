@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..models import blocked, grouped, signals
+from ..models import blocked, grouped, signals, sweep
 from ..models.grouped import _MODEL, _MODEL_NAMES
-from ..operators import align, bars as B, features as X, nulls, paper, strategy
+from ..operators import align, features as X, nulls, paper, strategy
 from ..operators.screen import best_cells
 from ..session import settled
 from ..sources import tape
@@ -175,30 +173,16 @@ def walk_forward_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _results(features(spark, sf_dir), _forecasts(spark, sf_dir, "hsmm", most=MOST), plan, 8766.0)[1]
 
 
+SWEEP = sweep.Plan(factors=(1, 2), kinds=("hmm", "student", "jump"), train=TRAIN, test=TEST, restarts=2, most=MOST, trials=50, rule=strategy.Strategy(cost_bps=4.5))
+
+
 def sweep_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Walk-forwards of every series, two bar lengths and two models, against rotations of themselves and perfect foresight.
+    """Walk-forwards of every series, two bar lengths and three kinds of model, against rotations of themselves and perfect foresight.
 
     A cell that cannot be had is a row that says why.
     """
-    plan, cells = strategy.Strategy(cost_bps=4.5), []
-    names = bars(spark, sf_dir).select("series").distinct()
-    for factor in (1, 2):
-        rows = X.price_features(B.rollup(bars(spark, sf_dir), factor))
-        for kind in ("hmm", "jump"):
-            forecasts = settled(grouped.walk_forward(rows, NAMES, kind, train=TRAIN, test=TEST, restarts=2))
-            done, measured = _results(rows, forecasts, plan, 8766.0 / factor)
-            null = nulls.permutation_test(done, nulls.shift_table(spark, 50), plan.cost_bps)
-            most = nulls.ceiling(done, (20,), (plan.cost_bps,)).select("series", F.col("roi").alias("ceiling"))
-            found = measured.join(null.drop("exposure"), "series").join(most, "series")
-            failed = forecasts.groupBy("series").agg(F.max("skipped").alias("failed"))
-            found = names.join(failed, "series", "left").join(found, "series", "left").withColumn("cell", F.lit(f"{factor}h/{kind}"))
-            why = F.coalesce("failed", F.when(F.coalesce("bars", F.lit(0)) < TEST, "too few bars"))
-            cells.append(found.withColumn("skipped", why))
-    every = reduce(DataFrame.unionByName, cells)
-    return every.select(
-        "series", "cell", F.col("position_changes").alias("trades"), "exposure", "total_return", "ceiling", (F.col("actual") - F.col("median_random")).alias("excess"),
-        "p_value", "skipped",
-    )
+    found = sweep.sweep(bars(spark, sf_dir), SWEEP)
+    return found.select("series", "cell", "trades", "exposure", "total_return", "ceiling", "excess", "p_value", "skipped")
 
 
 def sweep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
