@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidebar.operators import bars as B
 from tidebar.operators import paper
-from tidebar.sources import files, synth
+from tidebar.sources import files, lookups, synth
 from tidebar.streaming import live
 
 
@@ -94,3 +94,32 @@ def test_streamed_account_is_the_replay(spark, tmp_path):
     query.stop()
     key = lambda df: [(r.time, round(r.equity, 9), r.reason) for r in df.orderBy("time").collect()]
     assert key(spark.table("live_accounts")) == key(paper.replay(targets))
+
+
+def test_prints_of_ranges_keep_the_last_span(spark):
+    """Spans that overlap at their edge, a missing premium, stamps and rates that are no numbers, and pages nobody asked for."""
+    import json
+    import math
+
+    hour = 3_600_000
+    ranges = spark.createDataFrame([("a", 0, 4 * hour), ("b", 0, 0)], "series string, start_ms long, end_ms long")
+    page = lambda *rows: json.dumps([dict(zip(("time", "fundingRate", "premium"), r)) for r in rows])
+    pages = [
+        ("a", 0, page((hour, "0.1", "0.5"), (2 * hour, "0.2", None), (None, "9", "9"))), ("a", 2 * hour, page((2 * hour, "0.3", "x"), (3 * hour, "bad", "1"), (3 * hour + 1, "0.4", 2))),
+        ("a", 9 * hour, page((10 * hour, "7", "7"))), ("b", 0, page((hour, "7", "7"))),
+    ]
+    found = files.prints_in_ranges(spark.createDataFrame(pages, "series string, from_ms long, body string"), ranges, most_hours=2)
+    rows = sorted((r.series, r.time_ms, r.rate, r.premium) for r in found.collect())
+    assert [r[:3] for r in rows] == [("a", hour, 0.1), ("a", 2 * hour, 0.3), ("a", 3 * hour + 1, 0.4)]
+    assert rows[0][3] == 0.5 and math.isnan(rows[1][3]) and rows[2][3] == 2.0
+
+
+def test_lookups(spark):
+    rows = spark.createDataFrame([("5m", " SOL"), ("12H", "polygon"), ("1d", "somewhere-new")], "length string, network string")
+    seconds = lookups.seconds_of(F.col("length"))
+    found = rows.select(seconds.alias("s"), lookups.bars_per_year(seconds).alias("y"), lookups.bars_per_day(seconds).alias("d"), lookups.network_id(F.col("network")).alias("n")).collect()
+    assert [(r.s, r.d, r.n) for r in found] == [(300, 288, "solana"), (43_200, 2, "polygon_pos"), (86_400, 1, "somewhere-new")]
+    assert found[2].y == 365.25
+    assert [r[0] for r in spark.createDataFrame([("1m",), ("1M",), ("1w",)], "length string").select(lookups.perp_seconds_of(F.col("length"))).collect()] == [60, 2_592_000, 604_800]
+    with pytest.raises(Exception, match="unsupported bar length"):
+        spark.createDataFrame([("7m",)], "length string").select(lookups.seconds_of(F.col("length"))).collect()

@@ -135,6 +135,24 @@ def request_spans(ranges: DataFrame, most_hours: int = 480) -> DataFrame:
     return tiled.select("series", "from_ms", F.least(F.col("from_ms") + span, "end_ms").alias("to_ms"))
 
 
+def prints_in_ranges(pages: DataFrame, ranges: DataFrame, most_hours: int = 480) -> DataFrame:
+    """Funding prints of the asked ranges (series, start_ms, end_ms) from pages recorded span by span (series, from_ms, body).
+
+    Only pages of spans that the ranges are tiled into count, and of a stamp in several of them the one of the last span;
+    rows without a finite stamp or rate are left out, and a premium that is missing is NaN.
+    """
+    kind = "array<struct<time:string,fundingRate:string,premium:string>>"
+    spans = request_spans(ranges, most_hours).select("series", "from_ms").distinct()
+    rows = pages.join(spans, ["series", "from_ms"]).select("series", "from_ms", F.posexplode(F.from_json("body", kind)).alias("pos", "v"))
+    number = lambda f: F.expr(f"try_cast(v.{f} as double)")
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    rows = rows.select("series", "from_ms", "pos", number("time").alias("time_ms"), number("fundingRate").alias("rate"), number("premium").alias("premium"))
+    rows = rows.where(finite(F.col("time_ms")) & finite(F.col("rate")))
+    one = rows.groupBy("series", F.col("time_ms").cast("long").alias("time_ms")).agg(F.max_by(F.struct("rate", "premium"), F.struct("from_ms", "pos")).alias("v"))
+    premium = F.when(finite(F.col("v.premium")), F.col("v.premium")).otherwise(F.lit(float("nan")))
+    return one.select("series", "time_ms", "v.rate", premium.alias("premium"))
+
+
 def fresh(cache: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
     """Rows of a landing table that were saved within the last ``ttl_seconds``."""
     return cache.where(F.col("saved_at") > now - ttl_seconds)
