@@ -156,7 +156,7 @@ def test_toxicity_of_odd_rows(spark, docs, empty):
     assert {r.held_out for r in got if r.doc_id is None} == {False}
 
 
-def test_nearest_neighbours(spark):
+def test_nearest_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((900, 24)).astype(np.float32)
     x[50] = x[51] = x[100]
@@ -176,6 +176,9 @@ def test_nearest_neighbours(spark):
     twice = ann.search_hundredths(spark.createDataFrame(rows + again, "vec_id long, embedding array<float>, label int")).where("query_id = 100").collect()
     by_rank = sorted(r.rank for r in twice)
     assert by_rank == sorted([*range(1, 11)] * 3)  # three different vectors of one id, the repeated row asked once
+    monkeypatch.setattr(ann, "PART_BYTES", 300)  # many parts of queries
+    parted = ann.search_hundredths(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)).collect()
+    assert sorted(parted) == sorted(got)
     assert ann.search_hundredths(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
 

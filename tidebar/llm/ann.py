@@ -14,6 +14,8 @@ with its own ranks; ties go to the smaller id; other columns are left alone; an
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,6 +26,8 @@ from .common import materialize
 
 #: Vectors of one block of the index, and queries of one block.
 BLOCK, QUERY_BLOCK = 4096, 512
+#: Bytes of queries that are broadcast at once; more go in several scans of the index.
+PART_BYTES = 64 << 20
 #: Standard deviations of the estimate that the bound allows for; a normal error is beyond it once in 10**4 cases.
 BOUND = 3.9
 SEED = 20_24
@@ -164,8 +168,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     centers = _center(vectors)
     index = materialize(build_blocks(vectors, centers, BLOCK), "ann-index")
     asked = queries.select("vec_id", "embedding").distinct()
-    asked = materialize(build_blocks(asked.repartition(-(-queries.count() // QUERY_BLOCK) or 1), centers, QUERY_BLOCK), "ann-queries")
-    asked = asked.select(F.monotonically_increasing_id().alias("q_block"), *(F.col(c).alias(f"q_{c}") for c in ("dim", "n", "ids", "vectors")))
+    blocks = build_blocks(asked.repartition(-(-queries.count() // QUERY_BLOCK) or 1), centers, QUERY_BLOCK)
+    asked = materialize(blocks.select(F.monotonically_increasing_id().alias("q_block"), *(F.col(c).alias(f"q_{c}") for c in ("dim", "n", "ids", "vectors"))), "ann-queries")
+    parts = -(-(asked.agg(F.sum(F.length("q_ids") + F.length("q_vectors")).alias("b")).first()["b"] or 0) // PART_BYTES) or 1
 
     def run(batches):
         for batch in batches:
@@ -191,8 +196,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                     names = ["query_id", "place", "vec_id", "score"]
                     yield pa.RecordBatch.from_arrays([pa.array([r["q_block"]] * len(columns[0]), pa.int64()), *columns], names=["q_block", *names])
 
-    # the stated query set against the whole index, block by block: a row for each pair of blocks
-    found = index.crossJoin(asked).mapInArrow(run, "q_block long, query_id long, place long, vec_id long, score double")
+    def against(part: int) -> DataFrame:
+        own = asked.where(F.pmod(F.xxhash64("q_block"), F.lit(parts)) == part)
+        return index.crossJoin(F.broadcast(own)).mapInArrow(run, "q_block long, query_id long, place long, vec_id long, score double")
+
+    # the stated query set against the whole index, block by block: a row for each pair of blocks, queries in parts that may be broadcast
+    found = functools.reduce(DataFrame.unionByName, map(against, range(parts)))
     order = Window.partitionBy("q_block", "place").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

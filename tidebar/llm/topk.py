@@ -20,6 +20,8 @@ the smaller id; fewer than k candidates give fewer rows; an empty table gives no
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -164,10 +166,8 @@ def _searched(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 def _in_parts(index: DataFrame, asked: DataFrame, size: int, k: int) -> DataFrame:
     """All queries (``size`` bytes of them) against all shelves, in parts small enough to be broadcast."""
     parts = -(-size // PART_BYTES) or 1
-    out = _searched(index, asked.where(F.pmod("q_block", F.lit(parts)) == 0), k)
-    for p in range(1, parts):
-        out = out.unionByName(_searched(index, asked.where(F.pmod("q_block", F.lit(parts)) == p), k))
-    return out
+    own = [asked.where(F.pmod(F.xxhash64("q_block"), F.lit(parts)) == p) for p in range(parts)]
+    return functools.reduce(DataFrame.unionByName, [_searched(index, part, k) for part in own])
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
