@@ -221,3 +221,16 @@ def test_best_naming_of_many_states(spark):
     named = rng.permutation(12)
     rows = [("a", int(named[i % 12]), i % 12) for i in range(600)] + [("a", 0, 1)] * 5
     assert grouped.best_relabelling(spark.createDataFrame(rows, "series string, state int, truth int"), 12).first().accuracy > 0.99
+
+
+def test_ranks_of_ranges_are_the_ranks(spark):
+    """Mid-ranks over ranges against one window, with ties, few values and a key that the splitters have not seen."""
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    rows = [(t, h, float(x), float(y)) for t in (-1, 0, 1) for h in (1, 4) for x, y in zip(rng.integers(0, 40, 300), rng.normal(0, 1 + t * t, 300))]
+    pairs = spark.createDataFrame(rows, "trial long, horizon int, forecast double, ret double").repartition(3)
+    found = forecast.distributed_ranks(pairs, {"forecast": "rf", "ret": "rr"}, sample=F.col("trial") == -1).toPandas().sort_values(["trial", "horizon", "forecast", "ret"])
+    plain = pd.DataFrame(rows, columns=["trial", "horizon", "forecast", "ret"]).sort_values(["trial", "horizon", "forecast", "ret"])
+    for name, value in (("rf", "forecast"), ("rr", "ret")):
+        assert np.allclose(found[name].to_numpy(), plain.groupby(["trial", "horizon"])[value].rank().to_numpy())

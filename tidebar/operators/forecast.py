@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
 from .ic import mid_rank, pearson
 from .nulls import _shift
 
 #: The arrangement that was observed, among the trials.
 ACTUAL = -1
+#: Ranges of values that are ranked apart.
+RANK_PARTS = 64
 
 
 def forward_return(horizon: int) -> Column:
@@ -36,15 +39,36 @@ def arrangements(panel: DataFrame, shifts: DataFrame, horizons: tuple[int, ...])
     return observed.unionByName(turned).join(said, ["series", "j"]).select("trial", "horizon", "forecast", "ret")
 
 
+def distributed_ranks(pairs: DataFrame, columns: dict[str, str], keys: tuple[str, ...] = ("trial", "horizon"), shared: str = "horizon", sample: Column | None = None) -> DataFrame:
+    """``pairs`` with the mid-rank of each of ``columns`` (value: name) within ``keys``, no matter how many rows a key has.
+
+    Splitters between ``RANK_PARTS`` ranges come from the rows of ``sample`` of each ``shared`` key, whose values the other keys have
+    too, in another order. A row's rank is its rank within its range and how many rows of its key the ranges below hold.
+    """
+    at = [k / RANK_PARTS for k in range(1, RANK_PARTS)]
+    known = pairs.where(sample) if sample is not None else pairs
+    edges = known.groupBy(shared).agg(*(F.percentile_approx(c, at, 1000).alias(f"_edges_{c}") for c in columns))  # a row a shared key
+    out = pairs.join(F.broadcast(edges), shared)
+    for c, name in columns.items():
+        part = f"_part_{c}"
+        value = F.col(c)
+        out = out.withColumn(part, F.size(F.filter(f"_edges_{c}", lambda e: e < value))).drop(f"_edges_{c}")  # noqa: B023
+        below = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        counts = out.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("_n"))
+        offsets = counts.select(*keys, part, F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"))
+        out = out.join(offsets, [*keys, part]).withColumn(name, F.col("_below") + mid_rank(c, *keys, part)).drop("_below", part)
+    return out
+
+
 def forecast_test(panel: DataFrame, shifts: DataFrame, horizons: tuple[int, ...] = (1,)) -> DataFrame:
     """One row: observations, slope, ic, rank_ic and their p-values, of the first horizon; rank_ic is the mean over all of them.
 
     ``p_value``: as large an ic or larger. ``p_rank``: a rank_ic as far from the trials' median, either way. ``p_rank_lower``: as
     small a rank_ic, which only counts where the direction was fixed beforehand. The observed arrangement counts as one trial.
     """
-    pairs = arrangements(panel, shifts, horizons)
+    pairs = settled(arrangements(settled(panel), shifts, horizons))  # read for splitters, offsets and ranks
     keys = ("trial", "horizon")
-    ranked = pairs.withColumn("rf", mid_rank("forecast", *keys)).withColumn("rr", mid_rank("ret", *keys))
+    ranked = distributed_ranks(pairs, {"forecast": "rf", "ret": "rr"}, keys, sample=F.col("trial") == ACTUAL)
     zero = F.lit(0.0)
     slope = F.coalesce(F.covar_pop("forecast", "ret") / F.nullif(F.var_pop("forecast"), zero), zero)
     each = ranked.groupBy(*keys).agg(
