@@ -64,32 +64,33 @@ _BELIEF = "series string, time long, state int, now array<double>, ahead array<d
 def live_beliefs(rows: DataFrame, models: DataFrame, names: list[str], kind: str = "hmm", price: float = 1.0) -> DataFrame:
     """Filtered beliefs of each bar and of the next, as the batch filter has them, from a stream with series, time and features.
 
-    ``models``: a saved table of :func:`fit_models`, one row a series, sent to the tasks. Bars must come in order of time
-    from trigger to trigger; one that is not later than the last one changes nothing and gives no row.
+    ``models``: a saved table of :func:`fit_models`, one row a series, joined to the bars, so that only the models of a batch's
+    series travel. Bars must come in order of time from trigger to trigger; one that is not later than the last one changes
+    nothing and gives no row; nor does one of a series without a model.
     """
-    saved = {r["series"]: r.asDict() for r in models.where("skipped is null").collect()}
-    held = rows.sparkSession.sparkContext.broadcast(saved)
+    parts = ("states", "pi", "a", "mu", "var", "nu", "dur")
+    own = models.where("skipped is null").select("series", *(F.col(c).alias(f"_{c}") for c in parts))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         given = pd.concat(list(batches)).sort_values("time")
+        m = from_row({c: given[f"_{c}"].iloc[0] for c in parts}, len(names))
+        last, held = (state.get[0], np.array(state.get[1])) if state.exists else (None, None)
         out = []
-        if key[0] in held.value:
-            m = from_row(held.value[key[0]], len(names))
-            last, own = (state.get[0], np.array(state.get[1])) if state.exists else (None, None)
-            for at, x in zip(given["time"].tolist(), given[names].to_numpy(float)):
-                if last is not None and at <= last:
-                    continue
-                if kind == "jump":
-                    own, now, ahead = jump.belief_step(m, x, own, price)
-                else:
-                    own, now, ahead = (semi if m.dur is not None else chain).belief_step(m, x, own)
-                last = at
-                out.append((key[0], at, int(now.argmax()), now.tolist(), ahead.tolist()))
-            if out:
-                state.update((int(last), own.tolist()))
+        for at, x in zip(given["time"].tolist(), given[names].to_numpy(float)):
+            if last is not None and at <= last:
+                continue
+            if kind == "jump":
+                held, now, ahead = jump.belief_step(m, x, held, price)
+            else:
+                held, now, ahead = (semi if m.dur is not None else chain).belief_step(m, x, held)
+            last = at
+            out.append((key[0], at, int(now.argmax()), now.tolist(), ahead.tolist()))
+        if out:
+            state.update((int(last), held.tolist()))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _BELIEF.split(", ")])
 
-    return rows.groupBy("series").applyInPandasWithState(run, _BELIEF, "last long, filter array<double>", "append", GroupStateTimeout.NoTimeout)
+    joined = rows.select("series", "time", *names).join(own, "series")
+    return joined.groupBy("series").applyInPandasWithState(run, _BELIEF, "last long, filter array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def live_marks(ticks: DataFrame, held: DataFrame) -> DataFrame:
