@@ -533,16 +533,16 @@ def rejected_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as one row of parallel arrays, as a venue publishes its markets; some are delisted or have no price."""
+    """Suppliers as venues, one a nation, that publish their markets as parallel arrays; some are delisted or have no price."""
     rows = tape.read_table(spark, sf_dir, "supplier")
     market = F.struct(
         "s_suppkey", F.col("s_name").alias("names"), F.col("s_acctbal").alias("marks"), (F.col("s_acctbal") - F.col("s_nationkey")).alias("previous"),
         F.col("s_nationkey").cast("double").alias("interest"), ((F.col("s_suppkey") * 37) % 1009).cast("double").alias("notional"), (F.col("s_suppkey") % 7 == 0).alias("delisted"),
     )
-    listed = rows.agg(F.sort_array(F.collect_list(market)).alias("l"))
+    listed = rows.groupBy("s_nationkey", F.floor(F.col("s_suppkey") / 1000).alias("page")).agg(F.collect_list(market).alias("l"))  # pages of a thousand
     names = ("names", "marks", "previous", "interest", "notional", "delisted")
     universe = listed.select(*(F.col(f"l.{c}").alias(c) for c in names))
-    return rounded(screen.top_markets(universe, 25))
+    return rounded(screen.top_markets(screen.markets_of(universe), 25))
 
 
 def markets_with_best(spark: SparkSession, sf_dir: str) -> DataFrame:
