@@ -130,3 +130,21 @@ def test_hot_keys_are_split_without_loss(spark):
     got = common.spread_join(many, few, ["key"], "rows", 5000, F.col("id"))
     assert got.count() == 5000 and got.where("said <> key * 2").count() == 0
     assert got.columns == ["key", "id", "rows", "said"]
+
+
+def test_rows_without_an_id_are_packed_like_others(spark, monkeypatch):
+    """A third of all rows without an id, another with one id: slots have no gaps, equal texts share a shard, sizes are near equal."""
+    import collections
+
+    from tidebar.llm import shards
+
+    monkeypatch.setattr(shards, "RANK_ROWS", 10)
+    rows = [(None, f"text {i}") for i in range(300)] + [(7, f"other {i}") for i in range(300)] + [(i, "same" if i % 3 else f"own {i}") for i in range(1000, 1300)]
+    found = shards.shard_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(found) == 900
+    slots, sizes = collections.defaultdict(list), collections.Counter()
+    for r in found:
+        slots[r.shard].append(r.slot)
+        sizes[r.shard] += r["size"]
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and len(slots) == 8
+    assert len({r.shard for r in found if r["size"] == 5}) == 1 and max(sizes.values()) - min(sizes.values()) < 1100

@@ -140,6 +140,7 @@ def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     spark = docs.sparkSession
     facts = docs.select(
         "doc_id",
+        F.monotonically_increasing_id().alias("row"),  # written with the facts: tells rows of one id, or of none, apart
         group_key(F.col("text")).alias("g"),
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0).cast("long")).alias("text_crc32"),
@@ -171,8 +172,8 @@ def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     # at most a few intervals for each of at most log(total) / log(CLASS_STEP) classes: bounded whatever the input
     spread = in_class.join(F.broadcast(of_small), "cls").where("rank >= start and rank < stop").select("g", "n_docs", "shard")
     chosen = materialize(spread.unionByName(of_large), "shard-of-group")
-    put = spread_join(facts, chosen, ["g"], "n_docs", n_docs, F.col("doc_id")).drop("n_docs")
-    placed_docs = ranked(put, "shard", F.xxhash64("doc_id"), n_docs, "slot")
+    put = spread_join(facts, chosen, ["g"], "n_docs", n_docs, F.col("row")).drop("n_docs")
+    placed_docs = ranked(put, "shard", F.xxhash64("row"), n_docs, "slot")
     return placed_docs.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
 
 
