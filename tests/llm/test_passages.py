@@ -175,41 +175,70 @@ def test_components(spark):
     assert {r.id: r.component for r in got.collect()} == {4: 3, 5: 3, 9: 3, 100: 3, 21: 20, 22: 20}
 
 
-def brute_keys(line, documents):
-    """Templates of a line by the book, as tuples; ``documents``: in how many documents each token is."""
-    words = WORD.findall(line)
-    tokens = ["*" if re.search("[0-9]", w) else w for w in words]
-    fixed = sum(t != "*" for t in tokens)
-    keys = {("all", *tokens)} if fixed else set()
-    for k, kind in enumerate(("even", "odd")):
-        half = tokens[2 + k :: 2]
-        if sum(t != "*" for t in half) >= 3:
-            keys.add((kind, len(tokens), *tokens[:2], *half))
-    for step in range(13):
-        part = ["*" if documents[w] < 10 * 4**step else t for w, t in zip(words, tokens)]
-        left = sum(t != "*" for t in part)
-        if left < fixed and 3 * (fixed - left) <= fixed and left >= 3:
-            keys.add(("rare", *part))
-    return keys | ({("exact", *words)} if len(words) >= 13 else set())
+def shape_of(line):
+    return tuple("\n" if re.search("[0-9]", w) else w for w in WORD.findall(line))
+
+
+def brute_templates(shapes):
+    """The templates of each shape by the book, as tuples; ``shapes``: all different ones."""
+    out, leaves = {}, {}
+    for s in shapes:
+        if sum(t != "\n" for t in s) > 3:
+            for tree, at in enumerate((0, len(s) // 2 - 1, len(s) - 2)):
+                leaves.setdefault((tree, len(s), s[at : at + 2]), []).append(s)
+    for leaf, held in leaves.items():
+        n = collections.Counter((k, t) for s in held for k, t in enumerate(s) if t != "\n")
+        for s in held:
+            words = sum(t != "\n" for t in s)
+            for step in range(1, len(held).bit_length()):
+                part = tuple("\n" if t == "\n" or n[k, t] < 2**step else t for k, t in enumerate(s))
+                left = sum(t != "\n" for t in part)
+                if left < words and 3 * (words - left) <= words and left >= 3:
+                    out.setdefault(s, set()).add((leaf, part))
+    return out
 
 
 def brute_lines(rows):
-    documents = collections.Counter(w for _, t in rows for w in set(WORD.findall(t or "")))
+    every = {line for _, t in rows for line in (t or "").split("\n")}
+    templates = brute_templates({shape_of(x) for x in every})
+
+    def keys(line):
+        shape, words = shape_of(line), WORD.findall(line)
+        own = {("all", shape)} if set(shape) - {"\n"} else set()
+        return own | templates.get(shape, set()) | ({("exact", *words)} if len(words) >= 13 else set())
+
+    of = {line: keys(line) for line in every}
     docs = {}
     for i, t in rows:
         for line in set((t or "").split("\n")):
-            for key in brute_keys(line, documents):
+            for key in of[line]:
                 docs.setdefault(key, set()).add(i)
     least = lambda k: 2 if k[0] == "exact" else 10
     found = {k: min(x for x in d if x is not None) for k, d in docs.items() if len(d - {None}) >= least(k)}
     out = []
     for i, t in rows:
-        every = t.split("\n") if t else []
-        left = [x for x in every if not any(k in found and (i is None or found[k] != i) for k in brute_keys(x, documents))]
-        out.append((i, len(every), len(every) - len(left), None if t is None else "\n".join(left)))
+        own = t.split("\n") if t else []
+        left = [x for x in own if not any(k in found and (i is None or found[k] != i) for k in of[x])]
+        out.append((i, len(own), len(own) - len(left), None if t is None else "\n".join(left)))
     return sorted(out, key=str)
 
 
+def test_neighbouring_fields_of_common_names(spark):
+    """Forty pairs of names, common elsewhere, amid words that are not; fields first, last and at both ends; a value in half the lines."""
+    first = ["Anna", "Ben", "Carl", "Dora", "Emil"]
+    last = ["Smith", "Jones", "Gray", "Hill", "Wood", "Lake", "Stone", "Field"]
+    rows = []
+    for i in range(40):
+        a, b = first[i % 5], last[i // 5]
+        rows.append((i, f"Reported by {a} {b} for the Gazette newsdesk team\n{a} {b} wrote this page for all of us\n{b} was heard here once again {a}\nThe {'old' if i % 2 else 'new'} edition is read by {a} again"))
+    rows += [(100 + i, f"{first[i % 5]} own{'x' * i} {last[i % 8]}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in lines.drop_recurring_lines(docs).collect()), key=str)
+    assert found == brute_lines(rows)
+    by_id = {r[0]: r[2] for r in found}
+    assert by_id[0] == 0 and all(by_id[i] == 4 for i in range(1, 40)) and not any(by_id[i] for i in range(100, 160))
+
+
 def test_recurring_lines_against_brute_force(spark):
     odd = "abcdefghijklmnopqrstuvwxyz"
     rows = [(i, f"page {i} of 12\nOwn words number {odd[i % 10]} of this page {i * 'x'}\n\nAll rights reserved by Mr {'N' * (i + 1)} of this place") for i in range(14)]

@@ -1,25 +1,25 @@
 """Line deduplication by a log-template tree.
 
-Lines end at U+000A; tokens are runs of other than U+0020 and U+0009 to U+000D.
-
-A line's tokens go down a tree of fixed depth: the number of tokens, then the leading tokens. Tokens that hold a digit
-are variable fields and read ``<*>`` from the start. In a leaf, lines are merged into one template where they agree in
-all but some tokens, in either of two ways:
-
-* tokens that are rare in the corpus read ``<*>`` on the way down as well as in the leaf, so names and other fields that
-  change from page to page may stand side by side or begin the line. Rare is said at every step of a scale (in fewer than
-  ``MIN_DOCS`` documents, four times as many, and so on), as long as no more than a third of the words are variable;
-* all tokens at even places, or all at odd places, behind the leading ones agree, so a field may be a common word.
-
-``LEAST_FIXED`` fixed tokens must be left either way. A leaf is thus a set of keys, a few for each line, and nothing ever gathers
-the lines of a leaf. In how many documents a token is comes from all documents, by a sketch of fixed size: two tables of
-2**20 sums of document counts by hash of the token, the smaller sum of the two counts, which is never too small.
-
-A template recurs if it is in ``MIN_DOCS`` documents at least; a line of ``EXACT_TOKENS`` tokens and more, too long to be
+Lines end at U+000A; tokens are runs of other than U+0020 and U+0009 to U+000D. Tokens that hold a digit are variable from
+the start and read ``<*>``; the others are words. A line so read is a shape.
+
+A shape goes down a tree of fixed depth: the number of tokens, then two leading tokens. As fields may stand where a
+line begins, a line leads in three ways, by its first, its middle and its last two tokens: three trees. In a leaf, shapes
+are merged into a template where they agree in all but some words: of each word it is known how many different shapes of
+the leaf have it at that place, and words that fewer than 2, 4, 8, ... shapes have become variable together, as long as no
+more than a third of a line's words do and ``LEAST_FIXED`` are left. A field of which no value is in more than half of the shapes of
+a template is told from the words around it at one of these steps, whatever its values do elsewhere in the corpus, and
+also where several fields stand side by side. Each line thus has a few templates in each leaf.
+
+A template recurs if it is in ``MIN_DOCS`` documents at least, as does a shape itself; a line of ``EXACT_TOKENS`` tokens and more, too long to be
 equal by chance, also if the line itself, digits included, is in ``EXACT_DOCS``. Recurring lines are dropped from every
 document but the one with the smallest id that has the template, so what is said once stays somewhere. Documents stay,
 also those without lines left. Keys are hashes: n of them make n * n / 2**64 false matches.
 
+Nothing gathers the lines of a leaf. A leaf of fewer than ``MIN_DOCS`` documents cannot hold a recurring template, so only the
+different shapes of other leaves are taken apart: one row for each word of a shape and a leaf, counted with partial sums by (leaf,
+place, word), and joined to the counts with hot ones split.
+
 Defined results: a null text stays null, null and empty texts have no lines; blank lines and lines of digits alone are no templates
 and count as lines; rows with a null id are compared, and lose recurring lines, but are nobody's first document; repeated
 rows of one id are one document; other columns are left alone, but for columns named n_lines, n_dropped or kept, which are
@@ -36,166 +36,202 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import discard, free_name, materialize, release, slices, spread_join, word_codes
-from .hashing import mix, powers, span_hashes
+from .hashing import mix, span_hashes
 
 #: Documents in which a template recurs, and in which a long line itself does, at least.
 MIN_DOCS, EXACT_DOCS = 10, 2
-#: Leading tokens on the way to a leaf, and fixed tokens that a generalised template needs.
-LEADING, LEAST_FIXED = 2, 3
+#: Fixed words that a template needs; one word in so many of a line may be variable.
+LEAST_FIXED, VARIABLE = 3, 3
 #: Tokens of a line that is no coincidence.
 EXACT_TOKENS = 13
-#: Steps of the scale of rareness, each so many times the one before.
-STEP = 4
-#: Sums of one table of the sketch, bases of the two tables' polynomials, and chunks that a sketch travels in.
-SKETCH, BASES, _CHUNKS = 1 << 20, (1_103_515_245, 1_597_334_677), 64
-_ALL, _EVEN, _ODD, _RARE, _EXACT = range(5)
 
+_MARKS = "doc_id long, shape long, exact long, leaves array<long>, words int, line string"
+_WORDS = "shape long, words int, leaf long, triple long, said long"
 
-def _token_hashes(vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(table, token): places in the sketch; and a 64-bit hash of each token.
 
-    A place is the upper bits of a polynomial in the token's code points modulo 2**31, whose base is that of the table.
-    """
+def _token_hashes(vocab: pa.Array) -> np.ndarray:
     wide = vocab.cast(pa.large_string())
+    if not len(wide):
+        return np.zeros(0, np.uint64)
     bounds = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
-    if not len(vocab):
-        return np.zeros((2, 0), np.int64), np.zeros(0, np.uint64)
-    raw = wide.buffers()[2][bounds[0] : bounds[-1]]
-    points = np.frombuffer(raw.to_pybytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    ends = np.cumsum(np.asarray(pc.utf8_length(vocab), dtype=np.int64))
-    places = np.empty((2, len(vocab)), np.int64)
-    for k, base in enumerate(BASES):
-        power, inverse = powers(base, len(points))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(points * inverse)])
-        own = (sums[ends] - np.append(np.uint64(0), sums[ends[:-1]])) * power[ends - 1]
-        places[k] = (own & np.uint64((1 << 31) - 1)) >> np.uint64(11)
-    return places, span_hashes(np.frombuffer(raw, np.uint8), bounds[:-1] - bounds[0], bounds[1:] - bounds[0])
-
-
-def document_counts(docs: DataFrame) -> np.ndarray:
-    """(table, place): in how many documents tokens of each place of the sketch are, over all documents."""
-
-    def run(batches):
-        total = np.zeros((2, SKETCH), np.int64)
-        for batch in batches:
-            for start, stop in slices(batch.column("text")):
-                offsets, codes, vocab = word_codes(batch.column("text").slice(start, stop - start))
-                both = np.sort(codes * np.int64(stop - start) + np.repeat(np.arange(stop - start), np.diff(offsets)))
-                times = np.bincount(both[np.diff(both, prepend=-1) != 0] // (stop - start), minlength=len(vocab))
-                for k, places in enumerate(_token_hashes(vocab)[0]):
-                    total[k] += np.bincount(places, weights=times, minlength=SKETCH).astype(np.int64)
-            release()
-        parts = total.reshape(_CHUNKS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["chunk", "sums"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("sums"))
-        return pa.table({"chunk": table.column("chunk")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
-
-    # a task sends its whole sketch in chunks, which are added up chunk by chunk: the size of one sketch reaches the driver
-    rows = docs.select("text").mapInArrow(run, "chunk int, sums binary").groupBy("chunk").applyInArrow(add, "chunk int, sums binary").collect()
-    out = np.zeros((_CHUNKS, 2 * SKETCH // _CHUNKS), np.int64)
-    for r in rows:
-        out[r["chunk"]] = np.frombuffer(r["sums"], np.int64)
-    return out.reshape(2, SKETCH)
+    raw = np.frombuffer(wide.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    return span_hashes(raw, bounds[:-1] - bounds[0], bounds[1:] - bounds[0])
 
 
 class Lines:
-    """The lines of a slice of texts and the keys of their templates."""
-
-    def __init__(self, texts: pa.Array, counts: np.ndarray):
-        split = pc.split_pattern(pc.fill_null(texts, ""), "\n")
-        ends = np.asarray(split.offsets, dtype=np.int64)
-        self.of_text, self.lines = ends - ends[0], split.flatten()
-        self.offsets, self.codes, vocab = word_codes(self.lines)
-        places, self.hash = _token_hashes(vocab)
-        self.digit = np.asarray(pc.match_substring_regex(vocab, "[0-9]"), dtype=bool)
-        self.documents = np.minimum(counts[0][places[0]], counts[1][places[1]])
+    """The tokens of some lines, and hashes of their shapes and leaves."""
+
+    def __init__(self, lines: pa.Array):
+        self.lines = lines
+        self.offsets, codes, vocab = word_codes(lines)
         self.sizes = np.diff(self.offsets)
         self.line = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.place = np.arange(len(self.codes)) - self.offsets[self.line]
-        self.at = mix(self.place.astype(np.uint64) + np.uint64(1))
-
-    def _keys(self, kind: int, lines: np.ndarray, fixed: np.ndarray, used: np.ndarray | None = None) -> np.ndarray:
-        """Keys of the chosen lines; ``fixed`` and ``used`` say of all tokens which are named and which count at all."""
-        chosen = np.zeros(len(self.sizes), bool)
-        chosen[lines] = True
-        token = chosen[self.line] if used is None else chosen[self.line] & used
-        at = np.flatnonzero(token)
-        said = mix(np.where(fixed[at], self.hash[self.codes[at]], np.uint64(0)) + self.at[at])
-        offsets = np.searchsorted(self.line[at], np.append(lines, len(self.sizes)))
+        place = np.arange(len(codes)) - self.offsets[self.line]
+        at = mix(place.astype(np.uint64) + np.uint64(1))
+        self.word = ~np.asarray(pc.match_substring_regex(vocab, "[0-9]"), dtype=bool)[codes]
+        #: What each token says at its place, digits included; and what it says in a shape.
+        self.full = mix(_token_hashes(vocab)[codes] + at)
+        self.said = np.where(self.word, self.full, mix(at))
+        self.words = np.bincount(self.line, weights=self.word, minlength=len(self.sizes)).astype(np.int64)
+
+    def _sums(self, said: np.ndarray, kind: int) -> np.ndarray:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(said)])
-        total = total[offsets[1:]] - total[offsets[:-1]]
-        key = mix(mix(total + self.sizes[lines].astype(np.uint64)) + np.uint64(kind))
-        return (key >> np.uint64(1) << np.uint64(1) | np.uint64(kind == _EXACT)).view(np.int64)
-
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """(line, key) of every template of every line; keys of long lines themselves are odd, all others even."""
-        count = lambda of: np.bincount(self.line[of], minlength=len(self.sizes))
-        word = ~self.digit[self.codes]
-        words = count(word)
-        some = np.flatnonzero(words > 0)
-        out = [(some, self._keys(_ALL, some, word))]
-        for kind, parity in ((_EVEN, 0), (_ODD, 1)):
-            half = (self.place >= LEADING) & ((self.place - LEADING) % 2 == parity)
-            own = np.flatnonzero(count(half & word) >= LEAST_FIXED)
-            out.append((own, self._keys(kind, own, word, half | (self.place < LEADING))))
-        least, before = MIN_DOCS, np.zeros(len(self.sizes), np.int64)
-        found = self.documents[self.codes]
-        while len(found):
-            rare = word & (found < least)
-            n = count(rare)
-            own = np.flatnonzero((n > before) & (3 * n <= words) & (words - n >= LEAST_FIXED))
-            out.append((own, self._keys(_RARE, own, word & ~rare)))
-            if least > found.max() or (3 * n > words)[some].all():
-                break
-            before, least = n, least * STEP
-        own = np.flatnonzero(self.sizes >= EXACT_TOKENS)
-        out.append((own, self._keys(_EXACT, own, np.ones(len(word), bool))))
-        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
-
-    def text_of(self, lines: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.of_text, lines, side="right") - 1
-
-
-def _keys(docs: DataFrame, held) -> DataFrame:
-    """doc_id and key, once for each row of ``docs``."""
+        total = total[self.offsets[1:]] - total[self.offsets[:-1]]
+        return mix(mix(total + self.sizes.astype(np.uint64)) + np.uint64(kind))
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each line its shape, even, and the line itself, odd; and whether it has the one (a word) and the other (a long line)."""
+        shape = self._sums(self.said, 0) >> np.uint64(1) << np.uint64(1)
+        exact = self._sums(self.full, 1) | np.uint64(1)
+        return shape.view(np.int64), exact.view(np.int64), self.words > 0, self.sizes >= EXACT_TOKENS
+
+    def leaves(self, lines: np.ndarray) -> np.ndarray:
+        """(line, tree): the leaves of the chosen lines, which have four tokens at least."""
+        n, first = self.sizes[lines], self.offsets[lines]
+        out = np.empty((len(lines), 3), np.uint64)
+        for tree, lead in enumerate((np.zeros_like(n), n // 2 - 1, n - 2)):
+            at = self.said[first + lead] + self.said[first + lead + 1]
+            out[:, tree] = mix(mix(at + n.astype(np.uint64)) + np.uint64(tree + 1))
+        return out.view(np.int64)
+
+
+def _lines_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    split = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+    ends = np.asarray(split.offsets, dtype=np.int64)
+    return ends - ends[0], split.flatten()
+
+
+def _marks(docs: DataFrame) -> DataFrame:
+    """The different lines of each row of ``docs`` that have a shape or are long; a line is written out once a slice for its shape."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
             for start, stop in slices(batch.column("text")):
-                own = Lines(batch.column("text").slice(start, stop - start), held.value)
-                line, key = own.keys()
-                text = own.text_of(line)
-                order = np.lexsort((key, text))
-                text, key = text[order], key[order]
-                new = np.ones(len(key), bool)
-                new[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1])
-                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start).take(pa.array(text[new])), pa.array(key[new])], names=["doc_id", "key"])
+                of_text, split = _lines_of(batch.column("text").slice(start, stop - start))
+                own = Lines(split)
+                shape, exact, has_shape, long = own.keys()
+                shape, exact = np.where(has_shape, shape, 0), np.where(long, exact, 0)
+                text = np.searchsorted(of_text, np.arange(len(shape)), side="right") - 1
+                at = np.flatnonzero(has_shape | long)
+                order = at[np.lexsort((exact[at], shape[at], text[at]))]
+                new = np.ones(len(order), bool)
+                new[1:] = (np.diff(text[order]) != 0) | (np.diff(shape[order]) != 0) | (np.diff(exact[order]) != 0)
+                at = order[new]
+                # templates mask a word and leave LEAST_FIXED
+                deep = own.words[at] > LEAST_FIXED
+                counts = np.where(deep, 3, 0)
+                leaves = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(own.leaves(at[deep]).ravel()))
+                first = np.zeros(len(at), bool)
+                first[np.unique(shape[at], return_index=True)[1]] = True
+                said = pc.if_else(pa.array(first & deep), split.take(pa.array(at)), pa.scalar(None, pa.string()))
+                columns = [
+                    ids.slice(start, stop - start).take(pa.array(text[at])),
+                    pa.array(shape[at], mask=~has_shape[at]),
+                    pa.array(exact[at], mask=~long[at]),
+                    leaves,
+                    pa.array(own.words[at], pa.int32()),
+                    said,
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _MARKS.split(", ")])
             release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _MARKS)
+
 
+def _words(shapes: DataFrame) -> DataFrame:
+    """One row for each word of each shape in each of its ``leaves``: its leaf, place and self as one hash, and what it says."""
 
-def recurring_templates(keys: DataFrame, min_docs: int = MIN_DOCS, exact_docs: int = EXACT_DOCS) -> DataFrame:
-    """key, docs and first_doc (the smallest id) of the templates in ``min_docs`` documents at least, long lines in ``exact_docs``."""
-    least = F.when(F.col("key") % 2 == 0, min_docs).otherwise(exact_docs)
-    found = keys.groupBy("key").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
+    def run(batches):
+        for batch in batches:
+            for start, stop in slices(batch.column("line")):
+                part = batch.slice(start, stop - start)
+                own = Lines(part.column("line"))
+                leaf = np.asarray(part.column("leaves").flatten(), dtype=np.int64)
+                line = np.repeat(np.arange(len(part)), np.asarray(pc.list_value_length(part.column("leaves"))))
+                # one leaf after the other, so that three trees hold no more than one
+                for tree in range(3):
+                    rank = np.arange(len(line)) - np.searchsorted(line, line)
+                    leaf_of = np.zeros(len(part), np.int64)
+                    has = np.zeros(len(part), bool)
+                    leaf_of[line[rank == tree]], has[line[rank == tree]] = leaf[rank == tree], True
+                    at = np.flatnonzero(own.word & has[own.line])
+                    of = own.line[at]
+                    triple = mix(own.said[at] ^ mix(leaf_of[of].view(np.uint64)))
+                    columns = [part.column("shape").take(pa.array(of)), part.column("words").take(pa.array(of)), pa.array(leaf_of[of])]
+                    columns += [pa.array(triple.view(np.int64)), pa.array(own.said[at].view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _WORDS.split(", ")])
+            release()
+
+    return shapes.select("shape", "words", "leaves", "line").mapInArrow(run, _WORDS)
+
+
+def shape_templates(marks: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """shape, docs and keys: the templates of each shape that has any, apart from itself."""
+    each = marks.where("shape is not null").select("doc_id", "shape", F.explode("leaves").alias("leaf"))
+    some = each.groupBy("leaf").agg(F.count_distinct("doc_id").alias("docs"), F.count("*").alias("rows"), F.min("shape").alias("low"), F.max("shape").alias("high"))
+    crowded = materialize(some.where((F.col("docs") >= min_docs) & (F.col("low") < F.col("high"))).select("leaf", "rows"), "line-leaves")
+    pairs = spread_join(each.select("shape", "leaf"), crowded, ["leaf"], "rows", each.count(), F.col("shape"))
+    shapes = pairs.groupBy("shape").agg(F.collect_set("leaf").alias("leaves"))
+    said = marks.where("line is not null").groupBy("shape").agg(F.first("line").alias("line"), F.first("words").alias("words"))
+    words = materialize(_words(shapes.join(said, "shape")), "line-words")
+    counts = words.groupBy("triple").agg(F.count("*").alias("shapes")).where("shapes > 1")
+    known = spread_join(words, counts, ["triple"], "shapes", words.count(), F.col("shape"))
+    # a line's words by the step at which they become variable; what no other shape has is in none of the rows
+    steps = known.groupBy("shape", "words", "leaf", F.floor(F.log2("shapes")).cast("int").alias("step")).agg(
+        F.count("*").cast("int").alias("n"), F.bit_xor("said").alias("said"))
+    lists = steps.groupBy("shape", "words", "leaf").agg(F.sort_array(F.collect_list(F.struct("step", "n", "said"))).alias("steps"))
+    left = F.transform("steps", lambda _, i: F.slice("steps", i + 1, F.size("steps")))
+    made = lists.select("shape", "words", "leaf", F.explode(left).alias("left")).select(
+        "shape", "words",
+        F.aggregate("left", F.lit(0), lambda a, s: a + s["n"]).alias("fixed"),
+        F.xxhash64("leaf", F.aggregate("left", F.lit(0).cast("long"), lambda a, s: a.bitwiseXOR(s["said"]))).alias("key"))
+    variable = F.col("words") - F.col("fixed")
+    made = made.where((variable > 0) & (variable * VARIABLE <= F.col("words")) & (F.col("fixed") >= LEAST_FIXED))
+    out = materialize(made.groupBy("shape").agg(F.collect_set("key").alias("keys")), "line-keys")
+    discard(crowded, words)
+    return out
+
+
+def _firsts(rows: DataFrame, key: str, least: int) -> DataFrame:
+    """key, docs, and the smallest id as first_doc of the keys in ``least`` documents at least."""
+    found = rows.groupBy(key).agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
     return found.where((F.col("docs") >= least) & F.col("first_doc").isNotNull())
 
 
+def recurring_lines(marks: DataFrame, min_docs: int = MIN_DOCS, exact_docs: int = EXACT_DOCS) -> DataFrame:
+    """key, rows, low and high: the shapes (even) and long lines (odd) that recur, and the least and the greatest first document
+    of their recurring templates. A document that is both keeps the line."""
+    lines = marks.where("shape is not null").select("doc_id", "shape").distinct()
+    held = lines.groupBy("shape").agg(F.count("*").alias("rows"))
+    keys = shape_templates(marks, min_docs)
+    sized = keys.join(held, "shape")
+    of_docs = spread_join(lines, sized, ["shape"], "rows", lines.count(), F.col("doc_id")).select("doc_id", F.explode("keys").alias("key"))
+    templates = materialize(_firsts(of_docs, "key", min_docs), "line-templates")
+    back = keys.select("shape", F.explode("keys").alias("key"))
+    # how many shapes a template has is not known here, but no more than it has lines
+    merged = back.join(templates, "key").select("shape", "first_doc")
+    whole = _firsts(lines, "shape", min_docs).select("shape", "first_doc")
+    exact = _firsts(marks.where("exact is not null").select("doc_id", "exact"), "exact", exact_docs).select(F.col("exact").alias("key"), "first_doc")
+    every = merged.unionByName(whole).withColumnRenamed("shape", "key").unionByName(exact)
+    ends = every.groupBy("key").agg(F.min("first_doc").alias("low"), F.max("first_doc").alias("high"))
+    out = materialize(ends, "line-firsts")
+    discard(keys, templates)
+    return out
+
+
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, exact_docs: int = EXACT_DOCS, names: tuple[str, str, str] = ("n_lines", "n_dropped", "kept")) -> DataFrame:
     """``docs`` with the number of lines, of those dropped, and the text without lines of templates that recur, by these names."""
     carried = [c for c in docs.columns if c not in names]
     doc, gone = (free_name([*carried, *names], c) for c in ("doc", "gone"))
-    held = docs.sparkSession.sparkContext.broadcast(document_counts(docs))
-    keys = materialize(_keys(docs, held), "line-keys")
-    found = materialize(recurring_templates(keys, min_docs, exact_docs), "line-templates")
-    # each document's own recurring templates, but for those it is the first document of
-    own = spread_join(keys, found, ["key"], "docs", keys.count(), F.col("doc_id")).where("doc_id is null or doc_id <> first_doc")
+    marks = materialize(_marks(docs), "line-marks")
+    found = recurring_lines(marks, min_docs, exact_docs)
+    # each document's own recurring lines, but for those it is the first document of
+    said = marks.select("doc_id", F.explode(F.array_compact(F.array("shape", "exact"))).alias("key"))
+    sized = found.join(said.groupBy("key").agg(F.count("*").alias("rows")), "key")
+    own = spread_join(said, sized, ["key"], "rows", marks.count(), F.col("doc_id")).where("doc_id is null or doc_id <> low or doc_id <> high")
     hits = materialize(own.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("key").alias(gone)), "line-hits")
-    discard(keys, found)
+    discard(marks, found)
     joined = docs.select(*carried).join(hits, F.col("doc_id").eqNullSafe(F.col(doc)), "left").drop(doc)
 
     def run(batches):
@@ -210,15 +246,16 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, exact_docs:
                 sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
                 hit = full & (sizes > 0)
                 if hit.any():  # only these texts are taken apart
-                    own, sizes = Lines(texts.filter(pa.array(hit)), held.value), sizes[hit]
-                    line, key = own.keys()
+                    of_text, split = _lines_of(texts.filter(pa.array(hit)))
+                    sizes = sizes[hit]
                     said = np.asarray(lists.filter(pa.array(hit)).flatten(), dtype=np.int64).view(np.uint64)
                     asked = said ^ mix(np.repeat(np.arange(len(sizes), dtype=np.uint64) + np.uint64(1), sizes))
-                    drop = np.zeros(len(own.lines), bool)
-                    drop[line[np.isin(key.view(np.uint64) ^ mix(own.text_of(line).astype(np.uint64) + np.uint64(1)), asked)]] = True
-                    n_dropped[hit] = np.diff(np.concatenate([[0], np.cumsum(drop)])[own.of_text])
-                    left = np.concatenate([[0], np.cumsum(~drop)])[own.of_text]
-                    rest = pc.binary_join(pa.ListArray.from_arrays(pa.array(left, pa.int32()), own.lines.filter(pa.array(~drop))), "\n")
+                    shape, exact, has_shape, long = Lines(split).keys()
+                    text = mix(np.repeat(np.arange(len(sizes), dtype=np.uint64) + np.uint64(1), np.diff(of_text)))
+                    drop = has_shape & np.isin(shape.view(np.uint64) ^ text, asked) | long & np.isin(exact.view(np.uint64) ^ text, asked)
+                    n_dropped[hit] = np.diff(np.concatenate([[0], np.cumsum(drop)])[of_text])
+                    left = np.concatenate([[0], np.cumsum(~drop)])[of_text]
+                    rest = pc.binary_join(pa.ListArray.from_arrays(pa.array(left, pa.int32()), split.filter(pa.array(~drop))), "\n")
                     kept = pc.replace_with_mask(texts, pa.array(hit), rest)
                 added = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), kept]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *added], names=[*carried, *names])

@@ -137,46 +137,41 @@ def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, i, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> '') AS d,
-       unnest(range(1, len(l) + 1)) AS u(i), LATERAL (SELECT l[i] AS x) AS v),
-words AS (
-  SELECT t, count(*) AS n FROM (SELECT DISTINCT doc_id, t FROM lines, unnest(w) AS u(t)) GROUP BY t),
+  SELECT doc_id, i, x, w, list_transform(w, lambda y: CASE WHEN regexp_matches(y, '[0-9]') THEN chr(10) ELSE y END) AS t
+  FROM (SELECT doc_id, i, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> '') AS d,
+             unnest(range(1, len(l) + 1)) AS u(i), LATERAL (SELECT l[i] AS x) AS v)),
+sized AS (SELECT *, len(list_filter(t, lambda y: y <> chr(10))) AS words FROM lines),
+shapes AS (SELECT DISTINCT t, words FROM sized WHERE words > 3),
+leaves AS (
+  SELECT t, words, {'tree': tree, 'n': len(t), 'a': t[p], 'b': t[p + 1]} AS leaf
+  FROM (SELECT *, CASE tree WHEN 'first' THEN 1 WHEN 'middle' THEN len(t) // 2 ELSE len(t) - 1 END AS p
+        FROM shapes, (VALUES ('first'), ('middle'), ('last')) AS v(tree))),
+crowded AS (SELECT *, count(*) OVER (PARTITION BY leaf) AS shapes FROM leaves),
 places AS (
-  SELECT t, n, list_reduce(c, lambda h, x: (h * 1103515245 + x) % 2147483648) >> 11 AS p, list_reduce(c, lambda h, x: (h * 1597334677 + x) % 2147483648) >> 11 AS q
-  FROM (SELECT t, n, list_prepend(0::BIGINT, list_transform(regexp_extract_all(t, '(?s).'), lambda x: unicode(x)::BIGINT)) AS c FROM words)),
-sketch AS (
-  SELECT t, least(sum(n) OVER (PARTITION BY p), sum(n) OVER (PARTITION BY q)) AS docs FROM places),
-tokens AS (
-  SELECT doc_id, i, list(CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END ORDER BY k) AS t, list(docs ORDER BY k) AS docs, any_value(w) AS w
-  FROM (SELECT doc_id, i, w, k, w[k] AS t FROM lines, unnest(range(1, len(w) + 1)) AS u(k)) JOIN sketch USING (t) GROUP BY doc_id, i),
-halves AS (
-  SELECT *, list_slice(t, 1, 2) AS lead, list_slice(t, 3, len(t), 2) AS even, list_slice(t, 4, len(t), 2) AS odd,
-         len(list_filter(t, lambda y: y <> '<*>')) AS fixed FROM tokens),
+  SELECT t, words, leaf, shapes, k, t[k] AS token
+  FROM crowded, unnest(range(1, len(t) + 1)) AS u(k) WHERE shapes > 1 AND t[k] <> chr(10)),
+counts AS (SELECT *, count(*) OVER (PARTITION BY leaf, k, token) AS n FROM places),
 masked AS (
-  SELECT doc_id, i, t, fixed, list_transform(t, lambda y, k: CASE WHEN docs[k] < 10 * 4 ** step THEN '<*>' ELSE y END) AS part
-  FROM halves, unnest(range(0, 13)) AS u(step) WHERE fixed > 0),
-rare AS (
-  SELECT doc_id, i, part, fixed, len(list_filter(part, lambda y: y <> '<*>')) AS left_over FROM masked),
+  SELECT t, words, leaf, step, list({'k': k, 'token': token} ORDER BY k) AS part
+  FROM counts, unnest(range(1, 41)) AS u(step) WHERE 2 ** step <= shapes AND n >= 2 ** step GROUP BY t, words, leaf, step),
+merged AS (
+  SELECT DISTINCT t, leaf, part FROM masked
+  WHERE len(part) < words AND 3 * (words - len(part)) <= words AND len(part) >= 3),
 keyed AS (
-  SELECT doc_id, i, {'k': 'all', 'n': len(t), 'lead': lead, 'part': t} AS key FROM halves WHERE fixed > 0
-  UNION ALL SELECT doc_id, i, {'k': 'even', 'n': len(t), 'lead': lead, 'part': even} FROM halves
-  WHERE len(list_filter(even, lambda y: y <> '<*>')) >= 3
-  UNION ALL SELECT doc_id, i, {'k': 'odd', 'n': len(t), 'lead': lead, 'part': odd} FROM halves
-  WHERE len(list_filter(odd, lambda y: y <> '<*>')) >= 3
-  UNION ALL SELECT DISTINCT doc_id, i, {'k': 'rare', 'n': len(part), 'lead': part[1:2], 'part': part} FROM rare
-  WHERE left_over < fixed AND 3 * (fixed - left_over) <= fixed AND left_over >= 3
-  UNION ALL SELECT doc_id, i, {'k': 'exact', 'n': len(w), 'lead': w[1:2], 'part': w} FROM halves WHERE len(w) >= 13),
-found AS (
-  SELECT key, min(doc_id) AS first_doc FROM keyed GROUP BY key
-  HAVING count(DISTINCT doc_id) >= CASE WHEN key.k = 'exact' THEN 2 ELSE 10 END),
-gone AS (SELECT DISTINCT doc_id, i FROM keyed JOIN found USING (key) WHERE doc_id <> first_doc),
-counts AS (
+  SELECT doc_id, i, {'leaf': NULL, 'part': NULL, 'whole': t} AS key FROM sized WHERE words > 0
+  UNION ALL SELECT doc_id, i, {'leaf': leaf, 'part': part, 'whole': NULL} FROM sized JOIN merged USING (t)),
+found AS (SELECT key, min(doc_id) AS first_doc FROM keyed GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+long AS (SELECT w, min(doc_id) AS first_doc FROM lines WHERE len(w) >= 13 GROUP BY w HAVING count(DISTINCT doc_id) >= 2),
+gone AS (
+  SELECT doc_id, i FROM keyed JOIN found USING (key) WHERE doc_id <> first_doc
+  UNION SELECT doc_id, i FROM lines JOIN long USING (w) WHERE doc_id <> first_doc),
+counted AS (
   SELECT doc_id, count(*) AS n_lines, count(g.i) AS n_dropped,
          string_agg(x, chr(10) ORDER BY lines.i) FILTER (WHERE g.i IS NULL) AS kept
   FROM lines LEFT JOIN (SELECT doc_id AS d, i AS i, i AS j FROM gone) AS g ON g.d = doc_id AND g.j = lines.i GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
-FROM documents d LEFT JOIN counts c USING (doc_id)
+FROM documents d LEFT JOIN counted c USING (doc_id)
 """
 
 
