@@ -172,3 +172,14 @@ def test_long_and_short_series_are_fitted_together(spark, long_series, monkeypat
     alone = max(chain.fit_starts(kept["b"], 3, [42, 42 + 7919]), key=lambda f: f[1])
     assert found["b"].score == pytest.approx(alone[1])
     assert found["a"].score > -np.inf and found["a"].rounds == 2 and len(found["a"].mu) == 6
+
+
+def test_times_are_numbered_over_blocks(spark):
+    """Numbers run on from block to block, whatever lies between; equal times have one."""
+    from tidebar.operators.align import numbered_times
+
+    times = [-7, -3, 0, 0, 4, 9, 10, 31, 99]
+    rows = spark.createDataFrame([(s, t) for s in "ab" for t in times], "series string, time long")
+    found = sorted(tuple(r) for r in numbered_times(rows, 10).collect())
+    assert found == [(t, i, 8) for i, t in enumerate(sorted(set(times)))]
+    assert numbered_times(rows.where("time > 100"), 10).collect() == []

@@ -12,8 +12,22 @@ from pyspark.sql import functions as F
 
 from .bars import by_time, indexed
 
-#: Milliseconds of a block of the as-of sort.
-BLOCK_MS = 7 * 86_400_000
+#: Milliseconds of a block of the as-of sort; seconds of a block of times that are numbered together.
+BLOCK_MS, BLOCK_SECONDS = 7 * 86_400_000, 7 * 86_400
+
+
+def numbered_times(rows: DataFrame, seconds: int = BLOCK_SECONDS) -> DataFrame:
+    """time, i and n: the different times of ``rows`` in order, numbered from 0, and how many there are.
+
+    They are numbered within blocks, so only one row a block passes the window that has no key.
+    """
+    times = rows.select("time").distinct().withColumn("_block", F.floor(F.col("time") / seconds))
+    below = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    blocks = times.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = blocks.select("_block", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"), F.sum("_n").over(every).alias("n"))
+    place = F.row_number().over(Window.partitionBy("_block").orderBy("time")) - 1
+    return times.withColumn("_place", place).join(blocks, "_block").select("time", (F.col("_below") + F.col("_place")).alias("i"), "n")
 
 
 def as_of_strict(left: DataFrame, points: DataFrame, at: str, values: tuple[str, ...] = ("value",), block_ms: int = BLOCK_MS) -> DataFrame:

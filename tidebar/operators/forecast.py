@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settled
+from .align import numbered_times
 from .ic import mid_rank, pearson
 from .nulls import _shift
 
@@ -28,8 +29,7 @@ def forward_return(horizon: int) -> Column:
 
 def arrangements(panel: DataFrame, shifts: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     """trial, horizon, forecast and ret of every valid pair, of the observed arrangement and of the rotated ones."""
-    axis = panel.select("time").distinct().withColumn("i", F.row_number().over(Window.orderBy("time")) - 1)  # one row a bar
-    own = panel.join(axis, "time").join(axis.agg(F.count(F.lit(1)).alias("n")))
+    own = panel.join(numbered_times(panel), "time")
     later = own.withColumns({f"ret_{h}": forward_return(h) for h in horizons})
     returns = F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"ret_{h}").alias("ret")) for h in horizons))
     later = later.select("series", "i", "n", F.explode(returns).alias("r")).select("series", "i", "n", "r.*").where("ret is not null")

@@ -257,10 +257,11 @@ def judge(logs: DataFrame, seconds: int, resamples: int, block: float | None = N
     own = moments(logs).join(logs.groupBy("series").agg(F.max("step").alias("step")), "series").withColumn("seconds", F.lit(seconds))
     own = own.select("series", (F.col("sharpe") * F.sqrt(bars)).alias("sharpe"), "skew", "kurtosis", F.floor(F.col("n") / bars + 0.5).cast("long").alias("n"))
     best = own.agg(F.min_by(F.struct("series", "sharpe", "skew", "kurtosis", "n"), F.struct(-F.col("sharpe"), F.col("series"))).alias("w"), F.count(F.lit(1)).alias("models"), F.var_samp("sharpe").alias("v"))
-    one = best.select("w.*", "models", F.coalesce("v", F.lit(0.0)).alias("v")).join(effective_trials(grid).select("rho", "effective"))
+    one = best.select("w.*", "models", F.coalesce("v", F.lit(0.0)).alias("v")).join(F.broadcast(effective_trials(grid).select("rho", "effective")))
     tested = spa(stats, means).select(F.col("best").alias("spa_best"), "statistic", "p_upper", "p_lower", "p_consistent")
-    one = one.join(tested).join(reality_check(stats, means).select(F.col("p_value").alias("rc_p")))
-    one = one.join(step_down(stats, means).agg(F.min("adjusted_p").alias("rw_p"), F.count_if("rejected").alias("rejected")))
+    # each side is the one row of an aggregate over everything
+    one = one.join(F.broadcast(tested)).join(F.broadcast(reality_check(stats, means).select(F.col("p_value").alias("rc_p"))))
+    one = one.join(F.broadcast(step_down(stats, means).agg(F.min("adjusted_p").alias("rw_p"), F.count_if("rejected").alias("rejected"))))
 
     def run(batches):
         for rows in batches:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions.special import EULER
 from ..operators import align, bars as B, confluence, features as X, forecast, nulls, perp, power, rotation, screen, snooping, strategy, trades
 from ..session import settled
 from ..sources import tape
@@ -487,7 +488,7 @@ def pair_corr_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snooping.deflated_sharpe(snooping.moments(_cells(spark, sf_dir)))
+    return rounded(snooping.deflated_sharpe(snooping.moments(settled(_cells(spark, sf_dir)))))
 
 
 def block_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -823,5 +824,38 @@ sums AS (
 SELECT series, {r('''CASE WHEN n < 8 OR sqrt(greatest(c0, 0)) <= 1e-12 * CASE WHEN top > 0 THEN top ELSE 1 END OR m IS NULL OR s = 0 THEN 1
        ELSE least(greatest(pow(g * g / (s * s), 1.0 / 3) * pow(n, 1.0 / 3), 1), CASE WHEN pow(g * g / (s * s), 1.0 / 3) * pow(n, 1.0 / 3) < 1 THEN 1 ELSE ceil(least(3 * sqrt(n), n / 3.0)) END) END''', 'block')} FROM sums"""
 
-_UNCHECKED = ("deflated_sharpe", "judge_sweep", "power_table", "panel_rotation_exact")
+#: Every rotation, the panel joined to itself once for each of them.
+SQL["panel_rotation_exact"] = f"""{_PANEL},
+eturned AS (
+  SELECT a.series, s.shift, a.i, a.ret, b.position FROM panel a, LATERAL (SELECT unnest(range(1, a.n)) AS shift) s
+  JOIN panel b ON b.series = a.series AND b.i = (a.i + s.shift) % a.n),
+etrials AS (
+  SELECT shift, avg(net) AS bps FROM (
+    SELECT *, (position * ret - 4.5e-4 * abs(position - coalesce(last_value(position IGNORE NULLS) OVER w, 0))) * 1e4 AS net
+    FROM eturned WINDOW w AS (PARTITION BY series, shift ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) GROUP BY shift)
+SELECT a.observations, {r('a.bps', 'actual_bps')}, count(*) AS shifts,
+       {r('count(*) FILTER (WHERE t.bps >= a.bps - 1e-9 * (1 + abs(a.bps))) / CAST(count(*) AS DOUBLE)', 'p_exact')}
+FROM etrials t, pactual a GROUP BY a.observations, a.bps"""
+#: The normal distribution as 1/2 and its density times a series of positive terms; its inverse by halving.
+_PHI = """CASE WHEN {z} > 6.5 THEN 1 WHEN {z} < -6.5 THEN 0 ELSE 0.5 + sign({z}) * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) *
+  list_sum(list_transform(range(0, 120), lambda k: exp((2 * k + 1) * ln(greatest(abs({z}), 1e-300)) - lgamma(2.0 * k + 2) + k * ln(2) + lgamma(k + 1.0)))) END"""
+SQL["deflated_sharpe"] = f"""{_CELLS}, m AS (SELECT series AS s, avg(value) AS m, count(*) AS n FROM cells GROUP BY series),
+p AS (SELECT c.series, n, m, {_M.format(k=2)} AS m2, {_M.format(k=3)} AS m3, {_M.format(k=4)} AS m4 FROM cells c JOIN m ON s = c.series GROUP BY ALL),
+own AS (
+  SELECT series, n, CASE WHEN m2 > 0 THEN m / sqrt(m2) ELSE 0 END AS sharpe, CASE WHEN m2 > 0 THEN m3 / pow(m2, 1.5::DOUBLE) ELSE 0 END AS skew,
+         CASE WHEN m2 > 0 THEN m4 / (m2 * m2) ELSE 3 END AS kurtosis FROM p),
+family AS (SELECT greatest(count(*), 2) AS trials, coalesce(var_samp(sharpe), 0) AS v FROM own),
+asked AS (
+  SELECT v, 1 - {EULER} AS weight, 1 - 1 / CAST(trials AS DOUBLE) AS q FROM family
+  UNION ALL SELECT v, {EULER}, 1 - 1 / (trials * exp(1)) FROM family),
+halved AS (
+  SELECT 0 AS step, v, weight, q, 0::DOUBLE AS low, 10::DOUBLE AS high FROM asked
+  UNION ALL SELECT step + 1, v, weight, q, CASE WHEN c < q THEN z ELSE low END, CASE WHEN c < q THEN high ELSE z END
+  FROM (SELECT *, (low + high) / 2 AS z, {_PHI.format(z='((low + high) / 2)')} AS c FROM halved WHERE step < 60)),
+bar AS (SELECT sqrt(any_value(v)) * sum(weight * low) AS benchmark FROM halved WHERE step = 60),
+scored AS (SELECT *, 1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe AS spread FROM own, bar),
+judged AS (SELECT *, CASE WHEN n >= 2 AND spread > 0 THEN (sharpe - benchmark) * sqrt(n - 1) / sqrt(spread) END AS z FROM scored)
+SELECT series, {rs('sharpe', 'benchmark')}, {r(_PHI.format(z='z'), 'deflated')} FROM judged"""
+
+_UNCHECKED = ("judge_sweep", "power_table")
 QUERIES = {name: globals()[name] for name in (*SQL, *_UNCHECKED)}
