@@ -323,3 +323,22 @@ def test_contamination_by_random_items():
 def test_large_benchmarks_go_in_parts(spark, docs, monkeypatch):
     monkeypatch.setattr(decontam, "ITEMS_LIMIT", 150)
     test_contamination_against_brute_force(spark, docs)
+
+
+def test_contamination_and_redaction_in_small_slices_are_the_same(spark, monkeypatch):
+    from tidebar.llm import common, pii
+
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, f"see {text} end"), (2, None), (3, ""), (4, "mail me@x.org now"), (5, text), (6, "x " * 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([("a", text)], "item_id string, text string")
+
+    def both():
+        runs = decontam.with_spans(decontam.find_contamination(docs, items)).orderBy("doc_id").collect()
+        base = pii.find_pii(docs, weights=b"").withColumn("added", F.slice("base", 1, 0))
+        return runs, pii.redact(base).orderBy("doc_id").collect()
+
+    whole = both()
+    assert whole[0][0].spans and whole[0][4].spans and whole[1][3].redacted == "mail [email] now" and whole[1][1].redacted is None
+    monkeypatch.setattr(common.slices, "__defaults__", (16,))
+    assert both() == whole

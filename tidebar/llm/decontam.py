@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import free_name, release
+from .common import free_name, release, slices
 
 WINDOW = 13
 #: Bytes of item text that are sent to the executors at once; a worker holds some fifty bytes for each of them.
@@ -143,18 +143,18 @@ def _pass(docs: DataFrame, benchmark: DataFrame, size: int, names: tuple[str, st
     def run(batches):
         known = automaton(held.value, size)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            had = [((), ())] * len(texts)
-            if not first:
-                had = zip(batch.column(names[1]).to_pylist(), batch.column(names[2]).to_pylist(), strict=True)
-            got = [scan(t, known, *h) for t, h in zip(texts, had, strict=True)]
-            cols = [
-                pa.array([g[0] for g in got], pa.int64()),
-                pa.array([g[1] for g in got], _RUNS),
-                pa.array([sorted(g[2]) for g in got], pa.list_(pa.string())),
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *cols], names=[*carried, *names])
-            del texts, got
+            for start, stop in slices(batch.column("text")):
+                part = batch.slice(start, stop - start)
+                had = [((), ())] * len(part)
+                if not first:
+                    had = zip(part.column(names[1]).to_pylist(), part.column(names[2]).to_pylist(), strict=True)
+                got = [scan(t, known, *h) for t, h in zip(part.column("text").to_pylist(), had, strict=True)]
+                cols = [
+                    pa.array([g[0] for g in got], pa.int64()),
+                    pa.array([g[1] for g in got], _RUNS),
+                    pa.array([sorted(g[2]) for g in got], pa.list_(pa.string())),
+                ]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *cols], names=[*carried, *names])
             release()
 
     source = docs if not first else docs.select(*carried)
@@ -195,11 +195,12 @@ def with_spans(found: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts, runs = batch.column("text").to_pylist(), batch.column("runs").to_pylist()
-            spans = [_char_spans(t, [(r["start"], r["stop"] - 1) for r in x]) if x else [] for t, x in zip(texts, runs)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(spans, _RUNS)], names=[*batch.schema.names, "spans"]
-            )
+            for start, stop in slices(batch.column("text")):
+                part = batch.slice(start, stop - start)
+                texts, runs = part.column("text").to_pylist(), part.column("runs").to_pylist()
+                spans = [_char_spans(t, [(r["start"], r["stop"] - 1) for r in x]) if x else [] for t, x in zip(texts, runs)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spans, _RUNS)], names=[*part.schema.names, "spans"])
+            release()
 
     kind = StructType.fromDDL("spans array<struct<start:int,stop:int>>")
     return found.mapInArrow(run, StructType([*found.schema.fields, *kind.fields]))

@@ -506,15 +506,17 @@ def redact(found: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            batch, out = batch.select(names), []
-            for text, base, added in zip(*(batch.column(c).to_pylist() for c in ("text", "base", "added"))):
-                parts, done = [], 0
-                for s in sorted(base + added, key=lambda s: (s["start"], -s["end"])):
-                    if s["start"] >= done:
-                        parts += [text[done : s["start"]], f"[{s['kind']}]"]
-                    done = max(done, s["end"])
-                out.append(None if text is None else "".join([*parts, text[done:]]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "redacted"])
+            batch = batch.select(names)
+            for start, stop in slices(batch.column("text")):
+                own, out = batch.slice(start, stop - start), []
+                for text, base, added in zip(*(own.column(c).to_pylist() for c in ("text", "base", "added"))):
+                    parts, done = [], 0
+                    for s in sorted(base + added, key=lambda s: (s["start"], -s["end"])):
+                        if s["start"] >= done:
+                            parts += [text[done : s["start"]], f"[{s['kind']}]"]
+                        done = max(done, s["end"])
+                    out.append(None if text is None else "".join([*parts, text[done:]]))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(out, pa.string())], names=[*own.schema.names, "redacted"])
 
     return found.mapInArrow(run, StructType([*found.select(*names).schema.fields, *StructType.fromDDL("redacted string").fields]))
 
