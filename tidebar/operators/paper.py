@@ -107,28 +107,45 @@ def marked(log: DataFrame, ticks: DataFrame, seconds: int, config: Config = Conf
 
 
 def statistics(log: DataFrame, config: Config = Config()) -> DataFrame:
-    """Return, Sharpe at the curve's own pace, drawdown, round trips, exposure and fees of each account."""
-    w = Window.partitionBy("account").orderBy("time", "coin")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    """Return, Sharpe at the curve's own pace, drawdown, round trips, their share that won, exposure and fees of each account.
+
+    A record is a point of the curve, worth what was held through its bar; what is left at the end has paid the last order, too. A
+    round trip goes from the order that opens a coin to the one that leaves it flat, and has won if the account was worth more
+    then. A point is exposed if a coin was open after the orders of its time. The pace is the upper median of steps between points.
+    """
+    by = Window.partitionBy("account").orderBy("time", "coin")
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    mine = Window.partitionBy("account", "coin").orderBy("time")
+    until = Window.partitionBy("account").orderBy("time").rangeBetween(Window.unboundedPreceding, 0)
+    at = Window.partitionBy("account", "time").orderBy("coin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    side = F.when(F.col("reason").isin("entry", "flip"), 1).when(F.col("reason").isin("exit", "liquidation"), 0)
     rows = log.withColumns(
         {
-            "before": F.lag("equity").over(w), "gap": F.col("time") - F.lag("time").over(w), "peak": F.max("equity").over(upto),
-            "held": F.coalesce(F.lag("position").over(Window.partitionBy("account", "coin").orderBy("time")), F.lit(0.0)),
+            "before": F.lag("equity").over(by), "gap": F.col("time") - F.lag("time").over(by), "peak": F.max("equity").over(upto),
+            "worth": F.last("equity").over(at), "open": F.coalesce(F.last(side, True).over(mine.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)),
         }
     )
+    rows = rows.withColumn("was", F.coalesce(F.lag("open").over(mine), F.lit(0)))
+    rows = rows.withColumn("start", F.last(F.when((F.col("open") == 1) & (F.col("was") == 0), F.col("worth")), True).over(mine.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("held", F.sum(F.col("open") - F.col("was")).over(until))
     rows = rows.withColumn("r", F.when(F.col("before") > 0, F.log(F.greatest(F.col("equity") / F.nullif("before", F.lit(0.0)), F.lit(1e-9)))))
-    rows = rows.withColumn("flat", F.col("reason").isin("exit", "liquidation"))
+    closed = (F.col("open") == 0) & (F.col("was") == 1)
+    left = F.when(F.col("reason") == "liquidation", 0.0).otherwise(F.col("equity") - F.col("fee"))
     order = F.struct("time", "coin")
-    middle = F.percentile_approx("gap", 0.5, 1_000_000)
     stats = rows.groupBy("account").agg(
-        F.max_by("equity", order).alias("final"), F.max_by("buy_hold", order).alias("hold"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"),
-        middle.alias("gap"), F.max(F.when(F.col("peak") > 0, 1 - F.col("equity") / F.col("peak"))).alias("max_drawdown"),
-        F.count_if("flat").alias("round_trips"), F.avg((F.abs("held") > 0).cast("double")).alias("exposure"), F.sum("fee").alias("fees"),
+        F.max_by(left, order).alias("final"), F.max_by("buy_hold", order).alias("hold"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"),
+        F.max(F.when(F.col("peak") > 0, 1 - F.col("equity") / F.col("peak"))).alias("dd"), F.count_if(closed).alias("round_trips"),
+        F.count_if(closed & (F.col("worth") > F.col("start"))).alias("wins"), F.avg((F.col("held") > 0).cast("double")).alias("exposure"), F.sum("fee").alias("fees"),
     )
+    # the upper median from a table of counts, as there are few different steps
+    gaps = rows.where("gap is not null").groupBy("account", "gap").agg(F.count(F.lit(1)).alias("c"))
+    upper = gaps.withColumns({"upto": F.sum("c").over(Window.partitionBy("account").orderBy("gap")), "steps": F.sum("c").over(Window.partitionBy("account"))})
+    pace = upper.where((F.col("upto") > F.floor(F.col("steps") / 2)) & (F.col("steps") > 1)).groupBy("account").agg(F.min("gap").alias("gap"))
     year = 365.25 * 86400
     sharpe = F.when((F.col("s") > 0) & (F.col("gap") > 0), F.col("m") / F.nullif("s", F.lit(0.0)) * F.sqrt(F.lit(year) / F.nullif("gap", F.lit(0)))).otherwise(0.0)
     roi = F.col("final") / config.equity - 1
-    return stats.select(
-        "account", roi.alias("roi"), sharpe.alias("sharpe"), "max_drawdown", "round_trips", "exposure",
+    return stats.join(pace, "account", "left").select(
+        "account", roi.alias("roi"), sharpe.alias("sharpe"), F.coalesce(F.greatest("dd", F.lit(0.0)), F.lit(0.0)).alias("max_drawdown"), "round_trips",
+        F.coalesce(F.col("wins") / F.nullif("round_trips", F.lit(0)), F.lit(0.0)).alias("win_rate"), "exposure",
         (F.col("fees") / config.equity).alias("fee_drag"), (roi - (F.col("hold") / config.equity - 1)).alias("over_buy_hold"),
     )

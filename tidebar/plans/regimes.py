@@ -250,6 +250,18 @@ def paper_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("account", "time", "equity", "buy_hold", "position", "fee", "reason"))
 
 
+def paper_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the accounts of the rule came to."""
+    config = paper.Config(leverage=3.0)
+    return rounded(paper.statistics(paper.replay(_paper_targets(spark, sf_dir), config), config))
+
+
+def path_agreement_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likeliest states of a given model against those of the online jump model: agreement under the best naming."""
+    other = jump_online(spark, sf_dir).withColumnRenamed("state", "truth")
+    return rounded(grouped.best_relabelling(viterbi_fixed(spark, sf_dir).join(other, ["series", "row"]), 3))
+
+
 def paper_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The accounts between bars: marked at each tick, without a trade."""
     config = paper.Config(leverage=3.0)
@@ -313,6 +325,30 @@ SQL["paper_marks"] = f"""{_ACCOUNTS},
 points AS (SELECT account, (time + 3600) * 1000 - 1 AS at, equity - fee AS settled, position * equity * 3 AS worth, close FROM acc)
 SELECT account, account AS coin, time_ms, seq, {r('price', places=2)}, {r('settled + worth * (price / close - 1)', 'equity', 2)}
 FROM ticks ASOF JOIN points ON points.account = ticks.series AND ticks.time_ms > points.at"""
+SQL["paper_statistics"] = f"""{_ACCOUNTS},
+points AS (
+  SELECT *, lag(equity) OVER w AS before, time - lag(time) OVER w AS gap, max(equity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak,
+         CASE WHEN reason = 'entry' THEN 1 WHEN reason IN ('exit', 'liquidation') THEN 0 END AS side FROM acc WINDOW w AS (PARTITION BY account ORDER BY time)),
+sides AS (
+  SELECT *, coalesce(last_value(side IGNORE NULLS) OVER (PARTITION BY account ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS held,
+         coalesce(last_value(side IGNORE NULLS) OVER (PARTITION BY account ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS was FROM points),
+trips AS (
+  SELECT *, last_value(CASE WHEN held = 1 AND was = 0 THEN equity END IGNORE NULLS) OVER (PARTITION BY account ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start,
+         CASE WHEN before > 0 THEN ln(greatest(equity / before, 1e-9)) END AS step FROM sides),
+sums AS (
+  SELECT account, arg_max(CASE WHEN reason = 'liquidation' THEN 0 ELSE equity - fee END, k) / 1000 - 1 AS roi, arg_max(hold, k) / 1000 - 1 AS bought, avg(step) AS m, stddev_samp(step) AS s,
+         list_sort(list(gap) FILTER (WHERE gap IS NOT NULL)) AS gaps, max(CASE WHEN peak > 0 THEN 1 - equity / peak ELSE 0 END) AS max_drawdown,
+         count(*) FILTER (WHERE held = 0 AND was = 1) AS round_trips, count(*) FILTER (WHERE held = 0 AND was = 1 AND equity > start) AS wins,
+         count(*) FILTER (WHERE held = 1) / CAST(count(*) AS DOUBLE) AS exposure, sum(fee) / 1000 AS fee_drag FROM trips GROUP BY account)
+SELECT account, {rs('roi')}, {r('CASE WHEN s > 0 AND len(gaps) > 1 THEN m / s * sqrt(31557600.0 / gaps[len(gaps) // 2 + 1]) ELSE 0 END', 'sharpe')}, {rs('max_drawdown')}, round_trips,
+       {r('CASE WHEN round_trips > 0 THEN wins / CAST(round_trips AS DOUBLE) ELSE 0 END', 'win_rate')}, {rs('exposure', 'fee_drag')}, {r('roi - bought', 'over_buy_hold')} FROM sums"""
+#: All six namings of three states.
+SQL["path_agreement_fixed"] = f"""WITH likeliest AS ({_VITERBI}), arrived AS ({SQL["jump_online"]}),
+pairs AS (SELECT l.series, l.state, a.state AS truth FROM likeliest l JOIN arrived a ON a.series = l.series AND a.row = l.row),
+named AS (
+  SELECT series, avg(CASE WHEN truth = n[state + 1] THEN 1.0 ELSE 0.0 END) AS accuracy
+  FROM pairs, (VALUES ([0, 1, 2]), ([0, 2, 1]), ([1, 0, 2]), ([1, 2, 0]), ([2, 0, 1]), ([2, 1, 0])) AS v(n) GROUP BY series, n)
+SELECT series, {r('max(accuracy)', 'accuracy')} FROM named GROUP BY series"""
 _UNCHECKED = (
     "hmm_fit", "hsmm_fit", "student_fit", "student_hsmm_fit", "jump_fit", "hmm_decoded", "vb_posterior", "vb_hsmm_posterior", "gibbs_posterior",
     "posterior_signal", "state_selection", "walk_forward", "walk_forward_metrics", "sweep_cells", "sweep_best", "paper_replay", "path_agreement",
