@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..models import blocked, grouped, signals, sweep
@@ -250,6 +250,29 @@ def paper_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("account", "time", "equity", "buy_hold", "position", "fee", "reason"))
 
 
+def _block_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draw for each two days of each series: mean and dwell of each state of the online jump model, 0 where it does not occur."""
+    w = Window.partitionBy("series").orderBy("row")
+    rows = jump_online(spark, sf_dir).join(_x(spark, sf_dir).select("series", "row", "x"), ["series", "row"])
+    rows = rows.withColumn("new", F.coalesce(F.col("state") != F.lag("state").over(w), F.lit(True)))
+    each = lambda k: F.col("state") == k
+    mean = [F.coalesce(F.avg(F.when(each(k), F.col("x"))), F.lit(0.0)) for k in range(3)]
+    dwell = [F.count_if(each(k)) / F.greatest(F.count_if(each(k) & F.col("new")), F.lit(1)) for k in range(3)]
+    return rows.groupBy("series", F.floor(F.col("row") / 48).alias("draw")).agg(F.array(*mean).alias("means"), F.array(*dwell).alias("dwell"))
+
+
+def block_state_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the mean of each state spreads over the blocks of a series."""
+    return rounded(grouped.state_intervals(_block_draws(spark, sf_dir), "means"))
+
+
+def block_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the belief at hand is worth by the means and dwells of each block, and how surely it is above a cost."""
+    seen = hmm_filter_fixed(spark, sf_dir)
+    now = seen.groupBy("series").agg(F.max_by(F.array("q0", "q1", "q2"), "row").alias("probs"))
+    return rounded(grouped.signal_interval(_block_draws(spark, sf_dir), now, 0.05))
+
+
 def paper_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the accounts of the rule came to."""
     config = paper.Config(leverage=3.0)
@@ -342,6 +365,32 @@ sums AS (
          count(*) FILTER (WHERE held = 1) / CAST(count(*) AS DOUBLE) AS exposure, sum(fee) / 1000 AS fee_drag FROM trips GROUP BY account)
 SELECT account, {rs('roi')}, {r('CASE WHEN s > 0 AND len(gaps) > 1 THEN m / s * sqrt(31557600.0 / gaps[len(gaps) // 2 + 1]) ELSE 0 END', 'sharpe')}, {rs('max_drawdown')}, round_trips,
        {r('CASE WHEN round_trips > 0 THEN wins / CAST(round_trips AS DOUBLE) ELSE 0 END', 'win_rate')}, {rs('exposure', 'fee_drag')}, {r('roi - bought', 'over_buy_hold')} FROM sums"""
+_TAIL = (1 - 0.9) / 2
+_DRAWS = f"""WITH RECURSIVE {_ONLINE},
+marked AS (
+  SELECT o.series, o.row, o.state, b.x, CASE WHEN o.state IS DISTINCT FROM lag(o.state) OVER (PARTITION BY o.series ORDER BY o.row) THEN 1 ELSE 0 END AS new
+  FROM online o JOIN obs b ON b.series = o.series AND b.row = o.row),
+draws AS (
+  SELECT series, row // 48 AS draw, {', '.join(f'coalesce(avg(x) FILTER (WHERE state = {k}), 0) AS m{k}' for k in range(3))},
+         count(*) FILTER (WHERE state = 2) / CAST(greatest(coalesce(sum(new) FILTER (WHERE state = 2), 0), 1) AS DOUBLE) AS dwell
+  FROM marked GROUP BY series, row // 48)"""
+
+
+def _spread(value: str) -> str:
+    """mean, low, high and the share above 0 of a group."""
+    at = lambda f: f"list_sort(list({value}))[CAST(least(floor({f!r}::DOUBLE * count(*)), count(*) - 1) AS BIGINT) + 1]"
+    return f"{r(f'avg({value})', 'mean')}, {r(at(_TAIL), 'low')}, {r(at(1 - _TAIL), 'high')}, {r(f'avg(CASE WHEN {value} > 0 THEN 1.0 ELSE 0.0 END)', 'p_positive')}"
+
+
+SQL["block_state_means"] = f"""{_DRAWS},
+long AS (SELECT series, k AS state, CASE k WHEN 0 THEN m0 WHEN 1 THEN m1 ELSE m2 END AS value FROM draws, (VALUES (0), (1), (2)) AS v(k))
+SELECT series, state, {_spread('value')} FROM long GROUP BY series, state"""
+SQL["block_signal"] = f"""{_DRAWS},
+seen AS ({_FILTER}),
+now AS (SELECT series, arg_max(q0, row) AS q0, arg_max(q1, row) AS q1, arg_max(q2, row) AS q2 FROM seen GROUP BY series),
+each AS (SELECT series, dwell AS hold, (q0 * m0 + q1 * m1 + q2 * m2) * dwell AS trade FROM draws JOIN now USING (series))
+SELECT series, {_spread('trade')}, {r('list_sort(list(hold))[count(*) // 2 + 1]', 'median_hold')}, {r('avg(CASE WHEN trade > 0.05 THEN 1.0 ELSE 0.0 END)', 'p_above_cost')}
+FROM each GROUP BY series"""
 #: All six namings of three states.
 SQL["path_agreement_fixed"] = f"""WITH likeliest AS ({_VITERBI}), arrived AS ({SQL["jump_online"]}),
 pairs AS (SELECT l.series, l.state, a.state AS truth FROM likeliest l JOIN arrived a ON a.series = l.series AND a.row = l.row),
