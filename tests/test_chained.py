@@ -10,10 +10,8 @@ from tidebar.streaming import chained
 
 def _run(make, source, sink, work):
     """One run of a stream from its checkpoint, until all files that are there have been read."""
-    query = make(source).writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{work}/c").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert query.exception() is None
-    query.stop()
+    query = chained.follow(make(source), sink, f"{work}/c", every=None)
+    assert query.awaitTermination(120) and query.exception() is None
 
 
 def _source(spark, schema, path):
@@ -41,6 +39,18 @@ def test_longer_bars_of_a_restarted_stream(spark, tmp_path):
     assert set(got) <= set(every) and len(got) == len(set(got)) and {r[0] for r in got} == {600, 1800, 3600}
 
 
+def test_a_stream_that_looks_for_more(spark, tmp_path):
+    """Rows that come while it runs are written as well; a second start goes on where the first one ended."""
+    rows = lambda low, high: spark.range(low, high).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    rows(0, 5)
+    for part in range(2):
+        query = chained.follow(_source(spark, "id long", f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/c", "1 second")
+        rows(5 + 5 * part, 10 + 5 * part)
+        query.processAllAvailable()
+        query.stop()
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(15))
+
+
 def test_longer_bars_must_hold_whole_ones(spark):
     with pytest.raises(ValueError, match="multiples"):
         chained.chained_bars(spark.range(1), 600, (900,))

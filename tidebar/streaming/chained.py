@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.paper import RECORD, Config, new_account, records
 
@@ -133,3 +133,12 @@ class _Account(StatefulProcessor):
 def kept_accounts(targets: DataFrame, config: Config = Config()) -> DataFrame:
     """Records of paper accounts from a stream with account, coin, time, high, low, close and target; each state in its own columns."""
     return targets.groupBy("account").transformWithStateInPandas(_Account(config), RECORD, "Append", "None")
+
+
+def follow(rows: DataFrame, path: str, checkpoint: str, every: str | None = "15 seconds") -> StreamingQuery:
+    """Start writing a stream to Parquet at ``path``, each row once, from where ``checkpoint`` was left.
+
+    It looks for new rows at every interval; without one it takes all that is there, in order, and ends.
+    """
+    writer = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
