@@ -11,8 +11,8 @@ more than a third of a line's words do and ``LEAST_FIXED`` are left. A field of
 a template is told from the words around it at one of these steps, whatever its values do elsewhere in the corpus, and
 also where several fields stand side by side. Each line thus has a few templates in each leaf.
 
-A template recurs if it is in ``MIN_DOCS`` documents at least, as does a shape itself; a line of ``EXACT_TOKENS`` tokens and more, too long to be
-equal by chance, also if the line itself, digits included, is in ``EXACT_DOCS``. Recurring lines are dropped from every
+A template recurs if it is in ``MIN_DOCS`` documents at least, as does a shape itself; a line of ``EXACT_TOKENS`` tokens and more, too
+long to be equal by chance, also if the line itself, digits included, is in ``EXACT_DOCS``. Recurring lines are dropped from every
 document but the one with the smallest id that has the template, so what is said once stays somewhere. Documents stay,
 also those without lines left. Keys are hashes: n of them make n * n / 2**64 false matches.
 
@@ -209,7 +209,7 @@ def recurring_lines(marks: DataFrame, min_docs: int = MIN_DOCS, exact_docs: int
     of_docs = spread_join(lines, sized, ["shape"], "rows", lines.count(), F.col("doc_id")).select("doc_id", F.explode("keys").alias("key"))
     templates = materialize(_firsts(of_docs, "key", min_docs), "line-templates")
     back = keys.select("shape", F.explode("keys").alias("key"))
-    # how many shapes a template has is not known here, but no more than it has lines
+    # a template of very many shapes makes a skewed join, which adaptive execution splits
     merged = back.join(templates, "key").select("shape", "first_doc")
     whole = _firsts(lines, "shape", min_docs).select("shape", "first_doc")
     exact = _firsts(marks.where("exact is not null").select("doc_id", "exact"), "exact", exact_docs).select(F.col("exact").alias("key"), "first_doc")
