@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidebar.llm import ann, bpe, chat, pii, queries, shards, toxicity
+from tidebar.llm import ann, bpe, chat, pii, queries, recurrent, shards, toxicity
 
 from .conftest import corpus
 
@@ -88,6 +88,21 @@ def full_paths(net, texts):
     return np.concatenate(out)
 
 
+@pytest.mark.filterwarnings("error")
+def test_states_of_scoring_are_those_of_training():
+    """One exponential for all gates, gate by gate in memory, also where it overflows; states go where they are asked for."""
+    rng = np.random.default_rng(2)
+    table, u = rng.normal(0, 2, (130, 32)).astype(np.float32), rng.normal(0, 1, (8, 32)).astype(np.float32)
+    table[3], table[4] = 400, -400
+    codes = rng.integers(0, 130, (50, 7))
+    codes[10:13], codes[20:22] = 3, 4
+    states = np.full((16, 50, 7), np.nan, np.float32)
+    recurrent.lstm_run(table, codes, u, states[:8])
+    recurrent.lstm_run(table, codes[::-1], u, states[8:, ::-1])
+    assert np.abs(states[:8].transpose(1, 2, 0) - recurrent.lstm(table, codes, u)[0]).max() < 1e-5
+    assert np.abs(states[8:].transpose(1, 2, 0) - recurrent.lstm(table, codes[::-1], u)[0][::-1]).max() < 1e-5
+
+
 def test_pruned_search_is_the_whole_one(monkeypatch):
     """Over weights that make many runs, over texts shorter and longer than windows and blocks, and where windows meet."""
     rng = np.random.default_rng(5)

@@ -38,7 +38,7 @@ TRAIN_WINDOW, WINDOW, STRIDE = 80, 768, 720
 SYMBOLS, STATE, LABELS = 130, 8, 2 * len(KINDS) + 1
 EPOCHS, BATCH, RATE, SEED, PER_KIND = 12, 64, 0.02, 11, 250
 #: Windows scored at once, all padded to one length, a multiple of PAD; characters whose emissions are at hand at once.
-DECODED, PAD, BLOCK = 768, 128, 1 << 21
+DECODED, PAD, BLOCK = 1024, 128, 1 << 21
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -240,10 +240,10 @@ class Tagger:
         """Emissions (label, time, batch) for symbols (batch, time)."""
         p = self.p
         fwd = np.ascontiguousarray(x.T)
-        there = lstm_run(p["t0"], fwd, p["u0"]).reshape(-1, STATE)
-        back = np.ascontiguousarray(lstm_run(p["t1"], fwd[::-1], p["u1"])[::-1]).reshape(-1, STATE)
-        e = p["out"][:STATE].T @ there.T
-        e += p["out"][STATE:].T @ back.T
+        states = np.empty((2 * STATE, *fwd.shape), np.float32)
+        lstm_run(p["t0"], fwd, p["u0"], states[:STATE])
+        lstm_run(p["t1"], fwd[::-1], p["u1"], states[STATE:, ::-1])
+        e = np.ascontiguousarray(p["out"].T) @ states.reshape(2 * STATE, -1)
         e += p["bias"][:, None]
         return e.reshape(LABELS, *fwd.shape)
 

@@ -114,27 +114,36 @@ def lstm_back(d_states: np.ndarray, kept: list, u: np.ndarray):
     return d_x, d_u
 
 
-def lstm_run(table: np.ndarray, codes: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """The states of :func:`lstm` alone: one hyperbolic tangent for all gates, as the logistic is (1 + tanh(x / 2)) / 2."""
+def lstm_run(table: np.ndarray, codes: np.ndarray, u: np.ndarray, states: np.ndarray) -> None:
+    """The states of :func:`lstm` alone, put into ``states`` (size, time, batch).
+
+    A gate of all windows is one stretch of memory. The logistic is 1 / (1 + exp(-x)), and the hyperbolic tangent
+    2 / (1 + exp(-2x)) - 1, so that all gates take one exponential; where it overflows, the gate is 0 or -1.
+    """
     steps, batch = codes.shape
     size = u.shape[0]
-    half = np.repeat(np.array([0.5, 1], np.float32), [3 * size, size])
-    table, u = table * half, u * half
-    states = np.empty((steps, batch, size), np.float32)
-    a, q = np.empty((batch, 4 * size), np.float32), np.empty((batch, 4 * size), np.float32)
-    h, c, w = (np.zeros((batch, size), np.float32) for _ in range(3))
-    for t in range(steps):
-        np.take(table, codes[t], axis=0, out=a, mode="clip")
-        a += np.matmul(h, u, out=q)
-        np.tanh(a, out=a)
-        gates = a[:, : 3 * size]
-        gates *= 0.5
-        gates += 0.5
-        c *= gates[:, size : 2 * size]
-        c += np.multiply(gates[:, :size], a[:, 3 * size :], out=w)
-        np.tanh(c, out=w)
-        h = np.multiply(w, gates[:, 2 * size :], out=states[t])
-    return states
+    scale = -np.repeat(np.array([1, 2], np.float32), [3 * size, size])
+    table, u = np.ascontiguousarray((table * scale).T), np.ascontiguousarray((u * scale).T)
+    a, q = np.empty((4 * size, batch), np.float32), np.empty((4 * size, batch), np.float32)
+    i, f, o, g = a.reshape(4, size, batch)
+    h, c, w = (np.zeros((size, batch), np.float32) for _ in range(3))
+    with np.errstate(over="ignore"):
+        for t in range(steps):
+            table.take(codes[t], axis=1, out=a, mode="clip")
+            a += np.matmul(u, h, out=q)
+            np.exp(a, out=a)
+            a += 1
+            np.reciprocal(a, out=a)
+            g *= 2
+            g -= 1
+            c *= f
+            c += np.multiply(i, g, out=w)
+            np.multiply(c, -2, out=w)
+            np.exp(w, out=w)
+            w += 1
+            np.divide(2, w, out=w)
+            w -= 1
+            states[:, t] = np.multiply(w, o, out=h)
 
 
 def gru_run(table: np.ndarray, codes: np.ndarray, there: np.ndarray | None, u: np.ndarray) -> np.ndarray:
