@@ -239,6 +239,16 @@ def test_neighbouring_fields_of_common_names(spark):
     assert by_id[0] == 0 and all(by_id[i] == 4 for i in range(1, 40)) and not any(by_id[i] for i in range(100, 160))
 
 
+def test_lines_in_two_documents_take_one_shuffle(spark):
+    """Two documents are told by their least and greatest id, and rows are counted in the same pass."""
+    rows = spark.createDataFrame([(1, 7), (1, 7), (2, 8), (3, 8), (3, 8), (None, 9), (4, 9), (None, 11), (None, 11)], "doc_id long, exact long")
+    found = lines._firsts(rows, "exact", 2)
+    assert [tuple(r) for r in found.select("exact", "rows", "first_doc").collect()] == [(8, 3, 2)]
+    assert found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")).count("Exchange hashpartitioning") == 1
+    more = lines._firsts(rows, "exact", 1).select("exact", "rows", "first_doc")
+    assert sorted(tuple(r) for r in more.collect()) == [(7, 2, 1), (8, 3, 2), (9, 2, 4)]
+
+
 def test_recurring_lines_against_brute_force(spark):
     odd = "abcdefghijklmnopqrstuvwxyz"
     rows = [(i, f"page {i} of 12\nOwn words number {odd[i % 10]} of this page {i * 'x'}\n\nAll rights reserved by Mr {'N' * (i + 1)} of this place") for i in range(14)]
