@@ -55,3 +55,12 @@ def test_keys_depend_on_content(spark):
     assert not set(one.values()) & set(keys(bars, sweep.Plan(factors=(1, 2), kinds=("hmm", "jump"), train=101)).values())
     moved = keys(bars.withColumn("close", bars["close"] * (1 + (bars["series"] == "b").cast("int"))), PLAN)
     assert {k for k in one if one[k] != moved[k]} == {k for k in one if k[0] == "b"}
+
+
+def test_cells_end_in_settled_rows(spark):
+    """What a sweep gives is read from what was settled; no task holds the windows, sorts and joins of a cell, or of several, at once."""
+    plan = sweep.Plan(factors=(1, 2), kinds=("jump",), train=100, test=40, restarts=1, trials=9, hold=5)
+    found = sweep.sweep(tape(spark, {"a": 320}), plan)
+    said = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(step in said for step in ("Window", "Join", "Sort", "Aggregate")), said
+    assert {(r.series, r.cell) for r in found.collect()} == {("a", "1/jump"), ("a", "2/jump")}
