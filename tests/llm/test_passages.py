@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from .conftest import corpus
@@ -276,6 +277,47 @@ def test_lines_in_small_slices_are_the_same(spark, docs, monkeypatch):
     assert found == brute_lines(corpus())
 
 
+def leaf_corpus():
+    """Lines of a few leaves: fields at the front, amid and last, forty documents of each."""
+    name = lambda i, n: "".join(chr(97 + (i * k + k) % 26) for k in range(1, n))
+    rows = [(i, f"the answer of {name(i, 5)} was sent to all members of the board this week\n{name(i, 4)} {name(i, 6)} said so to the press and left the room at {i}\nthe answer is {name(i % 7, 3)} and {name(i, 7)}") for i in range(40)]
+    return rows + [(100 + i, f"the answer of {name(i, 9)} {name(i + 1, 9)} {name(i + 2, 9)} {name(i, 3)}") for i in range(9)]
+
+
+def line_rows(spark, monkeypatch, rows):
+    """What drop_recurring_lines finds, and the rows of the tables it settles on the way by their names."""
+    made, plain = [], lines.materialize
+
+    def counted(df, tag):
+        out = plain(df, tag)
+        made.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(lines, "materialize", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    return sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in lines.drop_recurring_lines(docs).collect()), key=str), made
+
+
+def test_leaves_take_no_row_for_each_word(spark, monkeypatch):
+    """A line goes to its leaves as a line: none of the tables on the way has more than a row for each line and tree."""
+    rows = leaf_corpus()
+    found, made = line_rows(spark, monkeypatch, rows)
+    assert found == brute_lines(rows) and sum(r[2] for r in found) > 80
+    most = 3 * sum(len(t.split("\n")) for _, t in rows)
+    assert all(n <= most for _, n in made), made
+
+
+@pytest.mark.parametrize("bucket, bits", [(3, 26), (16, 6)])
+def test_large_leaves_go_in_several_buckets(spark, monkeypatch, bucket, bits):
+    """Leaves of more lines than a bucket, and a map of leaves so small that lines of other leaves come along."""
+    rows = leaf_corpus()
+    monkeypatch.setattr(lines, "BUCKET", bucket)
+    monkeypatch.setattr(lines, "LEAF_BITS", bits)
+    found, made = line_rows(spark, monkeypatch, rows)
+    assert sum(n for tag, n in made if tag == "line-dealt") >= 40
+    assert found == brute_lines(rows)
+
+
 def brute_contamination(rows, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     norm = lambda t: word.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
